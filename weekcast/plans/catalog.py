@@ -45,12 +45,13 @@ def engineered(spark: SparkSession, d: str) -> DataFrame:
 
 # ----------------------------------------------------------------- adapter tables
 
+# derived lazily from the test tables (checks the adapter itself)
 register("raw_sales_table", with_tables("SELECT * FROM raw_sales"))(
-    lambda s, d: adapter.raw_sales(s, d))
+    lambda s, d: adapter.retail_tables(s, d, written=False)["raw_sales"])
 register("features_table", with_tables("SELECT * FROM features"))(
-    lambda s, d: adapter.features(s, d))
+    lambda s, d: adapter.retail_tables(s, d, written=False)["features"])
 register("stores_table", with_tables("SELECT * FROM stores"))(
-    lambda s, d: adapter.stores(s, d))
+    lambda s, d: adapter.retail_tables(s, d, written=False)["stores"])
 
 # ----------------------------------------------------------------- W1 / W2-W4
 
@@ -65,7 +66,7 @@ SELECT store_id, dept_id, date, weekly_sales,
 FROM raw_sales WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY date)
 """))
 def q_lag_features(spark, d):
-    sales = adapter.raw_sales(spark, d).select("store_id", "dept_id", "date", "weekly_sales")
+    sales = tables(spark, d)[0].select("store_id", "dept_id", "date", "weekly_sales")
     return fe.lag_features(sales)
 
 
@@ -84,7 +85,7 @@ def _rolling_sql(closed: str) -> str:
 
 def _rolling_query(closed: str) -> Query:
     def q(spark, d):
-        sales = adapter.raw_sales(spark, d).select("store_id", "dept_id", "date", "weekly_sales")
+        sales = tables(spark, d)[0].select("store_id", "dept_id", "date", "weekly_sales")
         out = fe.rolling_features(sales, closed=closed)
         return out.withColumns({f"rolling_std_{n}": F.round(f"rolling_std_{n}", 4) for n in (4, 13, 52)})
 
@@ -186,3 +187,319 @@ def q_engineer_features(spark, d):
         {c: F.round(c, 6) for c in _ENG_ROUNDED}
         | {"temperature_deviation": F.round("temperature_deviation", 9)}
     )
+
+
+# ================================================================= shared oracle CTEs
+
+def eng_sql(body: str, extra: str = "") -> str:
+    ctes = ENGINEERED_SQL_CTES.strip()
+    if extra.strip():
+        ctes += ",\n" + extra.strip()
+    return with_tables(body, ctes)
+
+
+FC_CTES = """
+latest AS (
+  SELECT * FROM eng e
+  WHERE feature_date = (SELECT MAX(feature_date) FROM eng e2
+                        WHERE e2.store_id = e.store_id AND e2.dept_id = e.dept_id)
+),
+grid AS (
+  SELECT l.store_id, l.dept_id, l.weekly_sales, r.w,
+         CAST(m.last_date + CAST(7 * r.w AS INTEGER) AS DATE) AS forecast_date,
+         GREATEST(CAST(l.weekly_sales AS DOUBLE) * 1.05::DOUBLE, 0.0::DOUBLE) AS p
+  FROM latest l
+  CROSS JOIN (SELECT MAX(feature_date) AS last_date FROM latest) m
+  CROSS JOIN range(1, 9) r(w)
+),
+fc AS (
+  SELECT store_id, dept_id, forecast_date,
+         CAST(p AS DECIMAL(18,2)) AS predicted_sales,
+         CAST(GREATEST(p - 1.96::DOUBLE * GREATEST(p * 0.15::DOUBLE, 100.0::DOUBLE), 0.0::DOUBLE) AS DECIMAL(18,2)) AS prediction_lower,
+         CAST(p + 1.96::DOUBLE * GREATEST(p * 0.15::DOUBLE, 100.0::DOUBLE) AS DECIMAL(18,2)) AS prediction_upper,
+         'gbt_forecaster' AS model_name, 'v1.0' AS model_version,
+         CAST(0.85::DOUBLE - 0.02::DOUBLE * (w - 1) AS DECIMAL(5,4)) AS confidence_score
+  FROM grid
+),
+hist AS (
+  SELECT feature_date, SUM(weekly_sales) AS weekly_sales,
+         MAX(CAST(is_holiday AS INTEGER)) AS is_holiday,
+         COUNT(DISTINCT store_id) AS store_count, COUNT(DISTINCT dept_id) AS dept_count
+  FROM eng GROUP BY feature_date
+)
+"""
+
+
+def fc_sql(body: str, extra: str = "") -> str:
+    return eng_sql(body, FC_CTES + ("," + extra if extra.strip() else ""))
+
+
+def forecasts(spark, d) -> DataFrame:
+    from weekcast.operators import forecast as fo
+
+    return fo.generate_forecasts(engineered(spark, d))
+
+
+# ================================================================= forecasts
+
+from weekcast.operators import anomaly as an  # noqa: E402
+from weekcast.operators import explore as ex  # noqa: E402
+from weekcast.operators import forecast as fo  # noqa: E402
+from weekcast.operators import inventory as inv  # noqa: E402
+from weekcast.operators import metrics as me  # noqa: E402
+from weekcast.operators import quality as qa  # noqa: E402
+from weekcast.operators import report as rp  # noqa: E402
+from weekcast.functions import text as tx  # noqa: E402
+
+
+@register("latest_per_key", eng_sql("""
+SELECT store_id, dept_id, feature_date, weekly_sales FROM eng e
+WHERE feature_date = (SELECT MAX(feature_date) FROM eng e2 WHERE e2.store_id = e.store_id AND e2.dept_id = e.dept_id)
+"""))
+def q_latest_per_key(spark, d):
+    return fo.latest_per_key(engineered(spark, d)).select("store_id", "dept_id", "feature_date", "weekly_sales")
+
+
+@register("forecast_calendar", fc_sql("""
+SELECT store_id, dept_id, forecast_date, w - 1 AS horizon,
+  CAST(weekofyear(forecast_date) AS INTEGER) AS week_of_year, CAST(month(forecast_date) AS INTEGER) AS month,
+  CAST(quarter(forecast_date) AS INTEGER) AS quarter, CAST(year(forecast_date) AS INTEGER) AS year,
+  CAST(isodow(forecast_date) - 1 AS INTEGER) AS day_of_week,
+  CAST(day(forecast_date) AS INTEGER) AS day_of_month, CAST(dayofyear(forecast_date) AS INTEGER) AS day_of_year,
+  CAST(day(forecast_date) <= 7 AS INTEGER) AS is_month_start, CAST(day(forecast_date) >= 24 AS INTEGER) AS is_month_end,
+  CAST(month(forecast_date) IN (1, 4, 7, 10) AS INTEGER) AS is_quarter_start,
+  CAST(month(forecast_date) IN (3, 6, 9, 12) AS INTEGER) AS is_quarter_end
+FROM grid
+"""))
+def q_forecast_calendar(spark, d):
+    latest = fo.latest_per_key(engineered(spark, d)).select("store_id", "dept_id", "feature_date")
+    g = fo.forecast_calendar(fo.forecast_grid(latest))
+    return g.drop("feature_date")
+
+
+@register("generate_forecasts", fc_sql("SELECT * FROM fc"))
+def q_generate_forecasts(spark, d):
+    return forecasts(spark, d)
+
+
+@register("forecast_by_week", fc_sql("""
+SELECT forecast_date, SUM(predicted_sales) AS predicted_sales, SUM(prediction_lower) AS lower_bound,
+       SUM(prediction_upper) AS upper_bound FROM fc GROUP BY forecast_date
+"""))
+def q_forecast_by_week(spark, d):
+    return ex.forecast_by_week(forecasts(spark, d))
+
+
+@register("forecast_summary", fc_sql("""
+SELECT SUM(wk) AS total_forecast, ROUND(AVG(CAST(wk AS DOUBLE)), 4) AS avg_weekly_forecast,
+       COUNT(*) AS forecast_weeks,
+       ROUND(CASE WHEN h.hist_avg > 0 THEN (AVG(CAST(wk AS DOUBLE)) / h.hist_avg - 1) * 100 ELSE 0 END, 6) AS growth_pct
+FROM (SELECT forecast_date, SUM(predicted_sales) AS wk FROM fc GROUP BY forecast_date) w
+CROSS JOIN (SELECT AVG(CAST(weekly_sales AS DOUBLE)) AS hist_avg FROM hist) h
+GROUP BY h.hist_avg
+"""))
+def q_forecast_summary(spark, d):
+    eng = engineered(spark, d)
+    out = ex.forecast_summary(forecasts(spark, d), ex.weekly_history(eng))
+    return out.withColumns({"avg_weekly_forecast": F.round("avg_weekly_forecast", 4),
+                            "growth_pct": F.round("growth_pct", 6)})
+
+
+@register("forecast_stats", fc_sql("""
+SELECT COUNT(*) AS n_forecasts, COUNT(DISTINCT store_id) AS n_stores, COUNT(DISTINCT dept_id) AS n_depts,
+       ROUND(AVG(CAST(predicted_sales AS DOUBLE)), 4) AS avg_predicted_sales,
+       MIN(forecast_date) AS first_date, MAX(forecast_date) AS last_date FROM fc
+"""))
+def q_forecast_stats(spark, d):
+    return fo.forecast_stats(forecasts(spark, d)).withColumn(
+        "avg_predicted_sales", F.round("avg_predicted_sales", 4))
+
+
+@register("interval_check", fc_sql("""
+SELECT COUNT(*) AS total_rows,
+  COUNT(*) FILTER (WHERE prediction_lower < predicted_sales AND predicted_sales < prediction_upper) AS inside_rows,
+  COUNT(*) FILTER (WHERE CAST(prediction_upper - prediction_lower AS DOUBLE) / NULLIF(CAST(predicted_sales AS DOUBLE), 0) < 0.5) AS narrow_rows,
+  COUNT(*) FILTER (WHERE prediction_lower < predicted_sales AND predicted_sales < prediction_upper) = COUNT(*) AS all_inside,
+  COUNT(*) FILTER (WHERE CAST(prediction_upper - prediction_lower AS DOUBLE) / NULLIF(CAST(predicted_sales AS DOUBLE), 0) < 0.5) = COUNT(*) AS all_narrow
+FROM fc
+"""))
+def q_interval_check(spark, d):
+    return qa.interval_check(forecasts(spark, d))
+
+
+# ================================================================= history / timeline
+
+@register("weekly_history", eng_sql("""
+SELECT feature_date, SUM(weekly_sales) AS weekly_sales, MAX(CAST(is_holiday AS INTEGER)) AS is_holiday,
+       COUNT(DISTINCT store_id) AS store_count, COUNT(DISTINCT dept_id) AS dept_count
+FROM eng GROUP BY feature_date
+"""))
+def q_weekly_history(spark, d):
+    return ex.weekly_history(engineered(spark, d))
+
+
+@register("weekly_history_store", eng_sql("""
+SELECT feature_date, SUM(weekly_sales) AS weekly_sales, MAX(CAST(is_holiday AS INTEGER)) AS is_holiday,
+       COUNT(DISTINCT store_id) AS store_count, COUNT(DISTINCT dept_id) AS dept_count
+FROM eng WHERE store_id = 1 GROUP BY feature_date
+"""))
+def q_weekly_history_store(spark, d):
+    return ex.weekly_history(ex.filter_scope(engineered(spark, d), store=1))
+
+
+@register("last_20_weeks", eng_sql("""
+SELECT feature_date, SUM(weekly_sales) AS weekly_sales, MAX(CAST(is_holiday AS INTEGER)) AS is_holiday,
+       COUNT(DISTINCT store_id) AS store_count, COUNT(DISTINCT dept_id) AS dept_count
+FROM eng GROUP BY feature_date ORDER BY feature_date DESC LIMIT 20
+"""))
+def q_last_20_weeks(spark, d):
+    return ex.last_n_weeks(ex.weekly_history(engineered(spark, d)), 20)
+
+
+@register("history_and_forecast", fc_sql("""
+SELECT feature_date AS date, 'history' AS series, CAST(weekly_sales AS DOUBLE) AS value,
+       CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper FROM hist
+UNION ALL
+SELECT forecast_date, 'forecast', CAST(SUM(predicted_sales) AS DOUBLE), CAST(SUM(prediction_lower) AS DOUBLE),
+       CAST(SUM(prediction_upper) AS DOUBLE) FROM fc GROUP BY forecast_date
+"""))
+def q_history_and_forecast(spark, d):
+    eng = engineered(spark, d)
+    return ex.history_and_forecast(ex.weekly_history(eng), ex.forecast_by_week(forecasts(spark, d)))
+
+
+# ================================================================= anomaly
+
+_Z_CTE = """
+zs AS (
+  SELECT CAST(SUM(weekly_sales) AS DOUBLE) / COUNT(weekly_sales) AS mu,
+         STDDEV_SAMP(CAST(weekly_sales AS DOUBLE)) AS sd FROM eng
+),
+scored AS (
+  SELECT e.feature_date, e.store_id, e.dept_id, e.weekly_sales,
+         ABS((CAST(e.weekly_sales AS DOUBLE) - zs.mu) / NULLIF(zs.sd, 0)) AS z_score, zs.sd
+  FROM eng e CROSS JOIN zs
+)
+"""
+
+
+@register("zscore_anomalies", eng_sql("""
+SELECT feature_date, store_id, dept_id, weekly_sales, ROUND(z_score, 6) AS z_score,
+       ROUND(z_score * sd, 4) AS deviation
+FROM scored WHERE z_score > 3.0
+""", _Z_CTE))
+def q_zscore_anomalies(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales")
+    a = an.zscore_anomalies(e)
+    return a.withColumns({"z_score": F.round("z_score", 6), "deviation": F.round("deviation", 4)})
+
+
+@register("anomaly_top20", eng_sql("""
+SELECT feature_date, store_id, dept_id, weekly_sales, ROUND(z_score, 6) AS z_score,
+       ROUND(z_score * sd, 4) AS deviation
+FROM scored WHERE z_score > 3.0 ORDER BY feature_date DESC, store_id, dept_id LIMIT 20
+""", _Z_CTE))
+def q_anomaly_top20(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales")
+    a = an.anomaly_top(an.zscore_anomalies(e))
+    return a.withColumns({"z_score": F.round("z_score", 6), "deviation": F.round("deviation", 4)})
+
+
+@register("anomaly_summary", eng_sql("""
+SELECT COUNT(*) AS total_records, MIN(feature_date) AS min_date, MAX(feature_date) AS max_date,
+       ROUND(CAST(SUM(weekly_sales) AS DOUBLE) / COUNT(weekly_sales), 6) AS avg_sales,
+       ROUND(STDDEV_SAMP(CAST(weekly_sales AS DOUBLE)), 6) AS sales_std,
+       COUNT(*) FILTER (WHERE z_score > 3.0) AS anomalies_found, 3.0::DOUBLE AS detection_threshold
+FROM scored
+""", _Z_CTE))
+def q_anomaly_summary(spark, d):
+    s = an.anomaly_summary(engineered(spark, d))
+    return s.withColumns({"avg_sales": F.round("avg_sales", 6), "sales_std": F.round("sales_std", 6)})
+
+
+# ================================================================= inventory
+
+@register("inventory_demand", fc_sql("""
+SELECT ROUND(AVG(m), 6) AS avg_weekly_demand, ROUND(AVG(s), 6) AS demand_variability_std,
+       ROUND(SUM(t), 4) AS total_forecasted_demand,
+       (SELECT COUNT(DISTINCT forecast_date) FROM fc) AS forecast_weeks,
+       (SELECT MIN(forecast_date) FROM fc) AS first_date, (SELECT MAX(forecast_date) FROM fc) AS last_date,
+       (SELECT COUNT(DISTINCT store_id) FROM fc) AS num_stores,
+       (SELECT COUNT(DISTINCT dept_id) FROM fc) AS num_departments,
+       0.95::DOUBLE AS service_level, 7 AS lead_time_days, 1.0::DOUBLE AS lead_time_weeks
+FROM (SELECT store_id, AVG(CAST(predicted_sales AS DOUBLE)) AS m, STDDEV_SAMP(CAST(predicted_sales AS DOUBLE)) AS s,
+             SUM(CAST(predicted_sales AS DOUBLE)) AS t FROM fc GROUP BY store_id) per_store
+"""))
+def q_inventory_demand(spark, d):
+    out = inv.inventory_demand(forecasts(spark, d))
+    return out.withColumns({"avg_weekly_demand": F.round("avg_weekly_demand", 6),
+                            "demand_variability_std": F.round("demand_variability_std", 6),
+                            "total_forecasted_demand": F.round("total_forecasted_demand", 4)})
+
+
+@register("safety_stock", fc_sql("""
+SELECT store_id, dept_id, ROUND(AVG(CAST(predicted_sales AS DOUBLE)), 6) AS avg_weekly_demand,
+       ROUND(STDDEV_SAMP(CAST(predicted_sales AS DOUBLE)), 6) AS demand_std, COUNT(predicted_sales) AS weeks,
+       ROUND(1.6448536269514722::DOUBLE * STDDEV_SAMP(CAST(predicted_sales AS DOUBLE)), 6) AS safety_stock,
+       ROUND(AVG(CAST(predicted_sales AS DOUBLE)) + 1.6448536269514722::DOUBLE * STDDEV_SAMP(CAST(predicted_sales AS DOUBLE)), 6) AS reorder_point
+FROM fc GROUP BY store_id, dept_id
+"""))
+def q_safety_stock(spark, d):
+    out = inv.safety_stock(forecasts(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in
+                            ("avg_weekly_demand", "demand_std", "safety_stock", "reorder_point")})
+
+
+# ================================================================= report
+
+@register("demand_summary", fc_sql("""
+SELECT SUM(predicted_sales) AS total_predicted, ROUND(AVG(CAST(predicted_sales AS DOUBLE)), 6) AS avg_predicted,
+       MIN(predicted_sales) AS min_predicted, MAX(predicted_sales) AS max_predicted,
+       MIN(forecast_date) AS first_date, MAX(forecast_date) AS last_date,
+       COUNT(DISTINCT forecast_date) AS num_weeks, COUNT(DISTINCT (store_id, dept_id)) AS num_series
+FROM fc
+"""))
+def q_demand_summary(spark, d):
+    return rp.demand_summary(forecasts(spark, d)).withColumn("avg_predicted", F.round("avg_predicted", 6))
+
+
+@register("demand_by_store", fc_sql("""
+SELECT store_id,
+       CAST(CAST((2 * CAST(SUM(predicted_sales) * 100 AS HUGEINT) + COUNT(*)) // (2 * COUNT(*)) AS DECIMAL(20,0)) * 0.01 AS DECIMAL(18,2)) AS mean,
+       CAST(SUM(predicted_sales) AS DECIMAL(38,2)) AS sum
+FROM fc WHERE store_id IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) GROUP BY store_id
+HAVING (SELECT COUNT(DISTINCT store_id) FROM fc WHERE store_id <= 10) <= 10
+"""))
+def q_demand_by_store(spark, d):
+    # scope: stores 1-10 (the breakdown is only produced for scopes of at most 10 stores)
+    f = forecasts(spark, d).where(F.col("store_id") <= 10)
+    return rp.demand_by_store(f)
+
+
+@register("history_summary", eng_sql("""
+SELECT ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_weekly_sales,
+       ROUND(STDDEV_SAMP(CAST(weekly_sales AS DOUBLE)), 6) AS std_weekly_sales,
+       SUM(weekly_sales) AS total_sales, MIN(feature_date) AS first_date, MAX(feature_date) AS last_date,
+       COUNT(DISTINCT feature_date) AS num_weeks,
+       ROUND(quantile_cont(CAST(weekly_sales AS DOUBLE), 0.5), 6) AS median_weekly_sales
+FROM eng
+"""))
+def q_history_summary(spark, d):
+    h = rp.history_summary(engineered(spark, d))
+    return h.withColumns({c: F.round(c, 6) for c in ("avg_weekly_sales", "std_weekly_sales", "median_weekly_sales")})
+
+
+@register("recent_trend", eng_sql("""
+SELECT ROUND(AVG(CASE WHEN rk <= 8 THEN CAST(weekly_sales AS DOUBLE) END), 6) AS recent_avg,
+       ROUND(AVG(CASE WHEN rk > 8 THEN CAST(weekly_sales AS DOUBLE) END), 6) AS prior_avg,
+       ROUND((AVG(CASE WHEN rk <= 8 THEN CAST(weekly_sales AS DOUBLE) END)
+              - AVG(CASE WHEN rk > 8 THEN CAST(weekly_sales AS DOUBLE) END))
+             / AVG(CASE WHEN rk > 8 THEN CAST(weekly_sales AS DOUBLE) END) * 100, 6) AS trend_pct
+FROM eng JOIN (SELECT feature_date, ROW_NUMBER() OVER (ORDER BY feature_date DESC) AS rk
+               FROM (SELECT DISTINCT feature_date FROM eng)) r USING (feature_date)
+WHERE rk <= 16
+HAVING (SELECT COUNT(DISTINCT feature_date) FROM eng) >= 16
+"""))
+def q_recent_trend(spark, d):
+    t = rp.recent_trend(engineered(spark, d))
+    return t.withColumns({c: F.round(c, 6) for c in ("recent_avg", "prior_avg", "trend_pct")})

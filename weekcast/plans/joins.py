@@ -3,8 +3,9 @@
 ``join_bounded`` broadcasts the small side only after counting it against a
 row bound; beyond the bound it falls back to a shuffle join, where AQE's
 skew-join handling splits hot partitions of the large side. The small side is
-checkpointed into the shared checkpoint folder first, so the count does not
-recompute it and a lost executor does not recompute its lineage.
+first written as Parquet into the shared checkpoint folder (one job; the
+count then comes from file footers), so neither the count nor a lost executor
+recomputes its lineage. ``DataFrame.checkpoint`` would run its input twice.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.session import checkpoint_dir
+import uuid
+
+from weekcast.session import scratch_path
 
 # About 20 columns x 500k rows stays in the tens of MB per executor.
 DEFAULT_BROADCAST_ROWS = 500_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and continue from the copy."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def join_bounded(
@@ -34,8 +38,8 @@ def join_bounded(
 ) -> DataFrame:
     """``big.join(small, on, how)``, broadcasting ``small`` only when it has at most ``max_rows``."""
     if checkpoint:
-        small = materialize(small)
-    n = small.limit(max_rows + 1).count()
+        small = materialize(small, "join-side")
+    n = small.count()
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -26,12 +26,14 @@ that reads sales and features scans the line items once (the exchange is reused)
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.schema import MONEY
+from weekcast.session import scratch_path
 
 # Fixed values of the mapping.
 DEPT_PREFIXES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]  # dept 1..5, anything else 6
@@ -105,8 +107,7 @@ def _cells(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
     )
 
 
-def raw_sales(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
-    c = _cells(spark, sf_dir, grain)
+def _raw_sales_from(c: DataFrame) -> DataFrame:
     return c.select(
         "store_id",
         "dept_id",
@@ -116,6 +117,10 @@ def raw_sales(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFr
     )
 
 
+def raw_sales(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
+    return _raw_sales_from(_cells(spark, sf_dir, grain))
+
+
 def _fix(x: Column, scale: int, dtype: str) -> Column:
     """Truncate a double to ``scale`` digits, then store it as ``dtype``."""
     p = 10.0 ** scale
@@ -123,7 +128,10 @@ def _fix(x: Column, scale: int, dtype: str) -> Column:
 
 
 def features(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
-    c = _cells(spark, sf_dir, grain)
+    return _features_from(_cells(spark, sf_dir, grain))
+
+
+def _features_from(c: DataFrame) -> DataFrame:
     g = c.groupBy("store_id", "date").agg(
         F.sum("qty4").alias("qty4"),
         F.sum("tax4").alias("tax4"),
@@ -168,12 +176,35 @@ def stores(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame
     return s.select(k.cast("int").alias("store_id"), *_store_rows(k))
 
 
-def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation") -> dict[str, DataFrame]:
-    return {
-        "raw_sales": raw_sales(spark, sf_dir, grain),
-        "features": features(spark, sf_dir, grain),
-        "stores": stores(spark, sf_dir, grain),
-    }
+_WRITTEN: dict[tuple, str] = {}
+
+
+def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
+                  written: bool = True) -> dict[str, DataFrame]:
+    """The three retail tables for ``sf_dir``.
+
+    With ``written=True`` (default) they are derived once per application and
+    written as Parquet under the shared checkpoint folder (the role the
+    database tables play in the original), and every later query scans those
+    files, so filters and column pruning reach a real Parquet scan.
+    """
+    if not written:
+        c = _cells(spark, sf_dir, grain)
+        return {"raw_sales": _raw_sales_from(c), "features": _features_from(c),
+                "stores": stores(spark, sf_dir, grain)}
+    app = spark.sparkContext.applicationId
+    key = (app, os.path.abspath(sf_dir), grain)
+    base = _WRITTEN.get(key)
+    if base is None:
+        tag = os.path.abspath(sf_dir).strip("/").replace("/", "_")
+        base = scratch_path(spark, f"retail-{app}-{tag}-{grain}")
+        _cells(spark, sf_dir, grain).write.mode("overwrite").parquet(f"{base}/cells")
+        c = spark.read.parquet(f"{base}/cells")
+        _raw_sales_from(c).write.mode("overwrite").parquet(f"{base}/raw_sales")
+        _features_from(c).write.mode("overwrite").parquet(f"{base}/features")
+        stores(spark, sf_dir, grain).write.mode("overwrite").parquet(f"{base}/stores")
+        _WRITTEN[key] = base
+    return {n: spark.read.parquet(f"{base}/{n}") for n in ("raw_sales", "features", "stores")}
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
