@@ -503,3 +503,443 @@ HAVING (SELECT COUNT(DISTINCT feature_date) FROM eng) >= 16
 def q_recent_trend(spark, d):
     t = rp.recent_trend(engineered(spark, d))
     return t.withColumns({c: F.round(c, 6) for c in ("recent_avg", "prior_avg", "trend_pct")})
+
+
+# ================================================================= metrics (A8-A10, A28, A34; J3)
+
+def _naive(spark, d) -> DataFrame:
+    """Rows with a last-week value; the naive forecast ``predicted_sales = sales_lag_1``."""
+    e = engineered(spark, d).where(F.col("sales_lag_1").isNotNull())
+    return e.select("store_id", "dept_id", "feature_date", "weekly_sales", "is_holiday",
+                    F.col("sales_lag_1").alias("predicted_sales"))
+
+
+_NAIVE_CTE = """
+naive AS (
+  SELECT store_id, dept_id, feature_date, is_holiday, CAST(weekly_sales AS DOUBLE) AS y,
+         CAST(sales_lag_1 AS DOUBLE) - CAST(weekly_sales AS DOUBLE) AS e,
+         CASE WHEN is_holiday THEN 5 ELSE 1 END AS w
+  FROM eng WHERE sales_lag_1 IS NOT NULL
+)
+"""
+_METRIC_SQL = """ROUND(SUM(w * ABS(e)) / SUM(w), 6) AS wmae, ROUND(AVG(ABS(e)), 6) AS mae,
+  ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(CASE WHEN y <> 0 THEN ABS(e / y) END) * 100, 6) AS mape,
+  COUNT(*) AS n"""
+_METRIC_COLS = ("wmae", "mae", "rmse", "mape")
+
+
+@register("evaluate_model", eng_sql(f"SELECT {_METRIC_SQL} FROM naive", _NAIVE_CTE))
+def q_evaluate_model(spark, d):
+    m = me.evaluate_model(_naive(spark, d))
+    return m.withColumns({c: F.round(c, 6) for c in _METRIC_COLS})
+
+
+@register("evaluate_model_by_store", eng_sql(f"SELECT store_id, {_METRIC_SQL} FROM naive GROUP BY store_id",
+                                             _NAIVE_CTE))
+def q_evaluate_model_by_store(spark, d):
+    m = me.evaluate_model(_naive(spark, d), by=["store_id"])
+    return m.withColumns({c: F.round(c, 6) for c in _METRIC_COLS})
+
+
+@register("wmae", eng_sql("""
+SELECT ROUND(SUM(w * ABS(e)) / SUM(w), 6) AS wmae,
+       ROUND((821.0::DOUBLE - SUM(w * ABS(e)) / SUM(w)) / 821.0::DOUBLE * 100, 6) AS improvement_pct
+FROM naive""", _NAIVE_CTE))
+def q_wmae(spark, d):
+    w = me.wmae(_naive(spark, d))
+    w = w.withColumn("improvement_pct", me.improvement_vs_baseline(F.col("wmae")))
+    return w.withColumns({c: F.round(c, 6) for c in ("wmae", "improvement_pct")})
+
+
+@register("forecast_accuracy", eng_sql("""
+SELECT ROUND(AVG(ABS(CAST(a.weekly_sales AS DOUBLE) - CAST(p.sales_lag_1 AS DOUBLE))), 6) AS mae,
+       ROUND(AVG(ABS(CAST(a.weekly_sales AS DOUBLE) - CAST(p.sales_lag_1 AS DOUBLE))
+                 / NULLIF(CAST(a.weekly_sales AS DOUBLE), 0)) * 100, 6) AS mape,
+       COUNT(*) AS num_comparisons
+FROM eng a JOIN (SELECT * FROM eng WHERE sales_lag_1 IS NOT NULL) p
+  ON a.store_id = p.store_id AND a.dept_id = p.dept_id AND a.feature_date = p.feature_date
+"""))
+def q_forecast_accuracy(spark, d):
+    e = engineered(spark, d)
+    actual = e.select("store_id", "dept_id", "feature_date", "weekly_sales")
+    pred = _naive(spark, d).select("store_id", "dept_id", "feature_date", "predicted_sales")
+    m = me.forecast_accuracy(actual, pred)
+    return m.withColumns({c: F.round(c, 6) for c in ("mae", "mape")})
+
+
+@register("forecast_bias", eng_sql("""
+SELECT ROUND(AVG(e), 6) AS mean_error, ROUND(AVG(y), 6) AS mean_actual,
+       ROUND(ABS(AVG(e)) * 100 / AVG(y), 6) AS bias_pct FROM naive""", _NAIVE_CTE))
+def q_forecast_bias(spark, d):
+    b = me.forecast_bias(_naive(spark, d))
+    return b.withColumns({c: F.round(c, 6) for c in ("mean_error", "mean_actual", "bias_pct")})
+
+
+# ================================================================= quality
+
+@register("duplicate_keys", """
+SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
+""")
+def q_duplicate_keys(spark, d):
+    return qa.duplicate_keys(adapter.read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("duplicate_keys_sales", with_tables("""
+SELECT store_id, dept_id, date, COUNT(*) AS n_rows FROM raw_sales
+GROUP BY store_id, dept_id, date HAVING COUNT(*) > 1
+"""))
+def q_duplicate_keys_sales(spark, d):
+    return qa.duplicate_keys(tables(spark, d)[0], ["store_id", "dept_id", "date"])
+
+
+@register("missing_children", """
+SELECT o.* FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL
+""")
+def q_missing_children(spark, d):
+    return qa.missing_children(adapter.read_table(spark, d, "orders"), adapter.read_table(spark, d, "lineitem"),
+                               "o_orderkey", "l_orderkey")
+
+
+@register("fk_violations", """
+SELECT o.* FROM orders o WHERE o.o_custkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+""")
+def q_fk_violations(spark, d):
+    return qa.fk_violations(adapter.read_table(spark, d, "orders"), adapter.read_table(spark, d, "customer"),
+                            "o_custkey", "c_custkey")
+
+
+@register("fk_violations_sales", with_tables("""
+SELECT s.* FROM raw_sales s WHERE NOT EXISTS (SELECT 1 FROM stores t WHERE t.store_id = s.store_id)
+"""))
+def q_fk_violations_sales(spark, d):
+    s, _, st = tables(spark, d)
+    return qa.fk_violations(s, st, "store_id")
+
+
+@register("domain_violations", with_tables("SELECT * FROM stores WHERE store_type NOT IN ('A', 'B', 'C')"))
+def q_domain_violations(spark, d):
+    return qa.domain_violations(tables(spark, d)[2], "store_type", ["A", "B", "C"])
+
+
+_NULL_COLS = ["sales_lag_1", "sales_lag_52", "rolling_std_4", "temperature", "fuel_price_change", "cpi"]
+
+
+@register("null_counts", eng_sql(
+    "SELECT COUNT(*) AS total_rows, " + ", ".join(
+        f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}_nulls" for c in _NULL_COLS) + " FROM eng"))
+def q_null_counts(spark, d):
+    return qa.null_counts(engineered(spark, d), _NULL_COLS)
+
+
+@register("not_null_violations", eng_sql("""
+SELECT store_id, dept_id, feature_date FROM eng WHERE temperature IS NULL OR cpi IS NULL
+"""))
+def q_not_null_violations(spark, d):
+    e = engineered(spark, d)
+    return qa.not_null_violations(e, ["temperature", "cpi"]).select("store_id", "dept_id", "feature_date")
+
+
+@register("date_range_check", with_tables("""
+SELECT CAST(MIN(year(date)) AS INTEGER) AS min_year, CAST(MAX(year(date)) AS INTEGER) AS max_year,
+       MIN(year(date)) >= 1995 AND MAX(year(date)) <= 2001 AS in_range FROM raw_sales
+"""))
+def q_date_range_check(spark, d):
+    return qa.date_range_check(tables(spark, d)[0], "date", 1995, 2001)
+
+
+@register("future_dates", with_tables("""
+SELECT COUNT(*) FILTER (WHERE date > DATE '2001-06-30') AS future_rows FROM raw_sales
+"""))
+def q_future_dates(spark, d):
+    return qa.future_dates(tables(spark, d)[0], "date", F.lit("2001-06-30").cast("date"))
+
+
+@register("recent_count", with_tables("""
+SELECT COUNT(*) FILTER (WHERE date >= DATE '2001-06-30' - INTERVAL 30 DAY) AS recent_rows FROM raw_sales
+"""))
+def q_recent_count(spark, d):
+    return qa.recent_count(tables(spark, d)[0], "date", F.lit("2001-06-30").cast("date"), 30)
+
+
+@register("negative_share", eng_sql("""
+SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE fuel_price_change < 0) AS negative_rows,
+       COUNT(*) FILTER (WHERE fuel_price_change < 0) * 100.0::DOUBLE / COUNT(*) AS negative_pct FROM eng
+"""))
+def q_negative_share(spark, d):
+    return qa.negative_share(engineered(spark, d), "fuel_price_change")
+
+
+_INF_COLS = ["rolling_mean_4", "rolling_std_4", "temperature_deviation", "size_normalized"]
+
+
+@register("infinite_values", eng_sql(
+    "SELECT COUNT(*) AS total_rows, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE ABS({c}) = 'Infinity'::DOUBLE) AS {c}_inf, COUNT(*) FILTER (WHERE isnan({c})) AS {c}_nan"
+        for c in _INF_COLS) + " FROM eng"))
+def q_infinite_values(spark, d):
+    return qa.infinite_values(engineered(spark, d), _INF_COLS)
+
+
+# ================================================================= exploration
+
+@register("table_profile", with_tables("""
+SELECT (SELECT COUNT(*) FROM stores) AS stores, COUNT(*) AS sales_rows, (SELECT COUNT(*) FROM features) AS feature_rows,
+       MIN(date) AS min_date, MAX(date) AS max_date, COUNT(DISTINCT dept_id) AS departments FROM raw_sales
+"""))
+def q_table_profile(spark, d):
+    s, f, st = tables(spark, d)
+    return ex.table_profile(s, st, f)
+
+
+@register("quick_stats", eng_sql("""
+SELECT (SELECT COUNT(DISTINCT store_id) FROM stores) AS total_stores,
+       (SELECT COUNT(DISTINCT dept_id) FROM raw_sales) AS departments,
+       (SELECT MAX(feature_date) FROM eng) AS latest_date
+"""))
+def q_quick_stats(spark, d):
+    s, _, st = tables(spark, d)
+    return ex.quick_stats(st, s, engineered(spark, d))
+
+
+@register("filter_options", eng_sql("SELECT DISTINCT store_id FROM eng ORDER BY store_id"))
+def q_filter_options(spark, d):
+    return ex.filter_options(engineered(spark, d), "store_id")
+
+
+@register("filter_options_dept", eng_sql("SELECT DISTINCT dept_id FROM eng ORDER BY dept_id LIMIT 50"))
+def q_filter_options_dept(spark, d):
+    return ex.filter_options(engineered(spark, d), "dept_id", limit=50)
+
+
+_EXPLORE_COLS = ["feature_date", "store_id", "dept_id", "weekly_sales", "is_holiday",
+                 "temperature", "fuel_price", "cpi", "unemployment"]
+
+
+@register("explore_filter", eng_sql("""
+SELECT feature_date, store_id, dept_id, weekly_sales, is_holiday, temperature, fuel_price, cpi, unemployment
+FROM eng WHERE feature_date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'
+  AND store_id IN (1, 2, 3, 4, 5, 6, 7, 8) AND dept_id IN (1, 2, 3, 4)
+ORDER BY feature_date DESC, store_id, dept_id LIMIT 10000
+"""))
+def q_explore_filter(spark, d):
+    e = engineered(spark, d).select(*_EXPLORE_COLS)
+    return ex.explore_filter(e, "1997-01-01", "2000-12-31", [1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4])
+
+
+@register("filter_scope", eng_sql("SELECT feature_date, store_id, dept_id, weekly_sales FROM eng "
+                                  "WHERE store_id = 3 AND dept_id = 2"))
+def q_filter_scope(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales")
+    return ex.filter_scope(e, store=3, dept=2)
+
+
+@register("since_date", eng_sql("SELECT feature_date, store_id, dept_id, weekly_sales FROM eng "
+                                "WHERE feature_date >= DATE '2001-09-01'"))
+def q_since_date(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales")
+    return ex.since(e, "feature_date", "2001-09-01")
+
+
+@register("holiday_rows", eng_sql("SELECT feature_date, store_id, dept_id, weekly_sales FROM eng WHERE is_holiday"))
+def q_holiday_rows(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales", "is_holiday")
+    return ex.holiday_rows(e).drop("is_holiday")
+
+
+@register("text_search", """
+SELECT * FROM documents
+WHERE regexp_matches(CAST(doc_id AS VARCHAR), 'licen[cs]e', 'i') OR regexp_matches(text, 'licen[cs]e', 'i')
+   OR regexp_matches(lang, 'licen[cs]e', 'i') OR regexp_matches(source, 'licen[cs]e', 'i')
+   OR regexp_matches(CAST(n_chars AS VARCHAR), 'licen[cs]e', 'i')
+""")
+def q_text_search(spark, d):
+    return ex.text_search(adapter.read_table(spark, d, "documents"), "licen[cs]e")
+
+
+@register("explorer_summary", eng_sql("""
+SELECT COUNT(*) AS total_records, SUM(weekly_sales) AS total_sales,
+       ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_weekly_sales, COUNT(DISTINCT feature_date) AS weeks
+FROM eng WHERE feature_date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'
+"""))
+def q_explorer_summary(spark, d):
+    e = ex.explore_filter(engineered(spark, d), "1997-01-01", "2000-12-31", limit=None)
+    return ex.explorer_summary(e).withColumn("avg_weekly_sales", F.round("avg_weekly_sales", 6))
+
+
+@register("sales_over_time", eng_sql("""
+SELECT feature_date, SUM(weekly_sales) AS total_sales,
+       SUM(CASE WHEN is_holiday THEN weekly_sales END) AS holiday_sales FROM eng GROUP BY feature_date
+"""))
+def q_sales_over_time(spark, d):
+    return ex.sales_over_time(engineered(spark, d))
+
+
+@register("sales_by_store_week", eng_sql("""
+SELECT feature_date, store_id, SUM(weekly_sales) AS weekly_sales FROM eng GROUP BY feature_date, store_id
+"""))
+def q_sales_by_store_week(spark, d):
+    return ex.sales_by_store_week(engineered(spark, d))
+
+
+@register("sales_histogram", eng_sql("""
+SELECT bin, ROUND(lo + (bin - 1) * (hi - lo) / 50, 6) AS bin_start, ROUND(lo + bin * (hi - lo) / 50, 6) AS bin_end,
+       COUNT(*) AS count
+FROM (SELECT CAST(LEAST(FLOOR((CAST(weekly_sales AS DOUBLE) - lo) / (hi - lo) * 50) + 1, 50) AS INTEGER) AS bin, lo, hi
+      FROM eng CROSS JOIN (SELECT MIN(CAST(weekly_sales AS DOUBLE)) AS lo, MAX(CAST(weekly_sales AS DOUBLE)) AS hi FROM eng) r)
+GROUP BY bin, lo, hi
+"""))
+def q_sales_histogram(spark, d):
+    h = ex.sales_histogram(engineered(spark, d))
+    return h.withColumns({c: F.round(c, 6) for c in ("bin_start", "bin_end")})
+
+
+def _box_sql(key: str) -> str:
+    x = "CAST(weekly_sales AS DOUBLE)"
+    return eng_sql(f"""
+SELECT {key}, MIN({x}) AS min, ROUND(quantile_cont({x}, 0.25), 6) AS q1, ROUND(quantile_cont({x}, 0.5), 6) AS median,
+       ROUND(quantile_cont({x}, 0.75), 6) AS q3, MAX({x}) AS max, COUNT(weekly_sales) AS n
+FROM eng GROUP BY {key}
+""")
+
+
+def _box_query(key: str) -> Query:
+    def q(spark, d):
+        b = ex.box_summary(engineered(spark, d), [key])
+        return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+    return q
+
+
+register("sales_box_by_holiday", _box_sql("is_holiday"))(_box_query("is_holiday"))
+register("sales_box_by_store", _box_sql("store_id"))(_box_query("store_id"))
+
+_STORE_IDS = list(range(1, 26))  # stores of the nation-grain adapter: one per nation key
+
+
+@register("store_dept_heatmap", eng_sql(
+    "SELECT dept_id, " + ", ".join(
+        f"ROUND(AVG(CASE WHEN store_id = {i} THEN CAST(weekly_sales AS DOUBLE) END), 6) AS store_{i}"
+        for i in _STORE_IDS) + " FROM eng GROUP BY dept_id"))
+def q_store_dept_heatmap(spark, d):
+    stores = tables(spark, d)[2]
+    h = ex.store_dept_heatmap(engineered(spark, d), stores)
+    return h.withColumns({c: F.round(c, 6) for c in h.columns if c.startswith("store_")})
+
+
+_CORR_COLS = ["weekly_sales", "temperature", "fuel_price", "cpi", "unemployment"]
+
+
+def _corr_sql() -> str:
+    parts = []
+    for a in _CORR_COLS:
+        for b in _CORR_COLS:
+            if a == b:
+                v = f"CASE WHEN STDDEV_SAMP(CAST({a} AS DOUBLE)) > 0 THEN 1.0::DOUBLE END"
+            else:
+                v = f"ROUND(CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {v} AS corr FROM eng")
+    return eng_sql("\nUNION ALL\n".join(parts))
+
+
+@register("correlation_matrix", _corr_sql())
+def q_correlation_matrix(spark, d):
+    c = ex.correlation_matrix(engineered(spark, d), _CORR_COLS)
+    return c.withColumn("corr", F.round("corr", 6))
+
+
+@register("avg_by_store_dept", eng_sql("""
+SELECT store_id, dept_id, ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_sales FROM eng
+GROUP BY store_id, dept_id ORDER BY store_id, dept_id LIMIT 100
+"""))
+def q_avg_by_store_dept(spark, d):
+    return ex.avg_by_store_dept(engineered(spark, d)).withColumn("avg_sales", F.round("avg_sales", 6))
+
+
+@register("store_coverage", with_tables("""
+SELECT COUNT(DISTINCT store_id) AS stores_with_sales, (SELECT COUNT(*) FROM stores) AS total_stores,
+       COUNT(DISTINCT store_id) = (SELECT COUNT(*) FROM stores) AS all_covered FROM raw_sales
+"""))
+def q_store_coverage(spark, d):
+    s, _, st = tables(spark, d)
+    return ex.store_coverage(s, st)
+
+
+@register("newest_rows", eng_sql("""
+SELECT feature_date, store_id, dept_id, weekly_sales FROM eng ORDER BY feature_date DESC, store_id, dept_id LIMIT 1000
+"""))
+def q_newest_rows(spark, d):
+    e = engineered(spark, d).select("feature_date", "store_id", "dept_id", "weekly_sales")
+    return ex.newest_rows(e, 1000)
+
+
+@register("replicate_rows", with_tables("SELECT s.* FROM raw_sales s CROSS JOIN range(10) r"))
+def q_replicate_rows(spark, d):
+    return ex.replicate_rows(tables(spark, d)[0], 10)
+
+
+@register("distinct_values", with_tables("SELECT DISTINCT store_type FROM stores"))
+def q_distinct_values(spark, d):
+    return ex.distinct_values(tables(spark, d)[2], "store_type")
+
+
+# ================================================================= text / JSON
+
+@register("format_currency", eng_sql("""
+SELECT feature_date, '$' || format('{:,.2f}', SUM(weekly_sales)) AS total_sales FROM eng GROUP BY feature_date
+"""))
+def q_format_currency(spark, d):
+    h = ex.weekly_history(engineered(spark, d))
+    return h.select("feature_date", tx.format_currency(F.col("weekly_sales")).alias("total_sales"))
+
+
+@register("sanitize_markdown", r"""
+SELECT conv_id, turn,
+  regexp_replace(regexp_replace(replace(text, '$', '\$'), '(?m)^# ', '### ', 'g'), '(?m)^## ', '#### ', 'g') AS text
+FROM conversations WHERE role = 'assistant'
+""")
+def q_sanitize_markdown(spark, d):
+    c = adapter.read_table(spark, d, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", tx.sanitize_markdown(F.col("text")).alias("text"))
+
+
+@register("json_extract", """
+SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+""")
+def q_json_extract(spark, d):
+    ev = adapter.read_table(spark, d, "events")
+    return ev.select("event_id", "event_type", tx.parse_params(F.col("props"))["k"].cast("int").alias("k"))
+
+
+@register("json_build", """
+SELECT to_json(list({'feature': event_type, 'importance': n} ORDER BY n DESC, event_type DESC)) AS feature_importance
+FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type)
+""")
+def q_json_build(spark, d):
+    ev = adapter.read_table(spark, d, "events")
+    counts = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return tx.importance_json(counts, "event_type", "n")
+
+
+@register("format_context", """
+SELECT event_type, 'CONTEXT:' || chr(10) || '- events: ' || CAST(COUNT(*) AS VARCHAR) || chr(10)
+       || '- users: ' || CAST(COUNT(DISTINCT user_id) AS VARCHAR) AS context
+FROM events GROUP BY event_type
+""")
+def q_format_context(spark, d):
+    ev = adapter.read_table(spark, d, "events")
+    g = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("u"))
+    kv = F.create_map(F.lit("events"), F.col("n").cast("string"), F.lit("users"), F.col("u").cast("string"))
+    return g.select("event_type", tx.format_context(kv).alias("context"))
+
+
+@register("scope_label", fc_sql("""
+SELECT DISTINCT store_id, dept_id,
+  'Store ' || CAST(store_id AS VARCHAR) || ', Department ' || CAST(dept_id AS VARCHAR) || ', Service Level: 95%' AS label
+FROM fc
+"""))
+def q_scope_label(spark, d):
+    f = forecasts(spark, d).select("store_id", "dept_id").distinct()
+    return f.select("store_id", "dept_id",
+                    tx.scope_label(F.col("store_id"), F.col("dept_id"), F.lit(0.95)).alias("label"))
