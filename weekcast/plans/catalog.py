@@ -943,3 +943,104 @@ def q_scope_label(spark, d):
     f = forecasts(spark, d).select("store_id", "dept_id").distinct()
     return f.select("store_id", "dept_id",
                     tx.scope_label(F.col("store_id"), F.col("dept_id"), F.lit(0.95)).alias("label"))
+
+
+# ================================================================= model
+
+from weekcast.operators import model as mo  # noqa: E402
+from weekcast.session import scratch_path  # noqa: E402
+
+_MODELS: dict[tuple, tuple] = {}
+
+
+def trained(spark, d):
+    """Fit once per application and data folder; the pipeline is saved to and
+    reloaded from the shared checkpoint folder (save/load round trip, K6)."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        model, feats, metrics = mo.train_forecaster(engineered(spark, d))
+        path = mo.save_model(model, scratch_path(spark, f"models/gbt-{abs(hash(key))}"))
+        _MODELS[key] = (mo.load_model(path), feats, mo.model_metadata(
+            spark, metrics, mo.feature_importance(spark, model, feats),
+            run_id=f"run-{abs(hash(key))}"))
+    return _MODELS[key]
+
+
+@register("clean_training", eng_sql("""
+SELECT store_id, dept_id, feature_date, COALESCE(sales_lag_1, 0) AS sales_lag_1,
+       COALESCE(sales_lag_52, 0) AS sales_lag_52, COALESCE(ROUND(rolling_std_4, 6), 0) AS rolling_std_4,
+       COALESCE(temperature, 0) AS temperature, CAST(is_holiday AS INTEGER) AS is_holiday
+FROM eng WHERE weekly_sales IS NOT NULL
+  AND NOT (sales_lag_1 IS NULL AND sales_lag_52 IS NULL AND rolling_std_4 IS NULL)
+"""))
+def q_clean_training(spark, d):
+    e = engineered(spark, d).select("store_id", "dept_id", "feature_date", "weekly_sales", "sales_lag_1",
+                                    "sales_lag_52", F.round("rolling_std_4", 6).alias("rolling_std_4"),
+                                    "temperature", "is_holiday")
+    return mo.clean_training(e).drop("weekly_sales")
+
+
+@register("time_split", eng_sql("""
+SELECT feature_date >= (SELECT MAX(feature_date) FROM eng) - INTERVAL 56 DAY AS is_validation,
+       COUNT(*) AS n_rows, MIN(feature_date) AS first_date, MAX(feature_date) AS last_date
+FROM eng GROUP BY 1
+"""))
+def q_time_split(spark, d):
+    s = mo.time_split(engineered(spark, d))
+    return s.groupBy("is_validation").agg(F.count(F.lit(1)).alias("n_rows"), F.min("feature_date").alias("first_date"),
+                                          F.max("feature_date").alias("last_date"))
+
+
+@register("random_split")
+def q_random_split(spark, d):
+    """Rows-only: the 80/20 hash split (train rows tagged ``split``)."""
+    tr, te = mo.random_split(engineered(spark, d), ["store_id", "dept_id", "feature_date"])
+    return tr.select("store_id", "dept_id", "feature_date", F.lit("train").alias("split")).unionByName(
+        te.select("store_id", "dept_id", "feature_date", F.lit("test").alias("split")))
+
+
+@register("train_forecaster")
+def q_train_forecaster(spark, d):
+    """Rows-only: validation metrics of the boosted-tree model (one row)."""
+    _, _, meta = trained(spark, d)
+    return meta.select("wmae", "mae", "rmse")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    """Rows-only: per-feature importance from the fitted model, descending."""
+    _, _, meta = trained(spark, d)
+    return mo.importance_rows(meta)
+
+
+@register("model_metadata")
+def q_model_metadata(spark, d):
+    """Rows-only: the model_metadata row (JSON parameters and importances)."""
+    _, _, meta = trained(spark, d)
+    return mo.latest_model(meta)
+
+
+@register("importance_share")
+def q_importance_share(spark, d):
+    _, _, meta = trained(spark, d)
+    return mo.importance_share(meta)
+
+
+@register("importance_by_category")
+def q_importance_by_category(spark, d):
+    _, _, meta = trained(spark, d)
+    return mo.importance_by_category(meta)
+
+
+@register("score_model")
+def q_score_model(spark, d):
+    """Rows-only: batch scoring of every engineered row with the fitted pipeline."""
+    model, feats, _ = trained(spark, d)
+    return mo.score(model, engineered(spark, d), feats).select("store_id", "dept_id", "feature_date", "prediction")
+
+
+@register("generate_forecasts_model")
+def q_generate_forecasts_model(spark, d):
+    """Rows-only: the 8-week forecast table scored by the fitted model."""
+    model, feats, _ = trained(spark, d)
+    return fo.generate_forecasts(engineered(spark, d), mo.model_predictor(model, feats))
