@@ -1044,3 +1044,173 @@ def q_generate_forecasts_model(spark, d):
     """Rows-only: the 8-week forecast table scored by the fitted model."""
     model, feats, _ = trained(spark, d)
     return fo.generate_forecasts(engineered(spark, d), mo.model_predictor(model, feats))
+
+
+# ================================================================= sources / sinks / streaming
+
+import uuid as _uuid  # noqa: E402
+
+from weekcast import schema as sc  # noqa: E402
+from weekcast.sources import files as fs  # noqa: E402
+from weekcast.sources import sinks as sk  # noqa: E402
+
+
+def _fresh(spark, name: str) -> str:
+    return scratch_path(spark, f"io/{name}-{_uuid.uuid4().hex}")
+
+
+@register("csv_stores_roundtrip", with_tables("SELECT * FROM stores"))
+def q_csv_stores_roundtrip(spark, d):
+    """Stores written as CSV (header Store,Type,Size; CR line ends), scanned back by position."""
+    path = _fresh(spark, "stores-csv")
+    st = tables(spark, d)[2].toDF("Store", "Type", "Size")
+    sk.export_csv(st.coalesce(1), path, line_sep="\r")
+    return fs.scan_stores(spark, path)
+
+
+@register("csv_sales_roundtrip", with_tables("SELECT * FROM raw_sales"))
+def q_csv_sales_roundtrip(spark, d):
+    path = _fresh(spark, "sales-csv")
+    sk.export_csv(tables(spark, d)[0], path)
+    return fs.scan_sales(spark, path)
+
+
+@register("csv_features_roundtrip", with_tables("SELECT * FROM features"))
+def q_csv_features_roundtrip(spark, d):
+    """Features written as CSV with missing values as ``NA`` and scanned back."""
+    path = _fresh(spark, "features-csv")
+    f = tables(spark, d)[1]
+    f.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    return fs.scan_features(spark, path)
+
+
+_CONFORM_EXACT = ["store_id", "dept_id", "feature_date", "weekly_sales", "is_month_start", "is_holiday",
+                  "sales_lag_1", "rolling_min_4", "temperature", "fuel_price_change", "has_markdown",
+                  "markdown_count", "store_type_a", "store_type_c"]
+
+
+@register("conform_engineered", eng_sql(
+    "SELECT store_id, dept_id, feature_date, weekly_sales, is_month_start, is_holiday, sales_lag_1, rolling_min_4, "
+    "temperature, fuel_price_change, total_markdown > 0 AS has_markdown, markdown_count, "
+    "store_type_a <> 0 AS store_type_a, store_type_c <> 0 AS store_type_c FROM eng"))
+def q_conform_engineered(spark, d):
+    """Engineered rows conformed to the stored schema, appended to a fresh table and read back."""
+    path = _fresh(spark, "engineered")
+    sk.append(sk.conform_to_schema(engineered(spark, d), sc.ENGINEERED), path)
+    return fs.scan_table(spark, path, _CONFORM_EXACT)
+
+
+@register("training_scan_filtered", eng_sql(
+    "SELECT store_id, dept_id, feature_date, sales_lag_1 FROM eng WHERE sales_lag_1 IS NOT NULL"))
+def q_training_scan_filtered(spark, d):
+    path = _fresh(spark, "engineered")
+    sk.append(sk.conform_to_schema(engineered(spark, d), sc.ENGINEERED), path)
+    return fs.training_scan_filtered(spark, path).select("store_id", "dept_id", "feature_date", "sales_lag_1")
+
+
+@register("replace_forecasts", fc_sql("SELECT * FROM fc"))
+def q_replace_forecasts(spark, d):
+    """Forecasts written twice with replace semantics: the table holds one copy."""
+    path = _fresh(spark, "forecasts")
+    fc = sk.conform_to_schema(forecasts(spark, d), sc.FORECASTS)
+    sk.replace(fc, path)
+    sk.replace(fc, path)
+    return fs.scan_table(spark, path)
+
+
+@register("append_unique", with_tables("SELECT * FROM raw_sales WHERE date >= DATE '2000-01-01'"))
+def q_append_unique(spark, d):
+    """Rows accepted by a UNIQUE-key append: the table holds sales before 2000, the batch
+    repeats the second half of 1999 and adds the rest."""
+    s = tables(spark, d)[0]
+    path = _fresh(spark, "sales-table")
+    sk.append(s.where(F.col("date") < "2000-01-01"), path)
+    batch = s.where(F.col("date") >= "1999-07-01")
+    sk.append_unique(batch, path, ["store_id", "dept_id", "date"])
+    return fs.scan_table(spark, path).where(F.col("date") >= "2000-01-01")
+
+
+@register("stream_ingest_sales", with_tables("SELECT * FROM raw_sales"))
+def q_stream_ingest_sales(spark, d):
+    """Sales CSV files (one folder per year, landed in two rounds) ingested by the file stream."""
+    from weekcast.streaming.ingest import ingest_sales
+
+    s = tables(spark, d)[0]
+    base = _fresh(spark, "stream")
+    landing, table, rejects, ckpt = (f"{base}/landing", f"{base}/table", f"{base}/rejects", f"{base}/ckpt")
+    spark.createDataFrame([], s.schema).write.mode("overwrite").parquet(table)
+    first = s.where(F.year("date") < 1999)
+    rest = s.where(F.year("date") >= 1999)
+    for part, tag in ((first, "a"), (rest, "b")):
+        part.write.mode("overwrite").option("header", True).csv(f"{landing}/{tag}")
+    q = ingest_sales(spark, f"{landing}/*", table, rejects, ckpt)
+    q.awaitTermination()
+    return fs.scan_table(spark, table)
+
+
+# ================================================================= generic feature operators
+
+@register("sales_features_join", with_tables("""
+SELECT s.*, f.temperature, f.fuel_price, f.markdown1, f.markdown2, f.markdown3, f.markdown4, f.markdown5,
+       f.cpi, f.unemployment
+FROM raw_sales s LEFT JOIN features f ON s.store_id = f.store_id AND s.date = f.date
+"""))
+def q_sales_features_join(spark, d):
+    s, f, _ = tables(spark, d)
+    return fe.sales_features_join(s, f)
+
+
+@register("temporal_features", with_tables("""
+SELECT store_id, dept_id, date, CAST(weekofyear(date) AS INTEGER) AS week_of_year, CAST(month(date) AS INTEGER) AS month,
+       CAST(quarter(date) AS INTEGER) AS quarter, day(date) = 1 AS is_month_start, date = last_day(date) AS is_month_end
+FROM raw_sales
+"""))
+def q_temporal_features(spark, d):
+    return fe.temporal_features(tables(spark, d)[0].select("store_id", "dept_id", "date"))
+
+
+@register("economic_features", eng_sql("""
+SELECT store_id, dept_id, feature_date AS date, fuel_price_change, cpi_change, unemployment_change,
+       ROUND(temperature_deviation, 9) AS temperature_deviation FROM eng
+"""))
+def q_economic_features(spark, d):
+    """The general (any frame) form of the economic operator on the sales-features join."""
+    s, f, _ = tables(spark, d)
+    j = fe.sales_features_join(s, f)
+    out = fe.economic_features(j).select("store_id", "dept_id", "date", "fuel_price_change", "cpi_change",
+                                         "unemployment_change", "temperature_deviation")
+    return out.withColumn("temperature_deviation", F.round("temperature_deviation", 9))
+
+
+@register("markdown_features", with_tables("""
+SELECT store_id, date, COALESCE(markdown1, 0) AS markdown1, COALESCE(markdown2, 0) AS markdown2,
+  COALESCE(markdown3, 0) AS markdown3, COALESCE(markdown4, 0) AS markdown4, COALESCE(markdown5, 0) AS markdown5,
+  COALESCE(markdown1, 0) + COALESCE(markdown2, 0) + COALESCE(markdown3, 0) + COALESCE(markdown4, 0) + COALESCE(markdown5, 0) AS total_markdown,
+  CAST(COALESCE(markdown1, 0) + COALESCE(markdown2, 0) + COALESCE(markdown3, 0) + COALESCE(markdown4, 0) + COALESCE(markdown5, 0) > 0 AS INTEGER) AS has_markdown,
+  CAST(COALESCE(markdown1, 0) > 0 AS INTEGER) + CAST(COALESCE(markdown2, 0) > 0 AS INTEGER) + CAST(COALESCE(markdown3, 0) > 0 AS INTEGER)
+  + CAST(COALESCE(markdown4, 0) > 0 AS INTEGER) + CAST(COALESCE(markdown5, 0) > 0 AS INTEGER) AS markdown_count
+FROM features
+"""))
+def q_markdown_features(spark, d):
+    f = tables(spark, d)[1].select("store_id", "date", *sc.MARKDOWNS)
+    return fe.markdown_features(f)
+
+
+@register("store_features", with_tables("""
+SELECT s.store_id, s.dept_id, s.date,
+  CAST(COALESCE(st.store_type = 'A', FALSE) AS INTEGER) AS store_type_a,
+  CAST(COALESCE(st.store_type = 'B', FALSE) AS INTEGER) AS store_type_b,
+  CAST(COALESCE(st.store_type = 'C', FALSE) AS INTEGER) AS store_type_c,
+  ROUND((st.size - AVG(st.size) OVER ()) / NULLIF(STDDEV_SAMP(st.size) OVER (), 0), 6) AS size_normalized
+FROM raw_sales s LEFT JOIN stores st ON s.store_id = st.store_id
+"""))
+def q_store_features(spark, d):
+    s, _, st = tables(spark, d)
+    out = fe.store_features(s.select("store_id", "dept_id", "date"), st)
+    return out.withColumn("size_normalized", F.round("size_normalized", 6))
+
+
+@register("multi_scope_report")
+def q_multi_scope_report(spark, d):
+    """Rows-only: forecast, history, trend, inventory and anomaly figures for store 1 as text rows."""
+    return rp.multi_scope_report(forecasts(spark, d), engineered(spark, d), store=1)
