@@ -36,3 +36,10 @@ def test_improvement(spark):
     from pyspark.sql import functions as F
     r = spark.range(1).select(me.improvement_vs_baseline(F.lit(790.0)).alias("x")).collect()[0]
     assert r.x == pytest.approx((821 - 790) / 821 * 100)
+
+
+def test_wmae_evaluator(spark):
+    df = spark.createDataFrame([(1000.0, 1100.0, 0), (2000.0, 1900.0, 1)], "label double, prediction double, is_holiday int")
+    ev = me.WMAEEvaluator()
+    assert ev.evaluate(df) == pytest.approx(100.0)
+    assert ev.isLargerBetter() is False

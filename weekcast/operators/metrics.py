@@ -77,3 +77,23 @@ def forecast_bias(df: DataFrame, y: str = "weekly_sales", p: str = "predicted_sa
 
 def improvement_vs_baseline(wmae_col: Column, baseline: float = BASELINE_WMAE) -> Column:
     return (F.lit(baseline) - wmae_col) / F.lit(baseline) * 100
+
+
+class WMAEEvaluator:
+    """Spark ML evaluator form of WMAE (lower is better), usable with ``CrossValidator``.
+
+    Built lazily so importing this module does not need a running JVM.
+    """
+
+    def __new__(cls, labelCol: str = "label", predictionCol: str = "prediction", holidayCol: str = "is_holiday"):
+        from pyspark.ml.evaluation import Evaluator
+
+        class _WMAE(Evaluator):
+            def _evaluate(self, dataset):
+                flag = F.col(holidayCol).cast("boolean")
+                return wmae(dataset.withColumn("_h", flag), labelCol, predictionCol, "_h").first()["wmae"]
+
+            def isLargerBetter(self):
+                return False
+
+        return _WMAE()
