@@ -5,9 +5,10 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 
 ``load_tables`` derives and writes the retail tables once (the load step of
-the original application); every other query then runs over those Parquet
-tables and is timed to completion with the ``noop`` sink (full execution, no
-driver collect). Each query runs twice and the faster run counts.
+the original application) and ``write_engineered_table`` writes the feature
+table that forecasting, metrics and exploration read, as the original does;
+``engineer_features`` recomputes the whole pipeline. Queries are timed to
+completion with the ``noop`` sink (full execution, no driver collect). Each query runs twice and the faster run counts.
 ``engineer_features_supplier`` uses the supplier-grain panel, whose row count
 grows with the scale factor (about 10x the nation-grain panel at sf0.1).
 """
@@ -63,6 +64,10 @@ def main() -> None:
     adapter.retail_tables(spark, sf_dir)
     times["load_tables"] = round(time.time() - t, 3)
 
+    t = time.time()
+    catalog.engineered(spark, sf_dir)  # writes the engineered feature table read downstream
+    times["write_engineered_table"] = round(time.time() - t, 3)
+
     for name in HEADLINE:
         best = None
         for _ in range(2):

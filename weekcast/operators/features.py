@@ -230,8 +230,11 @@ def store_week_context(sales: DataFrame, features: DataFrame, stores: DataFrame)
         F.min("dept_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     feat = features.select("store_id", "date", *_FEATURE_VALUES)
-    day = keys.join(feat, ["store_id", "date"], "left")
-    day = day.join(stores.select("store_id", "store_type", "size"), "store_id", "left")
+    st = stores.select("store_id", "store_type", "size")
+    # size statistics over sales rows from per-store row counts (one row per store)
+    per_store = keys.groupBy("store_id").agg(F.sum("_n").alias("_n")).join(st, "store_id", "left")
+    size_stats = _size_stats(per_store)
+    day = keys.join(feat, ["store_id", "date"], "left").join(st, "store_id", "left")
     wd = Window.partitionBy("store_id").orderBy("date")
     ws = Window.partitionBy("store_id")
     t = F.col("temperature")
@@ -244,7 +247,7 @@ def store_week_context(sales: DataFrame, features: DataFrame, stores: DataFrame)
             )
         }
     )
-    day = with_scalars(day, _size_stats(day))
+    day = with_scalars(day, size_stats)
     return day.select(
         "store_id", "date", "_first", *_FEATURE_VALUES,
         *[f"_prev_{c}" for c in ECONOMIC], "_tmean",

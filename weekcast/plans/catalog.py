@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weekcast.operators import features as fe
 from weekcast.plans.oracle_base import with_tables
+from weekcast.session import scratch_path
 from weekcast.sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +39,25 @@ def tables(spark: SparkSession, d: str):
     return t["raw_sales"], t["features"], t["stores"]
 
 
+_ENGINEERED: dict[tuple, str] = {}
+
+
 def engineered(spark: SparkSession, d: str) -> DataFrame:
-    sales, feats, stores = tables(spark, d)
-    return fe.engineer_features(sales, feats, stores)
+    """The engineered feature table, as downstream jobs read it.
+
+    Like the original's ``engineered_features`` table it is produced once per
+    application (by ``engineer_features``) and written as Parquet under the
+    shared checkpoint folder; forecasts, metrics, anomaly and exploration
+    queries scan it. The ``engineer_features`` query itself always recomputes.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    path = _ENGINEERED.get(key)
+    if path is None:
+        sales, feats, stores = tables(spark, d)
+        path = scratch_path(spark, f"engineered-{abs(hash(key))}")
+        fe.engineer_features(sales, feats, stores).write.mode("overwrite").parquet(path)
+        _ENGINEERED[key] = path
+    return spark.read.parquet(path)
 
 
 # ----------------------------------------------------------------- adapter tables
@@ -182,7 +199,8 @@ ENGINEERED_COLUMNS = [
 
 @register("engineer_features", with_tables(_eng_select_sql(), ENGINEERED_SQL_CTES))
 def q_engineer_features(spark, d):
-    out = engineered(spark, d)
+    sales, feats, stores = tables(spark, d)
+    out = fe.engineer_features(sales, feats, stores)
     return out.withColumns(
         {c: F.round(c, 6) for c in _ENG_ROUNDED}
         | {"temperature_deviation": F.round("temperature_deviation", 9)}
@@ -948,7 +966,6 @@ def q_scope_label(spark, d):
 # ================================================================= model
 
 from weekcast.operators import model as mo  # noqa: E402
-from weekcast.session import scratch_path  # noqa: E402
 
 _MODELS: dict[tuple, tuple] = {}
 

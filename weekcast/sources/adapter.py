@@ -42,7 +42,6 @@ STORE_TYPES = ["A", "B", "C"]  # by key mod 3
 DROPPED_FEATURE_WEEK = 10  # ISO week dropped from features for store_id % 7 == 0
 MARKDOWN_MIN_DISCOUNT = 0.05
 
-DEC4 = "decimal(18,4)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +65,11 @@ def _cells(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
     )
+    # a file with fewer splits than cores would leave cores idle in the
+    # expression-heavy map stage; a large input has far more splits than cores
+    cores = spark.sparkContext.defaultParallelism
+    if li.rdd.getNumPartitions() < cores:
+        li = li.repartition(cores)
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", dept_of(F.col("p_type")).alias("dept_id")
     )
@@ -80,31 +84,46 @@ def _cells(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
     else:
         raise ValueError(f"unknown grain {grain!r}")
 
-    def dec(c: Column) -> Column:
-        return c.cast(DEC4)
+    def units(c: Column) -> Column:
+        """``c`` as DECIMAL(18,4), held as its unscaled long (the value in 1e-4 units).
+
+        Half-up rounding of ``c * 10^4`` in double arithmetic is exact except
+        within rounding error of a .5 tie; there the exact path (``round`` on
+        the binary value, as the DECIMAL cast does) decides. Long sums are exact
+        and cheaper than DECIMAL(28,4) aggregation buffers.
+        """
+        y = c * F.lit(10000.0)
+        a = F.abs(y)
+        fast = F.signum(y) * F.floor(a + F.lit(0.5))
+        near_tie = F.abs(a - F.floor(a) - F.lit(0.5)) < F.lit(1e-9) * F.greatest(a, F.lit(1.0))
+        exact = F.round(F.round(c, 4) * F.lit(10000.0))
+        return F.when(near_tie, exact).otherwise(fast).cast("long")
 
     md = [
         F.sum(
             F.when(
                 (F.col("l_linenumber") == k) & (F.col("l_discount") >= MARKDOWN_MIN_DISCOUNT),
-                dec(F.col("l_extendedprice") * F.col("l_discount")),
+                units(F.col("l_extendedprice") * F.col("l_discount")),
             )
         ).alias(f"md{k}")
         for k in range(1, 6)
     ]
-    return (
+    sums = ["sales4", "qty4", "tax4", "price4", "disc4"] + [f"md{k}" for k in range(1, 6)]
+    cells = (
         fact.withColumn("date", F.to_date(F.date_trunc("week", F.col("l_shipdate"))))
         .groupBy("store_id", "dept_id", "date")
         .agg(
-            F.sum(dec(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("sales4"),
-            F.sum(dec(F.col("l_quantity"))).alias("qty4"),
-            F.sum(dec(F.col("l_tax"))).alias("tax4"),
-            F.sum(dec(F.col("l_extendedprice"))).alias("price4"),
-            F.sum(dec(F.col("l_discount"))).alias("disc4"),
+            F.sum(units(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("sales4"),
+            F.sum(units(F.col("l_quantity"))).alias("qty4"),
+            F.sum(units(F.col("l_tax"))).alias("tax4"),
+            F.sum(units(F.col("l_extendedprice"))).alias("price4"),
+            F.sum(units(F.col("l_discount"))).alias("disc4"),
             F.count(F.lit(1)).alias("n"),
             *md,
         )
     )
+    # back to exact DECIMAL values (4 decimals) once per cell
+    return cells.withColumns({c: F.col(c).cast("decimal(38,0)") / F.lit(10000) for c in sums})
 
 
 def _raw_sales_from(c: DataFrame) -> DataFrame:
