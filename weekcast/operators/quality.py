@@ -35,9 +35,14 @@ def fk_violations(child: DataFrame, parent: DataFrame, key: str | Sequence[str],
 
 
 def missing_children(parent: DataFrame, child: DataFrame, key: str, child_key: str | None = None) -> DataFrame:
-    """Parent rows with no child row (``LEFT JOIN ... WHERE child IS NULL``)."""
+    """Parent rows with no child row (``LEFT JOIN ... WHERE child IS NULL``).
+
+    The child keys are de-duplicated first: the map-side partial aggregation
+    collapses a parent with very many children to one row per task before the
+    shuffle, so a hot key never reaches the anti join in bulk.
+    """
     ck = child_key or key
-    c = child.select(F.col(ck).alias(key))
+    c = child.select(F.col(ck).alias(key)).distinct()
     return parent.join(c, key, "left_anti")
 
 
