@@ -167,14 +167,18 @@ eng AS (
 )
 """
 
-_ENG_ROUNDED = ["rolling_std_4", "rolling_std_13", "rolling_std_52", "size_normalized"]
+# Reported at the precision the stored table declares: rolling std as cents
+# (DECIMAL(12,2) in the DDL), size z-score to 6 places (DECIMAL(10,6)). Two
+# std algorithms agree to ~1e-16 relative, so finer rounding would let a rare
+# value sit on a rounding boundary differently in the two engines.
+_ENG_ROUND_DIGITS = {"rolling_std_4": 2, "rolling_std_13": 2, "rolling_std_52": 2, "size_normalized": 6}
 
 
 def _eng_select_sql() -> str:
     cols = []
     for c in ENGINEERED_COLUMNS:
-        if c in _ENG_ROUNDED:
-            cols.append(f"ROUND({c}, 6) AS {c}")
+        if c in _ENG_ROUND_DIGITS:
+            cols.append(f"ROUND({c}, {_ENG_ROUND_DIGITS[c]}) AS {c}")
         elif c == "has_markdown":
             cols.append("CAST(total_markdown > 0 AS INTEGER) AS has_markdown")
         elif c == "temperature_deviation":
@@ -202,7 +206,7 @@ def q_engineer_features(spark, d):
     sales, feats, stores = tables(spark, d)
     out = fe.engineer_features(sales, feats, stores)
     return out.withColumns(
-        {c: F.round(c, 6) for c in _ENG_ROUNDED}
+        {c: F.round(c, n) for c, n in _ENG_ROUND_DIGITS.items()}
         | {"temperature_deviation": F.round("temperature_deviation", 9)}
     )
 
