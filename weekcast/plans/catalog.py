@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weekcast.operators import features as fe
 from weekcast.plans.oracle_base import with_tables
-from weekcast.session import scratch_path
+from weekcast.session import app_id, scratch_path
 from weekcast.sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def engineered(spark: SparkSession, d: str) -> DataFrame:
     shared checkpoint folder; forecasts, metrics, anomaly and exploration
     queries scan it. The ``engineer_features`` query itself always recomputes.
     """
-    key = (spark.sparkContext.applicationId, d)
+    key = (app_id(spark), d)
     path = _ENGINEERED.get(key)
     if path is None:
         sales, feats, stores = tables(spark, d)
@@ -486,15 +486,18 @@ def q_demand_summary(spark, d):
 
 
 @register("demand_by_store", fc_sql("""
-SELECT store_id,
+SELECT fc.store_id,
        CAST(CAST((2 * CAST(SUM(predicted_sales) * 100 AS HUGEINT) + COUNT(*)) // (2 * COUNT(*)) AS DECIMAL(20,0)) * 0.01 AS DECIMAL(18,2)) AS mean,
        CAST(SUM(predicted_sales) AS DECIMAL(38,2)) AS sum
-FROM fc WHERE store_id IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) GROUP BY store_id
-HAVING (SELECT COUNT(DISTINCT store_id) FROM fc WHERE store_id <= 10) <= 10
+FROM fc JOIN stores s ON fc.store_id = s.store_id AND s.store_type = 'A'
+GROUP BY fc.store_id
+HAVING (SELECT COUNT(DISTINCT f2.store_id) FROM fc f2 JOIN stores s2 ON f2.store_id = s2.store_id
+        AND s2.store_type = 'A') <= 10
 """))
 def q_demand_by_store(spark, d):
-    # scope: stores 1-10 (the breakdown is only produced for scopes of at most 10 stores)
-    f = forecasts(spark, d).where(F.col("store_id") <= 10)
+    """Per-store breakdown for the scope "type A stores" (the breakdown exists only for scopes of <= 10 stores)."""
+    type_a = tables(spark, d)[2].where(F.col("store_type") == "A").select("store_id")
+    f = forecasts(spark, d).join(type_a, "store_id", "left_semi")
     return rp.demand_by_store(f)
 
 
@@ -977,7 +980,7 @@ _MODELS: dict[tuple, tuple] = {}
 def trained(spark, d):
     """Fit once per application and data folder; the pipeline is saved to and
     reloaded from the shared checkpoint folder (save/load round trip, K6)."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (app_id(spark), d)
     if key not in _MODELS:
         model, feats, metrics = mo.train_forecaster(engineered(spark, d))
         path = mo.save_model(model, scratch_path(spark, f"models/gbt-{abs(hash(key))}"))

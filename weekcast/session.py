@@ -14,6 +14,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # coalesce small shuffle partitions to the advisory size instead of keeping
+    # one per core (Spark's recommendation for shared clusters)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -48,21 +51,42 @@ def get_spark(
     return spark
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage (``DataFrame.checkpoint``).
+    """The shared folder for written intermediate tables and checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that setting is
-    absent (local tests) is a fresh scratch folder created.
+    absent (local tests) is a fresh scratch folder created and recorded.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="weekcast-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        configured = _LOCAL_CKPT.setdefault(app_id(spark), tempfile.mkdtemp(prefix="weekcast-ckpt-"))
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or "app"
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

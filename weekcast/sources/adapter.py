@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.schema import MONEY
-from weekcast.session import scratch_path
+from weekcast.session import app_id, default_parallelism, scratch_path
 
 # Fixed values of the mapping.
 DEPT_PREFIXES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]  # dept 1..5, anything else 6
@@ -48,6 +48,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _splits(spark: SparkSession, df: DataFrame) -> int:
+    """Number of scan tasks Spark will plan (needs no job)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (Spark Connect): assume the input is large enough
+        return 1 << 30
+
+
 def dept_of(p_type: Column) -> Column:
     expr = F.lit(len(DEPT_PREFIXES) + 1)
     for i in reversed(range(len(DEPT_PREFIXES))):
@@ -67,8 +75,8 @@ def _cells(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
     )
     # a file with fewer splits than cores would leave cores idle in the
     # expression-heavy map stage; a large input has far more splits than cores
-    cores = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < cores:
+    cores = default_parallelism(spark)
+    if li.inputFiles() and _splits(spark, li) < cores:
         li = li.repartition(cores)
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", dept_of(F.col("p_type")).alias("dept_id")
@@ -211,7 +219,7 @@ def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
         c = _cells(spark, sf_dir, grain)
         return {"raw_sales": _raw_sales_from(c), "features": _features_from(c),
                 "stores": stores(spark, sf_dir, grain)}
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, os.path.abspath(sf_dir), grain)
     base = _WRITTEN.get(key)
     if base is None:

@@ -48,10 +48,14 @@ def conform_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format(fmt).load(path).schema
+        return True
+    except AnalysisException:
+        return False
 
 
 def split_unique(new: DataFrame, existing: DataFrame | None, keys: Sequence[str]):
@@ -73,7 +77,7 @@ def split_unique(new: DataFrame, existing: DataFrame | None, keys: Sequence[str]
 def append_unique(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Append the accepted rows; returns the rejected rows (lazy)."""
     spark = new.sparkSession
-    existing = spark.read.format(fmt).load(path) if _exists(spark, path) else None
+    existing = spark.read.format(fmt).load(path) if _exists(spark, path, fmt) else None
     accepted, rejected = split_unique(new, existing, keys)
     # stage the accepted rows first: the decision reads the table it appends to
     staged = path.rstrip("/") + "__staged"
