@@ -31,6 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcast.operators.series import DEFAULT_MAX_SERIES_ROWS, series_windows
 from weekcast.plans.joins import join_bounded, with_scalars
 from weekcast.schema import MARKDOWNS
 
@@ -101,16 +102,25 @@ def rolling_columns(target: str = "weekly_sales", windows: Sequence[int] = WINDO
     return out
 
 
+def _halo(lags: Sequence[int] = (), windows: Sequence[int] = (), closed: str = "right") -> int:
+    """How many earlier rows the lags / rolling frames reach back."""
+    back = [*lags, *[(n - 1) if closed == "right" else n for n in windows]]
+    return max(back) if back else 0
+
+
 def lag_features(df: DataFrame, lags: Sequence[int] = LAGS, target: str = "weekly_sales",
                  keys: Sequence[str] = SERIES, order: Sequence[str] = ("date",),
-                 prefix: str = "sales_lag_") -> DataFrame:
-    return df.withColumns(lag_columns(target, lags, keys, order, prefix))
+                 prefix: str = "sales_lag_", max_series_rows: int | None = None) -> DataFrame:
+    """Row lags per series; ``max_series_rows`` enables the long-series check (``series.series_windows``)."""
+    return series_windows(df, keys, order, lambda k, o: lag_columns(target, lags, k, o, prefix),
+                          _halo(lags), max_series_rows)
 
 
 def rolling_features(df: DataFrame, windows: Sequence[int] = WINDOWS, target: str = "weekly_sales",
                      keys: Sequence[str] = SERIES, order: Sequence[str] = ("date",),
-                     closed: str = "right") -> DataFrame:
-    return df.withColumns(rolling_columns(target, windows, keys, order, closed))
+                     closed: str = "right", max_series_rows: int | None = None) -> DataFrame:
+    return series_windows(df, keys, order, lambda k, o: rolling_columns(target, windows, k, o, closed),
+                          _halo(windows=windows, closed=closed), max_series_rows)
 
 
 # --------------------------------------------------------------------------- W5-W6
@@ -258,18 +268,27 @@ def store_week_context(sales: DataFrame, features: DataFrame, stores: DataFrame)
 
 def engineer_features(sales: DataFrame, features: DataFrame, stores: DataFrame,
                       lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS,
-                      closed: str = "right", broadcast_rows: int | None = None) -> DataFrame:
+                      closed: str = "right", broadcast_rows: int | None = None,
+                      max_series_rows: int | None = DEFAULT_MAX_SERIES_ROWS) -> DataFrame:
     """Sales + features + stores -> one row per sales row with all engineered features.
 
     Same rows and values as the sequence join -> temporal -> lag -> rolling ->
     economic -> markdown -> store -> rename(date -> feature_date). Plan: the
     store-week context is built on its own (rows = stores x weeks), joined to
     the sales rows once (broadcast when checked small), then one shuffle by
-    (store, dept) feeds every lag/rolling window.
+    (store, dept) feeds every lag/rolling window. A series longer than
+    ``max_series_rows`` switches the windows to exact overlapping blocks.
     """
     ctx = store_week_context(sales, features, stores)
     kw = {} if broadcast_rows is None else {"max_rows": broadcast_rows}
     df = join_bounded(sales, ctx, ["store_id", "date"], "left", **kw)
+    halo = _halo(lags, windows, closed)
+
+    def series_cols(keys, order):
+        return (lag_columns("weekly_sales", lags, keys, order)
+                | rolling_columns("weekly_sales", windows, keys, order, closed=closed))
+
+    df = series_windows(df, SERIES, ["date"], series_cols, halo, max_series_rows)
     d = F.col("date")
     md = markdown_columns()
     change = {
@@ -277,12 +296,12 @@ def engineer_features(sales: DataFrame, features: DataFrame, stores: DataFrame,
         .otherwise(F.col(c))
         for c in ECONOMIC
     }
+    window_names = list(series_cols(SERIES, ["date"]))
     out = df.select(
         *sales.columns,
         "temperature", "fuel_price", *[md[m].alias(m) for m in MARKDOWNS], "cpi", "unemployment",
         *[c.alias(n) for n, c in temporal_columns(d).items()],
-        *[c.alias(n) for n, c in lag_columns("weekly_sales", lags).items()],
-        *[c.alias(n) for n, c in rolling_columns("weekly_sales", windows, closed=closed).items()],
+        *window_names,
         (F.col("temperature").cast("double") - F.col("_tmean")).alias("temperature_deviation"),
         *[c.alias(n) for n, c in change.items()],
         md["total_markdown"].alias("total_markdown"),

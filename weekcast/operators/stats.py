@@ -1,4 +1,4 @@
-"""Exact order statistics without gathering a group into one task.
+"""Exact ranks and order statistics without gathering a group into one task.
 
 Spark's exact ``percentile``/``median`` aggregates keep every distinct value of
 a group in one aggregation buffer, so a group holding a third of the data
@@ -25,6 +25,40 @@ from pyspark.sql import functions as F
 from weekcast.plans.joins import join_bounded, materialize
 
 
+def global_ranks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Adds ``_grank``: the 0-based position of each row in ``order`` over the whole frame.
+
+    ``repartitionByRange`` spreads the sort over all tasks (a group holding a
+    third of the rows is cut into many ranges); each row gets (partition id,
+    position) in the same projection, the result is written to the shared
+    folder so retries cannot reassign them, and a one-row-per-partition table
+    of running counts gives each partition's offset.
+    """
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = (df.repartitionByRange(n_parts, *order)
+              .sortWithinPartitions(*order)
+              .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
+    ranked = materialize(ranked, "ranked")
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per partition; the running sum over this small table needs no keys
+    offsets = counts.select(
+        "_pid", (F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .alias("_off")).fillna(0, ["_off"])
+    return (ranked.join(F.broadcast(offsets), "_pid").withColumn("_grank", F.col("_off") + pos)
+            .drop("_pid", "_mid", "_off"))
+
+
+def ranks_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                        partitions: int | None = None) -> DataFrame:
+    """Adds ``_rank``: 0-based position of each row inside its ``keys`` group in ``order``."""
+    g = global_ranks(df, [*keys, *order], partitions)
+    starts = g.groupBy(*keys).agg(F.min("_grank").alias("_start"))
+    return (join_bounded(g, starts, list(keys), "inner")
+            .withColumn("_rank", F.col("_grank") - F.col("_start")).drop("_grank", "_start"))
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
                     by: Sequence[str] = (), partitions: int | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
@@ -32,21 +66,9 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
     by = list(by)
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in quantiles])
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    ranked = (base.repartitionByRange(n_parts, *by, "_v")
-              .sortWithinPartitions(*by, "_v")
-              .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-    ranked = materialize(ranked, "ranked")  # fixes the (pid, mid) assignment
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    # one row per partition; the running sum over this small table needs no keys
-    offsets = counts.select(
-        "_pid", (F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.fillna(0, ["_off"])
-    g = ranked.join(F.broadcast(offsets), "_pid").withColumn("_r", F.col("_off") + pos)
+    g = global_ranks(base, [*by, "_v"], partitions).withColumnRenamed("_grank", "_r")
     groups = g.groupBy(*by).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
     qs = spark.createDataFrame([(i, float(q)) for i, q in enumerate(quantiles)], "_qi int, _q double")
     targets = groups.crossJoin(F.broadcast(qs)).withColumn("_p", (F.col("_n") - 1) * F.col("_q"))
