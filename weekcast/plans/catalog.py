@@ -1238,3 +1238,33 @@ def q_store_features(spark, d):
 def q_multi_scope_report(spark, d):
     """Rows-only: forecast, history, trend, inventory and anomaly figures for store 1 as text rows."""
     return rp.multi_scope_report(forecasts(spark, d), engineered(spark, d), store=1)
+
+
+# ================================================================= long-series windows (W1-W4, blocked form)
+
+def _blocked_sql() -> str:
+    parts = [f"LAG(weekly_sales, {n}) OVER (PARTITION BY store_id, dept_id ORDER BY date) AS sales_lag_{n}"
+             for n in (1, 2, 4, 8, 52)]
+    for n in (4, 13, 52):
+        w = _W.format(a=n - 1, b="CURRENT ROW")
+        parts.append(f"CAST(SUM(weekly_sales) {w} AS DOUBLE) / COUNT(weekly_sales) {w} AS rolling_mean_{n}")
+        parts.append(f"ROUND(STDDEV_SAMP(weekly_sales) {w}, 4) AS rolling_std_{n}")
+        if n == 4:
+            parts.append(f"MIN(weekly_sales) {w} AS rolling_min_4")
+            parts.append(f"MAX(weekly_sales) {w} AS rolling_max_4")
+    return with_tables("SELECT store_id, dept_id, date, weekly_sales,\n  " + ",\n  ".join(parts) + "\nFROM raw_sales")
+
+
+@register("series_windows_blocked", _blocked_sql())
+def q_series_windows_blocked(spark, d):
+    """Lags and rolling statistics through the long-series path: exact per-series ranks,
+    100-row blocks with a 52-row halo, windows per (series, block)."""
+    from weekcast.operators.series import blocked_windows
+
+    sales = tables(spark, d)[0].select("store_id", "dept_id", "date", "weekly_sales")
+
+    def build(k, o):
+        return fe.lag_columns("weekly_sales", fe.LAGS, k, o) | fe.rolling_columns("weekly_sales", fe.WINDOWS, k, o)
+
+    out = blocked_windows(sales, list(fe.SERIES), ["date"], build, halo=52, block_rows=100)
+    return out.withColumns({f"rolling_std_{n}": F.round(f"rolling_std_{n}", 4) for n in (4, 13, 52)})
