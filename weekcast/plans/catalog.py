@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weekcast.operators import features as fe
 from weekcast.plans.oracle_base import with_tables
-from weekcast.session import app_id, scratch_path
+from weekcast.session import ONCE_LOCK, app_id, scratch_path
 from weekcast.sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,13 @@ def engineered(spark: SparkSession, d: str) -> DataFrame:
     queries scan it. The ``engineer_features`` query itself always recomputes.
     """
     key = (app_id(spark), d)
-    path = _ENGINEERED.get(key)
-    if path is None:
-        sales, feats, stores = tables(spark, d)
-        path = scratch_path(spark, f"engineered-{abs(hash(key))}")
-        fe.engineer_features(sales, feats, stores).write.mode("overwrite").parquet(path)
-        _ENGINEERED[key] = path
+    with ONCE_LOCK:
+        path = _ENGINEERED.get(key)
+        if path is None:
+            sales, feats, stores = tables(spark, d)
+            path = scratch_path(spark, f"engineered-{abs(hash(key))}")
+            fe.engineer_features(sales, feats, stores).write.mode("overwrite").parquet(path)
+            _ENGINEERED[key] = path
     return spark.read.parquet(path)
 
 
@@ -981,6 +982,11 @@ def trained(spark, d):
     """Fit once per application and data folder; the pipeline is saved to and
     reloaded from the shared checkpoint folder (save/load round trip, K6)."""
     key = (app_id(spark), d)
+    with ONCE_LOCK:
+        return _trained_once(spark, d, key)
+
+
+def _trained_once(spark, d, key):
     if key not in _MODELS:
         model, feats, metrics = mo.train_forecaster(engineered(spark, d))
         path = mo.save_model(model, scratch_path(spark, f"models/gbt-{abs(hash(key))}"))

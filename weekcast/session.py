@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -93,3 +94,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+# One lock for the "write once per application" tables (retail tables, feature
+# table, fitted model): concurrent callers wait instead of writing twice.
+ONCE_LOCK = threading.RLock()
+
+
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the input for a large cluster.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least 3 per core, at most 100k: map tasks x reducers is the
+    number of shuffle blocks); AQE then coalesces small ones to the advisory
+    size and splits skewed ones, so starting high is cheap while starting low
+    makes tasks spill. Scan splits match the target size.
+    """
+    parts = min(MAX_SHUFFLE_PARTITIONS, max(3 * total_cores, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.schema import MONEY
-from weekcast.session import app_id, default_parallelism, scratch_path
+from weekcast.session import ONCE_LOCK, app_id, default_parallelism, scratch_path
 
 # Fixed values of the mapping.
 DEPT_PREFIXES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]  # dept 1..5, anything else 6
@@ -221,6 +221,13 @@ def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
                 "stores": stores(spark, sf_dir, grain)}
     app = app_id(spark)
     key = (app, os.path.abspath(sf_dir), grain)
+    with ONCE_LOCK:
+        base = _write_once(spark, sf_dir, grain, key)
+    return {n: spark.read.parquet(f"{base}/{n}") for n in ("raw_sales", "features", "stores")}
+
+
+def _write_once(spark: SparkSession, sf_dir: str, grain: str, key: tuple) -> str:
+    app = key[0]
     base = _WRITTEN.get(key)
     if base is None:
         tag = os.path.abspath(sf_dir).strip("/").replace("/", "_")
@@ -231,7 +238,7 @@ def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
         _features_from(c).write.mode("overwrite").parquet(f"{base}/features")
         stores(spark, sf_dir, grain).write.mode("overwrite").parquet(f"{base}/stores")
         _WRITTEN[key] = base
-    return {n: spark.read.parquet(f"{base}/{n}") for n in ("raw_sales", "features", "stores")}
+    return base
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
