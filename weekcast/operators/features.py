@@ -288,7 +288,9 @@ def engineer_features(sales: DataFrame, features: DataFrame, stores: DataFrame,
         return (lag_columns("weekly_sales", lags, keys, order)
                 | rolling_columns("weekly_sales", windows, keys, order, closed=closed))
 
-    df = series_windows(df, SERIES, ["date"], series_cols, halo, max_series_rows)
+    # the left join keeps exactly the sales rows, so the length check reads the sales scan
+    df = series_windows(df, SERIES, ["date"], series_cols, halo, max_series_rows,
+                        rows_of=sales.select(*SERIES))
     d = F.col("date")
     md = markdown_columns()
     change = {

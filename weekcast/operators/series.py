@@ -41,13 +41,15 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
 
 def series_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: ColumnBuilder,
                    halo: int, max_series_rows: int | None = DEFAULT_MAX_SERIES_ROWS,
-                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK_ROWS, rows_of: DataFrame | None = None) -> DataFrame:
     """``df`` with the columns ``build(keys, order)`` returns (window expressions).
 
     ``max_series_rows=None`` skips the length check and uses the plain window.
+    ``rows_of`` is a cheaper frame with the same rows per key (for instance the
+    scan ``df`` was joined from) on which to run the length check.
     """
     keys, order = list(keys), list(order)
-    if max_series_rows is None or longest_series(df, keys) <= max_series_rows:
+    if max_series_rows is None or longest_series(rows_of if rows_of is not None else df, keys) <= max_series_rows:
         return df.withColumns(build(keys, order))
     return blocked_windows(df, keys, order, build, halo, block_rows)
 

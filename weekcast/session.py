@@ -15,9 +15,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # coalesce small shuffle partitions to the advisory size instead of keeping
-    # one per core (Spark's recommendation for shared clusters)
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -121,4 +118,8 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
         "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+        # coalesce to the advisory size rather than keeping one partition per
+        # core (Spark's advice for shared clusters; on a laptop-sized input it
+        # would leave a single task per stage)
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
