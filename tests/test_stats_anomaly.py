@@ -16,7 +16,8 @@ def test_exact_quantiles_hot_group(spark):
     rnd = random.Random(7)
     rows = [(0 if rnd.random() < 0.4 else rnd.randint(1, 5), rnd.gauss(0, 10)) for _ in range(3000)]
     df = spark.createDataFrame(rows, "g int, x double")
-    got = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], by=["g"], partitions=7).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], by=["g"], partitions=7,
+                                           max_buffered_group=0).collect()}
     for g in range(6):
         xs = np.array([x for k, x in rows if k == g])
         for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
@@ -25,7 +26,7 @@ def test_exact_quantiles_hot_group(spark):
 
 def test_exact_quantiles_global(spark):
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 4]], "x double")
-    r = exact_quantiles(df, "x", [0.5, 0.1]).collect()[0]
+    r = exact_quantiles(df, "x", [0.5, 0.1], max_buffered_group=0).collect()[0]
     assert r.q50 == 3 and r.q10 == pytest.approx(1.4)
 
 
@@ -56,3 +57,14 @@ def test_forecast_grid_and_interval(spark):
     assert float(fc[0].prediction_upper) == pytest.approx(1050 + 1.96 * 157.5, abs=0.01)
     assert float(fc[8].prediction_lower) == 0.0  # min std 100 pushes the bound below 0
     assert [float(r.confidence_score) for r in fc[:3]] == [0.85, 0.83, 0.81]
+
+
+def test_exact_quantiles_paths_agree(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 3), rnd.gauss(0, 5)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    a = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.9], by=["g"]).collect()}
+    b = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.9], by=["g"], max_buffered_group=0).collect()}
+    for g in a:
+        for n in ("q25", "q50", "q90"):
+            assert getattr(a[g], n) == pytest.approx(getattr(b[g], n), abs=1e-9)

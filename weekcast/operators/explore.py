@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.operators.stats import exact_quantiles
+from weekcast.operators.stats import MAX_BUFFERED_GROUP, exact_quantiles
 from weekcast.plans.joins import with_scalars
 
 
@@ -187,9 +187,11 @@ def sales_histogram(df: DataFrame, col: str = "weekly_sales", bins: int = 50) ->
     )
 
 
-def box_summary(df: DataFrame, by: Sequence[str], col: str = "weekly_sales") -> DataFrame:
+def box_summary(df: DataFrame, by: Sequence[str], col: str = "weekly_sales",
+                max_buffered_group: int | None = MAX_BUFFERED_GROUP) -> DataFrame:
     """Five-number summary per group (exact quartiles, linear interpolation) and row count."""
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"],
+                        max_buffered_group=max_buffered_group)
     x = F.col(col).cast("double")
     mm = df.groupBy(*by).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
     return mm.join(q, list(by), "left").select(*by, "min", "q1", "median", "q3", "max", "n")

@@ -59,15 +59,39 @@ def ranks_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]
             .withColumn("_rank", F.col("_grank") - F.col("_start")).drop("_grank", "_start"))
 
 
+# Spark's exact ``percentile`` keeps a group's values in one buffer; below this
+# many values per group (checked first) that buffer is small and it is used.
+MAX_BUFFERED_GROUP = 1_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows in the largest group (partial aggregate; one number reaches the driver)."""
+    if not by:
+        return int(df.count())
+    r = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
+    return int(r["m"] or 0)
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
                     by: Sequence[str] = (), partitions: int | None = None,
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row per group: ``value`` at each quantile (linear interpolation), NULLs ignored."""
+                    names: Sequence[str] | None = None,
+                    max_buffered_group: int | None = MAX_BUFFERED_GROUP) -> DataFrame:
+    """One row per group: ``value`` at each quantile (linear interpolation), NULLs ignored.
+
+    When the largest group has at most ``max_buffered_group`` values, Spark's
+    exact ``percentile`` aggregate runs (its per-group buffer is then bounded);
+    otherwise rows are ranked by the range-partitioned sort below, which never
+    holds a group in one task.
+    """
     by = list(by)
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in quantiles])
     spark = df.sparkSession
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+    if max_buffered_group is not None and largest_group(base, by) <= max_buffered_group:
+        pct = F.percentile(F.col("_v"), [float(q) for q in quantiles]).alias("_qs")
+        agg = base.groupBy(*by).agg(pct) if by else base.agg(pct)
+        return agg.select(*by, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)])
     g = global_ranks(base, [*by, "_v"], partitions).withColumnRenamed("_grank", "_r")
     groups = g.groupBy(*by).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
     qs = spark.createDataFrame([(i, float(q)) for i, q in enumerate(quantiles)], "_qi int, _q double")
