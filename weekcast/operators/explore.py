@@ -2,7 +2,8 @@
 series, forecast roll-ups, distributions, pivots, correlations, top-N lists.
 
 All are aggregates with map-side partial aggregation or filters pushed to the
-Parquet scan; nothing is collected to the driver.
+Parquet scan. The only value list that reaches the driver is the heatmap's
+store ids (the pivot columns), which is bounded by the stores dimension.
 """
 
 from __future__ import annotations

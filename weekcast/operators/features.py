@@ -22,6 +22,8 @@ see ``quality.duplicate_keys``), so a window partition is bounded by the
 calendar, not by the data volume. Store-level values (changes, store means,
 one-hot, size z-score) are computed on a (store, week) table that is one row
 per store-week, then joined to the rows once, broadcast only after a size check.
+If one series is longer than ``max_series_rows`` the windows switch to exact
+overlapping blocks (``operators.series``).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcast.functions.calendar import temporal_columns
 from weekcast.operators.series import DEFAULT_MAX_SERIES_ROWS, series_windows
 from weekcast.plans.joins import join_bounded, with_scalars
 from weekcast.schema import MARKDOWNS
@@ -53,16 +56,6 @@ def sales_features_join(sales: DataFrame, features: DataFrame,
 
 # --------------------------------------------------------------------------- X1
 
-def temporal_columns(date: Column) -> dict[str, Column]:
-    return {
-        "week_of_year": F.weekofyear(date),
-        "month": F.month(date),
-        "quarter": F.quarter(date),
-        "is_month_start": F.dayofmonth(date) == 1,
-        "is_month_end": date == F.last_day(date),
-    }
-
-
 def temporal_features(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumns(temporal_columns(F.col(date)))
 

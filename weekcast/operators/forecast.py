@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.functions.calendar import forecast_calendar_columns
 from weekcast.plans.joins import join_bounded, with_scalars
 from weekcast.schema import MONEY
 
@@ -27,10 +28,6 @@ MIN_STD = 100.0
 BASE_CONFIDENCE = 0.85
 CONFIDENCE_STEP = 0.02
 GROWTH_FACTOR = 1.05
-QUARTER_START_MONTHS = [1, 4, 7, 10]
-QUARTER_END_MONTHS = [3, 6, 9, 12]
-MONTH_START_MAX_DAY = 7
-MONTH_END_MIN_DAY = 24
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -55,25 +52,6 @@ def forecast_grid(latest: DataFrame, weeks: int = FORECAST_WEEKS, date_col: str
     }).drop("_w", "_last")
 
 
-def forecast_calendar_columns(d: Column) -> dict[str, Column]:
-    """Calendar features of a forecast date (Monday = 0; period flags by day / month number)."""
-    dom = F.dayofmonth(d)
-    m = F.month(d)
-    return {
-        "week_of_year": F.weekofyear(d),
-        "month": m,
-        "quarter": F.quarter(d),
-        "year": F.year(d),
-        "day_of_week": (F.dayofweek(d) + 5) % 7,
-        "day_of_month": dom,
-        "day_of_year": F.dayofyear(d),
-        "is_month_start": (dom <= MONTH_START_MAX_DAY).cast("int"),
-        "is_month_end": (dom >= MONTH_END_MIN_DAY).cast("int"),
-        "is_quarter_start": m.isin(QUARTER_START_MONTHS).cast("int"),
-        "is_quarter_end": m.isin(QUARTER_END_MONTHS).cast("int"),
-    }
-
-
 def forecast_calendar(df: DataFrame, date_col: str = "forecast_date") -> DataFrame:
     return df.withColumns(forecast_calendar_columns(F.col(date_col)))
 

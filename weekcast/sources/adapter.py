@@ -20,8 +20,9 @@ Mapping (grain ``"nation"``, the default and the one the SQL oracle uses):
 Grain ``"supplier"`` uses ``store_id = l_suppkey`` (stores from ``supplier``),
 which keeps the panel growing with the scale factor; the benchmark uses it.
 
-Both tables are produced from one aggregation at (store, dept, week), so a job
-that reads sales and features scans the line items once (the exchange is reused).
+Both tables come from one aggregation at (store, dept, week) of exact partial
+sums: ``retail_tables`` writes that aggregate once per application, then
+derives and writes ``raw_sales`` and ``features`` from it.
 """
 
 from __future__ import annotations
