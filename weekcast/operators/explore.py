@@ -74,7 +74,7 @@ def table_profile(sales: DataFrame, stores: DataFrame, features: DataFrame, date
                   F.max(date_col).alias("max_date"), F.countDistinct("dept_id").alias("departments"))
     st = stores.agg(F.count(F.lit(1)).alias("stores"))
     fe = features.agg(F.count(F.lit(1)).alias("feature_rows"))
-    return s.crossJoin(st).crossJoin(fe).select(
+    return with_scalars(with_scalars(s, st), fe).select(
         "stores", "sales_rows", "feature_rows", "min_date", "max_date", "departments")
 
 
@@ -82,7 +82,7 @@ def quick_stats(stores: DataFrame, sales: DataFrame, engineered: DataFrame) -> D
     a = stores.agg(F.countDistinct("store_id").alias("total_stores"))
     b = sales.agg(F.countDistinct("dept_id").alias("departments"))
     c = engineered.agg(F.max("feature_date").alias("latest_date"))
-    return a.crossJoin(b).crossJoin(c)
+    return with_scalars(with_scalars(a, b), c)
 
 
 def filter_options(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def store_coverage(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Distinct stores with sales vs number of stores in the dimension."""
     a = sales.agg(F.countDistinct("store_id").alias("stores_with_sales"))
     b = stores.agg(F.count(F.lit(1)).alias("total_stores"))
-    return a.crossJoin(b).withColumn("all_covered", F.col("stores_with_sales") == F.col("total_stores"))
+    return with_scalars(a, b).withColumn("all_covered", F.col("stores_with_sales") == F.col("total_stores"))
 
 
 # --------------------------------------------------------------------------- distributions

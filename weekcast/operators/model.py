@@ -149,7 +149,7 @@ def model_metadata(spark, metrics: DataFrame, importance: DataFrame, params: dic
         "run_id string, model_name string, model_version string, training_date timestamp, parameters string")
     m = metrics.select(*[F.col(c).cast("decimal(10,2)").alias(c) for c in ("wmae", "mae", "rmse")])
     imp = tx.importance_json(importance)
-    return head.crossJoin(m).crossJoin(imp).select(
+    return with_scalars(with_scalars(head, m), imp).select(
         "run_id", "model_name", "model_version", "wmae", "mae", "rmse", "training_date", "parameters",
         "feature_importance")
 

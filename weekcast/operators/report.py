@@ -59,7 +59,7 @@ def history_summary(hist: DataFrame, date_col: str = "feature_date") -> DataFram
         F.countDistinct(date_col).alias("num_weeks"),
     )
     med = exact_quantiles(hist, "weekly_sales", [0.5], names=["median_weekly_sales"])
-    return a.crossJoin(F.broadcast(med))
+    return with_scalars(a, med)
 
 
 def recent_trend(hist: DataFrame, weeks: int = TREND_WEEKS, date_col: str = "feature_date") -> DataFrame:
