@@ -54,8 +54,10 @@ def test_features_csv_na(spark):
     with open(os.path.join(d, "features.csv"), "w") as f:
         f.write("Store,Date,Temperature,Fuel_Price,MarkDown1,MarkDown2,MarkDown3,MarkDown4,MarkDown5,CPI,Unemployment,IsHoliday\n")
         f.write("1,2010-02-05,42.31,2.572,NA,NA,NA,NA,NA,211.0963582,8.106,FALSE\n")
-    r = fs.scan_features(spark, d).collect()[0]
-    assert r.markdown1 is None and r.is_holiday is False and str(r.cpi) == "211.0963582"
+        f.write("1,2010-02-12,38.51,2.548,NA,NA,NA,NA,NA,211.2421698,8.106,NA\n")
+    r = fs.scan_features(spark, d).orderBy("date").collect()
+    assert r[0].markdown1 is None and r[0].is_holiday is False and str(r[0].cpi) == "211.0963582"
+    assert r[1].is_holiday is True  # a missing flag converts to true, like the original loader
 
 
 def test_stream_ingest(spark):

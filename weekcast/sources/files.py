@@ -40,10 +40,15 @@ def scan_sales(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd")
 
 
 def scan_features(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Features CSV; ``NA`` and empty fields are NULL.
+
+    A missing holiday flag becomes true, as the original's boolean conversion
+    of a missing value does.
+    """
     df = (spark.read.schema(_features_csv_schema()).option("header", True).option("nullValue", "NA")
           .csv(path).toDF(*FEATURES_CSV_COLUMNS))
     return df.withColumns({"date": F.to_date("date", date_format),
-                           "is_holiday": F.when(F.col("is_holiday").isNotNull(), _bool(F.col("is_holiday")))})
+                           "is_holiday": F.coalesce(_bool(F.col("is_holiday")), F.lit(True))})
 
 
 def scan_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where=None) -> DataFrame:
