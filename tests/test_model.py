@@ -83,3 +83,10 @@ def test_train_score_save_load(spark):
     assert cats <= {"Lag Features", "Rolling Statistics", "Temporal Features", "Economic Indicators",
                     "Markdown Features", "Store Features", "Other"}
     assert mo.latest_model(meta).first().run_id == "r1"
+
+
+def test_train_without_holiday_column(spark):
+    df = _eng(spark).drop("is_holiday")
+    _, feats, metrics = mo.train_forecaster(df, params={"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 1})
+    m = metrics.first()
+    assert "is_holiday" not in feats and m.wmae == pytest.approx(m.mae)  # all weights 1

@@ -106,8 +106,10 @@ def train_forecaster(df: DataFrame, target: str = "weekly_sales", params: dict |
     scored = model.transform(data)
     if val_weeks:
         scored = scored.where(F.col("is_validation"))
-    # is_holiday is 0/1 after cleaning; the metric weights need it as a boolean
-    flagged = scored.withColumn("_h", F.col("is_holiday").cast("boolean"))
+    # is_holiday is 0/1 after cleaning; the metric weights need it as a boolean,
+    # and without the column every week counts as a regular week
+    flag = F.col("is_holiday").cast("boolean") if "is_holiday" in scored.columns else F.lit(False)
+    flagged = scored.withColumn("_h", flag)
     metrics = me.evaluate_model(flagged, y="label", p="prediction", holiday="_h")
     return model, feats, metrics
 
