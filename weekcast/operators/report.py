@@ -10,9 +10,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcast.functions import text as tx
 from weekcast.operators import anomaly, explore, inventory
 from weekcast.operators.stats import exact_quantiles
 from weekcast.plans.joins import join_bounded, with_scalars
@@ -84,25 +85,77 @@ def recent_trend(hist: DataFrame, weeks: int = TREND_WEEKS, date_col: str = "fea
             .drop("_nd"))
 
 
-def _rows(df: DataFrame, section: str) -> DataFrame:
-    """One-row frame -> (section, metric, value) rows."""
-    cols = df.columns
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-    return df.selectExpr(f"'{section}' AS section", f"stack({len(cols)}, {stack}) AS (metric, value)")
+def _rows(df: DataFrame, section: str, spec: list[tuple[str, Column]]) -> DataFrame:
+    """One-row frame -> (section, metric, value) text rows, one per ``spec`` entry."""
+    items = F.array(*[F.struct(F.lit(m).alias("metric"), e.cast("string").alias("value")) for m, e in spec])
+    return df.select(F.lit(section).alias("section"), F.explode(items).alias("_i")).select(
+        "section", "_i.metric", "_i.value")
+
+
+def _period(a: str, b: str) -> Column:
+    return F.concat(F.col(a).cast("string"), F.lit(" to "), F.col(b).cast("string"))
 
 
 def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None, dept: int | None = None,
                        service_level: float = inventory.DEFAULT_SERVICE_LEVEL,
                        lead_time_days: int = inventory.DEFAULT_LEAD_TIME_DAYS,
                        threshold: float = anomaly.DEFAULT_THRESHOLD) -> DataFrame:
+    """Forecast, history, trend, inventory and anomaly figures of one scope as text rows.
+
+    Values are rendered the way the original hands them over: money as
+    ``$1,234.50``, the trend as ``+1.2%``, periods as ``first to last``.
+    """
     f = explore.filter_scope(fc, store, dept)
     h = explore.filter_scope(hist, store, dept)
+    cur = tx.format_currency
+    ds = demand_summary(f)
+    hs = history_summary(h)
+    tr = recent_trend(h)
+    inv = inventory.inventory_demand(f, service_level, lead_time_days)
+    an = anomaly.anomaly_summary(h, threshold)
     parts = [
-        _rows(demand_summary(f), "forecast_summary"),
-        _rows(history_summary(h), "historical_summary"),
-        _rows(recent_trend(h), "recent_trend"),
-        _rows(inventory.inventory_demand(f, service_level, lead_time_days), "demand_analysis"),
-        _rows(anomaly.anomaly_summary(h, threshold), "anomalies"),
+        _rows(ds, "forecast_summary", [
+            ("total_predicted_weekly_sales", cur(F.col("total_predicted"))),
+            ("avg_predicted_weekly_sales", cur(F.col("avg_predicted"))),
+            ("min_predicted_weekly_sales", cur(F.col("min_predicted"))),
+            ("max_predicted_weekly_sales", cur(F.col("max_predicted"))),
+            ("forecast_period", _period("first_date", "last_date")),
+            ("num_weeks_forecasted", F.col("num_weeks")),
+            ("num_store_dept_combinations", F.col("num_series")),
+        ]),
+        _rows(hs, "historical_summary", [
+            ("avg_weekly_sales", cur(F.col("avg_weekly_sales"))),
+            ("median_weekly_sales", cur(F.col("median_weekly_sales"))),
+            ("std_weekly_sales", cur(F.col("std_weekly_sales"))),
+            ("total_historical_sales", cur(F.col("total_sales"))),
+            ("historical_date_range", _period("first_date", "last_date")),
+            ("num_historical_weeks", F.col("num_weeks")),
+        ]),
+        _rows(tr, "recent_trend", [
+            ("recent_8wk_avg", cur(F.col("recent_avg"))),
+            ("prior_8wk_avg", cur(F.col("prior_avg"))),
+            ("trend_change_pct", tx.format_pct(F.col("trend_pct"))),
+        ]),
+        _rows(inv, "demand_analysis", [
+            ("avg_weekly_demand", cur(F.col("avg_weekly_demand"))),
+            ("demand_variability_std", cur(F.col("demand_variability_std"))),
+            ("total_forecasted_demand", cur(F.col("total_forecasted_demand"))),
+            ("forecast_weeks", F.col("forecast_weeks")),
+            ("forecast_period", _period("first_date", "last_date")),
+            ("num_stores", F.col("num_stores")),
+            ("num_departments", F.col("num_departments")),
+            ("service_level_target", F.concat(F.format_number(F.col("service_level") * 100, 0), F.lit("%"))),
+            ("lead_time", F.concat(F.col("lead_time_days").cast("string"), F.lit(" days"))),
+            ("lead_time_as_weeks", F.concat(F.format_string("%.1f", F.col("lead_time_weeks")), F.lit(" weeks"))),
+        ]),
+        _rows(an, "anomalies", [
+            ("total_records", F.col("total_records")),
+            ("date_range", _period("min_date", "max_date")),
+            ("avg_sales", cur(F.col("avg_sales"))),
+            ("sales_std", cur(F.col("sales_std"))),
+            ("anomalies_found", F.col("anomalies_found")),
+            ("detection_threshold", F.format_string("%.1f", F.col("detection_threshold"))),
+        ]),
     ]
     out = parts[0]
     for p in parts[1:]:

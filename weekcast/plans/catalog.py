@@ -1248,9 +1248,89 @@ def q_store_features(spark, d):
     return out.withColumn("size_normalized", F.round("size_normalized", 6))
 
 
-@register("multi_scope_report")
+def _cur(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', {x})"
+
+
+def _period_sql(a: str, b: str) -> str:
+    return f"CAST({a} AS VARCHAR) || ' to ' || CAST({b} AS VARCHAR)"
+
+
+_REPORT_CTES = """
+fcs AS (SELECT * FROM fc WHERE store_id = 1),
+hs AS (SELECT * FROM eng WHERE store_id = 1),
+ds AS (
+  SELECT SUM(predicted_sales) AS t, AVG(CAST(predicted_sales AS DOUBLE)) AS a, MIN(predicted_sales) AS mn,
+         MAX(predicted_sales) AS mx, MIN(forecast_date) AS d0, MAX(forecast_date) AS d1,
+         COUNT(DISTINCT forecast_date) AS nw, COUNT(DISTINCT (store_id, dept_id)) AS ns FROM fcs
+),
+hsum AS (
+  SELECT AVG(CAST(weekly_sales AS DOUBLE)) AS a, quantile_cont(CAST(weekly_sales AS DOUBLE), 0.5) AS med,
+         STDDEV_SAMP(CAST(weekly_sales AS DOUBLE)) AS sd, SUM(weekly_sales) AS t, MIN(feature_date) AS d0,
+         MAX(feature_date) AS d1, COUNT(DISTINCT feature_date) AS nw FROM hs
+),
+tr AS (
+  SELECT AVG(CASE WHEN rk <= 8 THEN CAST(weekly_sales AS DOUBLE) END) AS ra,
+         AVG(CASE WHEN rk > 8 THEN CAST(weekly_sales AS DOUBLE) END) AS pa
+  FROM hs JOIN (SELECT feature_date, ROW_NUMBER() OVER (ORDER BY feature_date DESC) AS rk
+                FROM (SELECT DISTINCT feature_date FROM hs)) r USING (feature_date)
+  WHERE rk <= 16
+  HAVING (SELECT COUNT(DISTINCT feature_date) FROM hs) >= 16
+),
+inv AS (
+  SELECT AVG(m) AS am, AVG(sd) AS asd, SUM(t) AS st,
+         (SELECT COUNT(DISTINCT forecast_date) FROM fcs) AS nw,
+         (SELECT MIN(forecast_date) FROM fcs) AS d0, (SELECT MAX(forecast_date) FROM fcs) AS d1,
+         (SELECT COUNT(DISTINCT store_id) FROM fcs) AS nst, (SELECT COUNT(DISTINCT dept_id) FROM fcs) AS ndp
+  FROM (SELECT store_id, AVG(CAST(predicted_sales AS DOUBLE)) AS m, STDDEV_SAMP(CAST(predicted_sales AS DOUBLE)) AS sd,
+               SUM(CAST(predicted_sales AS DOUBLE)) AS t FROM fcs GROUP BY store_id)
+),
+anz AS (
+  SELECT CAST(SUM(weekly_sales) AS DOUBLE) / COUNT(weekly_sales) AS mu,
+         STDDEV_SAMP(CAST(weekly_sales AS DOUBLE)) AS sd FROM hs
+),
+ans AS (
+  SELECT COUNT(*) AS n, MIN(feature_date) AS d0, MAX(feature_date) AS d1, MAX(anz.mu) AS mu, MAX(anz.sd) AS sd,
+         COUNT(*) FILTER (WHERE ABS((CAST(weekly_sales AS DOUBLE) - anz.mu) / NULLIF(anz.sd, 0)) > 3.0) AS k
+  FROM hs CROSS JOIN anz
+)
+"""
+
+_REPORT_SPEC = [
+    ("forecast_summary", "ds", [
+        ("total_predicted_weekly_sales", _cur("t")), ("avg_predicted_weekly_sales", _cur("a")),
+        ("min_predicted_weekly_sales", _cur("mn")), ("max_predicted_weekly_sales", _cur("mx")),
+        ("forecast_period", _period_sql("d0", "d1")), ("num_weeks_forecasted", "CAST(nw AS VARCHAR)"),
+        ("num_store_dept_combinations", "CAST(ns AS VARCHAR)")]),
+    ("historical_summary", "hsum", [
+        ("avg_weekly_sales", _cur("a")), ("median_weekly_sales", _cur("med")), ("std_weekly_sales", _cur("sd")),
+        ("total_historical_sales", _cur("t")), ("historical_date_range", _period_sql("d0", "d1")),
+        ("num_historical_weeks", "CAST(nw AS VARCHAR)")]),
+    ("recent_trend", "tr", [
+        ("recent_8wk_avg", _cur("ra")), ("prior_8wk_avg", _cur("pa")),
+        ("trend_change_pct", "format('{:+.1f}%', (ra - pa) / pa * 100)")]),
+    ("demand_analysis", "inv", [
+        ("avg_weekly_demand", _cur("am")), ("demand_variability_std", _cur("asd")),
+        ("total_forecasted_demand", _cur("st")), ("forecast_weeks", "CAST(nw AS VARCHAR)"),
+        ("forecast_period", _period_sql("d0", "d1")), ("num_stores", "CAST(nst AS VARCHAR)"),
+        ("num_departments", "CAST(ndp AS VARCHAR)"), ("service_level_target", "'95%'"),
+        ("lead_time", "'7 days'"), ("lead_time_as_weeks", "'1.0 weeks'")]),
+    ("anomalies", "ans", [
+        ("total_records", "CAST(n AS VARCHAR)"), ("date_range", _period_sql("d0", "d1")),
+        ("avg_sales", _cur("mu")), ("sales_std", _cur("sd")), ("anomalies_found", "CAST(k AS VARCHAR)"),
+        ("detection_threshold", "'3.0'")]),
+]
+
+
+def _report_sql() -> str:
+    selects = [f"SELECT '{sec}' AS section, '{m}' AS metric, {e} AS value FROM {src}"
+               for sec, src, items in _REPORT_SPEC for m, e in items]
+    return fc_sql("\nUNION ALL\n".join(selects), _REPORT_CTES)
+
+
+@register("multi_scope_report", _report_sql())
 def q_multi_scope_report(spark, d):
-    """Rows-only: forecast, history, trend, inventory and anomaly figures for store 1 as text rows."""
+    """Forecast, history, trend, inventory and anomaly figures for the scope "store 1", as text rows."""
     return rp.multi_scope_report(forecasts(spark, d), engineered(spark, d), store=1)
 
 
