@@ -34,10 +34,10 @@ def global_ranks(df: DataFrame, order: Sequence[str], partitions: int | None = N
     folder so retries cannot reassign them, and a one-row-per-partition table
     of running counts gives each partition's offset.
     """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (df.repartitionByRange(n_parts, *order)
-              .sortWithinPartitions(*order)
+    # without an explicit count AQE may coalesce the range partitions; it only
+    # merges adjacent ranges in order, so the global order is kept
+    rp = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranked = (rp.sortWithinPartitions(*order)
               .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     ranked = materialize(ranked, "ranked")
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
