@@ -999,7 +999,9 @@ def trained(spark, d):
 
 def _trained_once(spark, d, key):
     if key not in _MODELS:
-        model, feats, metrics = mo.train_forecaster(engineered(spark, d))
+        engineered(spark, d)  # makes sure the feature table is written
+        train_rows = fs.training_scan(spark, _ENGINEERED[key])
+        model, feats, metrics = mo.train_forecaster(train_rows)
         path = mo.save_model(model, scratch_path(spark, f"models/gbt-{abs(hash(key))}"))
         _MODELS[key] = (mo.load_model(path), feats, mo.model_metadata(
             spark, metrics, mo.feature_importance(spark, model, feats),
