@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weekcast.functions import text as tx
 from weekcast.operators import anomaly, explore, inventory
 from weekcast.operators.stats import exact_quantiles
-from weekcast.plans.joins import join_bounded, with_scalars
+from weekcast.plans.joins import with_scalars
 
 MAX_STORES_BREAKDOWN = 10
 TREND_WEEKS = 8
@@ -73,7 +73,8 @@ def recent_trend(hist: DataFrame, weeks: int = TREND_WEEKS, date_col: str = "fea
     ranked = dates.select(date_col, F.row_number().over(Window.orderBy(F.col(date_col).desc())).alias("_rk"),
                           F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("_nd"))
     ranked = ranked.where(F.col("_rk") <= 2 * weeks)
-    rows = join_bounded(hist, ranked, [date_col], "inner")
+    # at most 2 * weeks rows by construction: a proven bound, broadcast directly
+    rows = hist.join(F.broadcast(ranked), [date_col], "inner")
     x = F.col("weekly_sales").cast("double")
     g = rows.agg(
         F.avg(F.when(F.col("_rk") <= weeks, x)).alias("recent_avg"),
