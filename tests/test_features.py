@@ -164,3 +164,23 @@ def test_engineer_features_blocked_path(spark):
     a = plain.select(*cols).toPandas().sort_values(cols[:3]).reset_index(drop=True)
     b = blocked.select(*cols).toPandas().sort_values(cols[:3]).reset_index(drop=True)
     assert a.equals(b)
+
+
+@pytest.mark.parametrize("block_rows", [53, 57, 104])
+def test_blocked_windows_block_sizes(spark, block_rows):
+    """Block sizes just above the halo and between: still identical to the plain windows."""
+    from weekcast.operators.series import blocked_windows
+
+    sales = _sales(spark, stores=1, depts=3, weeks=230, gaps=True, seed=block_rows)
+
+    def build(k, o):
+        return fe.lag_columns("weekly_sales", (1, 52), k, o) | fe.rolling_columns("weekly_sales", (4, 52), k, o)
+
+    key = ["store_id", "dept_id", "date"]
+    a = sales.withColumns(build(["store_id", "dept_id"], ["date"])).toPandas().sort_values(key).reset_index(drop=True)
+    b = blocked_windows(sales, ["store_id", "dept_id"], ["date"], build, halo=52,
+                        block_rows=block_rows).toPandas().sort_values(key).reset_index(drop=True)
+    assert len(a) == len(b)
+    for c in ["sales_lag_1", "sales_lag_52", "rolling_mean_4", "rolling_std_52", "rolling_min_4"]:
+        x, y = a[c].astype(float), b[c].astype(float)
+        assert ((x.isna() & y.isna()) | ((x - y).abs() < 1e-6)).all(), c
