@@ -9,15 +9,28 @@ summation (std, correlation) are rounded the same way on both sides.
 
 from __future__ import annotations
 
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekcast import schema as sc
+from weekcast.functions import text as tx
+from weekcast.operators import anomaly as an
+from weekcast.operators import explore as ex
 from weekcast.operators import features as fe
+from weekcast.operators import forecast as fo
+from weekcast.operators import inventory as inv
+from weekcast.operators import metrics as me
+from weekcast.operators import model as mo
+from weekcast.operators import quality as qa
+from weekcast.operators import report as rp
 from weekcast.plans.oracle_base import with_tables
 from weekcast.session import ONCE_LOCK, app_id, scratch_path
 from weekcast.sources import adapter
+from weekcast.sources import files as fs
+from weekcast.sources import sinks as sk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,15 +281,6 @@ def forecasts(spark, d) -> DataFrame:
 
 # ================================================================= forecasts
 
-from weekcast.operators import anomaly as an  # noqa: E402
-from weekcast.operators import explore as ex  # noqa: E402
-from weekcast.operators import forecast as fo  # noqa: E402
-from weekcast.operators import inventory as inv  # noqa: E402
-from weekcast.operators import metrics as me  # noqa: E402
-from weekcast.operators import quality as qa  # noqa: E402
-from weekcast.operators import report as rp  # noqa: E402
-from weekcast.functions import text as tx  # noqa: E402
-
 
 @register("latest_per_key", eng_sql("""
 SELECT store_id, dept_id, feature_date, weekly_sales FROM eng e
@@ -984,7 +988,6 @@ def q_scope_label(spark, d):
 
 # ================================================================= model
 
-from weekcast.operators import model as mo  # noqa: E402
 
 _MODELS: dict[tuple, tuple] = {}
 
@@ -1091,12 +1094,6 @@ def q_generate_forecasts_model(spark, d):
 
 # ================================================================= sources / sinks / streaming
 
-import uuid as _uuid  # noqa: E402
-
-from weekcast import schema as sc  # noqa: E402
-from weekcast.sources import files as fs  # noqa: E402
-from weekcast.sources import sinks as sk  # noqa: E402
-
 
 def _fresh(spark, name: str) -> str:
     return scratch_path(spark, f"io/{name}-{_uuid.uuid4().hex}")
