@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, url_filters, warc
+from . import bpe, html_text, url_filters, vectors, warc
 from .common import table
 
 #: The rules that the URL query judges by (fixed values): action, host, path.
@@ -18,12 +18,27 @@ URL_RULES = [
 ]
 
 
+#: Every row whose id is divisible by this is a query of the nearest-neighbour search.
+QUERY_STEP = 20
+
+
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every query row of ``embeddings``."""
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.col("id") % QUERY_STEP == 0)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the rule list for every url of ``pages``."""
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages`` by its host's style tree."""
+    texts = html_text.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded to byte-level BPE ids and decoded again."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,7 +51,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_permutation_index": op2_permutation_index,
     "op3_url_filters": op3_url_filters,
+    "op5_html_text": op5_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
