@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html_text, url_filters, vectors, warc
+from . import bpe, html_text, line_dedup, near_documents, url_filters, vectors, warc
 from .common import table
 
 #: The rules that the URL query judges by (fixed values): action, host, path.
@@ -18,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every row of ``documents``."""
+    return near_documents.classes(table(spark, sf_dir, "documents"))
+
+
 #: Every row whose id is divisible by this is a query of the nearest-neighbour search.
 QUERY_STEP = 20
 
@@ -33,6 +38,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of ``documents`` with one line kept of every component of like lines."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every row of ``pages`` by its host's style tree."""
     texts = html_text.extract(table(spark, sf_dir, "pages"))
@@ -51,8 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_prob_minhash": op1_prob_minhash,
     "op2_permutation_index": op2_permutation_index,
     "op3_url_filters": op3_url_filters,
+    "op4_line_dedup": op4_line_dedup,
     "op5_html_text": op5_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
