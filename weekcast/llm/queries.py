@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html_text, line_dedup, near_documents, url_filters, vectors, warc
+from . import bpe, decontamination, html_text, line_dedup, near_documents, url_filters, vectors, warc
 from .common import table
 
 #: The rules that the URL query judges by (fixed values): action, host, path.
@@ -49,6 +49,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of ``benchmark`` items, and which."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded to byte-level BPE ids and decoded again."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_text": op5_html_text,
+    "op6_qgram_lemma": op6_qgram_lemma,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
