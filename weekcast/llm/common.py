@@ -88,22 +88,38 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(256, dtype=np.uint64))
+
+
+class Spans:
+    """Runs of marked characters of a text (its code points), and hashes of them."""
+
+    def __init__(self, codes: np.ndarray, marked: np.ndarray):
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).view(np.int8)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        n = len(codes)
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(mix(codes.astype(np.uint64)) * _powers(_BASE, n)[:n], out=self.sums[1:])
+        self.back = _powers(_INVERSE, n)
+
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each run, or of the first ``longest`` characters of those that have more."""
+        starts, ends = self.starts, self.ends
+        if longest is not None:
+            starts = starts[ends - starts > longest]
+            ends = starts + longest
+        tag = (ends - starts).astype(np.uint64) + np.uint64(0 if longest is None else 1 << 40)
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] ^ tag)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One 64-bit hash per word of a text whose words are split by single spaces (no space at the ends)."""
-    if not text:
-        return np.empty(0, np.uint64)
     raw = np.frombuffer(text, np.uint8)
-    n = len(raw)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[raw] * _powers(_BASE, n)[:n], out=sums[1:])
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [n]))
-    back = _powers(_INVERSE, n)[starts]
-    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
+    return Spans(raw, raw != 32).hashes()
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, html_text, line_dedup, near_documents, url_filters, vectors, warc
+from . import bpe, decontamination, html_text, line_dedup, near_documents, quality, url_filters, vectors, warc
 from .common import table
 
 #: The rules that the URL query judges by (fixed values): action, host, path.
@@ -54,6 +54,12 @@ def op6_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of the quality classifier for every row of ``documents``."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.scored(docs, quality.fit(docs, labels))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded to byte-level BPE ids and decoded again."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_html_text": op5_html_text,
     "op6_qgram_lemma": op6_qgram_lemma,
+    "op7_weak_labels": op7_weak_labels,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
