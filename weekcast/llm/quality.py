@@ -32,10 +32,10 @@ from .common import Spans, code_points, mix, slices, written
 SAMPLE, FEATURES = 12_000, 6_000_000
 LEXICON = 2_000
 BUCKETS = 1 << 20
-ROUNDS = 80
+ROUNDS = 120
 KEEP = 0.5
 #: A bucket seen in fewer sample documents has no weight; shrinkage of the weights per step.
-LEAST_SEEN, SHRINK = 5, 3e-3
+LEAST_SEEN, SHRINK = 5, 2e-3
 #: A lexicon entry occurs in so many toxic sample documents and so many times as often as in clean ones;
 #: the lexicon votes bad on documents with so many entries (a word counts with its beginnings).
 LEXICON_SEEN, LEXICON_RATIO, LEXICON_HITS = 5, 40.0, 2
