@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, html_text, line_dedup, near_documents, quality, url_filters, vectors, warc
+from . import bpe, decontamination, html_text, licenses, line_dedup, near_documents, quality, url_filters, vectors, warc
 from .common import table
 
 #: The rules that the URL query judges by (fixed values): action, host, path.
@@ -60,6 +60,11 @@ def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, labels))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in ``documents``."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded to byte-level BPE ids and decoded again."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_qgram_lemma": op6_qgram_lemma,
     "op7_weak_labels": op7_weak_labels,
+    "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
