@@ -13,8 +13,8 @@ Templates are a small table that is collected and broadcast; more than ``MOST_SH
 shingles are refused. Documents aren't shuffled but for their matches.
 
 Defined cases: null and empty texts and those shorter than a shingle match nothing, nor do such
-templates; rows with a null id take no part; rows that repeat an id are one document; of notices in one window that share all that is found
-of the weaker, the one held to the greater share is reported, all of them if tied; a template that
+templates; rows with a null id take no part; rows that repeat an id are one document; of notices in overlapping windows the weaker whose found shingles
+all belong to the better is not reported, and all are if tied; a template that
 comes twice under one name counts once; without templates or documents the result is empty; other
 columns are ignored.
 """
@@ -30,6 +30,7 @@ CONTAINMENT = 0.8
 BANDS = 32
 LEAST_WINDOW = 4
 MOST_SHINGLES = 200_000
+CELL = 64
 
 #: Notices that are looked for (fixed values): name and text.
 TEMPLATES = [
@@ -121,13 +122,21 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
     shared = F.array_intersect("own", "own_window")
     pairs = bands.join(F.broadcast(keys), ["window", "band", "value"]).withColumn("shared", shared)
     pairs = pairs.withColumn("containment", F.size("shared") / F.size("own")).where(F.col("containment") >= CONTAINMENT)
-    # a weaker match whose shingles all belong to a better one in the same window is that one, misread
-    held = pairs.groupBy("id", "row", "window", "start").agg(F.collect_set(F.struct("license", "containment", "own", "shared")).alias("held"))
-
-    def stands(m: Column) -> Column:
-        return ~F.exists("held", lambda o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["shared"], o["own"])) == 0))
-
-    best = held.select("id", "row", "window", "start", F.explode(F.filter("held", stands)).alias("m"))
-    return best.groupBy(F.col("id").alias(id_col), F.col("m.license").alias("license")).agg(
-        F.max("m.containment").alias("containment"), F.countDistinct("row", "window", "start").alias("n_windows"), F.min("start").alias("first_word")
+    # a weaker match whose shingles all belong to a better one in an overlapping window is that one,
+    # misread; overlapping windows meet in a cell of words
+    cells = F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("window") - 1) / CELL))
+    match = F.struct("license", "containment", "own", "shared", "window", "start")
+    held = pairs.withColumn("cell", F.explode(cells)).groupBy("id", "row", "cell").agg(F.collect_set(match).alias("held"))
+
+    def judged(m: Column) -> Column:
+        better = F.exists("held", lambda o: (
+            (o["containment"] > m["containment"]) & (o["start"] < m["start"] + m["window"]) & (m["start"] < o["start"] + o["window"])
+            & (F.size(F.array_except(m["shared"], o["own"])) == 0)
+        ))
+        return F.struct(m["license"].alias("license"), m["containment"].alias("containment"), F.xxhash64(m["own"]).alias("notice"), m["window"].alias("window"), m["start"].alias("start"), better.alias("beaten"))
+
+    each = held.select("id", "row", F.explode(F.transform("held", judged)).alias("m")).select("id", "row", "m.*")
+    best = each.groupBy("id", "row", "license", "notice", "window", "start").agg(F.max("containment").alias("containment"), F.max("beaten").alias("beaten"))
+    return best.where("NOT beaten").groupBy(F.col("id").alias(id_col), "license").agg(
+        F.max("containment").alias("containment"), F.countDistinct("row", "window", "start").alias("n_windows"), F.min("start").alias("first_word")
     )
