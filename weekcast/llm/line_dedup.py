@@ -161,7 +161,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keepers = written(uses.groupBy("component").agg(F.min("first").alias("keeper")), "line-keepers")
     nodes = written(uses.join(keepers, "component").select("node", "component", "keeper"), "line-nodes")
     found = written(lines.select("doc", "node").join(nodes, "node").distinct(), "line-decisions")
-    for old in (lines, members, texts, links, uses, keepers, nodes):
+    for old in (lines, members, texts, links, named, uses, keepers, nodes):
         dropped(old)
     return found
 
@@ -186,8 +186,9 @@ def _without(text: str | None, repeats: dict[int, tuple[int, bool]]) -> tuple[st
     return ("\n".join(kept) if gone else text), n, gone
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one line kept per component, and ``n_lines`` and ``n_dropped`` of each row."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The rows of ``docs`` with one line kept per component, and of each row how many lines there were and
+    were dropped, under the names ``counts`` (unless the rows have such columns)."""
     found = decisions(docs, id_col, text_col)
     per_doc = found.groupBy("doc").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.collect_list(F.col("keeper") == F.col("doc")).alias("mine")
@@ -210,4 +211,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     done = rows.mapInArrow(run, f"row {row_type}, text string, n_lines int, n_dropped int")
     columns = [F.col("text").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return done.select(*columns, *[F.col(c) for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    return done.select(*columns, *[F.col(c).alias(name) for c, name in zip(("n_lines", "n_dropped"), counts) if name not in docs.columns])

@@ -76,7 +76,7 @@ def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands"
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
+    """The written ``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
 
     Alternating large-star and small-star steps; every step is a written table, so a lost executor
     costs at most one step. Ends when a round changes no edge.
@@ -100,7 +100,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = now
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).unionByName(roots.select("node", F.col("node").alias("class_id")))
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
+    found = written(leaves.unionByName(roots.select("node", F.col("node").alias("class_id"))), "classes")
+    dropped(edges)
+    return found
 
 
 def _paired(a: str, b: str) -> list[Column]:
@@ -122,12 +125,13 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     links = written(verify(tested), "links")
     dropped(first)
     for turn in range(1, PIVOT_ROUNDS + 2):
-        classes = written(components(links), "classes")
+        classes = components(links)
         owned = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"))
         parts = owned.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
         parts = written(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")), "mixed")
         left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
         if not left[0]:
+            dropped(classes)
             break
         mixed = written(owned.join(parts.select("bucket", "main"), "bucket"), "mixed-members")
         last = turn > PIVOT_ROUNDS or left[1] <= PAIRS_PER_MEMBER * left[0]
@@ -140,10 +144,12 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
             new = mixed.join(chosen, "bucket").where("class_id <> of").select(*_paired("node", "pivot"))
         new = written(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(verify(new), "links")
+        old = [classes, parts, mixed, links, more, tested, new]
         links = written(links.unionByName(more), "links")
         tested = written(tested.unionByName(new), "pairs")
-        for old in (classes, parts, mixed):
-            dropped(old)
+        for table in old:
+            dropped(table)
         if last:
             break
+    dropped(tested)
     return links

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import linking
-from .common import normalised, shingle_hashes, slices, word_hashes, written
+from .common import dropped, normalised, shingle_hashes, slices, word_hashes, written
 from .sketches import bands, prob_minhash
 
 SHINGLE = 5
@@ -140,6 +140,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = linking.components(links.unionByName(tied.select("a", "b")))
     of_text = texts.select("text_key", "node").join(named, "node", "left").select("text_key", F.coalesce("class_id", "node").alias("class_id"))
     of_text = written(of_text, "doc-classes")
+    for old in (texts, members, weights, links, named):
+        dropped(old)
     found = made.select("id", "text_key").join(of_text, "text_key", "left")
     kind = docs.schema[id_col].dataType
     found = found.select(F.col("id").cast(kind).alias(id_col), F.coalesce("class_id", "id").cast(kind).alias("class_id"))
