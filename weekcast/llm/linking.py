@@ -1,7 +1,7 @@
 """From band buckets to verified links and classes, without all pairs of a bucket and without collecting.
 
 ``linked`` finds the classes that all similar pairs sharing a bucket would make: members are checked
-against one pivot per bucket (a different one in each of a group's buckets), classes are formed, and
+against two pivots per bucket (different ones in each of a group's buckets), classes are formed, and
 only buckets that still hold more than one class are looked at again: first with new pivots, then
 every pair of members of different classes is checked once. Pairs within a class need no check, so
 a large group of near copies costs a few checks per member. Nothing depends on a cap: the last step
@@ -24,9 +24,9 @@ from .common import dropped, written
 #: Words of 64 bits in a membership filter: its size is fixed (8 MB); more keys only make it prune less.
 FILTER_WORDS = 1 << 20
 #: Rounds of new pivots for buckets that hold several classes, before their pairs are listed.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 3
 #: The pairs are listed as soon as there are no more than so many per membership.
-PAIRS_PER_MEMBER = 4
+PAIRS_PER_MEMBER = 16
 
 
 def filter_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -110,24 +110,31 @@ def _paired(a: str, b: str) -> list[Column]:
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The written links (a, b and what ``verify`` adds) that connect all similar pairs sharing a bucket.
+    """The links (a, b) that connect all similar pairs sharing a bucket, as a union of written tables.
 
     ``members`` is a table of distinct (bucket, node); ``verify`` gives the links among pairs (a, b).
     """
-    def pivots(rows: DataFrame, turn: int) -> DataFrame:
-        by = F.xxhash64("bucket", F.lit(turn))
-        return rows.groupBy("bucket").agg(F.min(_stirred("node", by)).alias("x")).select("bucket", _stirred("x", by).alias("pivot"))
-
-    first = written(pivots(members, 0), "pivots")
-    pairs = members.join(first, "bucket").where("node <> pivot").select(*_paired("node", "pivot")).distinct()
-    tested = written(pairs, "pairs")
-    links = written(verify(tested), "links")
-    dropped(first)
+    def union(tables: list[DataFrame]) -> DataFrame:
+        whole = tables[0]
+        for table in tables[1:]:
+            whole = whole.unionByName(table)
+        return whole
+
+    # every member against the first and the last of its bucket, in an order of the bucket's own
+    x = _stirred("node", F.xxhash64("bucket"))
+    ends = written(members.groupBy("bucket").agg(F.min(x).alias("x"), F.max(x).alias("y")), "pivots")
+    pivot = F.explode(F.array(_stirred("x", F.xxhash64("bucket")), _stirred("y", F.xxhash64("bucket"))))
+    pairs = members.join(ends, "bucket").withColumn("pivot", pivot).where("node <> pivot").select(*_paired("node", "pivot"))
+    tested = [written(pairs.distinct(), "pairs")]
+    links = [written(verify(tested[0]), "links")]
+    dropped(ends)
     for turn in range(1, PIVOT_ROUNDS + 2):
-        classes = components(links)
+        classes = components(union(links))
         owned = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"))
-        parts = owned.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
-        parts = written(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")), "mixed")
+        parts = owned.groupBy("bucket", "class_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("k")
+        )
+        parts = written(parts.where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")), "mixed")
         left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
         if not left[0]:
             dropped(classes)
@@ -139,16 +146,16 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
             minor = mixed.where("class_id <> main")
             new = minor.join(other, "bucket").where("class_id <> class2 AND (class2 = main OR node < node2)").select(*_paired("node", "node2"))
         else:
-            chosen = written(pivots(mixed, turn).join(classes.select(F.col("node").alias("pivot"), F.col("class_id").alias("of")), "pivot", "left").select("bucket", "pivot", F.coalesce("of", "pivot").alias("of")), "pivots")
+            by = F.xxhash64("bucket", F.lit(turn))
+            least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), F.col("class_id"))).alias("p"))
+            chosen = written(least.select("bucket", _stirred("p.x", by).alias("pivot"), F.col("p.class_id").alias("of")), "pivots")
             new = mixed.join(chosen, "bucket").where("class_id <> of").select(*_paired("node", "pivot"))
-        new = written(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verify(new), "links")
-        old = [classes, parts, mixed, links, more, tested, new]
-        links = written(links.unionByName(more), "links")
-        tested = written(tested.unionByName(new), "pairs")
-        for table in old:
-            dropped(table)
+        tested.append(written(new.distinct().join(union(tested), ["a", "b"], "left_anti"), "pairs"))
+        links.append(written(verify(tested[-1]), "links"))
+        for old in (classes, parts, mixed):
+            dropped(old)
         if last:
             break
-    dropped(tested)
-    return links
+    for old in tested:
+        dropped(old)
+    return union(links)
