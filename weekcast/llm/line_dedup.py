@@ -31,9 +31,10 @@ from .sketches import bands, minhash
 
 SHINGLE = 7
 THRESHOLD = 0.8
-#: Registers of a sketch and registers per band: lines of similarity 0.8 share none of the 10 bands with a
-#: chance of (1 - 0.8**4)**10, 0.5 in a hundred; at 0.85 it is 6 in ten thousand.
-REGISTERS, BAND_ROWS = 40, 4
+#: Registers of a sketch and registers per band: lines of similarity 0.8 share none of the 12 bands with a
+#: chance of (1 - 0.8**5)**12, 0.8 in a hundred; at 0.85 it is 1 in a thousand. Unlike lines of one language
+#: share some shingles: five rows keep their chance collisions rare.
+REGISTERS, BAND_ROWS = 60, 5
 #: Lines that a task remembers, so that copies are sketched once (saves work only).
 REMEMBERED = 200_000
 
@@ -170,12 +171,14 @@ def _without(text: str | None, repeats: dict[int, tuple[int, bool]]) -> tuple[st
     """The text without the lines that are kept elsewhere; its lines (blank ones not counted) and those dropped."""
     if text is None:
         return None, 0, 0
+    if not repeats:
+        return text, sum(not x.isspace() for x in text.split("\n") if x), 0
     kept, told, n, gone = [], set(), 0, 0
     for line in text.split("\n"):
         key = line_key(line)
         if key:
             n += 1
-            decided = repeats.get(fingerprint(key)) if repeats else None
+            decided = repeats.get(fingerprint(key))
             if decided is not None:
                 component, mine = decided
                 if not mine or component in told:
