@@ -156,16 +156,6 @@ def test_blocked_windows_match_plain(spark):
             assert (x.astype(str) == y.astype(str)).all(), c
 
 
-def test_engineer_features_blocked_path(spark):
-    sales = _sales(spark, gaps=True)
-    plain = fe.engineer_features(sales, _features(spark, drop_every=5), _stores(spark), max_series_rows=None)
-    blocked = fe.engineer_features(sales, _features(spark, drop_every=5), _stores(spark), max_series_rows=1)
-    cols = ["store_id", "dept_id", "feature_date", "sales_lag_52", "rolling_mean_13", "rolling_max_4"]
-    a = plain.select(*cols).toPandas().sort_values(cols[:3]).reset_index(drop=True)
-    b = blocked.select(*cols).toPandas().sort_values(cols[:3]).reset_index(drop=True)
-    assert a.equals(b)
-
-
 @pytest.mark.parametrize("block_rows", [53, 57, 104])
 def test_blocked_windows_block_sizes(spark, block_rows):
     """Block sizes just above the halo and between: still identical to the plain windows."""

@@ -69,11 +69,36 @@ def test_stream_ingest(spark):
             (1, 1, "2024-01-05", "99.00", "false")]  # the last repeats a key
     df = spark.createDataFrame(rows, "store_id int, dept_id int, date string, weekly_sales string, is_holiday string")
     df.coalesce(1).write.option("header", True).csv(f"{landing}/a")
-    spark.createDataFrame([], sc.RAW_SALES).write.parquet(table)
     q = ingest_sales(spark, f"{landing}/*", table, f"{base}/rejects", f"{base}/ckpt")
     q.awaitTermination()
-    assert spark.read.parquet(table).count() == 1  # the repeated key rejects both rows in that batch
-    assert spark.read.parquet(f"{base}/rejects").count() == 2
+    assert spark.read.parquet(table).count() == 2  # one of the repeated key's rows stays
+    assert [float(r.weekly_sales) for r in spark.read.parquet(f"{base}/rejects").collect()] == [99.0]
+
+
+def test_unique_append_accounts_for_every_row(spark):
+    from weekcast.sources import sinks as sk
+
+    rows = [(1, "a", 5), (1, "a", 4), (1, "a", 4), (2, "b", 1), (None, "c", 1), (None, "c", 1), (3, "d", 9)]
+    df = spark.createDataFrame(rows, "k int, t string, v int")
+    old = spark.createDataFrame([(3, "x", 0), (None, "c", 0)], "k int, t string, v int")
+    ok, no = sk.split_unique(df, old, ["k"])
+    assert sorted(map(str, ok.collect())) == sorted(map(str, spark.createDataFrame([(1, "a", 4), (2, "b", 1), (None, "c", 1), (None, "c", 1)], df.schema).collect()))
+    assert ok.count() + no.count() == len(rows)
+
+
+def test_unique_append_prunes_months_and_replays(spark):
+    from weekcast.sources import sinks as sk
+
+    base = _tmp()
+    table, rejects = f"{base}/t", f"{base}/r"
+    df = spark.sql("SELECT int(id % 3) AS k, date_add(DATE'2024-01-01', int(id)) AS date, id AS v FROM range(120)")
+    sk.append_unique(df.where("v < 60"), table, ["k", "date"], "date", rejects, "one")
+    second = df.where("v >= 50").withColumn("v", F.col("v") + 1000)
+    for _ in range(2):
+        sk.append_unique(second, table, ["k", "date"], "date", rejects, "two")
+        assert sk.scan_unique(spark, table).count() == 120 and sk.scan_unique(spark, rejects).count() == 10
+    plan = spark.read.parquet(table).where("_month BETWEEN 'm2024-02' AND 'm2024-03'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_month" in plan
 
 
 def test_text_functions(spark):
@@ -88,7 +113,14 @@ def test_text_functions(spark):
                     "Markdown Features", "Store Features", "Other", "Other"]
     m = spark.range(1).select(tx.format_currency(F.lit(1234567.5)).alias("a"), tx.format_pct(F.lit(1.25)).alias("b"),
                               tx.scope_label(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("c")).collect()[0]
-    assert m.a == "$1,234,567.50" and m.b.startswith("+1.") and m.c == "All stores and departments"
+    assert m.a == "$1,234,567.50" and m.b == "+1.2%" and m.c == "All stores and departments"
+
+
+def test_percent_rounds_as_python_does(spark):
+    xs = [1.25, 0.25, -0.35, 0.35, -0.25, 2.5, 0.05, -0.05, 1234.55, 0.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r.p for r in df.select(tx.format_pct(F.col("x")).alias("p")).collect()] == [f"{x:+.1f}%" for x in xs]
+    assert [r.p for r in df.select(tx.format_fixed(F.col("x")).alias("p")).collect()] == [f"{x:.1f}" for x in xs]
 
 
 def test_quality_checks(spark):

@@ -68,8 +68,13 @@ def test_train_score_save_load(spark):
     assert "is_holiday" in feats and "store_id" not in feats and "weekly_sales" not in feats
     m = metrics.first()
     assert m.n > 0 and m.wmae >= 0 and m.rmse >= m.mae
-    scored = mo.score(model, df.drop("temperature"), feats)  # a missing feature is 0
-    assert scored.count() == df.count() - 4
+    # every row is predicted, also without a target, with NULL inputs or with a feature missing
+    scored = mo.score(model, df.drop("temperature"))
+    assert scored.count() == df.count() and scored.where("prediction IS NULL").count() == 0
+    blank = df.withColumns({"weekly_sales": F.lit(None).cast("double"), "sales_lag_1": F.lit(None).cast("double"), "rolling_mean_4": F.lit(None).cast("double")})
+    assert mo.score(model, blank).count() == df.count()
+    assert mo.score(model, df.drop("weekly_sales")).columns == [*[c for c in df.columns if c != "weekly_sales"], "prediction"]
+    assert mo.model_features(model) == feats
     path = os.path.join(tempfile.mkdtemp(prefix="weekcast-model-"), "m")
     loaded = mo.load_model(mo.save_model(model, path))
     a = sorted(r.prediction for r in mo.score(model, df, feats).collect())
@@ -78,11 +83,17 @@ def test_train_score_save_load(spark):
     imp = mo.feature_importance(spark, model, feats)
     meta = mo.model_metadata(spark, metrics, imp, run_id="r1")
     share = mo.importance_share(meta).collect()
-    assert abs(sum(r.importance_pct for r in share) - 100) < 1e-6 or len(share) == 20
+    assert abs(sum(r.importance_pct for r in share) - 100) < 1e-6 
     cats = {r.category for r in mo.importance_by_category(meta).collect()}
     assert cats <= {"Lag Features", "Rolling Statistics", "Temporal Features", "Economic Indicators",
                     "Markdown Features", "Store Features", "Other"}
     assert mo.latest_model(meta).first().run_id == "r1"
+    table = os.path.join(tempfile.mkdtemp(prefix="weekcast-meta-"), "t")
+    mo.append_metadata(meta, table)
+    later = mo.model_metadata(spark, metrics, imp, run_id="r2", training_date=dt.datetime(2999, 1, 1))
+    mo.append_metadata(later, table)
+    stored = spark.read.parquet(table)
+    assert stored.count() == 2 and mo.latest_model(stored).first().run_id == "r2"
 
 
 def test_train_without_holiday_column(spark):

@@ -16,8 +16,7 @@ def test_exact_quantiles_hot_group(spark):
     rnd = random.Random(7)
     rows = [(0 if rnd.random() < 0.4 else rnd.randint(1, 5), rnd.gauss(0, 10)) for _ in range(3000)]
     df = spark.createDataFrame(rows, "g int, x double")
-    got = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], by=["g"], partitions=7,
-                                           max_buffered_group=0).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], by=["g"]).collect()}
     for g in range(6):
         xs = np.array([x for k, x in rows if k == g])
         for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
@@ -26,7 +25,7 @@ def test_exact_quantiles_hot_group(spark):
 
 def test_exact_quantiles_global(spark):
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 4]], "x double")
-    r = exact_quantiles(df, "x", [0.5, 0.1], max_buffered_group=0).collect()[0]
+    r = exact_quantiles(df, "x", [0.5, 0.1]).collect()[0]
     assert r.q50 == 3 and r.q10 == pytest.approx(1.4)
 
 
@@ -59,12 +58,23 @@ def test_forecast_grid_and_interval(spark):
     assert [float(r.confidence_score) for r in fc[:3]] == [0.85, 0.83, 0.81]
 
 
-def test_exact_quantiles_paths_agree(spark):
+def test_exact_quantiles_against_numpy_with_ties_nulls_and_outliers(spark):
     rnd = random.Random(11)
-    rows = [(rnd.randint(0, 3), rnd.gauss(0, 5)) for _ in range(2000)]
+    rows = [(rnd.choice([None, 0, 1, 2]), rnd.choice([7.0, 7.0, rnd.gauss(0, 5), 1e12, None])) for _ in range(2000)] + [(9, 3.0), (8, None)]
     df = spark.createDataFrame(rows, "g int, x double")
-    a = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.9], by=["g"]).collect()}
-    b = {r.g: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.9], by=["g"], max_buffered_group=0).collect()}
-    for g in a:
-        for n in ("q25", "q50", "q90"):
-            assert getattr(a[g], n) == pytest.approx(getattr(b[g], n), abs=1e-9)
+    got = {r.g: r for r in exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0], by=["g"]).collect()}
+    assert set(got) == {None, 0, 1, 2, 9}
+    for g, r in got.items():
+        xs = np.array([x for k, x in rows if k == g and x is not None])
+        for name, q in (("q00", 0.0), ("q25", 0.25), ("q50", 0.5), ("q90", 0.9), ("q100", 1.0)):
+            assert getattr(r, name) == pytest.approx(np.quantile(xs, q), rel=1e-9, abs=1e-9)
+    empty = exact_quantiles(df.limit(0), "x", [0.5]).collect()
+    assert len(empty) == 1 and empty[0].q50 is None
+
+
+def test_equal_values_do_not_meet_as_rows(spark):
+    """A value that every row has is one counted row after the map-side aggregation."""
+    df = spark.range(0, 50_000, 1, 8).selectExpr("1 AS g", "5.0D AS x")
+    plan = exact_quantiles(df, "x", [0.5], by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    assert exact_quantiles(df, "x", [0.5], by=["g"]).first().q50 == 5.0

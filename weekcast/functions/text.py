@@ -36,8 +36,18 @@ def format_currency(x: Column, digits: int = 2) -> Column:
 
 
 def format_pct(x: Column, digits: int = 1) -> Column:
-    """Signed percentage such as ``+1.2%``."""
-    return F.format_string(f"%+.{digits}f%%", x)
+    """Signed percentage such as ``+1.2%``; ties go to the even digit, as Python formats them."""
+    places = "0." + "0" * digits if digits else "0"
+    return F.concat(_formatted(x, f"+{places};-{places}"), F.lit("%"))
+
+
+def format_fixed(x: Column, digits: int = 1) -> Column:
+    """Fixed decimals without separators; ties go to the even digit."""
+    return _formatted(x, "0." + "0" * digits if digits else "0")
+
+
+def _formatted(x: Column, pattern: str) -> Column:
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
 
 
 def categorize_feature(name: Column) -> Column:

@@ -2,20 +2,18 @@
 series, forecast roll-ups, distributions, pivots, correlations, top-N lists.
 
 All are aggregates with map-side partial aggregation or filters pushed to the
-Parquet scan. The only value list that reaches the driver is the heatmap's
-store ids (the pivot columns), which is bounded by the stores dimension.
+Parquet scan.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.operators.stats import MAX_BUFFERED_GROUP, exact_quantiles
+from weekcast.operators.stats import exact_quantiles
 from weekcast.plans.joins import with_scalars
 
 
@@ -32,7 +30,7 @@ def filter_scope(df: DataFrame, store: int | None = None, dept: int | None = Non
 
 
 def explore_filter(df: DataFrame, start, end, stores: Sequence[int] = (), depts: Sequence[int] = (),
-                   date_col: str = "feature_date", limit: int | None = 10000) -> DataFrame:
+                   date_col: str = "feature_date", limit: int | None = None) -> DataFrame:
     """Rows with date BETWEEN start AND end, store / dept IN lists (empty = all), newest first.
 
     With ``limit`` this is a top-N (``TakeOrderedAndProject``: each task keeps
@@ -156,7 +154,7 @@ def sales_by_store_week(df: DataFrame, date_col: str = "feature_date") -> DataFr
     return df.groupBy(date_col, "store_id").agg(F.sum("weekly_sales").alias("weekly_sales"))
 
 
-def avg_by_store_dept(df: DataFrame, limit: int | None = 100) -> DataFrame:
+def avg_by_store_dept(df: DataFrame, limit: int | None = None) -> DataFrame:
     out = (df.groupBy("store_id", "dept_id")
            .agg(F.avg(F.col("weekly_sales").cast("double")).alias("avg_sales"))
            .orderBy("store_id", "dept_id"))
@@ -188,31 +186,30 @@ def sales_histogram(df: DataFrame, col: str = "weekly_sales", bins: int = 50) ->
     )
 
 
-def box_summary(df: DataFrame, by: Sequence[str], col: str = "weekly_sales",
-                max_buffered_group: int | None = MAX_BUFFERED_GROUP) -> DataFrame:
+def box_summary(df: DataFrame, by: Sequence[str], col: str = "weekly_sales") -> DataFrame:
     """Five-number summary per group (exact quartiles, linear interpolation) and row count."""
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"],
-                        max_buffered_group=max_buffered_group)
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
     x = F.col(col).cast("double")
     mm = df.groupBy(*by).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
     return mm.join(q, list(by), "left").select(*by, "min", "q1", "median", "q3", "max", "n")
 
 
-def store_dept_heatmap(df: DataFrame, stores: Sequence[int] | DataFrame) -> DataFrame:
-    """Mean sales per (dept, store), stores as columns ``store_<id>``; absent cells NULL.
+def store_dept_heatmap(df: DataFrame, stores: Sequence[int]) -> DataFrame:
+    """Mean sales per (dept, store), the given stores as columns ``store_<id>``; absent cells NULL.
 
-    Pivot values are passed explicitly (saves the distinct-values job); a
-    DataFrame of store ids is accepted and read through a small distinct.
+    The columns are the caller's choice; ``store_dept_means`` is the long form for any number of stores.
     """
-    if isinstance(stores, DataFrame):
-        ids = sorted(r[0] for r in stores.select("store_id").distinct().collect())
-    else:
-        ids = list(stores)
+    ids = list(stores)
     p = (df.groupBy("dept_id").pivot("store_id", ids)
          .agg(F.avg(F.col("weekly_sales").cast("double"))))
     return p.select("dept_id", *[F.col(str(i)).alias(f"store_{i}") for i in ids])
 
 
+def store_dept_means(df: DataFrame) -> DataFrame:
+    """Mean sales per (dept, store), one row per cell that has rows."""
+    return df.groupBy("dept_id", "store_id").agg(F.avg(F.col("weekly_sales").cast("double")).alias("avg_sales"))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation for every ordered pair of ``cols`` (pairwise-complete rows), long form.
 
@@ -248,10 +245,6 @@ def last_n_weeks(weekly: DataFrame, n: int = 20, date_col: str = "feature_date")
     return weekly.orderBy(F.col(date_col).desc()).limit(n)
 
 
-def latest_row(df: DataFrame, order_col: str, tie: Sequence[str] = ()) -> DataFrame:
-    return df.orderBy(F.col(order_col).desc(), *tie).limit(1)
-
-
 # --------------------------------------------------------------------------- set operations
 
 def replicate_rows(df: DataFrame, times: int) -> DataFrame:
@@ -270,7 +263,3 @@ def history_and_forecast(history: DataFrame, fc_weekly: DataFrame) -> DataFrame:
                          F.col("lower_bound").cast("double").alias("lower"),
                          F.col("upper_bound").cast("double").alias("upper"))
     return h.unionByName(f)
-
-
-def to_date_lit(x) -> Column:
-    return F.lit(x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x)))

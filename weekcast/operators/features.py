@@ -21,9 +21,9 @@ all of them. A series holds one row per week ((store, dept, date) is unique,
 see ``quality.duplicate_keys``), so a window partition is bounded by the
 calendar, not by the data volume. Store-level values (changes, store means,
 one-hot, size z-score) are computed on a (store, week) table that is one row
-per store-week, then joined to the rows once, broadcast only after a size check.
-If one series is longer than ``max_series_rows`` the windows switch to exact
-overlapping blocks (``operators.series``).
+per store-week, then joined to the rows once; Spark picks the join by measured
+size. For frames whose series are not bounded so, ``operators.series`` has the
+same windows over exact overlapping blocks.
 """
 
 from __future__ import annotations
@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import temporal_columns
-from weekcast.operators.series import DEFAULT_MAX_SERIES_ROWS, series_windows
-from weekcast.plans.joins import join_bounded, with_scalars
+from weekcast.plans.joins import with_scalars
 from weekcast.schema import MARKDOWNS
 
 SERIES = ("store_id", "dept_id")
@@ -95,25 +94,17 @@ def rolling_columns(target: str = "weekly_sales", windows: Sequence[int] = WINDO
     return out
 
 
-def _halo(lags: Sequence[int] = (), windows: Sequence[int] = (), closed: str = "right") -> int:
-    """How many earlier rows the lags / rolling frames reach back."""
-    back = [*lags, *[(n - 1) if closed == "right" else n for n in windows]]
-    return max(back) if back else 0
-
-
 def lag_features(df: DataFrame, lags: Sequence[int] = LAGS, target: str = "weekly_sales",
                  keys: Sequence[str] = SERIES, order: Sequence[str] = ("date",),
-                 prefix: str = "sales_lag_", max_series_rows: int | None = None) -> DataFrame:
-    """Row lags per series; ``max_series_rows`` enables the long-series check (``series.series_windows``)."""
-    return series_windows(df, keys, order, lambda k, o: lag_columns(target, lags, k, o, prefix),
-                          _halo(lags), max_series_rows)
+                 prefix: str = "sales_lag_") -> DataFrame:
+    """Row lags per series."""
+    return df.withColumns(lag_columns(target, lags, keys, order, prefix))
 
 
 def rolling_features(df: DataFrame, windows: Sequence[int] = WINDOWS, target: str = "weekly_sales",
                      keys: Sequence[str] = SERIES, order: Sequence[str] = ("date",),
-                     closed: str = "right", max_series_rows: int | None = None) -> DataFrame:
-    return series_windows(df, keys, order, lambda k, o: rolling_columns(target, windows, k, o, closed),
-                          _halo(windows=windows, closed=closed), max_series_rows)
+                     closed: str = "right") -> DataFrame:
+    return df.withColumns(rolling_columns(target, windows, keys, order, closed))
 
 
 # --------------------------------------------------------------------------- W5-W6
@@ -142,7 +133,7 @@ def economic_features(df: DataFrame, store: str = "store_id", date: str = "date"
         *[F.lag(f"_last_{c}").over(wd).alias(f"_prev_{c}") for c in change_cols],
         F.try_divide(F.sum("_dsum").over(ws).cast("double"), F.sum("_dcnt").over(ws)).alias("_dmean"),
     )
-    out = join_bounded(df, day, [store, date], "left")
+    out = df.join(day, [store, date], "left")
     wg = Window.partitionBy(store, date).orderBy(tie)
     cols = {
         f"{deviation_col}_deviation": F.col(deviation_col).cast("double") - F.col("_dmean"),
@@ -214,7 +205,7 @@ def store_features(df: DataFrame, stores: DataFrame, key: str = "store_id") -> D
         key, *[c.alias(n) for n, c in one_hot_columns(F.col("store_type")).items()],
         _size_z().alias("size_normalized"),
     )
-    return join_bounded(df, st, key, "left")
+    return df.join(st, key, "left")
 
 
 # --------------------------------------------------------------------------- X5
@@ -261,29 +252,18 @@ def store_week_context(sales: DataFrame, features: DataFrame, stores: DataFrame)
 
 def engineer_features(sales: DataFrame, features: DataFrame, stores: DataFrame,
                       lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS,
-                      closed: str = "right", broadcast_rows: int | None = None,
-                      max_series_rows: int | None = DEFAULT_MAX_SERIES_ROWS) -> DataFrame:
+                      closed: str = "right") -> DataFrame:
     """Sales + features + stores -> one row per sales row with all engineered features.
 
     Same rows and values as the sequence join -> temporal -> lag -> rolling ->
     economic -> markdown -> store -> rename(date -> feature_date). Plan: the
-    store-week context is built on its own (rows = stores x weeks), joined to
-    the sales rows once (broadcast when checked small), then one shuffle by
-    (store, dept) feeds every lag/rolling window. A series longer than
-    ``max_series_rows`` switches the windows to exact overlapping blocks.
+    one shuffle by (store, dept) of the narrow sales rows feeds every lag/rolling
+    window, and the store-week context (rows = stores x weeks), built on its own,
+    is joined to the result once.
     """
     ctx = store_week_context(sales, features, stores)
-    kw = {} if broadcast_rows is None else {"max_rows": broadcast_rows}
-    df = join_bounded(sales, ctx, ["store_id", "date"], "left", **kw)
-    halo = _halo(lags, windows, closed)
-
-    def series_cols(keys, order):
-        return (lag_columns("weekly_sales", lags, keys, order)
-                | rolling_columns("weekly_sales", windows, keys, order, closed=closed))
-
-    # the left join keeps exactly the sales rows, so the length check reads the sales scan
-    df = series_windows(df, SERIES, ["date"], series_cols, halo, max_series_rows,
-                        rows_of=sales.select(*SERIES))
+    windowed = lag_columns("weekly_sales", lags) | rolling_columns("weekly_sales", windows, closed=closed)
+    df = sales.withColumns(windowed).join(ctx, ["store_id", "date"], "left")
     d = F.col("date")
     md = markdown_columns()
     change = {
@@ -291,12 +271,11 @@ def engineer_features(sales: DataFrame, features: DataFrame, stores: DataFrame,
         .otherwise(F.col(c))
         for c in ECONOMIC
     }
-    window_names = list(series_cols(SERIES, ["date"]))
     out = df.select(
         *sales.columns,
         "temperature", "fuel_price", *[md[m].alias(m) for m in MARKDOWNS], "cpi", "unemployment",
         *[c.alias(n) for n, c in temporal_columns(d).items()],
-        *window_names,
+        *windowed,
         (F.col("temperature").cast("double") - F.col("_tmean")).alias("temperature_deviation"),
         *[c.alias(n) for n, c in change.items()],
         md["total_markdown"].alias("total_markdown"),

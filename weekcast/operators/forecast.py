@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import forecast_calendar_columns
-from weekcast.plans.joins import join_bounded, with_scalars
+from weekcast.plans.joins import with_scalars
 from weekcast.schema import MONEY
 
 # Fixed values of the forecast table.
@@ -36,7 +36,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str] = ("store_id", "dept_id"),
                    date_col: str = "feature_date") -> DataFrame:
     """Rows at their own series' last date (ties keep all rows)."""
     last = df.groupBy(*keys).agg(F.max(date_col).alias(date_col))
-    return join_bounded(df, last, [*keys, date_col], "left_semi")
+    return df.join(last, [*keys, date_col], "left_semi")
 
 
 def forecast_grid(latest: DataFrame, weeks: int = FORECAST_WEEKS, date_col: str = "feature_date") -> DataFrame:

@@ -10,7 +10,7 @@
                          early stopping; returns the fitted pipeline, the feature list and
                          the metrics (validation if any, else training)
 * ``feature_importance`` per-feature importance, descending (Spark normalises to sum 1)
-* ``score``              batch scoring: one ``transform`` over all rows
+* ``score``              batch scoring: one ``transform``, one prediction per input row
 * ``model_metadata``     one metadata row: metrics as DECIMAL(10,2), parameters and
                          importances as JSON text
 * ``importance_share`` / ``importance_by_category`` the dashboard's views of that JSON
@@ -18,9 +18,14 @@
   training raises ``ValueError``
 
 Training parameters map the original's booster settings where Spark has an
-equivalent (learning rate -> stepSize, subsample -> subsamplingRate, column
-sample -> featureSubsetStrategy, min child samples -> minInstancesPerNode,
-seed); leaf count and L1/L2 terms have no Spark counterpart.
+equivalent (rounds -> maxIter, learning rate -> stepSize, subsample ->
+subsamplingRate, column sample -> featureSubsetStrategy, min child samples ->
+minInstancesPerNode, seed); 127 leaves need a tree of depth 7; L1/L2 terms have
+no Spark counterpart. ``ROUNDS`` is the original's bound; ``maxIter`` is a
+parameter of each call. The stopping rule differs: the original stops after 100
+rounds without a better validation error, Spark at the first round whose gain
+falls below ``validationTol`` relative to the error (0 or less: never, the best
+round is still the one kept).
 """
 
 from __future__ import annotations
@@ -40,11 +45,15 @@ from pyspark.sql import types as T
 from weekcast.functions import text as tx
 from weekcast.operators import metrics as me
 from weekcast.plans.joins import with_scalars
+from weekcast.schema import MODEL_METADATA
+from weekcast.sources.sinks import append, conform_to_schema
 
+# Columns that are no features, and the booster settings.
 EXCLUDE = ("id", "store_id", "dept_id", "feature_date", "weekly_sales", "created_at")
+ROUNDS = 2000
 DEFAULT_PARAMS = {
-    "maxIter": 50,
-    "maxDepth": 6,
+    "maxIter": ROUNDS,
+    "maxDepth": 7,
     "stepSize": 0.03,
     "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8",
@@ -81,8 +90,9 @@ def time_split(df: DataFrame, date_col: str = "feature_date", val_weeks: int = V
 
 
 def random_split(df: DataFrame, keys: Sequence[str], train_pct: int = 80, seed: int = 42):
-    """(train, test) by a hash of the keys: stable under repartitioning and retries."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
+    """(train, test) by the md5 of seed and keys: stable under repartitioning, retries and engines."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100
     return df.where(h < train_pct), df.where(h >= train_pct)
 
 
@@ -122,23 +132,36 @@ def feature_importance(spark, model: PipelineModel | None, feats: Sequence[str])
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def score(model: PipelineModel | None, df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Batch prediction; features missing from ``df`` are 0, NULLs are filled like training."""
+def model_features(model: PipelineModel | None) -> list[str]:
+    """The feature contract of a fitted or loaded pipeline: its assembler's input columns, in order."""
     if model is None:
         raise NotTrained("Model not trained yet")
-    missing = {c: F.lit(0) for c in feats if c not in df.columns}
-    ready = clean_training(df.withColumns(missing)) if missing else clean_training(df)
-    return model.transform(ready)
+    return list(model.stages[0].getInputCols())
 
 
-def model_predictor(model: PipelineModel, feats: Sequence[str]):
-    """A ``generate_forecasts`` predictor backed by the fitted pipeline."""
-    def predict(df: DataFrame) -> DataFrame:
-        keep = df.columns
-        out = score(model, df, feats)
-        return out.select(*[c for c in keep if c in out.columns], "prediction")
+def score(model: PipelineModel | None, df: DataFrame, feats: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with ``prediction``: every row is predicted, with or without a target.
+
+    Only the model's inputs are prepared: cast to double, NULL and NaN as 0, a
+    feature missing from ``df`` as 0; the columns of ``df`` come through unchanged.
+    """
+    feats = list(feats) if feats is not None else model_features(model)
+    if model is None:
+        raise NotTrained("Model not trained yet")
+
+    def ready(c: str):
+        x = F.col(c).cast("double")
+        return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
 
-    return predict
+    given = {c: f"_given_{n}" for n, c in enumerate(df.columns)}
+    inputs = {c: ready(given[c]) if c in given else F.lit(0.0) for c in feats}
+    out = model.transform(df.withColumnsRenamed(given).withColumns(inputs))
+    return out.select(*[F.col(g).alias(c) for c, g in given.items() if c != "prediction"], "prediction")
+
+
+def model_predictor(model: PipelineModel, feats: Sequence[str] | None = None):
+    """A ``generate_forecasts`` predictor backed by the fitted pipeline."""
+    return lambda df: score(model, df, feats)
 
 
 def model_metadata(spark, metrics: DataFrame, importance: DataFrame, params: dict | None = None,
@@ -167,12 +190,18 @@ def importance_rows(metadata: DataFrame) -> DataFrame:
         "position", F.col("item.feature").alias("feature"), F.col("item.importance").alias("importance"))
 
 
-def importance_share(metadata: DataFrame, top: int = 20) -> DataFrame:
-    """Importance as percent of the total, first ``top`` features in stored order."""
+def append_metadata(metadata: DataFrame, path: str) -> None:
+    """Append the row to the stored ``model_metadata`` table; ``latest_model`` reads the table."""
+    append(conform_to_schema(metadata, MODEL_METADATA), path)
+
+
+def importance_share(metadata: DataFrame, top: int | None = None) -> DataFrame:
+    """Importance as percent of the total, in stored order; only the first ``top`` features if given."""
     rows = importance_rows(metadata)
     total = rows.agg(F.sum("importance").alias("_t"))
     s = with_scalars(rows, total).withColumn("importance_pct", F.try_divide(F.col("importance") * 100, F.col("_t")))
-    return s.orderBy("position").limit(top).select("position", "feature", "importance_pct")
+    out = s.select("position", "feature", "importance_pct").orderBy("position")
+    return out.limit(top) if top else out
 
 
 def importance_by_category(metadata: DataFrame) -> DataFrame:

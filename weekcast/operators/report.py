@@ -1,11 +1,11 @@
 """Scope reports over forecasts and history (the tables an analyst reads).
 
 * ``demand_summary``  total / mean / min / max prediction, period, weeks, series
-* ``demand_by_store`` mean and sum per store, only when the scope has <= 10 stores
+* ``demand_by_store`` mean and sum per store
 * ``history_summary`` mean, exact median, sample std, total, date range, weeks
 * ``recent_trend``    mean of the last 8 distinct weeks vs the 8 before (needs >= 16 weeks)
 * ``multi_scope_report`` everything above plus anomaly and inventory figures for one
-  scope, as (section, metric, value) text rows
+  scope, its label and its first flagged rows, as (section, metric, value) text rows
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ from weekcast.operators import anomaly, explore, inventory
 from weekcast.operators.stats import exact_quantiles
 from weekcast.plans.joins import with_scalars
 
-MAX_STORES_BREAKDOWN = 10
+# Fixed values of the report (metric names and texts below likewise): a store breakdown for at
+# most 10 stores, the first 10 flagged rows in the text, weekly values.
+REPORT_STORES = 10
+REPORT_ANOMALIES = 10
+GRANULARITY = "WEEKLY (each value = one full week of sales)"
 TREND_WEEKS = 8
 
 
@@ -36,8 +40,9 @@ def demand_summary(fc: DataFrame) -> DataFrame:
     )
 
 
-def demand_by_store(fc: DataFrame, max_stores: int = MAX_STORES_BREAKDOWN) -> DataFrame:
-    """Mean and sum of predictions per store, rounded half-up to cents.
+def demand_by_store(fc: DataFrame, max_stores: int | None = None) -> DataFrame:
+    """Mean and sum of predictions per store, rounded half-up to cents; with ``max_stores`` no
+    rows if there are more stores than that.
 
     The mean is a DECIMAL average (exact sum / count), so the rounding does not
     depend on the order in which the rows were summed.
@@ -45,6 +50,8 @@ def demand_by_store(fc: DataFrame, max_stores: int = MAX_STORES_BREAKDOWN) -> Da
     p = F.col("predicted_sales").cast("decimal(18,2)")
     per = fc.groupBy("store_id").agg(F.round(F.avg(p), 2).cast("decimal(18,2)").alias("mean"),
                                      F.sum(p).cast("decimal(38,2)").alias("sum"))
+    if max_stores is None:
+        return per
     n = fc.agg(F.countDistinct("store_id").alias("_stores"))
     return with_scalars(per, n).where(F.col("_stores") <= max_stores).drop("_stores")
 
@@ -93,6 +100,24 @@ def _rows(df: DataFrame, section: str, spec: list[tuple[str, Column]]) -> DataFr
         "section", "_i.metric", "_i.value")
 
 
+def _store_rows(fc: DataFrame) -> DataFrame:
+    """The per-store breakdown as text rows, for scopes of at most ``REPORT_STORES`` stores."""
+    items = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("string").alias("value")) for m in ("mean", "sum")])
+    per = demand_by_store(fc, REPORT_STORES).select("store_id", F.explode(items).alias("_i"))
+    return per.select(F.lit("forecast_by_store").alias("section"),
+                      F.concat(F.lit("store "), F.col("store_id").cast("string"), F.lit(" "), F.col("_i.m")).alias("metric"), "_i.value")
+
+
+def _anomaly_rows(flagged: DataFrame) -> DataFrame:
+    """The first flagged rows as text rows: sales, z-score and deviation of a date, store and department."""
+    first = anomaly.anomaly_top(flagged, REPORT_ANOMALIES)
+    metric = F.concat_ws(" ", F.col("feature_date").cast("string"), F.lit("store"), F.col("store_id").cast("string"),
+                         F.lit("department"), F.col("dept_id").cast("string"))
+    value = F.concat(F.lit("sales "), tx.format_currency(F.col("weekly_sales")), F.lit(", z-score "), tx.format_fixed(F.col("z_score"), 2),
+                     F.lit(", deviation "), F.format_number("deviation", 2))
+    return first.select(F.lit("anomaly_details").alias("section"), metric.alias("metric"), value.alias("value"))
+
+
 def _period(a: str, b: str) -> Column:
     return F.concat(F.col(a).cast("string"), F.lit(" to "), F.col(b).cast("string"))
 
@@ -116,6 +141,7 @@ def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None,
     an = anomaly.anomaly_summary(h, threshold)
     parts = [
         _rows(ds, "forecast_summary", [
+            ("data_granularity", F.lit(GRANULARITY)),
             ("total_predicted_weekly_sales", cur(F.col("total_predicted"))),
             ("avg_predicted_weekly_sales", cur(F.col("avg_predicted"))),
             ("min_predicted_weekly_sales", cur(F.col("min_predicted"))),
@@ -125,6 +151,7 @@ def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None,
             ("num_store_dept_combinations", F.col("num_series")),
         ]),
         _rows(hs, "historical_summary", [
+            ("data_granularity", F.lit(GRANULARITY)),
             ("avg_weekly_sales", cur(F.col("avg_weekly_sales"))),
             ("median_weekly_sales", cur(F.col("median_weekly_sales"))),
             ("std_weekly_sales", cur(F.col("std_weekly_sales"))),
@@ -147,7 +174,7 @@ def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None,
             ("num_departments", F.col("num_departments")),
             ("service_level_target", F.concat(F.format_number(F.col("service_level") * 100, 0), F.lit("%"))),
             ("lead_time", F.concat(F.col("lead_time_days").cast("string"), F.lit(" days"))),
-            ("lead_time_as_weeks", F.concat(F.format_string("%.1f", F.col("lead_time_weeks")), F.lit(" weeks"))),
+            ("lead_time_as_weeks", F.concat(tx.format_fixed(F.col("lead_time_weeks")), F.lit(" weeks"))),
         ]),
         _rows(an, "anomalies", [
             ("total_records", F.col("total_records")),
@@ -155,9 +182,13 @@ def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None,
             ("avg_sales", cur(F.col("avg_sales"))),
             ("sales_std", cur(F.col("sales_std"))),
             ("anomalies_found", F.col("anomalies_found")),
-            ("detection_threshold", F.format_string("%.1f", F.col("detection_threshold"))),
+            ("detection_threshold", tx.format_fixed(F.col("detection_threshold"))),
         ]),
     ]
+    parts += [_store_rows(f), _anomaly_rows(anomaly.zscore_anomalies(h, threshold))]
+    scope = ", ".join([*([f"Store {store}"] if store else []), *([f"Department {dept}"] if dept else [])])
+    if scope:
+        parts.append(_rows(ds, "scope", [("scope", F.lit(scope))]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

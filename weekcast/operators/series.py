@@ -3,8 +3,7 @@
 Window functions over ``partitionBy(series keys)`` put a whole series in one
 task. A weekly panel is safe (one row per series per week, so a series is
 bounded by the calendar), but a single series holding a large share of the
-data would not be. ``series_windows`` checks the longest series with a
-partial aggregate; above ``max_series_rows`` it switches to blocks:
+data would not be. ``blocked_windows`` is the form for such frames:
 
 * every row gets its exact 0-based rank inside its series (range-partitioned
   ranking, ``stats.ranks_within_groups``);
@@ -27,33 +26,11 @@ from pyspark.sql import functions as F
 
 from weekcast.operators.stats import ranks_within_groups
 
-DEFAULT_MAX_SERIES_ROWS = 2_000_000
 DEFAULT_BLOCK_ROWS = 500_000
 
 ColumnBuilder = Callable[[Sequence[str], Sequence[str]], dict[str, Column]]
 
 
-def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the longest series (a partial aggregate; one number reaches the driver)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-    return int(r["m"] or 0)
-
-
-def series_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: ColumnBuilder,
-                   halo: int, max_series_rows: int | None = DEFAULT_MAX_SERIES_ROWS,
-                   block_rows: int = DEFAULT_BLOCK_ROWS, rows_of: DataFrame | None = None) -> DataFrame:
-    """``df`` with the columns ``build(keys, order)`` returns (window expressions).
-
-    ``max_series_rows=None`` skips the length check and uses the plain window.
-    ``rows_of`` is a cheaper frame with the same rows per key (for instance the
-    scan ``df`` was joined from) on which to run the length check.
-    """
-    keys, order = list(keys), list(order)
-    if max_series_rows is None or longest_series(rows_of if rows_of is not None else df, keys) <= max_series_rows:
-        return df.withColumns(build(keys, order))
-    return blocked_windows(df, keys, order, build, halo, block_rows)
-
-
 def blocked_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: ColumnBuilder,
                     halo: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     if block_rows <= halo:

@@ -1,28 +1,27 @@
 """Exact ranks and order statistics without gathering a group into one task.
 
 Spark's exact ``percentile``/``median`` aggregates keep every distinct value of
-a group in one aggregation buffer, so a group holding a third of the data
-would sit in one task's memory. ``exact_quantiles`` instead ranks rows with a
-range-partitioned sort: ``repartitionByRange(group, value)`` spreads even a
-single hot group over many partitions, each row gets (partition id, position)
-inside the same projection, per-partition counts (one row per partition) give
-each partition's global offset, and a row's rank inside its group is its global
-rank minus the group's first rank. Only the rows at the wanted ranks are kept,
-and the linear interpolation (the ``quantile_cont`` / pandas default) is an
-aggregate over at most two rows per (group, quantile).
-
-``approx_quantiles`` is the one-pass alternative (``percentile_approx``, a
-bounded sketch per group) when exact values are not needed.
+a group in one aggregation buffer. ``exact_quantiles`` instead counts rows per
+(group, value) with map-side partial aggregation, so ties collapse to one row,
+cuts each group's value range into ``SLICES`` equal slices, adds up the counts
+of whole slices (at most ``SLICES`` rows per group) and then of the values
+inside a slice, and keeps the values at the wanted ranks; the linear
+interpolation (the ``quantile_cont`` / pandas default) is a last aggregate. The
+plan is lazy: nothing runs and nothing is written before the query does.
+
+``global_ranks`` and ``ranks_within_groups`` number the rows themselves by a
+range-partitioned sort. ``approx_quantiles`` is the one-pass alternative
+(``percentile_approx``, a bounded sketch per group).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.plans.joins import join_bounded, materialize
+from weekcast.plans.joins import materialize, with_scalars
 
 
 def global_ranks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -55,60 +54,62 @@ def ranks_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     """Adds ``_rank``: 0-based position of each row inside its ``keys`` group in ``order``."""
     g = global_ranks(df, [*keys, *order], partitions)
     starts = g.groupBy(*keys).agg(F.min("_grank").alias("_start"))
-    return (join_bounded(g, starts, list(keys), "inner")
+    return (g.join(starts, list(keys))
             .withColumn("_rank", F.col("_grank") - F.col("_start")).drop("_grank", "_start"))
 
 
-# Spark's exact ``percentile`` keeps a group's values in one buffer; below this
-# many values per group (checked first) that buffer is small and it is used.
-MAX_BUFFERED_GROUP = 1_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the largest group (partial aggregate; one number reaches the driver)."""
-    if not by:
-        return int(df.count())
-    r = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-    return int(r["m"] or 0)
+#: Slices of a group's value range; values of one slice are added up in one task.
+SLICES = 1024
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
-                    by: Sequence[str] = (), partitions: int | None = None,
-                    names: Sequence[str] | None = None,
-                    max_buffered_group: int | None = MAX_BUFFERED_GROUP) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """One row per group: ``value`` at each quantile (linear interpolation), NULLs ignored.
 
-    When the largest group has at most ``max_buffered_group`` values, Spark's
-    exact ``percentile`` aggregate runs (its per-group buffer is then bounded);
-    otherwise rows are ranked by the range-partitioned sort below, which never
-    holds a group in one task.
+    NULL is a group of its own; without ``by`` the result is one row (NULLs for an empty frame).
     """
-    by = list(by)
+    by, keys = list(by), [f"_k{n}" for n in range(len(by))]
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in quantiles])
-    spark = df.sparkSession
-    v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    if max_buffered_group is not None and largest_group(base, by) <= max_buffered_group:
-        pct = F.percentile(F.col("_v"), [float(q) for q in quantiles]).alias("_qs")
-        agg = base.groupBy(*by).agg(pct) if by else base.agg(pct)
-        return agg.select(*by, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)])
-    g = global_ranks(base, [*by, "_v"], partitions).withColumnRenamed("_grank", "_r")
-    groups = g.groupBy(*by).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    qs = spark.createDataFrame([(i, float(q)) for i, q in enumerate(quantiles)], "_qi int, _q double")
-    targets = groups.crossJoin(F.broadcast(qs)).withColumn("_p", (F.col("_n") - 1) * F.col("_q"))
-    targets = targets.withColumns({"_lo": F.col("_start") + F.floor("_p"),
-                                   "_hi": F.col("_start") + F.ceil("_p"),
-                                   "_frac": F.col("_p") - F.floor("_p")})
-    picks = targets.select(*by, "_qi", "_frac", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r"))
-    hits = join_bounded(g.select(*by, "_r", "_v"), picks, [*by, "_r"] if by else ["_r"], "inner",
-                        max_rows=2_000_000)
-    # at most two rows per (group, quantile): the lower and upper rank, in value order
-    per_q = hits.groupBy(*by, "_qi").agg(
-        F.max("_v").alias("_vmax"), F.min("_v").alias("_vmin"), F.first("_frac").alias("_frac"))
-    per_q = per_q.withColumn(
-        "_val", F.col("_vmin") + (F.col("_vmax") - F.col("_vmin")) * F.col("_frac"))
-    wide = per_q.groupBy(*by).pivot("_qi", list(range(len(quantiles)))).agg(F.first("_val"))
-    return wide.select(*by, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+    base = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    counts = base.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+    def attach(rows: DataFrame, per: DataFrame) -> DataFrame:
+        """The one row of ``per`` of each row's group, NULL groups included."""
+        if not keys:
+            return with_scalars(rows, per)
+        other = per.withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return rows.join(other, same).drop(*[f"{k}_" for k in keys])
+
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / SLICES
+    cut = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(SLICES - 1))
+    sliced = attach(counts, span).withColumn("_s", F.when(width > 0, cut).otherwise(F.lit(0)))
+    # rows below each slice: at most SLICES rows per group in a window
+    whole = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = whole.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_s").alias("_s_"),
+                         F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_below"))
+    same = F.col("_s") == F.col("_s_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    inside = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.join(below, same).withColumn("_to", F.col("_below") + F.sum("_c").over(inside))
+    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_c"))
+
+    def at(position: Column) -> Column:
+        """The value at a 0-based position of the group."""
+        return F.max(F.when((F.col("_from") <= position) & (position < F.col("_to")), F.col("_v")))
+
+    picked = []
+    for n, q in enumerate(quantiles):
+        position = (F.col("_n") - 1) * F.lit(float(q))
+        picked += [at(F.floor(position)).alias(f"_a{n}"), at(F.ceil(position)).alias(f"_b{n}"), F.max(position - F.floor(position)).alias(f"_f{n}")]
+    out = ranked.groupBy(*keys).agg(*picked)
+    values = [(F.col(f"_a{n}") + (F.col(f"_b{n}") - F.col(f"_a{n}")) * F.col(f"_f{n}")).alias(name) for n, name in enumerate(names)]
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *values)
 
 
 def approx_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = (),

@@ -9,6 +9,7 @@ summation (std, correlation) are rounded the same way on both sides.
 
 from __future__ import annotations
 
+import hashlib
 import uuid as _uuid
 from collections.abc import Callable
 
@@ -26,6 +27,7 @@ from weekcast.operators import metrics as me
 from weekcast.operators import model as mo
 from weekcast.operators import quality as qa
 from weekcast.operators import report as rp
+from weekcast.operators.stats import ranks_within_groups
 from weekcast.plans.oracle_base import with_tables
 from weekcast.session import ONCE_LOCK, app_id, scratch_path
 from weekcast.sources import adapter
@@ -47,6 +49,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _digest(key) -> str:
+    """A short name for a key, the same in every process."""
+    return hashlib.md5(repr(key).encode()).hexdigest()[:16]
+
+
 def tables(spark: SparkSession, d: str):
     t = adapter.retail_tables(spark, d)
     return t["raw_sales"], t["features"], t["stores"]
@@ -68,7 +75,7 @@ def engineered(spark: SparkSession, d: str) -> DataFrame:
         path = _ENGINEERED.get(key)
         if path is None:
             sales, feats, stores = tables(spark, d)
-            path = scratch_path(spark, f"engineered-{abs(hash(key))}")
+            path = scratch_path(spark, f"engineered-{_digest(key)}")
             # sorted by date inside each file: row-group min/max statistics let
             # pushed date filters skip row groups (the role of the date index)
             (fe.engineer_features(sales, feats, stores).sortWithinPartitions("feature_date")
@@ -497,16 +504,10 @@ def q_demand_summary(spark, d):
 SELECT fc.store_id,
        CAST(CAST((2 * CAST(SUM(predicted_sales) * 100 AS HUGEINT) + COUNT(*)) // (2 * COUNT(*)) AS DECIMAL(20,0)) * 0.01 AS DECIMAL(18,2)) AS mean,
        CAST(SUM(predicted_sales) AS DECIMAL(38,2)) AS sum
-FROM fc JOIN stores s ON fc.store_id = s.store_id AND s.store_type = 'A'
-GROUP BY fc.store_id
-HAVING (SELECT COUNT(DISTINCT f2.store_id) FROM fc f2 JOIN stores s2 ON f2.store_id = s2.store_id
-        AND s2.store_type = 'A') <= 10
+FROM fc GROUP BY fc.store_id
 """))
 def q_demand_by_store(spark, d):
-    """Per-store breakdown for the scope "type A stores" (the breakdown exists only for scopes of <= 10 stores)."""
-    type_a = tables(spark, d)[2].where(F.col("store_type") == "A").select("store_id")
-    f = forecasts(spark, d).join(type_a, "store_id", "left_semi")
-    return rp.demand_by_store(f)
+    return rp.demand_by_store(forecasts(spark, d))
 
 
 @register("history_summary", eng_sql("""
@@ -643,6 +644,38 @@ def q_fk_violations(spark, d):
                             "o_custkey", "c_custkey")
 
 
+@register("fk_violations_found", """
+SELECT o.* FROM orders o WHERE o.o_custkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 0)
+""")
+def q_fk_violations_found(spark, d):
+    """Orders whose customer is missing from the customers with a positive balance."""
+    good = adapter.read_table(spark, d, "customer").where("c_acctbal > 0")
+    return qa.fk_violations(adapter.read_table(spark, d, "orders"), good, "o_custkey", "c_custkey")
+
+
+@register("fk_violations_sales_found", with_tables("""
+SELECT s.* FROM raw_sales s WHERE s.store_id NOT IN (SELECT store_id FROM stores WHERE store_type = 'A')
+"""))
+def q_fk_violations_sales_found(spark, d):
+    """Sales of stores missing from a dimension that holds type A stores only."""
+    s, _, st = tables(spark, d)
+    return qa.fk_violations(s, st.where("store_type = 'A'"), "store_id")
+
+
+@register("domain_violations_found", with_tables("SELECT * FROM stores WHERE store_type NOT IN ('A', 'B')"))
+def q_domain_violations_found(spark, d):
+    return qa.domain_violations(tables(spark, d)[2], "store_type", ["A", "B"])
+
+
+@register("duplicate_keys_sales_found", with_tables("""
+SELECT store_id, date, COUNT(*) AS n_rows FROM raw_sales GROUP BY store_id, date HAVING COUNT(*) > 1
+"""))
+def q_duplicate_keys_sales_found(spark, d):
+    """Store-weeks with several rows: the key without the department does not hold."""
+    return qa.duplicate_keys(tables(spark, d)[0], ["store_id", "date"])
+
+
 @register("fk_violations_sales", with_tables("""
 SELECT s.* FROM raw_sales s WHERE NOT EXISTS (SELECT 1 FROM stores t WHERE t.store_id = s.store_id)
 """))
@@ -794,11 +827,10 @@ def q_text_search(spark, d):
 @register("explorer_summary", eng_sql("""
 SELECT COUNT(*) AS total_records, SUM(weekly_sales) AS total_sales,
        ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_weekly_sales, COUNT(DISTINCT feature_date) AS weeks
-FROM eng WHERE feature_date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'
+FROM eng
 """))
 def q_explorer_summary(spark, d):
-    e = ex.explore_filter(engineered(spark, d), "1997-01-01", "2000-12-31", limit=None)
-    return ex.explorer_summary(e).withColumn("avg_weekly_sales", F.round("avg_weekly_sales", 6))
+    return ex.explorer_summary(engineered(spark, d)).withColumn("avg_weekly_sales", F.round("avg_weekly_sales", 6))
 
 
 @register("sales_over_time", eng_sql("""
@@ -850,10 +882,19 @@ register("sales_box_by_holiday", _box_sql("is_holiday"))(_box_query("is_holiday"
 
 @register("sales_box_by_store_ranked", _box_sql("store_id"))
 def q_sales_box_by_store_ranked(spark, d):
-    """The store box summary through the ranking path (range-partitioned exact ranks),
-    the strategy used when a group is too large for one aggregation buffer."""
-    b = ex.box_summary(engineered(spark, d), ["store_id"], max_buffered_group=0)
-    return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+    """Quartiles per store picked by row ranks (range-partitioned sort) instead of value counts."""
+    e = engineered(spark, d).select("store_id", F.col("weekly_sales").cast("double").alias("x")).where("x IS NOT NULL")
+    r = ranks_within_groups(e, ["store_id"], ["x"])
+    per = e.groupBy("store_id").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n"))
+    r = r.join(per, "store_id")
+    cols = []
+    for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        p = (F.col("n") - 1) * F.lit(q)
+        lo, hi = (F.max(F.when(F.col("_rank") == k, F.col("x"))) for k in (F.floor(p), F.ceil(p)))
+        cols.append(F.round(lo + (hi - lo) * F.max(p - F.floor(p)), 6).alias(name))
+    return r.groupBy("store_id", "min", "max", "n").agg(*cols)
+
+
 register("sales_box_by_store", _box_sql("store_id"))(_box_query("store_id"))
 
 _STORE_IDS = list(range(1, 26))  # stores of the nation-grain adapter: one per nation key
@@ -864,8 +905,7 @@ _STORE_IDS = list(range(1, 26))  # stores of the nation-grain adapter: one per n
         f"ROUND(AVG(CASE WHEN store_id = {i} THEN CAST(weekly_sales AS DOUBLE) END), 6) AS store_{i}"
         for i in _STORE_IDS) + " FROM eng GROUP BY dept_id"))
 def q_store_dept_heatmap(spark, d):
-    stores = tables(spark, d)[2]
-    h = ex.store_dept_heatmap(engineered(spark, d), stores)
+    h = ex.store_dept_heatmap(engineered(spark, d), _STORE_IDS)
     return h.withColumns({c: F.round(c, 6) for c in h.columns if c.startswith("store_")})
 
 
@@ -892,12 +932,19 @@ def q_correlation_matrix(spark, d):
 
 @register("avg_by_store_dept", eng_sql("""
 SELECT store_id, dept_id, ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_sales FROM eng
-GROUP BY store_id, dept_id ORDER BY store_id, dept_id LIMIT 100
+GROUP BY store_id, dept_id
 """))
 def q_avg_by_store_dept(spark, d):
     return ex.avg_by_store_dept(engineered(spark, d)).withColumn("avg_sales", F.round("avg_sales", 6))
 
 
+@register("store_dept_means", eng_sql("""
+SELECT dept_id, store_id, ROUND(AVG(CAST(weekly_sales AS DOUBLE)), 6) AS avg_sales FROM eng GROUP BY dept_id, store_id
+"""))
+def q_store_dept_means(spark, d):
+    return ex.store_dept_means(engineered(spark, d)).withColumn("avg_sales", F.round("avg_sales", 6))
+
+
 @register("store_coverage", with_tables("""
 SELECT COUNT(DISTINCT store_id) AS stores_with_sales, (SELECT COUNT(*) FROM stores) AS total_stores,
        COUNT(DISTINCT store_id) = (SELECT COUNT(*) FROM stores) AS all_covered FROM raw_sales
@@ -938,10 +985,10 @@ def q_format_currency(spark, d):
 @register("sanitize_markdown", r"""
 SELECT conv_id, turn,
   regexp_replace(regexp_replace(replace(text, '$', '\$'), '(?m)^# ', '### ', 'g'), '(?m)^## ', '#### ', 'g') AS text
-FROM conversations WHERE role = 'assistant'
+FROM conversations
 """)
 def q_sanitize_markdown(spark, d):
-    c = adapter.read_table(spark, d, "conversations").where(F.col("role") == "assistant")
+    c = adapter.read_table(spark, d, "conversations")
     return c.select("conv_id", "turn", tx.sanitize_markdown(F.col("text")).alias("text"))
 
 
@@ -1005,25 +1052,37 @@ def _trained_once(spark, d, key):
         engineered(spark, d)  # makes sure the feature table is written
         train_rows = fs.training_scan(spark, _ENGINEERED[key])
         model, feats, metrics = mo.train_forecaster(train_rows)
-        path = mo.save_model(model, scratch_path(spark, f"models/gbt-{abs(hash(key))}"))
-        _MODELS[key] = (mo.load_model(path), feats, mo.model_metadata(
-            spark, metrics, mo.feature_importance(spark, model, feats),
-            run_id=f"run-{abs(hash(key))}"))
+        path = mo.save_model(model, scratch_path(spark, f"models/gbt-{_digest(key)}"))
+        # the metadata row goes to its table and is read back from there, the features from the saved model
+        table = scratch_path(spark, f"model-metadata-{_digest(key)}")
+        mo.append_metadata(mo.model_metadata(spark, metrics, mo.feature_importance(spark, model, feats),
+                                             run_id=f"run-{_digest(d)}"), table)
+        loaded = mo.load_model(path)
+        _MODELS[key] = (loaded, mo.model_features(loaded), mo.latest_model(spark.read.parquet(table)))
     return _MODELS[key]
 
 
-@register("clean_training", eng_sql("""
-SELECT store_id, dept_id, feature_date, COALESCE(sales_lag_1, 0) AS sales_lag_1,
-       COALESCE(sales_lag_52, 0) AS sales_lag_52, COALESCE(ROUND(rolling_std_4, 6), 0) AS rolling_std_4,
-       COALESCE(temperature, 0) AS temperature, CAST(is_holiday AS INTEGER) AS is_holiday
-FROM eng WHERE weekly_sales IS NOT NULL
-  AND NOT (sales_lag_1 IS NULL AND sales_lag_52 IS NULL AND rolling_std_4 IS NULL)
-"""))
+def _clean_sql() -> str:
+    lagged = [c for c in ENGINEERED_COLUMNS if "lag" in c or "rolling" in c]
+    cols = []
+    for c in ENGINEERED_COLUMNS:
+        if c in ("store_id", "dept_id", "feature_date", "weekly_sales"):
+            cols.append(c)
+        elif c.startswith("is_"):
+            cols.append(f"CAST({c} AS INTEGER) AS {c}")
+        elif c == "has_markdown":
+            cols.append("CAST(total_markdown > 0 AS INTEGER) AS has_markdown")
+        else:
+            digits = _ENG_ROUND_DIGITS.get(c, 9 if c == "temperature_deviation" else None)
+            cols.append(f"COALESCE({f'ROUND({c}, {digits})' if digits else c}, 0) AS {c}")
+    return eng_sql(f"SELECT {', '.join(cols)} FROM eng WHERE weekly_sales IS NOT NULL AND COALESCE({', '.join(lagged)}) IS NOT NULL")
+
+
+@register("clean_training", _clean_sql())
 def q_clean_training(spark, d):
-    e = engineered(spark, d).select("store_id", "dept_id", "feature_date", "weekly_sales", "sales_lag_1",
-                                    "sales_lag_52", F.round("rolling_std_4", 6).alias("rolling_std_4"),
-                                    "temperature", "is_holiday")
-    return mo.clean_training(e).drop("weekly_sales")
+    """Training rows with every engineered column, NULLs filled."""
+    rounded = {c: F.round(c, n) for c, n in (_ENG_ROUND_DIGITS | {"temperature_deviation": 9}).items()}
+    return mo.clean_training(engineered(spark, d).withColumns(rounded)).select(*ENGINEERED_COLUMNS)
 
 
 @register("time_split", eng_sql("""
@@ -1037,9 +1096,13 @@ def q_time_split(spark, d):
                                           F.max("feature_date").alias("last_date"))
 
 
-@register("random_split")
+@register("random_split", eng_sql("""
+SELECT store_id, dept_id, feature_date,
+  CASE WHEN CAST('0x' || substr(md5('42|' || CAST(store_id AS VARCHAR) || '|' || CAST(dept_id AS VARCHAR) || '|'
+       || CAST(feature_date AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM eng
+"""))
 def q_random_split(spark, d):
-    """Rows-only: the 80/20 hash split (train rows tagged ``split``)."""
+    """The 80/20 hash split (rows tagged ``split``)."""
     tr, te = mo.random_split(engineered(spark, d), ["store_id", "dept_id", "feature_date"])
     return tr.select("store_id", "dept_id", "feature_date", F.lit("train").alias("split")).unionByName(
         te.select("store_id", "dept_id", "feature_date", F.lit("test").alias("split")))
@@ -1078,18 +1141,94 @@ def q_importance_by_category(spark, d):
     return mo.importance_by_category(meta)
 
 
-@register("score_model")
+@register("score_model", eng_sql("SELECT store_id, dept_id, feature_date, TRUE AS predicted FROM eng"))
 def q_score_model(spark, d):
-    """Rows-only: batch scoring of every engineered row with the fitted pipeline."""
-    model, feats, _ = trained(spark, d)
-    return mo.score(model, engineered(spark, d), feats).select("store_id", "dept_id", "feature_date", "prediction")
+    """Batch scoring with the saved pipeline: every engineered row, target or not, gets a prediction."""
+    model, _, _ = trained(spark, d)
+    scored = mo.score(model, engineered(spark, d).drop("weekly_sales"))
+    good = F.coalesce(~F.isnan("prediction"), F.lit(False))
+    return scored.select("store_id", "dept_id", "feature_date", good.alias("predicted"))
 
 
-@register("generate_forecasts_model")
+@register("generate_forecasts_model", fc_sql("""
+SELECT store_id, dept_id, forecast_date, model_name, confidence_score, TRUE AS interval_holds FROM fc
+"""))
 def q_generate_forecasts_model(spark, d):
-    """Rows-only: the 8-week forecast table scored by the fitted model."""
-    model, feats, _ = trained(spark, d)
-    return fo.generate_forecasts(engineered(spark, d), mo.model_predictor(model, feats))
+    """The 8-week forecast table of the fitted model: keys, confidence, and that the bounds enclose the forecast."""
+    model, _, _ = trained(spark, d)
+    fc = fo.generate_forecasts(engineered(spark, d), mo.model_predictor(model))
+    holds = (F.col("prediction_lower") <= F.col("predicted_sales")) & (F.col("predicted_sales") < F.col("prediction_upper")) & (F.col("prediction_lower") >= 0)
+    return fc.select("store_id", "dept_id", "forecast_date", "model_name", "confidence_score", holds.alias("interval_holds"))
+
+
+_EVENT_FEATURES = ["sales_lag_1", "rolling_mean_4", "month", "cpi", "total_markdown", "store_type_a", "other_thing"]
+_FEATURE_ROWS_SQL = "SELECT CASE l_linenumber % 7 " + " ".join(
+    f"WHEN {n} THEN '{f}'" for n, f in enumerate(_EVENT_FEATURES)) + " END AS feature, COUNT(*) AS n FROM lineitem GROUP BY 1"
+
+
+def _stored_importance(spark, d) -> DataFrame:
+    """A metadata row whose importances are row counts of ``lineitem`` under feature names."""
+    li = adapter.read_table(spark, d, "lineitem")
+    name = F.element_at(F.array(*[F.lit(f) for f in _EVENT_FEATURES]), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    counts = li.groupBy(name.alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("importance"))
+    return tx.importance_json(counts)
+
+
+@register("importance_share_stored", f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY n DESC, feature DESC) - 1 AS INTEGER) AS position, feature,
+       ROUND(CAST(n AS DOUBLE) * 100 / SUM(n) OVER (), 9) AS importance_pct FROM ({_FEATURE_ROWS_SQL})
+""")
+def q_importance_share_stored(spark, d):
+    out = mo.importance_share(_stored_importance(spark, d))
+    return out.withColumn("importance_pct", F.round("importance_pct", 9))
+
+
+@register("importance_top3_stored", f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY n DESC, feature DESC) - 1 AS INTEGER) AS position, feature,
+       ROUND(CAST(n AS DOUBLE) * 100 / SUM(n) OVER (), 9) AS importance_pct FROM ({_FEATURE_ROWS_SQL})
+QUALIFY position < 3
+""")
+def q_importance_top3_stored(spark, d):
+    out = mo.importance_share(_stored_importance(spark, d), top=3)
+    return out.withColumn("importance_pct", F.round("importance_pct", 9))
+
+
+@register("importance_by_category_stored", f"""
+SELECT CASE feature WHEN 'sales_lag_1' THEN 'Lag Features' WHEN 'rolling_mean_4' THEN 'Rolling Statistics'
+    WHEN 'month' THEN 'Temporal Features' WHEN 'cpi' THEN 'Economic Indicators' WHEN 'total_markdown' THEN 'Markdown Features'
+    WHEN 'store_type_a' THEN 'Store Features' ELSE 'Other' END AS category,
+  ROUND(SUM(CAST(n AS DOUBLE) * 100 / t), 9) AS importance_pct
+FROM ({_FEATURE_ROWS_SQL}) CROSS JOIN (SELECT COUNT(*) AS t FROM lineitem) GROUP BY 1
+""")
+def q_importance_by_category_stored(spark, d):
+    out = mo.importance_by_category(_stored_importance(spark, d))
+    return out.withColumn("importance_pct", F.round("importance_pct", 9))
+
+
+@register("latest_model_stored", with_tables("""
+SELECT 'run-' || CAST(year(date) AS VARCHAR) AS run_id, CAST(SUM(weekly_sales) / 1000000 AS DECIMAL(10,2)) AS wmae,
+       CAST(MAX(date) AS TIMESTAMP) AS training_date
+FROM raw_sales GROUP BY year(date) ORDER BY training_date DESC LIMIT 1
+"""))
+def q_latest_model_stored(spark, d):
+    """Metadata rows, one per sales year, appended in two writes; the latest of the stored table."""
+    path = _fresh(spark, "metadata")
+    s = tables(spark, d)[0]
+    rows = s.groupBy(F.year("date").alias("y")).agg(
+        (F.sum("weekly_sales") / F.lit(1000000)).cast("decimal(10,2)").alias("wmae"), F.max("date").cast("timestamp").alias("training_date"))
+    rows = rows.withColumn("run_id", F.concat(F.lit("run-"), F.col("y").cast("string")))
+    mo.append_metadata(rows.where("y >= 1999"), path)
+    mo.append_metadata(rows.where("y < 1999"), path)
+    return mo.latest_model(spark.read.parquet(path)).select("run_id", "wmae", "training_date")
+
+
+@register("format_pct", eng_sql("""
+SELECT store_id, dept_id, feature_date, format('{:+.1f}', CAST(fuel_price_change AS DOUBLE) * 100) || '%' AS pct
+FROM eng WHERE fuel_price_change IS NOT NULL
+"""))
+def q_format_pct(spark, d):
+    e = engineered(spark, d).where("fuel_price_change IS NOT NULL")
+    return e.select("store_id", "dept_id", "feature_date", tx.format_pct(F.col("fuel_price_change").cast("double") * 100).alias("pct"))
 
 
 # ================================================================= sources / sinks / streaming
@@ -1104,7 +1243,7 @@ def q_csv_stores_roundtrip(spark, d):
     """Stores written as CSV (header Store,Type,Size; CR line ends), scanned back by position."""
     path = _fresh(spark, "stores-csv")
     st = tables(spark, d)[2].toDF("Store", "Type", "Size")
-    sk.export_csv(st.coalesce(1), path, line_sep="\r")
+    sk.export_csv(st, path, line_sep="\r")
     return fs.scan_stores(spark, path)
 
 
@@ -1124,20 +1263,43 @@ def q_csv_features_roundtrip(spark, d):
     return fs.scan_features(spark, path)
 
 
-_CONFORM_EXACT = ["store_id", "dept_id", "feature_date", "weekly_sales", "is_month_start", "is_holiday",
-                  "sales_lag_1", "rolling_min_4", "temperature", "fuel_price_change", "has_markdown",
-                  "markdown_count", "store_type_a", "store_type_c"]
+# Rounded from doubles on storing: an average of cents sits on a tie often, so these are compared
+# by how far the stored value is from the computed one (half a unit of the last place).
+_CONFORM_ROUNDED = {"rolling_mean_4": 2, "rolling_mean_13": 2, "rolling_mean_52": 2, "rolling_std_4": 2, "rolling_std_13": 2,
+                    "temperature_deviation": 2, "size_normalized": 6}
+_CONFORM_BOOL = ["store_type_a", "store_type_b", "store_type_c"]
+
 
+def _conform_sql() -> str:
+    cols = []
+    for f in sc.ENGINEERED.fields:
+        if f.name in _CONFORM_ROUNDED:
+            cols.append(f"{f.name} IS NOT NULL AS {f.name}")
+        elif f.name == "has_markdown":
+            cols.append("total_markdown > 0 AS has_markdown")
+        elif f.name in _CONFORM_BOOL:
+            cols.append(f"{f.name} <> 0 AS {f.name}")
+        else:
+            cols.append(f.name)
+    return eng_sql("SELECT " + ", ".join(cols) + ", TRUE AS rounded FROM eng")
 
-@register("conform_engineered", eng_sql(
-    "SELECT store_id, dept_id, feature_date, weekly_sales, is_month_start, is_holiday, sales_lag_1, rolling_min_4, "
-    "temperature, fuel_price_change, total_markdown > 0 AS has_markdown, markdown_count, "
-    "store_type_a <> 0 AS store_type_a, store_type_c <> 0 AS store_type_c FROM eng"))
+
+@register("conform_engineered", _conform_sql())
 def q_conform_engineered(spark, d):
-    """Engineered rows conformed to the stored schema, appended to a fresh table and read back."""
+    """Engineered rows conformed to the stored schema, appended to a fresh table and read back: every
+    stored column, those rounded on storing by their distance from the computed value."""
     path = _fresh(spark, "engineered")
-    sk.append(sk.conform_to_schema(engineered(spark, d), sc.ENGINEERED), path)
-    return fs.scan_table(spark, path, _CONFORM_EXACT)
+    e = engineered(spark, d)
+    sk.append(sk.conform_to_schema(e, sc.ENGINEERED), path)
+    keys = ["store_id", "dept_id", "feature_date"]
+    stored = fs.scan_table(spark, path)
+    near = F.lit(True)
+    for c, digits in _CONFORM_ROUNDED.items():
+        gap = F.abs(F.col(c).cast("double") - F.col(f"_{c}"))
+        near = near & F.coalesce(gap <= 0.5 * 10.0 ** -digits + 1e-9, F.col(c).isNull() & F.col(f"_{c}").isNull())
+    both = stored.join(e.select(*keys, *[F.col(c).alias(f"_{c}") for c in _CONFORM_ROUNDED]), keys)
+    shown = [F.col(f.name).isNotNull().alias(f.name) if f.name in _CONFORM_ROUNDED else F.col(f.name) for f in sc.ENGINEERED.fields]
+    return both.select(*shown, near.alias("rounded"))
 
 
 @register("training_scan_filtered", eng_sql(
@@ -1158,34 +1320,54 @@ def q_replace_forecasts(spark, d):
     return fs.scan_table(spark, path)
 
 
-@register("append_unique", with_tables("SELECT * FROM raw_sales WHERE date >= DATE '2000-01-01'"))
-def q_append_unique(spark, d):
-    """Rows accepted by a UNIQUE-key append: the table holds sales before 2000, the batch
-    repeats the second half of 1999 and adds the rest."""
+def _unique_append(spark, d) -> tuple[str, str]:
+    """A sales table and its rejects after two batches under a UNIQUE key: sales before 2000, then sales
+    from July 1999 on with changed amounts, department 1 twice. The second batch is delivered twice."""
     s = tables(spark, d)[0]
-    path = _fresh(spark, "sales-table")
-    sk.append(s.where(F.col("date") < "2000-01-01"), path)
-    batch = s.where(F.col("date") >= "1999-07-01")
-    sk.append_unique(batch, path, ["store_id", "dept_id", "date"])
-    return fs.scan_table(spark, path).where(F.col("date") >= "2000-01-01")
+    path, rejects = _fresh(spark, "sales-table"), _fresh(spark, "sales-rejects")
+    keys = ["store_id", "dept_id", "date"]
+    sk.append_unique(s.where(F.col("date") < "2000-01-01"), path, keys, "date", rejects, "first")
+    more = lambda n: s.where(F.col("date") >= "1999-07-01").withColumn("weekly_sales", (F.col("weekly_sales") + n).cast(sc.MONEY))
+    for _ in range(2):
+        sk.append_unique(more(1).unionByName(more(2).where("dept_id = 1")), path, keys, "date", rejects, "second")
+    return path, rejects
+
+
+@register("append_unique", with_tables("""
+SELECT store_id, dept_id, date, CAST(CASE WHEN date < DATE '2000-01-01' THEN weekly_sales ELSE weekly_sales + 1 END AS DECIMAL(18,2)) AS weekly_sales,
+       is_holiday FROM raw_sales
+"""))
+def q_append_unique(spark, d):
+    """The whole table after appends under a UNIQUE key."""
+    return sk.scan_unique(spark, _unique_append(spark, d)[0])
+
+
+@register("append_unique_rejects", with_tables("""
+SELECT store_id, dept_id, date, CAST(weekly_sales + 1 AS DECIMAL(18,2)) AS weekly_sales, is_holiday FROM raw_sales
+WHERE date >= DATE '1999-07-01' AND date < DATE '2000-01-01'
+UNION ALL
+SELECT store_id, dept_id, date, CAST(weekly_sales + 2 AS DECIMAL(18,2)), is_holiday FROM raw_sales
+WHERE date >= DATE '1999-07-01' AND dept_id = 1
+"""))
+def q_append_unique_rejects(spark, d):
+    """What those appends rejected: keys of the table, and further copies of a key in the batch."""
+    return sk.scan_unique(spark, _unique_append(spark, d)[1])
 
 
 @register("stream_ingest_sales", with_tables("SELECT * FROM raw_sales"))
 def q_stream_ingest_sales(spark, d):
-    """Sales CSV files (one folder per year, landed in two rounds) ingested by the file stream."""
+    """Sales CSV files ingested by the file stream in two runs; the second brings the later years and
+    delivers 1998 again with changed amounts, which the table's key rejects."""
     from weekcast.streaming.ingest import ingest_sales
 
     s = tables(spark, d)[0]
     base = _fresh(spark, "stream")
     landing, table, rejects, ckpt = (f"{base}/landing", f"{base}/table", f"{base}/rejects", f"{base}/ckpt")
-    spark.createDataFrame([], s.schema).write.mode("overwrite").parquet(table)
-    first = s.where(F.year("date") < 1999)
-    rest = s.where(F.year("date") >= 1999)
-    for part, tag in ((first, "a"), (rest, "b")):
+    changed = s.where(F.year("date") == 1998).withColumn("weekly_sales", F.col("weekly_sales") + 1)
+    for part, tag in ((s.where(F.year("date") < 1999), "a"), (s.where(F.year("date") >= 1999).union(changed), "b")):
         part.write.mode("overwrite").option("header", True).csv(f"{landing}/{tag}")
-    q = ingest_sales(spark, f"{landing}/*", table, rejects, ckpt)
-    q.awaitTermination()
-    return fs.scan_table(spark, table)
+        ingest_sales(spark, f"{landing}/*", table, rejects, ckpt).awaitTermination()
+    return sk.scan_unique(spark, table)
 
 
 # ================================================================= generic feature operators
@@ -1300,11 +1482,13 @@ ans AS (
 
 _REPORT_SPEC = [
     ("forecast_summary", "ds", [
+        ("data_granularity", "'WEEKLY (each value = one full week of sales)'"),
         ("total_predicted_weekly_sales", _cur("t")), ("avg_predicted_weekly_sales", _cur("a")),
         ("min_predicted_weekly_sales", _cur("mn")), ("max_predicted_weekly_sales", _cur("mx")),
         ("forecast_period", _period_sql("d0", "d1")), ("num_weeks_forecasted", "CAST(nw AS VARCHAR)"),
         ("num_store_dept_combinations", "CAST(ns AS VARCHAR)")]),
     ("historical_summary", "hsum", [
+        ("data_granularity", "'WEEKLY (each value = one full week of sales)'"),
         ("avg_weekly_sales", _cur("a")), ("median_weekly_sales", _cur("med")), ("std_weekly_sales", _cur("sd")),
         ("total_historical_sales", _cur("t")), ("historical_date_range", _period_sql("d0", "d1")),
         ("num_historical_weeks", "CAST(nw AS VARCHAR)")]),
@@ -1327,6 +1511,18 @@ _REPORT_SPEC = [
 def _report_sql() -> str:
     selects = [f"SELECT '{sec}' AS section, '{m}' AS metric, {e} AS value FROM {src}"
                for sec, src, items in _REPORT_SPEC for m, e in items]
+    mean = "CAST((2 * CAST(SUM(predicted_sales) * 100 AS HUGEINT) + COUNT(*)) // (2 * COUNT(*)) AS DECIMAL(20,0)) * 0.01"
+    selects += [
+        f"SELECT 'forecast_by_store' AS section, 'store ' || CAST(store_id AS VARCHAR) || ' mean' AS metric, "
+        f"CAST(CAST({mean} AS DECIMAL(18,2)) AS VARCHAR) AS value FROM fcs GROUP BY store_id",
+        "SELECT 'forecast_by_store', 'store ' || CAST(store_id AS VARCHAR) || ' sum', "
+        "CAST(CAST(SUM(predicted_sales) AS DECIMAL(38,2)) AS VARCHAR) FROM fcs GROUP BY store_id",
+        "SELECT 'scope', 'scope', 'Store 1'",
+        "SELECT 'anomaly_details', CAST(feature_date AS VARCHAR) || ' store ' || CAST(store_id AS VARCHAR) || ' department ' || CAST(dept_id AS VARCHAR), "
+        "'sales ' || " + _cur("weekly_sales") + " || ', z-score ' || format('{:.2f}', z) || ', deviation ' || format('{:,.2f}', z * sd) FROM "
+        "(SELECT feature_date, store_id, dept_id, weekly_sales, ABS((CAST(weekly_sales AS DOUBLE) - mu) / NULLIF(sd, 0)) AS z, sd "
+        "FROM hs CROSS JOIN anz WHERE ABS((CAST(weekly_sales AS DOUBLE) - mu) / NULLIF(sd, 0)) > 3.0 ORDER BY feature_date DESC, store_id, dept_id LIMIT 10)",
+    ]
     return fc_sql("\nUNION ALL\n".join(selects), _REPORT_CTES)
 
 

@@ -1,26 +1,19 @@
-"""Join strategies with an explicit size check.
-
-``join_bounded`` broadcasts the small side only after counting it against a
-row bound; beyond the bound it falls back to a shuffle join, where AQE's
-skew-join handling splits hot partitions of the large side. The small side is
-first written as Parquet into the shared checkpoint folder (one job; the
-count then comes from file footers), so neither the count nor a lost executor
-recomputes its lineage. ``DataFrame.checkpoint`` would run its input twice.
+"""Attaching one-row aggregates, and written intermediates.
+
+Joins to dimension-like sides are plain joins: Spark broadcasts a side whose
+measured bytes are below its threshold and shuffles otherwise, splitting hot
+partitions (AQE), so no row counts are taken while a plan is built.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import uuid
-
 from weekcast.session import scratch_path
 
-# About 20 columns x 200k rows stays near 30 MB on the driver and each executor;
-# measured at 290k context rows, the shuffle join was as fast as the broadcast.
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and continue from the copy."""
@@ -29,23 +22,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_bounded(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "left",
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
-    checkpoint: bool = True,
-) -> DataFrame:
-    """``big.join(small, on, how)``, broadcasting ``small`` only when it has at most ``max_rows``."""
-    if checkpoint:
-        small = materialize(small, "join-side")
-    n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate (a global ``agg``) to every row.
 

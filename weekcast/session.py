@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import threading
@@ -56,14 +58,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables and checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that setting is
-    absent (local tests) is a fresh scratch folder created and recorded.
+    absent and the master is local (tests) is a fresh scratch folder created and
+    recorded. Elsewhere a missing setting is an error: one machine's folder is
+    none that the executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not configured and sc is not None:
         configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = _LOCAL_CKPT.setdefault(app_id(spark), tempfile.mkdtemp(prefix="weekcast-ckpt-"))
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app_id(spark) not in _LOCAL_CKPT:
+            _LOCAL_CKPT[app_id(spark)] = tempfile.mkdtemp(prefix="weekcast-ckpt-")
+        configured = _LOCAL_CKPT[app_id(spark)]
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
@@ -87,10 +96,28 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.default.parallelism", None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A sub-folder of the shared checkpoint folder for written intermediate tables.
+
+    Each application has a folder of its own there, which goes when the driver ends.
+    """
+    base = os.path.join(checkpoint_dir(spark), "tables", app_id(spark))
+    if base not in _SCRATCH:
+        if not _SCRATCH:
+            atexit.register(_remove_scratch, spark)
+        _SCRATCH.add(base)
+    return os.path.join(base, name)
+
+
+def _remove_scratch(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone already; the folder then stays
+        jvm = spark._jvm
+        for base in _SCRATCH:
+            path = jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 # One lock for the "write once per application" tables (retail tables, feature

@@ -5,19 +5,22 @@
                         NULL (a missing boolean becomes false), every column is cast
                         to its declared type
 * ``replace``           replace the table's contents (overwrite)
-* ``append_unique``     append under a UNIQUE key: rows whose key already exists, or
-                        repeats inside the batch, are rejected instead of written
+* ``append_unique``     append under a UNIQUE key: rows whose key already exists, and
+                        further copies of a key in the batch, are rejected instead
 * ``export_csv``        CSV with header
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekcast.session import scratch_path
+
 
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     w = df.write.mode("append").format(fmt)
@@ -48,42 +51,79 @@ def conform_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def _exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        spark.read.format(fmt).load(path).schema
-        return True
+        df = spark.read.parquet(path)
+        df.schema
+        return df
     except AnalysisException:
-        return False
+        return None
 
 
 def split_unique(new: DataFrame, existing: DataFrame | None, keys: Sequence[str]):
-    """(accepted, rejected) rows of ``new`` under a UNIQUE key on ``keys``."""
+    """(accepted, rejected) rows of ``new`` under a UNIQUE key on ``keys``; together they are ``new``.
+
+    A key that ``existing`` holds is rejected. Of the rows that repeat a key inside
+    ``new`` one is accepted (the least by its other columns), the others are
+    rejected. A row with a NULL in its key is accepted, as SQL's UNIQUE does.
+
+    The decision is made per key on a partial aggregate and brought back by row
+    number, so the copies of a frequent key never meet in one task. ``new`` is read
+    twice and must give the same rows in the same partitions (a scan does).
+    """
     keys = list(keys)
-    counts = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = new.join(counts, keys, "left")
+    rows = new.withColumn("_row", F.monotonically_increasing_id())
+    complete = F.lit(True)
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    others = [F.col(c) for c in new.columns if c not in keys]
+    first = rows.where(complete).groupBy(*keys).agg(F.min(F.struct(*others, F.col("_row"))).alias("_first"))
     if existing is not None:
-        seen = existing.select(*keys).distinct().withColumn("_seen", F.lit(True))
-        tagged = tagged.join(seen, keys, "left")
-    else:
-        tagged = tagged.withColumn("_seen", F.lit(None).cast("boolean"))
-    ok = (F.col("_n") == 1) & F.col("_seen").isNull()
-    accepted = tagged.where(ok).drop("_n", "_seen")
-    rejected = tagged.where(~ok).drop("_n", "_seen")
+        first = first.join(existing.select(*keys), keys, "left_anti")
+    first = first.select(F.col("_first._row").alias("_row"), F.lit(True).alias("_taken"))
+    tagged = rows.join(first, "_row", "left").withColumn("_ok", F.coalesce("_taken", ~complete))
+    accepted = tagged.where("_ok").select(*new.columns)
+    rejected = tagged.where("NOT _ok").select(*new.columns)
     return accepted, rejected
 
 
-def append_unique(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Append the accepted rows; returns the rejected rows (lazy)."""
+def append_unique(new: DataFrame, path: str, keys: Sequence[str], date_key: str | None = None,
+                  rejects: str | None = None, batch: str | None = None) -> None:
+    """Append the accepted rows of ``new`` to the table at ``path`` and the others to ``rejects``.
+
+    The table is partitioned by ``_batch`` and, with ``date_key``, by ``_month``:
+    only the months between the batch's first and last date are read to look for
+    its keys. Every batch overwrites the partition of its own name and is decided
+    against the others, so a batch that is delivered again changes neither table.
+    Read the table with ``scan_unique``.
+    """
     spark = new.sparkSession
-    existing = spark.read.format(fmt).load(path) if _exists(spark, path, fmt) else None
+    batch = batch if batch is not None else f"b{uuid.uuid4().hex}"
+    staged = scratch_path(spark, f"unique-{uuid.uuid4().hex}")
+    new.write.parquet(staged)
+    new = spark.read.schema(new.schema).parquet(staged)
+    existing = _stored(spark, path)
+    if existing is not None and "_batch" in existing.columns:
+        existing = existing.where(F.col("_batch").cast("string") != batch)
+    if existing is not None and date_key is not None and "_month" in existing.columns:
+        lo, hi = new.agg(F.min(date_key), F.max(date_key)).first()
+        if lo is not None:
+            existing = existing.where(F.col("_month").between(f"m{lo:%Y-%m}", f"m{hi:%Y-%m}"))
     accepted, rejected = split_unique(new, existing, keys)
-    # stage the accepted rows first: the decision reads the table it appends to
-    staged = path.rstrip("/") + "__staged"
-    accepted.write.mode("overwrite").format(fmt).save(staged)
-    spark.read.format(fmt).load(staged).write.mode("append").format(fmt).save(path)
-    return rejected
+    if date_key is not None:
+        accepted = accepted.withColumn("_month", F.date_format(date_key, "'m'yyyy-MM"))
+    w = accepted.write.mode("overwrite")
+    (w.partitionBy("_month") if date_key is not None else w).parquet(f"{path}/_batch={batch}")
+    if rejects is not None:
+        rejected.write.mode("overwrite").parquet(f"{rejects}/_batch={batch}")
+
+
+def scan_unique(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``append_unique`` wrote, without its partition columns."""
+    df = spark.read.parquet(path)
+    return df.drop("_batch", "_month")
 
 
 def export_csv(df: DataFrame, path: str, line_sep: str | None = None) -> None:

@@ -3,9 +3,10 @@
 New CSV files dropped into a landing folder are read as a file stream with the
 sales schema, parsed like ``scan_sales``, and appended to the sales table under
 its UNIQUE (store, dept, date) key in ``foreachBatch``: rows whose key already
-exists, or repeats inside a micro-batch, go to a rejects table instead. The
-stream's checkpoint records which files were processed, so a restarted or
-retried query neither skips nor re-appends a file. ``trigger(availableNow=True)``
+exists, and further copies of a key in a micro-batch, go to a rejects table
+instead. Each micro-batch owns a partition of either table under its epoch's
+name and overwrites it, so a retried epoch changes nothing; the stream's
+checkpoint records which files were processed. ``trigger(availableNow=True)``
 processes everything present and stops, which suits scheduled loads.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weekcast.schema import MONEY, SALES_CSV_COLUMNS
-from weekcast.sources.sinks import append, append_unique
+from weekcast.sources.sinks import append_unique
 
 SALES_KEYS = ("store_id", "dept_id", "date")
 
@@ -39,8 +40,7 @@ def ingest_sales(spark: SparkSession, landing: str, table: str, rejects: str, ch
                  keys: Sequence[str] = SALES_KEYS, available_now: bool = True,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        rej = append_unique(batch, table, keys)
-        append(rej.withColumn("epoch_id", F.lit(epoch_id)), rejects)
+        append_unique(batch, table, keys, date_key="date", rejects=rejects, batch=f"epoch{epoch_id}")
 
     w = (sales_stream(spark, landing, max_files_per_trigger).writeStream
          .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
