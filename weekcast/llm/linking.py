@@ -7,8 +7,8 @@ every pair of members of different classes is checked once. Pairs within a class
 a large group of near copies costs a few checks per member. Nothing depends on a cap: the last step
 is complete for whatever the pivots left.
 
-Hot buckets: sizes and pivots are partial aggregates, pivot tables are written first and joined to the
-members by broadcast if small or else by a sort-merge join whose hot keys Spark splits.
+Hot buckets: sizes and pivots are partial aggregates, kept first and joined to the members by
+broadcast if small or else by a sort-merge join whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import dropped, written
 
+#: For tables used twice within a step; parts lost with an executor are made again from written ones.
+KEPT = StorageLevel.MEMORY_AND_DISK
+
 #: Words of 64 bits in a membership filter: its size is fixed (8 MB); more keys only make it prune less.
 FILTER_WORDS = 1 << 20
 #: Rounds of new pivots for buckets that hold several classes, before their pairs are listed.
@@ -57,7 +61,7 @@ def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands"
     rows = sketches.select(F.col(node).alias("node"), F.col(bands).alias("bands")).where("node IS NOT NULL AND bands IS NOT NULL")
     small = rows.select("node", F.explode("bands").alias("bucket")).select("bucket", F.hash("node", "bucket").alias("x"))
     several = small.groupBy("bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("bucket")
-    several = written(several, "buckets")
+    several = several.persist(KEPT)
     bits = spark.sparkContext.broadcast(filter_of(several, "bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,28 +75,29 @@ def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands"
 
     likely = rows.mapInArrow(run, "bucket long, node long")
     members = written(likely.join(several, "bucket", "left_semi").distinct(), "members")
-    dropped(several)
+    several.unpersist()
     return members
 
 
 def components(links: DataFrame) -> DataFrame:
     """The written ``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
 
-    Alternating large-star and small-star steps; every step is a written table, so a lost executor
-    costs at most one step. Ends when every edge leads from a node with one edge to one without.
+    Alternating large-star and small-star steps. Each round's edges are a written table, so a lost
+    executor costs at most one round; what a round needs twice is kept by the executors and made again
+    if lost. Ends when every edge leads from a node with one edge to one without.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
-        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist(KEPT)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist(KEPT)
+        lower = large.groupBy("u").agg(F.min("v").alias("m")).persist(KEPT)
         joined = large.join(lower, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = written(small.unionByName(lower.withColumnRenamed("m", "v")).where("u <> v").distinct(), "small-star")
-        for old in (edges, least, large, lower):
-            dropped(old)
+        for old in (least, large, lower):
+            old.unpersist()
+        dropped(edges)
         edges = small
         heads = edges.groupBy("u").agg(F.count("*").alias("n"))
         tails = edges.select(F.col("v").alias("u")).distinct()
@@ -122,24 +127,25 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
 
     # every member against the first and the last of its bucket, in an order of the bucket's own
     x = _stirred("node", F.xxhash64("bucket"))
-    ends = written(members.groupBy("bucket").agg(F.min(x).alias("x"), F.max(x).alias("y")), "pivots")
+    ends = members.groupBy("bucket").agg(F.min(x).alias("x"), F.max(x).alias("y")).persist(KEPT)
     pivot = F.explode(F.array(_stirred("x", F.xxhash64("bucket")), _stirred("y", F.xxhash64("bucket"))))
     pairs = members.join(ends, "bucket").withColumn("pivot", pivot).where("node <> pivot").select(*_paired("node", "pivot"))
-    tested = [written(pairs.distinct(), "pairs")]
+    tested = [pairs.distinct().persist(KEPT)]
     links = [written(verify(tested[0]), "links")]
-    dropped(ends)
+    ends.unpersist()
     for turn in range(1, PIVOT_ROUNDS + 2):
         classes = components(union(links))
         owned = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"))
         parts = owned.groupBy("bucket", "class_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("k")
         )
-        parts = written(parts.where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")), "mixed")
+        parts = parts.where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")).persist(KEPT)
         left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
         if not left[0]:
+            parts.unpersist()
             dropped(classes)
             break
-        mixed = written(owned.join(parts.select("bucket", "main"), "bucket"), "mixed-members")
+        mixed = owned.join(parts.select("bucket", "main"), "bucket").persist(KEPT)
         last = turn > PIVOT_ROUNDS or left[1] <= PAIRS_PER_MEMBER * left[0]
         if last:  # every pair of members of different classes: one of the two is outside the bucket's largest class
             other = mixed.select("bucket", F.col("node").alias("node2"), F.col("class_id").alias("class2"))
@@ -148,14 +154,15 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
         else:
             by = F.xxhash64("bucket", F.lit(turn))
             least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), F.col("class_id"))).alias("p"))
-            chosen = written(least.select("bucket", _stirred("p.x", by).alias("pivot"), F.col("p.class_id").alias("of")), "pivots")
+            chosen = least.select("bucket", _stirred("p.x", by).alias("pivot"), F.col("p.class_id").alias("of"))
             new = mixed.join(chosen, "bucket").where("class_id <> of").select(*_paired("node", "pivot"))
-        tested.append(written(new.distinct().join(union(tested), ["a", "b"], "left_anti"), "pairs"))
+        tested.append(new.distinct().join(union(tested), ["a", "b"], "left_anti").persist(KEPT))
         links.append(written(verify(tested[-1]), "links"))
-        for old in (classes, parts, mixed):
-            dropped(old)
+        parts.unpersist()
+        mixed.unpersist()
+        dropped(classes)
         if last:
             break
     for old in tested:
-        dropped(old)
+        old.unpersist()
     return union(links)
