@@ -27,9 +27,10 @@ from .sketches import bands, prob_minhash
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Registers of a sketch and registers per band: two documents of similarity 0.8 share none of the 24 bands
-#: with a chance of (1 - 0.8**4)**24, about 3 in a million.
-REGISTERS, BAND_ROWS = 96, 4
+#: Registers of a sketch and registers per band: two documents of similarity 0.8 share none of the 32 bands
+#: with a chance of (1 - 0.8**6)**32, about 6 in 100,000; at 0.3, as of documents with a passage in
+#: common, they share one with a chance of 2 in a hundred.
+REGISTERS, BAND_ROWS = 192, 6
 #: Texts that a task remembers, so that copies are sketched once (saves work only).
 REMEMBERED = 50_000
 
