@@ -195,6 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, window int, start long, edits int"
     out = spark.createDataFrame([], schema)
+    item_type = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for index in _blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(index)
@@ -206,7 +207,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     if found:
                         doc, item, window, start, edits = map(list, zip(*found))
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("id").take(pa.array(doc)), pa.array([sent.value.items[n] for n in item]), pa.array(window, pa.int32()), pa.array(start, pa.int64()), pa.array(edits, pa.int32())],
+                            [part.column("id").take(pa.array(doc)), pa.array([sent.value.items[n] for n in item], item_type), pa.array(window, pa.int32()), pa.array(start, pa.int64()), pa.array(edits, pa.int32())],
                             ["id", "item", "window", "start", "edits"],
                         )
 

@@ -12,8 +12,9 @@ Each merged node has the child sequences it appears with (presentation) and the
 Branches whose composite importance is below ``THRESHOLD`` are removed from every page of the host.
 What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, and class or id
 names that say so) has importance 0 from the start, also on hosts with one page. A page with article
-or main elements gives their text only; inside them a branch that holds more than half of the text
-is never removed, since copies of an article would otherwise count as template.
+or main elements gives their text only. Inside them copies of an article must not count as template:
+headings and paragraphs that are children of the article itself stay, and if the low branches
+hold more than half of the page's text, none of them is removed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space.
@@ -82,7 +83,7 @@ def _says_noise(name: str) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "path", "children", "noise", "inside")
+    __slots__ = ("tag", "path", "children", "noise", "inside", "prose")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         names = _names(attributes)
@@ -96,6 +97,7 @@ class Element:
         self.noise = bool(parent and parent.noise) or self._named_noise(names, content, bool(parent and parent.inside))
         if self.noise:
             self.inside = False
+        self.prose = bool(parent) and parent.inside and parent.tag in CONTENT and (tag == "p" or bool(re.fullmatch("h[1-6]", tag)))
         if parent:
             parent.children.append(own)
 
@@ -223,9 +225,9 @@ def main_text(html: str | None, branches: set[str]) -> str:
         for run in inside:
             if run is not BREAK:
                 sizes[run[0].path] = sizes.get(run[0].path, 0) + len(run[1].strip())
-        whole = sum(sizes.values())
-        heavy = {b for b in branches if 2 * sum(s for p, s in sizes.items() if p == b or p.startswith(b + "/")) > whole}
-        low = {p for p in low if _under(p, branches - heavy)}
+        low = {e.path for e in elements if e.path in low and _under(e.path, branches - {x.path for x in elements if x.prose})}
+        if 2 * sum(s for p, s in sizes.items() if p in low) > sum(sizes.values()):
+            low = set()
     return _joined(inside, lambda e: e.path not in low)
 
 
