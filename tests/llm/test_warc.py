@@ -45,13 +45,11 @@ def expected(rows):
 def test_round_trip_of_edge_rows(spark):
     long = "é漢\r\n\r\n" * 20_000
     rows = [
-        (1, "u1", "short"), (2, "u2", "short"), (3, None, None), (4, "u\n4%", ""), (5, "u5", "a" * 1000), (6, "u6", "a" * 1000), (7, "u7", "b" * 999), (8, "u8", "b" * 999),
+        (1, "u1", "short"), (2, "u2", "short"), (3, None, None), (4, " u\n4%20 ", ""), (5, "u5", "a" * 1000), (6, "u6", "a" * 1000), (7, "u7", "b" * 999), (8, "u8", "b" * 999),
         (9, "u9", long), (10, "u10", long), (None, "u", "a" * 1000), (None, "v", "c" * 2000), (6, "u6", "a" * 1000), (11, "é ü", "\r\n0\r\n\r\n" * 300),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     got = warc.archive(df).collect()
-    plain = lambda u: None if u is None else u.replace("\n", "%0A") if "\n" in u and "%" not in u else warc._one_line(u)
-    rows = [(p, plain(u), h) for p, u, h in rows]
     assert sorted(str((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == expected(rows)
     assert warc.archive(df.limit(0)).count() == 0
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 
 #: Pieces that one generation of a worker's cache keeps, and the longest one kept: memory stays bounded.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 CACHE_CHARS = 48
 #: Longer texts are split piece by piece instead of into one list.
 LONG_TEXT = 1 << 20

@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -80,10 +81,10 @@ def _header(kind: str, fields: list[tuple[str, object]], length: int) -> bytes:
 
 
 def _one_line(text: str | None) -> str | None:
-    """A header value: controls and percent signs escaped, so that it stays on its line and can be had back."""
+    """A header value: controls, spaces and percent signs escaped, so that it stays on its line and can be had back."""
     if text is None:
         return None
-    return "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+    return "".join(c if c.isprintable() and c not in "% " else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
 def records(record_id: str, page_id, uri, digest: str, refers_to, payload: bytes | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
@@ -144,7 +145,7 @@ def _parsed(header: bytes, block: bytes) -> dict:
     total, refers = fields.get("warc-segment-total-length"), bare("warc-refers-to")
     return {
         "kind": fields["warc-type"], "record_id": bare("warc-record-id"), "page_id": fields.get("warc-page-id"),
-        "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        "uri": unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None, "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
         "refers_to": refers.removeprefix("urn:page:") if refers else None, "origin": bare("warc-segment-origin-id"),
         "segment": int(fields["warc-segment-number"]) if "warc-segment-number" in fields else None, "total": int(total) if total else None, "block": block,
     }
