@@ -92,3 +92,13 @@ def test_filter_holds_its_keys(spark):
     bits = linking.filter_of(keys, "key")
     assert linking.may_hold(bits, np.array([-5, 0, 7, 1 << 62, -(1 << 63)])).all()
     assert not linking.may_hold(bits, np.array([1, 2, 3])).any()
+
+
+def test_components_over_many_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "CHUNK_EDGES", 8)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(200)]
+    edges = [e for e in edges if e[0] != e[1]]
+    rng.shuffle(edges)
+    got = {r.node: r.class_id for r in linking.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == classes_of(edges)

@@ -29,6 +29,8 @@ KEPT = StorageLevel.MEMORY_AND_DISK
 FILTER_WORDS = 1 << 20
 #: Rounds of new pivots for buckets that hold several classes, before their pairs are listed.
 PIVOT_ROUNDS = 3
+#: Edges that a task makes stars of at a time.
+CHUNK_EDGES = 1 << 20
 #: The pairs are listed as soon as there are no more than so many per membership.
 PAIRS_PER_MEMBER = 16
 
@@ -79,30 +81,72 @@ def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands"
     return members
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (u, v) as stars: every node with the least node that they connect it to."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+    while (label[label] != label).any():
+        label = label[label]
+    leaves = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[leaves], nodes[label[leaves]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges with those of each task (``CHUNK_EDGES`` at a time) made stars: the same components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            u, v = (np.concatenate(x) for x in zip((u, v), more))
+            if len(u) >= CHUNK_EDGES:
+                u, v = _forest(u, v)
+                if len(u) >= CHUNK_EDGES // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(u):
+            u, v = _forest(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """The written ``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
 
-    Alternating large-star and small-star steps. Each round's edges are a written table, so a lost
-    executor costs at most one round; what a round needs twice is kept by the executors and made again
-    if lost. Ends when every edge leads from a node with one edge to one without.
+    Every task first makes stars of its own links; a second pass does so with what Spark reads together
+    then. Where that is not the end, alternating large-star and small-star steps follow, each round with
+    such a pass. Each round's edges are a written table, so a lost executor costs at most one round;
+    what a round needs twice is kept by the executors and made again if lost. Ends when every edge
+    leads from a node with one edge to one without.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = written(_contracted(pairs), "edges")
+    turn = 0
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist(KEPT)
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist(KEPT)
-        lower = large.groupBy("u").agg(F.min("v").alias("m")).persist(KEPT)
-        joined = large.join(lower, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = written(small.unionByName(lower.withColumnRenamed("m", "v")).where("u <> v").distinct(), "small-star")
-        for old in (least, large, lower):
-            old.unpersist()
-        dropped(edges)
-        edges = small
         heads = edges.groupBy("u").agg(F.count("*").alias("n"))
         tails = edges.select(F.col("v").alias("u")).distinct()
         if not heads.where("n > 1").select("u").union(heads.join(tails, "u").select("u")).limit(1).count():
             break
+        if turn == 0:
+            small = written(_contracted(edges), "edges")
+        else:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist(KEPT)
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist(KEPT)
+            lower = large.groupBy("u").agg(F.min("v").alias("m")).persist(KEPT)
+            joined = large.join(lower, "u")
+            small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = written(_contracted(small.unionByName(lower.withColumnRenamed("m", "v")).where("u <> v").distinct()), "small-star")
+            for old in (least, large, lower):
+                old.unpersist()
+        dropped(edges)
+        edges, turn = small, turn + 1
     roots = edges.select(F.col("v").alias("node")).distinct()
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
     found = written(leaves.unionByName(roots.select("node", F.col("node").alias("class_id"))), "classes")
