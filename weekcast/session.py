@@ -106,15 +106,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = os.path.join(checkpoint_dir(spark), "tables", app_id(spark))
     if base not in _SCRATCH:
-        if not _SCRATCH:
-            atexit.register(_remove_scratch, spark)
+        sc = _context(spark)
+        if not _SCRATCH and sc is not None:
+            atexit.register(_remove_scratch, sc._jvm)
         _SCRATCH.add(base)
     return os.path.join(base, name)
 
 
-def _remove_scratch(spark: SparkSession) -> None:
+def _remove_scratch(jvm) -> None:
     with contextlib.suppress(Exception):  # the gateway may be gone already; the folder then stays
-        jvm = spark._jvm
         for base in _SCRATCH:
             path = jvm.org.apache.hadoop.fs.Path(base)
             path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
