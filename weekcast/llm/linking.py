@@ -29,8 +29,9 @@ KEPT = StorageLevel.MEMORY_AND_DISK
 FILTER_WORDS = 1 << 20
 #: Rounds of new pivots for buckets that hold several classes, before their pairs are listed.
 PIVOT_ROUNDS = 3
-#: Edges that a task makes stars of at a time.
+#: Edges that a task makes stars of at a time; passes before the star steps, and files a task takes in them.
 CHUNK_EDGES = 1 << 20
+PASSES, FAN_IN = 2, 8
 #: The pairs are listed as soon as there are no more than so many per membership.
 PAIRS_PER_MEMBER = 16
 
@@ -119,9 +120,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """The written ``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
 
-    Every task first makes stars of its own links; a second pass does so with what Spark reads together
-    then. Where that is not the end, alternating large-star and small-star steps follow, each round with
-    such a pass. Each round's edges are a written table, so a lost executor costs at most one round;
+    Every task first makes stars of its own links, and in ``PASSES`` more passes of ``FAN_IN`` tasks'
+    stars together (a bounded number of edges at a time). Where that is not the end, alternating
+    large-star and small-star steps follow, each round with such a pass. Each round's edges are a written table, so a lost executor costs at most one round;
     what a round needs twice is kept by the executors and made again if lost. Ends when every edge
     leads from a node with one edge to one without.
     """
@@ -133,8 +134,9 @@ def components(links: DataFrame) -> DataFrame:
         tails = edges.select(F.col("v").alias("u")).distinct()
         if not heads.where("n > 1").select("u").union(heads.join(tails, "u").select("u")).limit(1).count():
             break
-        if turn == 0:
-            small = written(_contracted(edges), "edges")
+        if turn < PASSES:
+            together = max(1, len(edges.inputFiles()) // FAN_IN)
+            small = written(_contracted(edges.coalesce(together)), "edges")
         else:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist(KEPT)
