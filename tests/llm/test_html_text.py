@@ -102,3 +102,25 @@ def test_registered_query_takes_whole_articles(spark):
         want = " ".join(entities.unescape(re.sub(r"</?b>", "", inside[1]).replace("<", " <").replace(">", "> ") if inside else "").split())
         want = " ".join(re.sub(r"<[^>]*>", " ", want).split())
         assert re.sub(r"\s", "", r.text) == re.sub(r"\s", "", want) and r.n_chars == len(r.text)
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(n, "http://h/", x) for n, x in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in ht.extract(df).collect()}
+
+
+def test_copies_without_article_keep_their_text(spark):
+    own = "<div class=text><h2>Same</h2><p>The very same text</p><p>on every page</p><ul><li>one</ul></div>"
+    copies = [page(f"{own}<div class=advert>buy {n}</div><script>f({n})</script>" + "<nav>x</nav>" * n) for n in range(3)]
+    assert set(texts_of(spark, copies).values()) == {"Same The very same text on every page one"}
+
+
+def test_near_copies_that_dominate_a_host(spark):
+    def body(top, text):
+        return page(f"<div class=top>{top}</div><div class=text>{text}</div>")
+
+    shared = "<h2>Same</h2>" + "".join(f"<p>the long shared paragraph number {'abcdefghij'[k]}</p>" for k in range(10))
+    pages = [body(f"Site {'abcdefgh'[n]}", shared) for n in range(8)] + [body("Site a", "<p>an unlike page with quite other words</p>")]
+    got = texts_of(spark, pages)
+    assert all("Same the long shared paragraph number a" in got[n] and "number j" in got[n] for n in range(8))
+    assert "an unlike page with quite other words" in got[8]

@@ -12,15 +12,17 @@ Each merged node has the child sequences it appears with (presentation) and the
 Branches whose composite importance is below ``THRESHOLD`` are removed from every page of the host.
 What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, and class or id
 names that say so) has importance 0 from the start, also on hosts with one page. A page with article
-or main elements gives their text only. Inside them copies of an article must not count as template:
-headings and paragraphs that are children of the article itself stay, and if the low branches
-hold more than half of the page's text, none of them is removed.
+or main elements gives their text only. Copies of a page must not count as template. Pages with the
+same text outside those parts are one page of the tree. Where the branch that holds most of a page's
+text is itself low (near copies make it so), nothing in or above it is removed. Headings and
+paragraphs that are children of an article stay, and if the low branches hold more than half of the
+articles' text, or three quarters of a page without articles, none of them is removed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space.
 
-Defined cases: null or empty html gives an empty text; a null url has the empty host; identical pages
-of a host count once in its tree; malformed and unclosed markup is read leniently to the end; texts
+Defined cases: null or empty html gives an empty text; a null url has the empty host; pages of a host
+with the same text count once in its tree; malformed and unclosed markup is read leniently to the end; texts
 of any length are taken whole; every input row gives one row (repeated and null ids too).
 """
 
@@ -70,6 +72,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BREAK = None
+#: Elements that are a piece of running text, not the branch that holds it.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption br hr".split())
 
 
 def _names(attributes: str) -> dict[str, str]:
@@ -177,7 +181,15 @@ def _hash(text: str) -> int:
 def features(html: str) -> set[tuple[str, str, int]]:
     """What one page adds to its host's tree: (path, kind, feature) with kind ``s`` for the child
     sequence of an element and ``t`` for a text. Branches that are noise by name are left out."""
-    elements, runs = parse(html)
+    return _features(*parse(html))
+
+
+def _body(runs: list) -> int:
+    """Identity of a page by its text without the parts that are noise by name."""
+    return _hash(_joined([r for r in runs if r is BREAK or not r[0].noise], lambda e: True))
+
+
+def _features(elements: list[Element], runs: list) -> set[tuple[str, str, int]]:
     shapes: dict[str, list[str]] = {}
     for e in elements:
         if not e.noise:
@@ -217,20 +229,43 @@ def main_text(html: str | None, branches: set[str]) -> str:
     elements, runs = parse(html)
     content = any(e.inside and not e.noise for e in elements)
     inside = [r for r in runs if r is BREAK or not r[0].noise and (r[0].inside or not content)]
-    if not branches:
-        return _joined(inside, lambda e: True)
+    branches = _without_bulk(branches, _sizes(r for r in runs if r is not BREAK and not r[0].noise))
+    if content:
+        branches = branches - {e.path for e in elements if e.prose}
     low = {e.path for e in elements if not e.noise and _under(e.path, branches)}
-    if content and low:
-        sizes: dict[str, int] = {}
-        for run in inside:
-            if run is not BREAK:
-                sizes[run[0].path] = sizes.get(run[0].path, 0) + len(run[1].strip())
-        low = {e.path for e in elements if e.path in low and _under(e.path, branches - {x.path for x in elements if x.prose})}
-        if 2 * sum(s for p, s in sizes.items() if p in low) > sum(sizes.values()):
-            low = set()
+    sizes = _sizes(r for r in inside if r is not BREAK)
+    most = 1 / 2 if content else 3 / 4
+    if sum(n for p, n in sizes.items() if p in low) > most * sum(sizes.values()):
+        low = set()
     return _joined(inside, lambda e: e.path not in low)
 
 
+def _sizes(runs) -> dict[str, int]:
+    """Characters of text by path."""
+    sizes: dict[str, int] = {}
+    for element, text in runs:
+        sizes[element.path] = sizes.get(element.path, 0) + len(text.strip())
+    return sizes
+
+
+def _without_bulk(branches: set[str], sizes: dict[str, int]) -> set[str]:
+    """The branches without those that would take the branch that holds most of the page's text, or
+    parts of it, if they would."""
+    if not branches:
+        return branches
+    below: dict[str, int] = {}
+    for path, n in sizes.items():
+        while path:
+            below[path] = below.get(path, 0) + n
+            path = path.rpartition("/")[0]
+    bulk = max((p for p, n in below.items() if 2 * n > sum(sizes.values())), key=lambda p: p.count("/"), default="")
+    while re.split(r"[.#]", bulk.rpartition("/")[2])[0] in PIECES:
+        bulk = bulk.rpartition("/")[0]
+    if not _under(bulk, branches):
+        return branches
+    return {b for b in branches if b != bulk and not bulk.startswith(b + "/") and not b.startswith(bulk + "/")}
+
+
 def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """The low-importance branches of every host's style tree: ``host`` and ``branches`` (paths)."""
     host, _ = host_and_path(F.col("url"))
@@ -244,13 +279,17 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                 out = []
                 for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
                     if (host, page) not in seen:
-                        out += ((host, page, *x) for x in features(html))
+                        parsed = parse(html)
+                        body = _body(parsed[1])
+                        out += ((host, body, *x) for x in _features(*parsed))
                         if len(seen) < 100_000:  # saves work only; copies are counted once below in any case
                             seen.add((host, page))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["host", "page", "path", "kind", "feature"])
 
-    found = rows.mapInArrow(run, "host string, page bigint, path string, kind string, feature bigint").distinct()
+    found = rows.mapInArrow(run, "host string, page bigint, path string, kind string, feature bigint")
+    # a body counts once per path and text; of the child sequences of its copies one is taken
+    found = found.groupBy("host", "page", "path", "kind", F.when(F.col("kind") == "t", F.col("feature")).alias("text")).agg(F.min("feature").alias("feature"))
     counted = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     shape, text, n = F.col("kind") == "s", F.col("kind") == "t", F.col("n")
     nodes = counted.groupBy("host", "path").agg(
