@@ -124,3 +124,24 @@ def test_near_copies_that_dominate_a_host(spark):
     got = texts_of(spark, pages)
     assert all("Same the long shared paragraph number a" in got[n] and "number j" in got[n] for n in range(8))
     assert "an unlike page with quite other words" in got[8]
+
+
+def test_repeated_inline_words_stay(spark):
+    pages = [page(f"<article><p>own text {w} <b>Reuters</b> more <a>link</a> {w}</p></article>") for w in ("one", "two", "three")]
+    assert texts_of(spark, pages) == {n: f"own text {w} Reuters more link {w}" for n, w in enumerate(("one", "two", "three"))}
+
+
+def test_blocks_of_articles_stay_unless_most_articles_hold_them(spark):
+    def article(h, p):
+        return page(
+            f"<article><h1>{h}</h1><p>{p}</p><div><p>nested words</p></div><ul><li>item</ul><blockquote>quoted</blockquote><pre>code</pre>"
+            f"<table><tr><td>cell</table></article>"
+        )
+
+    copies = [article(f"Title {w}", "a paragraph that the copies share") for w in ("one", "two")]
+    others = [page(f"<article><p>other page {w} with words of its own {w}</p><div class=foot>Read our terms</div></article>") for w in "abcdefg"]
+    got = texts_of(spark, copies + others)
+    assert got[0] == "Title one a paragraph that the copies share nested words item quoted code cell"
+    assert got[1] == got[0].replace("one", "two")
+    assert got[2] == "other page a with words of its own a"
+    assert texts_of(spark, copies) == {0: got[0], 1: got[1]}

@@ -15,11 +15,12 @@ names that say so) has importance 0 from the start, also on hosts with one page.
 or main elements gives their text only. Copies of a page must not count as template. Pages with the
 same text outside those parts are one page of the tree. Where the branch that holds most of a page's
 text is itself low (near copies make it so), nothing in or above it is removed. Headings and
-paragraphs that are children of an article stay, and if the low branches hold more than half of the
+paragraphs that are children of an article stay, other branches below it are removed only if they
+lie on most distinct article pages of the host (``common``), and if the low branches hold more than half of the
 articles' text, or three quarters of a page without articles, none of them is removed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
-page order by one space.
+page order by one space. An inline element is no branch; its text belongs to the block around it.
 
 Defined cases: null or empty html gives an empty text; a null url has the empty host; pages of a host
 with the same text count once in its tree; malformed and unclosed markup is read leniently to the end; texts
@@ -87,15 +88,17 @@ def _says_noise(name: str) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "path", "children", "noise", "inside", "prose")
+    __slots__ = ("tag", "path", "children", "inline", "noise", "inside", "prose")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         names = _names(attributes)
         marks = "".join(f".{c}" for c in sorted(names.get("class", "").split())) + (f"#{names['id']}" if names.get("id") else "")
         own = re.sub(r"\d+", "0", tag + marks).replace("/", "")
-        self.tag, self.children = tag, []
+        self.tag = tag
         above = parent.path if parent else ""
-        self.path = f"{above}/{own}" if above.count("/") < DEPTH else above
+        self.inline = bool(above) and tag in INLINE  # no branch of its own: part of the block around it
+        self.path = f"{above}/{own}" if above.count("/") < DEPTH and not self.inline else above
+        self.children = parent.children if self.inline else []
         content = tag in CONTENT or names.get("role") == "main"
         self.inside = bool(parent and parent.inside) or content
         self.noise = bool(parent and parent.noise) or self._named_noise(names, content, bool(parent and parent.inside))
@@ -192,12 +195,17 @@ def _body(runs: list) -> int:
 def _features(elements: list[Element], runs: list) -> set[tuple[str, str, int]]:
     shapes: dict[str, list[str]] = {}
     for e in elements:
-        if not e.noise:
+        if not e.noise and not e.inline:
             shapes.setdefault(e.path, []).append(" ".join(e.children))
     found = {(path, "s", _hash("\n".join(rows))) for path, rows in shapes.items()}
-    for run in runs:
-        if run is not BREAK and not run[0].noise and run[0].path and (text := " ".join(run[1].split())):
-            found.add((run[0].path, "t", _hash(text)))
+    block: dict[str, list[str]] = {}
+    for run in [*runs, BREAK]:
+        if run is not BREAK:
+            if not run[0].noise and run[0].path:
+                block.setdefault(run[0].path, []).append(run[1])
+            continue
+        found.update((path, "t", _hash(text)) for path, pieces in block.items() if (text := " ".join("".join(pieces).split())))
+        block = {}
     return found
 
 
@@ -222,8 +230,9 @@ def _joined(runs: list, keep) -> str:
     return " ".join(blocks)
 
 
-def main_text(html: str | None, branches: set[str]) -> str:
-    """The page's text without the parts that are noise by name and without the given branches."""
+def main_text(html: str | None, branches: set[str], common: set[str] | None = None) -> str:
+    """The page's text without the parts that are noise by name and without the given branches, of
+    which articles lose only those that are ``common`` (None: all)."""
     if not html:
         return ""
     elements, runs = parse(html)
@@ -231,7 +240,8 @@ def main_text(html: str | None, branches: set[str]) -> str:
     inside = [r for r in runs if r is BREAK or not r[0].noise and (r[0].inside or not content)]
     branches = _without_bulk(branches, _sizes(r for r in runs if r is not BREAK and not r[0].noise))
     if content:
-        branches = branches - {e.path for e in elements if e.prose}
+        within = {e.path for e in elements if e.inside and not e.noise}
+        branches = branches - {e.path for e in elements if e.prose} - (within - common if common is not None else set())
     low = {e.path for e in elements if not e.noise and _under(e.path, branches)}
     sizes = _sizes(r for r in inside if r is not BREAK)
     most = 1 / 2 if content else 3 / 4
@@ -267,7 +277,8 @@ def _without_bulk(branches: set[str], sizes: dict[str, int]) -> set[str]:
 
 
 def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
-    """The low-importance branches of every host's style tree: ``host`` and ``branches`` (paths)."""
+    """The low-importance branches of every host's style tree: ``host``, ``branches`` (paths) and those of
+    them that lie on more than half as many distinct pages as have articles (``common``)."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where("length(html) > 0")
     rows = rows.select(host.alias("host"), F.xxhash64("html").alias("page"), "html")
@@ -282,6 +293,8 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                         parsed = parse(html)
                         body = _body(parsed[1])
                         out += ((host, body, *x) for x in _features(*parsed))
+                        if any(r is not BREAK and r[0].inside and r[1].strip() for r in parsed[1]):
+                            out.append((host, body, "", "a", 0))
                         if len(seen) < 100_000:  # saves work only; copies are counted once below in any case
                             seen.add((host, page))
                 if out:
@@ -291,10 +304,11 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     # a body counts once per path and text; of the child sequences of its copies one is taken
     found = found.groupBy("host", "page", "path", "kind", F.when(F.col("kind") == "t", F.col("feature")).alias("text")).agg(F.min("feature").alias("feature"))
     counted = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
-    shape, text, n = F.col("kind") == "s", F.col("kind") == "t", F.col("n")
+    shape, text, article, n = F.col("kind") == "s", F.col("kind") == "t", F.col("kind") == "a", F.col("n")
     nodes = counted.groupBy("host", "path").agg(
         F.sum(F.when(shape, n)).alias("m"), F.sum(F.when(shape, n * F.log(n))).alias("n_log_n"), F.count(F.when(shape, 1)).alias("shapes"),
         F.sum(F.when(text, F.log(n))).alias("log_n"), F.count(F.when(text, 1)).alias("texts"),
+        F.sum(F.when(article, n)).alias("articles"),
     )
     log_m = F.log("m")
     nodes = nodes.withColumns({
@@ -307,8 +321,11 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     below = below.groupBy("host", "path").agg(F.sum("spread").alias("spread_below"), F.sum("texts").alias("texts_below"))
     weight = F.pow(F.lit(GAMMA), "shapes")
     composite = (1 - weight) * F.col("node") + weight * (1 - F.col("spread_below") / F.col("texts_below"))
-    low = nodes.where("m > 1").join(below, ["host", "path"]).where(composite < threshold)
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("branches"))
+    low = nodes.where("m > 1 or articles > 0").join(below, ["host", "path"], "left").where((F.col("articles") > 0) | (composite < threshold))
+    branch = F.when(F.col("articles").isNull(), F.struct("path", "m"))
+    low = low.groupBy("host").agg(F.sort_array(F.collect_list(branch)).alias("low"), F.max("articles").alias("articles")).where("size(low) > 0")
+    common = F.filter("low", lambda b: 2 * b["m"] > F.coalesce("articles", F.lit(0)))
+    return low.select("host", F.col("low.path").alias("branches"), F.transform(common, lambda b: b["path"]).alias("common"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -318,13 +335,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     low = written(branches_of(pages, url_col, html_col, threshold), "style-tree")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("host", host_and_path(F.col("url"))[0]).join(low, "host", "left").select("id", "url", "html", "branches")
+    rows = rows.withColumn("host", host_and_path(F.col("url"))[0]).join(low, "host", "left").select("id", "url", "html", "branches", "common")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(h, set(b or ())) for h, b in zip(part.column("html").to_pylist(), part.column("branches").to_pylist())]
+                texts = [main_text(h, set(b or ()), set(c or ())) for h, b, c in zip(*(part.column(n).to_pylist() for n in ("html", "branches", "common")))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     return rows.mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
