@@ -145,3 +145,14 @@ def test_blocks_of_articles_stay_unless_most_articles_hold_them(spark):
     assert got[1] == got[0].replace("one", "two")
     assert got[2] == "other page a with words of its own a"
     assert texts_of(spark, copies) == {0: got[0], 1: got[1]}
+
+
+def test_articles_that_hold_little_are_not_the_page():
+    text = "the main text of the page, which is longer than the cards"
+    assert ht.main_text(page(f"<div class=content><p>{text}</p></div><article><h3>Other story</h3></article>"), set()) == f"{text} Other story"
+    assert ht.main_text(page(f"<main></main><div class=content><p>{text}</p></div>"), set()) == text
+    assert ht.main_text(page(f"<main><p>{text}</p></main><div>short</div>"), set()) == text
+    low = {"//html/body/div.top"}  # what is low does not outweigh an article
+    assert ht.main_text(page(f"<div class=top>{'menu ' * 30}</div><main><p>{text}</p></main>"), low) == text
+    card = "<article><h3>Other story</h3></article>"  # nor does an article's teaser outweigh copies
+    assert text in ht.main_text(page(f"<div class=text><p>{text}</p></div>{card}"), {"//html/body/div.text"})

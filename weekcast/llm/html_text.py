@@ -11,8 +11,8 @@ Each merged node has the child sequences it appears with (presentation) and the
 
 Branches whose composite importance is below ``THRESHOLD`` are removed from every page of the host.
 What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, and class or id
-names that say so) has importance 0 from the start, also on hosts with one page. A page with article
-or main elements gives their text only. Copies of a page must not count as template. Pages with the
+names that say so) has importance 0 from the start, also on hosts with one page. A page whose article
+or main elements hold more text than the rest that is not low gives their text only. Copies of a page must not count as template. Pages with the
 same text outside those parts are one page of the tree. Where the branch that holds most of a page's
 text is itself low (near copies make it so), nothing in or above it is removed. Headings and
 paragraphs that are children of an article stay, other branches below it are removed only if they
@@ -236,9 +236,16 @@ def main_text(html: str | None, branches: set[str], common: set[str] | None = No
     if not html:
         return ""
     elements, runs = parse(html)
-    content = any(e.inside and not e.noise for e in elements)
-    inside = [r for r in runs if r is BREAK or not r[0].noise and (r[0].inside or not content)]
-    branches = _without_bulk(branches, _sizes(r for r in runs if r is not BREAK and not r[0].noise))
+    runs = [r for r in runs if r is BREAK or not r[0].noise]
+    texts = [r for r in runs if r is not BREAK]
+    sizes, rest = _sizes(texts), _sizes(r for r in texts if not r[0].inside)
+    articles = sum(sizes.values()) - sum(rest.values())
+    high = sum(n for p, n in _sizes(r for r in texts if r[0].inside).items() if not _under(p, branches))
+    # a low rest counts as template beside an article of a quarter of the page, else it may be a copied text
+    content = 4 * articles >= sum(sizes.values()) and high > sum(n for p, n in rest.items() if not _under(p, branches))
+    branches = _without_bulk(branches, sizes if not content else _sizes(r for r in texts if r[0].inside))
+    content = content or articles > sum(n for p, n in rest.items() if not _under(p, branches))
+    inside = [r for r in runs if r is BREAK or r[0].inside or not content]
     if content:
         within = {e.path for e in elements if e.inside and not e.noise}
         branches = branches - {e.path for e in elements if e.prose} - (within - common if common is not None else set())
@@ -269,11 +276,11 @@ def _without_bulk(branches: set[str], sizes: dict[str, int]) -> set[str]:
             below[path] = below.get(path, 0) + n
             path = path.rpartition("/")[0]
     bulk = max((p for p, n in below.items() if 2 * n > sum(sizes.values())), key=lambda p: p.count("/"), default="")
-    while re.split(r"[.#]", bulk.rpartition("/")[2])[0] in PIECES:
-        bulk = bulk.rpartition("/")[0]
     if not _under(bulk, branches):
         return branches
-    return {b for b in branches if b != bulk and not bulk.startswith(b + "/") and not b.startswith(bulk + "/")}
+    while re.split(r"[.#]", bulk.rpartition("/")[2])[0] in PIECES:
+        bulk = bulk.rpartition("/")[0]
+    return {b for b in branches if b != bulk and not bulk.startswith(b + "/") and not b.startswith(bulk.rstrip("/") + "/")}
 
 
 def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
