@@ -156,3 +156,16 @@ def test_articles_that_hold_little_are_not_the_page():
     assert ht.main_text(page(f"<div class=top>{'menu ' * 30}</div><main><p>{text}</p></main>"), low) == text
     card = "<article><h3>Other story</h3></article>"  # nor does an article's teaser outweigh copies
     assert text in ht.main_text(page(f"<div class=text><p>{text}</p></div>{card}"), {"//html/body/div.text"})
+
+
+def test_names_inside_articles_only_lower_the_importance(spark):
+    def article(n):
+        return page(
+            f"<article><h1>Title {n}</h1><h2 id=comments>Heading {n}</h2><section id=related-work><p>Earlier work {n}</p></section><div id=advertising-revenue>Revenue {n}</div>"
+            f"<p class=notice>Notice of {n}</p><div class=share-box>Share this page</div><div class='ad-slot'>Buy {n}</div><section id=comments>Nice {n}</section></article>"
+        )
+
+    words = ("one", "two", "three")
+    got = texts_of(spark, [article(w) for w in words] + [page(f"<article><p>plain {k * 9}</p></article>") for k in "abcde"])
+    assert [got[n] for n in range(3)] == [f"Title {w} Heading {w} Earlier work {w} Revenue {w} Notice of {w}" for w in words]
+    assert "Share this page" in ht.main_text(article("one"), set())

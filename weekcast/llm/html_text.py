@@ -11,12 +11,12 @@ Each merged node has the child sequences it appears with (presentation) and the
 
 Branches whose composite importance is below ``THRESHOLD`` are removed from every page of the host.
 What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, and class or id
-names that say so) has importance 0 from the start, also on hosts with one page. A page whose article
+names that say so outside articles) has importance 0 from the start, also on hosts with one page. A page whose article
 or main elements hold more text than the rest that is not low gives their text only. Copies of a page must not count as template. Pages with the
 same text outside those parts are one page of the tree. Where the branch that holds most of a page's
 text is itself low (near copies make it so), nothing in or above it is removed. Headings and
 paragraphs that are children of an article stay, other branches below it are removed only if they
-lie on most distinct article pages of the host (``common``), and if the low branches hold more than half of the
+lie on most distinct article pages of the host (``common``; half the importance and any two pages, where a class or id sounds like noise), and if the low branches hold more than half of the
 articles' text, or three quarters of a page without articles, none of them is removed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
@@ -61,6 +61,15 @@ NOISE_NAMES = frozenset(
     "overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies respond "
     "share sharing social newsletter subscribe subscription signup login related recommended widget widgets toolbar pagination pager".split()
 )
+#: Inside articles only these names of these elements are noise from the start.
+HARD_NAME = re.compile(
+    r"(ad|ads|advert|adverts|advertisement|advertisements|comment|comments|disqus|replies)([-_]*(area|banner|block|body|box|container|form|inline|item|list|section|slot|thread|unit|wrap|wrapper|\d+))*",
+    re.IGNORECASE,
+)
+CONTAINERS = frozenset("div section ul ol dl table figure details ins span center fieldset".split())
+HEADING = re.compile("h[1-6]")
+#: Importance of a branch of an article by such another name, as a share of its composite importance.
+NAMED_SHARE = 0.5
 QUALIFIERS = frozenset("has with no without".split())
 CONTENT = frozenset(("article", "main"))
 CLOSES_P = frozenset(
@@ -88,7 +97,7 @@ def _says_noise(name: str) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "path", "children", "inline", "noise", "inside", "prose")
+    __slots__ = ("tag", "path", "children", "inline", "noise", "inside", "named", "prose")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         names = _names(attributes)
@@ -101,23 +110,33 @@ class Element:
         self.children = parent.children if self.inline else []
         content = tag in CONTENT or names.get("role") == "main"
         self.inside = bool(parent and parent.inside) or content
-        self.noise = bool(parent and parent.noise) or self._named_noise(names, content, bool(parent and parent.inside))
+        within = bool(parent and parent.inside)
+        self.named = self._named(names, content, within)
+        self.noise = bool(parent and parent.noise) or self._is_noise(names, content, within)
         if self.noise:
             self.inside = False
-        self.prose = bool(parent) and parent.inside and parent.tag in CONTENT and (tag == "p" or bool(re.fullmatch("h[1-6]", tag)))
+        self.prose = within and parent.tag in CONTENT and (tag == "p" or bool(HEADING.fullmatch(tag))) and not self.named
         if parent:
             parent.children.append(own)
 
-    def _named_noise(self, names: dict[str, str], content: bool, inside: bool) -> bool:
+    def _given(self, names: dict[str, str]) -> list[str]:
+        """Classes and id; a heading's id is an anchor made of its words and says nothing."""
+        return [*names.get("class", "").split(), "" if HEADING.fullmatch(self.tag) else names.get("id", "")]
+
+    def _named(self, names: dict[str, str], content: bool, within: bool) -> bool:
+        """Whether an element of an article has a name of noise, which lowers its importance only."""
+        return within and not content and any(_says_noise(n) and not re.search("header", n, re.IGNORECASE) for n in self._given(names))
+
+    def _is_noise(self, names: dict[str, str], content: bool, within: bool) -> bool:
         if self.tag in ("html", "body"):
             return False
-        given = [*names.get("class", "").split(), names.get("id", "")]
         if content:
-            return any(re.fullmatch(r"(comment|reply|replies|comments)([-_]?(body|item|list|\d+))*", n, re.IGNORECASE) for n in given)
-        if self.tag in NO_TEXT or names.get("role") in NO_TEXT_ROLES or self.tag == "header" and not inside:
+            return any(re.fullmatch(r"(comment|reply|replies|comments)([-_]?(body|item|list|\d+))*", n, re.IGNORECASE) for n in self._given(names))
+        if self.tag in NO_TEXT or names.get("role") in NO_TEXT_ROLES or self.tag == "header" and not within:
             return True
-        noisy = [n for n in given if _says_noise(n)]
-        return any(not (inside and re.search("header", n, re.IGNORECASE)) for n in noisy)
+        if within:
+            return self.tag in CONTAINERS and any(HARD_NAME.fullmatch(n) for n in self._given(names))
+        return any(_says_noise(n) for n in self._given(names))
 
 
 def parse(html: str) -> tuple[list[Element], list[tuple[Element, str] | None]]:
@@ -183,7 +202,7 @@ def _hash(text: str) -> int:
 
 def features(html: str) -> set[tuple[str, str, int]]:
     """What one page adds to its host's tree: (path, kind, feature) with kind ``s`` for the child
-    sequence of an element and ``t`` for a text. Branches that are noise by name are left out."""
+    sequence of an element, ``t`` for a text and ``n`` for a name like noise in an article. Branches that are noise by name are left out."""
     return _features(*parse(html))
 
 
@@ -198,6 +217,7 @@ def _features(elements: list[Element], runs: list) -> set[tuple[str, str, int]]:
         if not e.noise and not e.inline:
             shapes.setdefault(e.path, []).append(" ".join(e.children))
     found = {(path, "s", _hash("\n".join(rows))) for path, rows in shapes.items()}
+    found.update((e.path, "n", 0) for e in elements if e.named and not e.noise and not e.inline)
     block: dict[str, list[str]] = {}
     for run in [*runs, BREAK]:
         if run is not BREAK:
@@ -285,7 +305,7 @@ def _without_bulk(branches: set[str], sizes: dict[str, int]) -> set[str]:
 
 def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """The low-importance branches of every host's style tree: ``host``, ``branches`` (paths) and those of
-    them that lie on more than half as many distinct pages as have articles (``common``)."""
+    them that lie on more than half as many distinct pages as have articles, or are named like noise (``common``)."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where("length(html) > 0")
     rows = rows.select(host.alias("host"), F.xxhash64("html").alias("page"), "html")
@@ -315,7 +335,7 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     nodes = counted.groupBy("host", "path").agg(
         F.sum(F.when(shape, n)).alias("m"), F.sum(F.when(shape, n * F.log(n))).alias("n_log_n"), F.count(F.when(shape, 1)).alias("shapes"),
         F.sum(F.when(text, F.log(n))).alias("log_n"), F.count(F.when(text, 1)).alias("texts"),
-        F.sum(F.when(article, n)).alias("articles"),
+        F.sum(F.when(article, n)).alias("articles"), F.sum(F.when(F.col("kind") == "n", n)).alias("named"),
     )
     log_m = F.log("m")
     nodes = nodes.withColumns({
@@ -328,10 +348,11 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     below = below.groupBy("host", "path").agg(F.sum("spread").alias("spread_below"), F.sum("texts").alias("texts_below"))
     weight = F.pow(F.lit(GAMMA), "shapes")
     composite = (1 - weight) * F.col("node") + weight * (1 - F.col("spread_below") / F.col("texts_below"))
+    composite *= F.when(F.col("named") > 0, NAMED_SHARE).otherwise(1.0)
     low = nodes.where("m > 1 or articles > 0").join(below, ["host", "path"], "left").where((F.col("articles") > 0) | (composite < threshold))
-    branch = F.when(F.col("articles").isNull(), F.struct("path", "m"))
+    branch = F.when(F.col("articles").isNull(), F.struct("path", "m", "named"))
     low = low.groupBy("host").agg(F.sort_array(F.collect_list(branch)).alias("low"), F.max("articles").alias("articles")).where("size(low) > 0")
-    common = F.filter("low", lambda b: 2 * b["m"] > F.coalesce("articles", F.lit(0)))
+    common = F.filter("low", lambda b: (2 * b["m"] > F.coalesce("articles", F.lit(0))) | b["named"].isNotNull())
     return low.select("host", F.col("low.path").alias("branches"), F.transform(common, lambda b: b["path"]).alias("common"))
 
 
