@@ -80,3 +80,39 @@ def test_registered_query_finds_the_planted_passages(spark):
     assert whole and whole <= got
     texts, items = ({d[0]: d.text for d in rows} for rows in (docs, bench))
     assert all(brute(texts[d], items[b]) for d, b in list(got - whole)[:10])
+
+
+def test_passages_are_found_from_every_start():
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    item = "".join(rng.choice(letters) for _ in range(200))
+    item = dc._text(item)
+    index = dc.build([(1, item)])
+    texts = []
+    for start in range(0, len(item) - dc.WINDOW + 1):
+        passage = item[start : start + dc.WINDOW]
+        texts.append(f"1234567890 {passage} 0987654321")
+        texts.append(f"1234567890 {edited(rng, passage, rng.randint(1, 7))} 0987654321")
+    got = {t for t, *_ in dc.search(index, texts)}
+    assert set(range(0, len(texts), 2)) <= got
+    want = set(range(0, len(texts), 2))
+    for n in range(1, len(texts), 2):
+        near = range(max(0, n // 2 - 7), min(len(item) - dc.WINDOW, n // 2 + 7) + 1)  # starts further off cost over 5 edits here
+        if any(distance(item[s : s + dc.WINDOW], dc._text(texts[n])) <= dc.edit_budget(dc.WINDOW) for s in near):
+            want.add(n)
+    assert got == want
+
+
+def test_short_items_match_exactly():
+    index = dc.build([(1, "forty two"), (2, None), (3, "x1"), (4, "Y2"), (5, ITEM)])
+    got = dc.found_in(index, ["It is Forty  Two, x1 and x1", "forty-two", None, "y2", "x", ITEM])
+    assert {(t, index.items[i], start, edits) for t, i, _, start, edits in got if index.items[i] != 5} == {(0, 1, 6, 0), (0, 3, 17, 0), (3, 4, 0, 0)}
+    assert {index.items[i] for t, i, *_ in got if t == 5} == {5}
+    assert dc.found_in(dc.build([(1, "ab")]), ["a", "b", "ab"])[0][:2] == (2, 0)
+
+
+def test_short_items_in_the_operators(spark):
+    bench = spark.createDataFrame([(1, "x1 y2"), (2, ITEM)], "item_id int, text string")
+    df = spark.createDataFrame([(1, "some X1  Y2 here", 0, "x"), (2, "some x1y2 here", 0, "x"), (3, None, 0, "x")], SCHEMA)
+    assert [tuple(r) for r in dc.matches(df, bench).collect()] == [(1, 1, 1, 5, 0)]
+    assert sorted(r.doc_id for r in dc.clean(df, bench).collect()) == [2, 3]
