@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.oracle_check import compare, duck
+from weekcast.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
@@ -22,7 +23,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(_Q))
 def test_query(spark, con, name):
     r = compare(spark, SF, name, _Q[name], _S.get(name), con)
-    assert r["status"] in ("ok", "rows-only"), r
+    # every query of the library has SQL; of the training-data operators those that SQL can express
+    assert r["status"] == "ok" or (r["status"] == "rows-only" and name not in catalog.QUERIES), r
 
 
 def test_entry(spark):

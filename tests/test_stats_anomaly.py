@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekcast.operators import anomaly as an
 from weekcast.operators import forecast as fo
+from weekcast.operators import stats
 from weekcast.operators.stats import exact_quantiles
 
 
@@ -29,6 +30,30 @@ def test_exact_quantiles_global(spark):
     assert r.q50 == 3 and r.q10 == pytest.approx(1.4)
 
 
+def test_slices_hold_alike_however_values_lie(spark):
+    """Heavy tails and one outlier in a hot group: no slice has more than twice the mean of its distinct values."""
+    rnd = random.Random(9)
+    rows = [(None if i % 3 else 1, rnd.lognormvariate(8, 2)) for i in range(60_000)] + [(None, 1e12), (1, -1e12), (2, 7.0), (2, 7.0), (2, 9.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
+    sizes = stats.sliced_values(counts, "x", "c", ["g"]).groupBy("g", "_s").agg(F.count(F.lit(1)).alias("n")).collect()
+    for g in (None, 1):
+        mine = [r.n for r in sizes if r.g == g]
+        assert len(mine) > 0.9 * stats.SLICES and max(mine) <= 2 * sum(mine) / len(mine)
+    assert [r.n for r in sizes if r.g == 2] == [2]
+    got = {r.g: r for r in exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.999, 1.0], by=["g"], names=["a", "b", "c", "d", "e"]).collect()}
+    for g in (None, 1, 2):
+        xs = np.array([x for k, x in rows if k == g])
+        assert [got[g].a, got[g].b, got[g].c, got[g].d, got[g].e] == pytest.approx(np.quantile(xs, [0, 0.25, 0.5, 0.999, 1]), rel=1e-12)
+
+
+def test_quantiles_of_ties_over_many_slices(spark):
+    df = spark.range(20_000).selectExpr("CAST(id % 5000 AS DOUBLE) AS x")
+    r = exact_quantiles(df, "x", [0.1, 0.5, 0.75]).first()
+    assert (r.q10, r.q50, r.q75) == pytest.approx(tuple(np.quantile(np.arange(20_000) % 5000, [0.1, 0.5, 0.75])))
+    assert exact_quantiles(df.limit(0), "x", [0.5]).first().q50 is None
+
+
 def test_anomalies_planted(spark):
     rnd = random.Random(42)
     rows = [(1, 1, dt.date(2023, 1, 6) + dt.timedelta(weeks=i), rnd.uniform(5000, 50000)) for i in range(198)]

@@ -1,31 +1,29 @@
-"""Training data preparation, boosted-tree training, scoring and model metadata (Spark ML).
+"""Training data preparation, boosted-tree training, scoring and model metadata.
 
 * ``clean_training``     drop rows without target; drop rows whose lag/rolling columns are
-                         all NULL; booleans -> 0/1; numeric NULL/NaN -> 0 (Spark's GBT
-                         rejects missing values, so this always runs before training)
+                         all NULL; booleans -> 0/1; numeric NULL/NaN -> 0 (trees here take
+                         no missing values, so this always runs before training)
 * ``feature_columns``    every numeric column except the exclusion set (``is_holiday`` stays)
 * ``time_split``         validation = rows within ``val_weeks`` weeks of the last date (inclusive)
 * ``random_split``       deterministic hash split on the row keys
-* ``train_forecaster``   ``Pipeline([VectorAssembler, GBTRegressor])`` with validation-based
-                         early stopping; returns the fitted pipeline, the feature list and
-                         the metrics (validation if any, else training)
-* ``feature_importance`` per-feature importance, descending (Spark normalises to sum 1)
-* ``score``              batch scoring: one ``transform``, one prediction per input row
+* ``train_forecaster``   boosted trees (``operators/boosting.py``) that stop ``patience`` rounds
+                         after the best validation error; returns the model, the feature list
+                         and the metrics of the best round (validation if any, else training)
+* ``feature_importance`` total gain per feature, descending
+* ``score``              batch scoring by compiled trees, one prediction per input row
 * ``model_metadata``     one metadata row: metrics as DECIMAL(10,2), parameters and
                          importances as JSON text
 * ``importance_share`` / ``importance_by_category`` the dashboard's views of that JSON
-* ``save_model`` / ``load_model`` ``PipelineModel`` persistence; using a model before
+* ``save_model`` / ``load_model`` the model as tables; using a model before
   training raises ``ValueError``
 
-Training parameters map the original's booster settings where Spark has an
+Training parameters map the original's booster settings where Spark's trees have an
 equivalent (rounds -> maxIter, learning rate -> stepSize, subsample ->
 subsamplingRate, column sample -> featureSubsetStrategy, min child samples ->
-minInstancesPerNode, seed); 127 leaves need a tree of depth 7; L1/L2 terms have
-no Spark counterpart. ``ROUNDS`` is the original's bound; ``maxIter`` is a
-parameter of each call. The stopping rule differs: the original stops after 100
-rounds without a better validation error, Spark at the first round whose gain
-falls below ``validationTol`` relative to the error (0 or less: never, the best
-round is still the one kept).
+minInstancesPerNode, early stopping rounds -> patience, seed); 127 leaves need a tree
+of depth 7; L1/L2 terms have no counterpart. The original's booster watches the root
+mean squared error; here ``metric`` chooses between it and the weighted error that
+the project is judged by (the default).
 """
 
 from __future__ import annotations
@@ -35,17 +33,17 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions import text as tx
+from weekcast.operators import boosting
 from weekcast.operators import metrics as me
+from weekcast.operators.boosting import BoostedTrees
 from weekcast.plans.joins import with_scalars
 from weekcast.schema import MODEL_METADATA
+from weekcast.session import scratch_path
 from weekcast.sources.sinks import append, conform_to_schema
 
 # Columns that are no features, and the booster settings.
@@ -59,7 +57,8 @@ DEFAULT_PARAMS = {
     "featureSubsetStrategy": "0.8",
     "minInstancesPerNode": 20,
     "seed": 42,
-    "validationTol": 0.0001,
+    "patience": 100,
+    "metric": "wmae",
 }
 VALIDATION_WEEKS = 8
 
@@ -101,66 +100,72 @@ class NotTrained(ValueError):
 
 
 def train_forecaster(df: DataFrame, target: str = "weekly_sales", params: dict | None = None,
-                     val_weeks: int | None = VALIDATION_WEEKS, exclude: Sequence[str] = EXCLUDE):
-    """Fit on the cleaned rows; returns (PipelineModel, features, metrics DataFrame)."""
+                     val_weeks: int | None = VALIDATION_WEEKS, exclude: Sequence[str] = EXCLUDE,
+                     folder: str | None = None, block: int = boosting.BLOCK):
+    """Fit on the cleaned rows; returns (BoostedTrees, features, metrics DataFrame).
+
+    ``folder`` keeps the blocks of rounds; a fit that was killed goes on after the last complete one
+    when it is called again with the same folder. Without one a scratch folder of the application is used.
+    """
     p = dict(DEFAULT_PARAMS, **(params or {}))
     data = clean_training(df, target).withColumn("label", F.col(target).cast("double"))
-    if val_weeks:
-        data = time_split(data, val_weeks=val_weeks)
+    data = time_split(data, val_weeks=val_weeks) if val_weeks else data.withColumn("is_validation", F.lit(False))
     feats = feature_columns(data.drop("label"), exclude)
-    gbt_kw = dict(featuresCol="features", labelCol="label", predictionCol="prediction", **p)
-    if val_weeks:
-        gbt_kw["validationIndicatorCol"] = "is_validation"
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"), GBTRegressor(**gbt_kw)])
-    model = pipe.fit(data)
-    scored = model.transform(data)
-    if val_weeks:
-        scored = scored.where(F.col("is_validation"))
     # is_holiday is 0/1 after cleaning; the metric weights need it as a boolean,
     # and without the column every week counts as a regular week
-    flag = F.col("is_holiday").cast("boolean") if "is_holiday" in scored.columns else F.lit(False)
-    flagged = scored.withColumn("_h", flag)
-    metrics = me.evaluate_model(flagged, y="label", p="prediction", holiday="_h")
-    return model, feats, metrics
+    flag = F.col("is_holiday").cast("boolean") if "is_holiday" in data.columns else F.lit(False)
+    rows = data.withColumn("_flag", flag).select(*[F.col(c).cast("double").alias(c) for c in feats if c != "is_holiday"],
+                                                 *[F.col("is_holiday").cast("double").alias("_holiday")] * ("is_holiday" in feats),
+                                                 "label", "is_validation", F.col("_flag").alias("is_holiday"))
+    inputs = ["_holiday" if c == "is_holiday" else c for c in feats]
+    folder = folder or scratch_path(df.sparkSession, f"boosting-{uuid.uuid4().hex}")
+    model = boosting.fit(rows, inputs, folder, p, p["metric"], p["patience"], block, bool(val_weeks))
+    model.features = feats
+    scored = score(model, data)
+    if val_weeks:
+        scored = scored.where(F.col("is_validation"))
+    flagged = scored.withColumn("_h", F.col("is_holiday").cast("boolean") if "is_holiday" in scored.columns else F.lit(False))
+    return model, feats, me.evaluate_model(flagged, y="label", p="prediction", holiday="_h")
 
 
-def feature_importance(spark, model: PipelineModel | None, feats: Sequence[str]) -> DataFrame:
+def training_trace(model: BoostedTrees | None) -> DataFrame:
+    """``round``, its validation metrics, the metric that is watched, and whether it is the round that is kept."""
     if model is None:
         raise NotTrained("Model not trained yet")
-    imp = model.stages[-1].featureImportances.toArray()
-    rows = sorted(((f, float(v)) for f, v in zip(feats, imp)), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return model.trace_rows().withColumn("is_best", F.col("round") == model.best_round)
 
 
-def model_features(model: PipelineModel | None) -> list[str]:
-    """The feature contract of a fitted or loaded pipeline: its assembler's input columns, in order."""
+def feature_importance(spark, model: BoostedTrees | None, feats: Sequence[str] | None = None) -> DataFrame:
+    """Total gain per feature, descending; ``feats`` only restricts the rows."""
     if model is None:
         raise NotTrained("Model not trained yet")
-    return list(model.stages[0].getInputCols())
+    gains = boosting.total_gain(model)
+    return gains if feats is None else gains.where(F.col("feature").isin(list(feats))).orderBy(F.desc("importance"), "feature")
+
 
+def model_features(model: BoostedTrees | None) -> list[str]:
+    """The feature contract of a fitted or loaded model: its inputs, in order."""
+    if model is None:
+        raise NotTrained("Model not trained yet")
+    return list(model.features)
 
-def score(model: PipelineModel | None, df: DataFrame, feats: Sequence[str] | None = None) -> DataFrame:
+
+def score(model: BoostedTrees | None, df: DataFrame, feats: Sequence[str] | None = None) -> DataFrame:
     """``df`` with ``prediction``: every row is predicted, with or without a target.
 
     Only the model's inputs are prepared: cast to double, NULL and NaN as 0, a
     feature missing from ``df`` as 0; the columns of ``df`` come through unchanged.
+    ``feats``, if given, are the model's features (in any order).
     """
-    feats = list(feats) if feats is not None else model_features(model)
     if model is None:
         raise NotTrained("Model not trained yet")
-
-    def ready(c: str):
-        x = F.col(c).cast("double")
-        return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
-
-    given = {c: f"_given_{n}" for n, c in enumerate(df.columns)}
-    inputs = {c: ready(given[c]) if c in given else F.lit(0.0) for c in feats}
-    out = model.transform(df.withColumnsRenamed(given).withColumns(inputs))
-    return out.select(*[F.col(g).alias(c) for c, g in given.items() if c != "prediction"], "prediction")
+    if feats is not None and set(feats) != set(model.features):
+        raise ValueError(f"the model was trained on {model.features}")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "prediction"], boosting.predicted(model, df).alias("prediction"))
 
 
-def model_predictor(model: PipelineModel, feats: Sequence[str] | None = None):
-    """A ``generate_forecasts`` predictor backed by the fitted pipeline."""
+def model_predictor(model: BoostedTrees, feats: Sequence[str] | None = None):
+    """A ``generate_forecasts`` predictor backed by the fitted model."""
     return lambda df: score(model, df, feats)
 
 
@@ -213,12 +218,11 @@ def importance_by_category(metadata: DataFrame) -> DataFrame:
             .orderBy(F.col("importance_pct").desc(), "category"))
 
 
-def save_model(model: PipelineModel | None, path: str) -> str:
+def save_model(model: BoostedTrees | None, path: str) -> str:
     if model is None:
         raise NotTrained("Model not trained yet")
-    model.write().overwrite().save(path)
-    return path
+    return boosting.save(model, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None) -> BoostedTrees:
+    return boosting.load(spark or SparkSession.active(), path)

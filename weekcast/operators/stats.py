@@ -3,11 +3,12 @@
 Spark's exact ``percentile``/``median`` aggregates keep every distinct value of
 a group in one aggregation buffer. ``exact_quantiles`` instead counts rows per
 (group, value) with map-side partial aggregation, so ties collapse to one row,
-cuts each group's value range into ``SLICES`` equal slices, adds up the counts
-of whole slices (at most ``SLICES`` rows per group) and then of the values
-inside a slice, and keeps the values at the wanted ranks; the linear
-interpolation (the ``quantile_cont`` / pandas default) is a last aggregate. The
-plan is lazy: nothing runs and nothing is written before the query does.
+cuts the distinct values of each large group at splitters taken from a mergeable
+sketch of them (so slices hold about equally many, wherever the values lie), adds
+up the counts of whole slices (at most ``SLICES`` rows per group), and sorts only the
+slices that hold a wanted rank; the linear interpolation (the ``quantile_cont`` /
+pandas default) is a last aggregate. The plan is lazy: nothing runs and nothing is
+written before the query does.
 
 ``global_ranks`` and ``ranks_within_groups`` number the rows themselves by a
 range-partitioned sort. ``approx_quantiles`` is the one-pass alternative
@@ -58,8 +59,40 @@ def ranks_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]
             .withColumn("_rank", F.col("_grank") - F.col("_start")).drop("_grank", "_start"))
 
 
-#: Slices of a group's value range; values of one slice are added up in one task.
+#: Slices of a large group's distinct values; a wanted slice is sorted in one task.
 SLICES = 1024
+#: Groups of fewer distinct values are one slice.
+SMALL_GROUP = 4096
+
+
+def _attached(rows: DataFrame, per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The one row of ``per`` of each row's group, NULL groups included."""
+    if not keys:
+        return with_scalars(rows, per)
+    other = per.withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return rows.join(other, same).drop(*[f"{k}_" for k in keys])
+
+
+def sliced_values(counts: DataFrame, value: str, count: str, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_n`` (rows of the group) and ``_s``, the slice of a distinct value in its group: the number of
+    splitters that are not above it."""
+    cuts = F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 8 * SLICES)
+    few = F.array().cast("array<double>")
+    per = counts.groupBy(*keys).agg(F.sum(count).alias("_n"), F.count(F.lit(1)).alias("_d"), cuts.alias("_cuts"))
+    # the last element of a slice's run is its cut; equal cuts are one
+    per = per.select(*keys, "_n", F.when(F.col("_d") > SMALL_GROUP, F.array_distinct("_cuts")).otherwise(few).alias("_cuts"))
+    steps = F.array(*[F.lit(1 << i) for i in range(SLICES.bit_length() - 1, -1, -1)])
+
+    def halved(at: Column, step: Column) -> Column:
+        """A step of the binary search: on by ``step`` if the cut there is not above the value."""
+        cut = F.try_element_at(F.col("_cuts"), at + step)
+        return F.when(F.coalesce(cut <= F.col(value), F.lit(False)), at + step).otherwise(at)
+
+    whole = _attached(counts, per, keys)
+    return whole.withColumn("_s", F.when(F.size("_cuts") == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), halved))).drop("_cuts")
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
@@ -72,31 +105,28 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in quantiles])
     base = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
     counts = base.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-
-    def attach(rows: DataFrame, per: DataFrame) -> DataFrame:
-        """The one row of ``per`` of each row's group, NULL groups included."""
-        if not keys:
-            return with_scalars(rows, per)
-        other = per.withColumnsRenamed({k: f"{k}_" for k in keys})
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-        return rows.join(other, same).drop(*[f"{k}_" for k in keys])
-
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / SLICES
-    cut = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(SLICES - 1))
-    sliced = attach(counts, span).withColumn("_s", F.when(width > 0, cut).otherwise(F.lit(0)))
-    # rows below each slice: at most SLICES rows per group in a window
-    whole = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_in"))
+    sliced = sliced_values(counts, "_v", "_c", keys)
+    positions = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles]
+
+    def holds(start: Column, end: Column) -> Column:
+        """Whether the ranks from ``start`` up to ``end`` hold one that is asked for."""
+        found = F.lit(False)
+        for p in positions:
+            for rank in (F.floor(p), F.ceil(p)):
+                found = found | ((start <= rank) & (rank < end))
+        return found
+
+    # rows below each slice: at most SLICES rows per group in a window; slices without a wanted rank go
+    whole = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = whole.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_s").alias("_s_"),
-                         F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_below"))
+    whole = whole.withColumn("_below", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    whole = whole.where(holds(F.col("_below"), F.col("_below") + F.col("_in")))
+    wanted = whole.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_s").alias("_s_"), "_below")
     same = F.col("_s") == F.col("_s_")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
     inside = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliced.join(below, same).withColumn("_to", F.col("_below") + F.sum("_c").over(inside))
+    ranked = sliced.join(wanted, same).withColumn("_to", F.col("_below") + F.sum("_c").over(inside))
     ranked = ranked.withColumn("_from", F.col("_to") - F.col("_c"))
 
     def at(position: Column) -> Column:
@@ -104,8 +134,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float],
         return F.max(F.when((F.col("_from") <= position) & (position < F.col("_to")), F.col("_v")))
 
     picked = []
-    for n, q in enumerate(quantiles):
-        position = (F.col("_n") - 1) * F.lit(float(q))
+    for n, position in enumerate(positions):
         picked += [at(F.floor(position)).alias(f"_a{n}"), at(F.ceil(position)).alias(f"_b{n}"), F.max(position - F.floor(position)).alias(f"_f{n}")]
     out = ranked.groupBy(*keys).agg(*picked)
     values = [(F.col(f"_a{n}") + (F.col(f"_b{n}") - F.col(f"_a{n}")) * F.col(f"_f{n}")).alias(name) for n, name in enumerate(names)]

@@ -1038,28 +1038,64 @@ def q_scope_label(spark, d):
 
 _MODELS: dict[tuple, tuple] = {}
 
+# Models that plain SQL can follow: trees over 0/1 features that are as deep as there are features part every
+# combination, so after r rounds a combination's prediction is m + (its mean - m) * (1 - (1 - step)**r).
+_MODEL_FEATURES = {"groups": ["is_holiday", "has_markdown", "store_type_a", "store_type_b"], "holiday": ["is_holiday"]}
+_MODEL_PARAMS = {"maxIter": 6, "stepSize": 0.3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1, "patience": 2}
 
-def trained(spark, d):
-    """Fit once per application and data folder; the pipeline is saved to and
+
+def trained(spark, d, kind="groups"):
+    """Fit once per application and state of the feature table; the model is saved to and
     reloaded from the shared checkpoint folder (save/load round trip, K6)."""
-    key = (app_id(spark), d)
     with ONCE_LOCK:
-        return _trained_once(spark, d, key)
-
-
-def _trained_once(spark, d, key):
-    if key not in _MODELS:
         engineered(spark, d)  # makes sure the feature table is written
-        train_rows = fs.training_scan(spark, _ENGINEERED[key])
-        model, feats, metrics = mo.train_forecaster(train_rows)
-        path = mo.save_model(model, scratch_path(spark, f"models/gbt-{_digest(key)}"))
-        # the metadata row goes to its table and is read back from there, the features from the saved model
-        table = scratch_path(spark, f"model-metadata-{_digest(key)}")
-        mo.append_metadata(mo.model_metadata(spark, metrics, mo.feature_importance(spark, model, feats),
-                                             run_id=f"run-{_digest(d)}"), table)
-        loaded = mo.load_model(path)
-        _MODELS[key] = (loaded, mo.model_features(loaded), mo.latest_model(spark.read.parquet(table)))
-    return _MODELS[key]
+        path = _ENGINEERED[app_id(spark), d]
+        key = (path, kind)
+        if key not in _MODELS:
+            _MODELS[key] = _trained_once(spark, d, path, kind)
+        return _MODELS[key]
+
+
+def _trained_once(spark, d, table_path, kind):
+    features = _MODEL_FEATURES[kind]
+    train_rows = fs.training_scan(spark, table_path)
+    others = [c for c in train_rows.columns if c not in features]
+    params = _MODEL_PARAMS | {"maxDepth": len(features)}
+    name = f"{kind}-{_digest(table_path)}"
+    model, feats, metrics = mo.train_forecaster(train_rows, params=params, exclude=others, folder=scratch_path(spark, f"models/blocks-{name}"), block=2)
+    path = mo.save_model(model, scratch_path(spark, f"models/trees-{name}"))
+    # the metadata row goes to its table and is read back from there, the features from the saved model
+    table = scratch_path(spark, f"model-metadata-{name}")
+    mo.append_metadata(mo.model_metadata(spark, metrics, mo.feature_importance(spark, model, feats), params, run_id=f"run-{_digest(d)}"), table)
+    loaded = mo.load_model(path, spark)
+    return loaded, mo.model_features(loaded), mo.latest_model(spark.read.parquet(table))
+
+
+def _model_sql(body: str, kind: str = "groups") -> str:
+    """``body`` over ``split`` (clean rows; ``v``: validation), ``base``, ``grp`` (training means of a combination) and
+    ``trace`` (metrics of the rounds that ran, ``is_best``)."""
+    keys = ", ".join(_MODEL_FEATURES[kind])
+    lagged = ", ".join(c for c in ENGINEERED_COLUMNS if "lag" in c or "rolling" in c)
+    ready = """SELECT store_id, dept_id, feature_date, CAST(weekly_sales AS DOUBLE) AS y, CAST(coalesce(is_holiday, FALSE) AS INTEGER) AS is_holiday,
+       CAST(coalesce(total_markdown > 0, FALSE) AS INTEGER) AS has_markdown, store_type_a, store_type_b"""
+    return eng_sql(body, f"""
+ready AS ({ready}, {lagged} FROM eng),
+clean AS (SELECT * FROM ready WHERE y IS NOT NULL AND COALESCE({lagged}) IS NOT NULL),
+split AS (SELECT *, feature_date >= (SELECT MAX(feature_date) FROM clean) - INTERVAL 56 DAY AS v FROM clean),
+base AS (SELECT AVG(y) AS m, COUNT(*) AS n FROM split WHERE NOT v),
+grp AS (SELECT {keys}, AVG(y) AS g, COUNT(*) AS n_group FROM split WHERE NOT v GROUP BY {keys}),
+errors AS (
+  SELECT r AS round, is_holiday, abs(m + (g - m) * (1 - pow(1 - {_MODEL_PARAMS["stepSize"]}, r)) - y) AS e
+  FROM split JOIN grp USING ({keys}) CROSS JOIN base CROSS JOIN range(1, {_MODEL_PARAMS["maxIter"] + 1}) AS t(r) WHERE v),
+rounds AS (
+  SELECT CAST(round AS INTEGER) AS round, SUM(e * CASE WHEN is_holiday = 1 THEN 5 ELSE 1 END) / SUM(CASE WHEN is_holiday = 1 THEN 5 ELSE 1 END) AS wmae,
+         AVG(e) AS mae, SQRT(AVG(e * e)) AS rmse FROM errors GROUP BY round),
+so_far AS (SELECT *, arg_min(round, wmae) OVER (ORDER BY round) AS best FROM rounds),
+trace AS (
+  SELECT round, wmae, mae, rmse, round = (SELECT arg_min(round, wmae) FROM so_far WHERE round <= coalesce((SELECT MIN(round) FROM so_far WHERE round - best >= {_MODEL_PARAMS["patience"]}), 1000)) AS is_best
+  FROM so_far WHERE round <= coalesce((SELECT MIN(round) FROM so_far WHERE round - best >= {_MODEL_PARAMS["patience"]}), 1000)),
+best AS (SELECT * FROM trace WHERE is_best)
+""")
 
 
 def _clean_sql() -> str:
@@ -1108,46 +1144,96 @@ def q_random_split(spark, d):
         te.select("store_id", "dept_id", "feature_date", F.lit("test").alias("split")))
 
 
-@register("train_forecaster")
+@register("training_scan", eng_sql("SELECT store_id, dept_id, feature_date, weekly_sales, is_holiday FROM eng"))
+def q_training_scan(spark, d):
+    """The training scan: the whole written feature table."""
+    engineered(spark, d)
+    return fs.training_scan(spark, _ENGINEERED[app_id(spark), d]).select("store_id", "dept_id", "feature_date", "weekly_sales", "is_holiday")
+
+
+@register("feature_projection", f"SELECT * EXCLUDE (store_id, dept_id, feature_date, weekly_sales) FROM ({_clean_sql()})")
+def q_feature_projection(spark, d):
+    """The model's inputs: the clean rows without the excluded columns, ``is_holiday`` kept."""
+    rounded = {c: F.round(c, n) for c, n in (_ENG_ROUND_DIGITS | {"temperature_deviation": 9}).items()}
+    clean = mo.clean_training(engineered(spark, d).withColumns(rounded))
+    return clean.select(*mo.feature_columns(clean))
+
+
+@register("wmae_evaluator", eng_sql("""
+SELECT ROUND(SUM(abs(p - y) * w) / SUM(w), 6) AS wmae FROM (
+  SELECT CAST(weekly_sales AS DOUBLE) AS y, CAST(coalesce(sales_lag_1, weekly_sales) AS DOUBLE) AS p,
+         CASE WHEN is_holiday THEN 5 ELSE 1 END AS w FROM eng WHERE weekly_sales IS NOT NULL)
+"""))
+def q_wmae_evaluator(spark, d):
+    """The metric in its Spark ML evaluator form, last week's sales as the prediction."""
+    rows = engineered(spark, d).where("weekly_sales IS NOT NULL")
+    rows = rows.select(F.col("weekly_sales").cast("double").alias("label"), F.coalesce("sales_lag_1", "weekly_sales").cast("double").alias("prediction"), "is_holiday")
+    value = me.WMAEEvaluator().evaluate(rows)
+    return spark.createDataFrame([(value,)], "wmae double").select(F.round("wmae", 6).alias("wmae"))
+
+
+@register("training_trace", _model_sql("SELECT round, ROUND(wmae, 6) AS wmae, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse, is_best FROM trace"))
+def q_training_trace(spark, d):
+    """The validation metrics after every boosting round that ran, and the round that is kept."""
+    model, _, _ = trained(spark, d)
+    t = mo.training_trace(model)
+    return t.select("round", *[F.round(c, 6).alias(c) for c in ("wmae", "mae", "rmse")], "is_best")
+
+
+@register("train_forecaster", _model_sql(
+    "SELECT CAST(wmae AS DECIMAL(10,2)) AS wmae, CAST(mae AS DECIMAL(10,2)) AS mae, CAST(rmse AS DECIMAL(10,2)) AS rmse FROM best"))
 def q_train_forecaster(spark, d):
-    """Rows-only: validation metrics of the boosted-tree model (one row)."""
+    """Validation metrics of the boosted-tree model's best round (one row, from the stored metadata)."""
     _, _, meta = trained(spark, d)
     return meta.select("wmae", "mae", "rmse")
 
 
-@register("feature_importance")
+_GAIN_SQL = f"""SELECT 'is_holiday' AS feature,
+  (SELECT SUM(n_group * (g - m) * (g - m)) FROM grp CROSS JOIN base) * (SELECT SUM(pow(1 - {_MODEL_PARAMS["stepSize"]}, 2 * (round - 1))) FROM trace WHERE round <= (SELECT round FROM best)) AS gain"""
+
+
+@register("feature_importance", _model_sql(f"SELECT CAST(0 AS INTEGER) AS position, feature, ROUND(gain / (SELECT n FROM base), 2) AS gain_per_row FROM ({_GAIN_SQL})", "holiday"))
 def q_feature_importance(spark, d):
-    """Rows-only: per-feature importance from the fitted model, descending."""
-    _, _, meta = trained(spark, d)
-    return mo.importance_rows(meta)
+    """Total gain of the features, per training row, read back from the stored metadata."""
+    model, _, meta = trained(spark, d, "holiday")
+    rows = model.nodes.where("round = 1 AND node = 0").agg(F.max("rows").alias("n"))
+    found = mo.importance_rows(meta).crossJoin(F.broadcast(rows))
+    return found.select("position", "feature", F.round(F.col("importance") / F.col("n"), 2).alias("gain_per_row"))
 
 
-@register("model_metadata")
+@register("model_metadata", _model_sql(f"""
+SELECT 'gbt_forecaster' AS model_name, 'v1.0' AS model_version, CAST(wmae AS DECIMAL(10,2)) AS wmae, CAST(mae AS DECIMAL(10,2)) AS mae,
+  CAST(rmse AS DECIMAL(10,2)) AS rmse, '{_MODEL_PARAMS["maxIter"]}' AS max_iter, 'wmae' AS metric,
+  '{",".join(sorted(_MODEL_FEATURES["groups"]))}' AS features FROM best"""))
 def q_model_metadata(spark, d):
-    """Rows-only: the model_metadata row (JSON parameters and importances)."""
-    _, _, meta = trained(spark, d)
-    return mo.latest_model(meta)
+    """The latest row of the metadata table: metrics, parameters and the feature contract of the saved model."""
+    _, feats, meta = trained(spark, d)
+    names = F.array_join(F.sort_array(F.transform(tx.parse_importance(F.col("feature_importance")), lambda x: x["feature"])), ",")
+    held = F.when(names == ",".join(sorted(feats)), names)
+    return mo.latest_model(meta).select("model_name", "model_version", "wmae", "mae", "rmse", F.get_json_object("parameters", "$.maxIter").alias("max_iter"),
+                                        F.get_json_object("parameters", "$.metric").alias("metric"), held.alias("features"))
 
 
-@register("importance_share")
+@register("importance_share", _model_sql(f"SELECT CAST(0 AS INTEGER) AS position, feature, CASE WHEN gain > 0 THEN 100.0::DOUBLE END AS importance_pct FROM ({_GAIN_SQL})", "holiday"))
 def q_importance_share(spark, d):
-    _, _, meta = trained(spark, d)
+    _, _, meta = trained(spark, d, "holiday")
     return mo.importance_share(meta)
 
 
-@register("importance_by_category")
+@register("importance_by_category", _model_sql(f"SELECT 'Other' AS category, CASE WHEN gain > 0 THEN 100.0::DOUBLE END AS importance_pct FROM ({_GAIN_SQL})", "holiday"))
 def q_importance_by_category(spark, d):
-    _, _, meta = trained(spark, d)
+    _, _, meta = trained(spark, d, "holiday")
     return mo.importance_by_category(meta)
 
 
-@register("score_model", eng_sql("SELECT store_id, dept_id, feature_date, TRUE AS predicted FROM eng"))
+@register("score_model", _model_sql(f"""
+SELECT store_id, dept_id, feature_date, ROUND(m + (g - m) * (1 - pow(1 - {_MODEL_PARAMS["stepSize"]}, (SELECT round FROM best))), 6) AS prediction
+FROM ready JOIN grp USING ({", ".join(_MODEL_FEATURES["groups"])}) CROSS JOIN base"""))
 def q_score_model(spark, d):
-    """Batch scoring with the saved pipeline: every engineered row, target or not, gets a prediction."""
+    """Batch scoring with the saved model: every engineered row, target or not, gets its prediction."""
     model, _, _ = trained(spark, d)
     scored = mo.score(model, engineered(spark, d).drop("weekly_sales"))
-    good = F.coalesce(~F.isnan("prediction"), F.lit(False))
-    return scored.select("store_id", "dept_id", "feature_date", good.alias("predicted"))
+    return scored.select("store_id", "dept_id", "feature_date", F.round("prediction", 6).alias("prediction"))
 
 
 @register("generate_forecasts_model", fc_sql("""
