@@ -169,3 +169,41 @@ def test_names_inside_articles_only_lower_the_importance(spark):
     got = texts_of(spark, [article(w) for w in words] + [page(f"<article><p>plain {k * 9}</p></article>") for k in "abcde"])
     assert [got[n] for n in range(3)] == [f"Title {w} Heading {w} Earlier work {w} Revenue {w} Notice of {w}" for w in words]
     assert "Share this page" in ht.main_text(article("one"), set())
+
+
+def test_names_outside_articles_that_say_more_leave_it_to_the_tree(spark):
+    """What the same words may name: an own text stays on every page, a repeated one goes."""
+    words = ("one", "two", "three", "four")
+    own = [page(f"<div id=related-work><p>Text number {w}</p></div><h2 class=post-header>Title {w}</h2><p class=share-price>Price {w}</p>") for w in words]
+    assert texts_of(spark, own) == {n: f"Text number {w} Title {w} Price {w}" for n, w in enumerate(words)}
+    same = [page(f"<div class=post><p>Own words {w}</p><p>and more {w * 3}</p></div><div class=related-tips>Read our tips</div>") for w in words]
+    assert texts_of(spark, same) == {n: f"Own words {w} and more {w * 3}" for n, w in enumerate(words)}
+    assert ht.main_text(page('<div class="header-image-wrapper"><p>The only text of the page</p></div>'), set()) == "The only text of the page"
+
+
+def test_every_name_of_noise_beside_another_word_keeps_an_own_text(spark):
+    names = sorted(ht.NOISE_NAMES - ht.QUALIFIERS)
+    pages = [page("".join(f"<div class='{n}-quince'><p>text {n} {w}</p></div><p id='quince-{n}'>more {n} {w}</p>" for n in names)) for w in ("one", "two", "three")]
+    got = texts_of(spark, pages)
+    for k, w in enumerate(("one", "two", "three")):
+        assert got[k] == " ".join(f"text {n} {w} more {n} {w}" for n in names)
+
+
+def test_names_that_say_nothing_else_go_on_any_page():
+    text = "the main text of the page"
+    for name in [*sorted(ht.NOISE_NAMES), "site-header", "pageFooter", "left_sidebar", "main-menu", "cookie-notice-wrapper", "related-posts", "social-links"]:
+        assert ht.main_text(page(f"<div class={name}>Not this</div><div class=text><p>{text}</p></div>"), set()) == text, name
+
+
+def test_a_page_with_text_is_not_empty_for_the_name_of_a_box():
+    assert ht.main_text(page("<div id=header><p>All there is</p><nav>Menu</nav></div>"), set()) == "All there is"
+    assert ht.main_text(page("<div class=comments>Nice</div>"), set()) == ""
+    assert ht.main_text(page("<nav>Menu</nav><script>x</script>"), set()) == ""
+
+
+def test_hidden_parts_and_advert_slots_go():
+    body = (
+        "<article><p>shown</p><div hidden>a</div><p style='color:red; display : none'>b</p><div hidden=until-found>c</div><ins class='adsbygoogle'>d</ins>"
+        "<p class='hidden-gem' title='hidden here'>a hidden gem</p><p data-x=hidden>kept</p></article><div class='adsbygoogle x'>e</div>"
+    )
+    assert ht.main_text(page(body), set()) == "shown a hidden gem kept"

@@ -10,8 +10,10 @@ Each merged node has the child sequences it appears with (presentation) and the
 * composite: ``(1 - g**l) * node + g**l * content`` for ``l`` child sequences, ``g`` of 0.9.
 
 Branches whose composite importance is below ``THRESHOLD`` are removed from every page of the host.
-What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, and class or id
-names that say so outside articles) has importance 0 from the start, also on hosts with one page. A page whose article
+What HTML itself names (menus, headers, footers, asides, forms, scripts, styles, hidden elements, and outside articles
+classes or ids made of such names and of words for places and boxes alone, as ``site-header``) has importance 0 from the start, also on hosts with one page;
+a name that has other words too (``related-work``, ``post-header``) only halves the importance, and the tree decides. A page
+that would have no text for names of boxes alone keeps it. A page whose article
 or main elements hold more text than the rest that is not low gives their text only. Copies of a page must not count as template. Pages with the
 same text outside those parts are one page of the tree. Where the branch that holds most of a page's
 text is itself low (near copies make it so), nothing in or above it is removed. Headings and
@@ -59,11 +61,19 @@ NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search di
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal "
     "overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies respond "
-    "share sharing social newsletter subscribe subscription signup login related recommended widget widgets toolbar pagination pager".split()
+    "share sharing social newsletter subscribe subscription signup login related recommended widget widgets toolbar pagination pager adsbygoogle".split()
 )
+#: Words that may stand beside such a name without saying what else the part is.
+PLACES = frozenset(
+    "site page main global top bottom left right upper lower side inner outer center sticky fixed floating mobile desktop primary secondary first second third "
+    "area bar block body box button buttons col column container content dialog form group icons inline item items layer link links list panel pane placeholder "
+    "region row section slot strip thread unit wrap wrapper posts articles stories js is the my web blog".split()
+)
+#: Of those names, the ones that say so on any page, whatever text it has besides.
+ALWAYS_NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsored adsbygoogle cookie cookies consent gdpr comment comments disqus replies respond".split())
 #: Inside articles only these names of these elements are noise from the start.
 HARD_NAME = re.compile(
-    r"(ad|ads|advert|adverts|advertisement|advertisements|comment|comments|disqus|replies)([-_]*(area|banner|block|body|box|container|form|inline|item|list|section|slot|thread|unit|wrap|wrapper|\d+))*",
+    r"(ad|ads|adsbygoogle|advert|adverts|advertisement|advertisements|comment|comments|disqus|replies)([-_]*(area|banner|block|body|box|container|form|inline|item|list|section|slot|thread|unit|wrap|wrapper|\d+))*",
     re.IGNORECASE,
 )
 CONTAINERS = frozenset("div section ul ol dl table figure details ins span center fieldset".split())
@@ -80,6 +90,9 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"""(?:^|\s)style\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)display\s*:\s*none""", re.IGNORECASE)
+_QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BREAK = None
 #: Elements that are a piece of running text, not the branch that holds it.
@@ -90,14 +103,30 @@ def _names(attributes: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is not shown: the attribute ``hidden``, or a style without display."""
+    low = attributes.lower()
+    return "hidden" in low and bool(_HIDDEN.search(_QUOTED.sub('""', attributes))) or "none" in low and bool(_NOT_SHOWN.search(attributes))
+
+
 def _says_noise(name: str) -> bool:
-    """Whether a class or id names a part that is not the article, such as ``cookie-notice``."""
+    """Whether a class or id begins or ends with the name of a part that is not the article, such as ``cookie-notice``."""
     parts = [p.lower() for p in _NAME_PARTS.findall(name)]
     return bool(parts) and not QUALIFIERS.intersection(parts) and (parts[0] in NOISE_NAMES or parts[-1] in NOISE_NAMES)
 
 
+def _only_noise(name: str) -> bool:
+    """Whether such a name says nothing else: its other words are for places and boxes, as in ``site-header``."""
+    return _says_noise(name) and all(p.lower() in NOISE_NAMES or p.lower() in PLACES for p in _NAME_PARTS.findall(name))
+
+
+def _always_noise(name: str) -> bool:
+    return _only_noise(name) and not ALWAYS_NOISE.isdisjoint(p.lower() for p in _NAME_PARTS.findall(name))
+
+
 class Element:
-    __slots__ = ("tag", "path", "children", "inline", "noise", "inside", "named", "prose")
+    #: ``noise``: importance 0 from the start; ``sure``: not for the name of a box alone.
+    __slots__ = ("tag", "path", "children", "inline", "noise", "sure", "inside", "named", "prose")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         names = _names(attributes)
@@ -112,7 +141,8 @@ class Element:
         self.inside = bool(parent and parent.inside) or content
         within = bool(parent and parent.inside)
         self.named = self._named(names, content, within)
-        self.noise = bool(parent and parent.noise) or self._is_noise(names, content, within)
+        self.sure = bool(parent and parent.sure) or self._is_noise(names, content, within) or tag not in ("html", "body") and _hidden(attributes)
+        self.noise = self.sure or bool(parent and parent.noise) or self._is_box(names, content, within)
         if self.noise:
             self.inside = False
         self.prose = within and parent.tag in CONTENT and (tag == "p" or bool(HEADING.fullmatch(tag))) and not self.named
@@ -124,8 +154,13 @@ class Element:
         return [*names.get("class", "").split(), "" if HEADING.fullmatch(self.tag) else names.get("id", "")]
 
     def _named(self, names: dict[str, str], content: bool, within: bool) -> bool:
-        """Whether an element of an article has a name of noise, which lowers its importance only."""
-        return within and not content and any(_says_noise(n) and not re.search("header", n, re.IGNORECASE) for n in self._given(names))
+        """Whether an element has a name of noise that lowers its importance only."""
+        if content or self.tag in ("html", "body"):
+            return False
+        given = self._given(names)
+        if within:
+            return any(_says_noise(n) and not re.search("header", n, re.IGNORECASE) for n in given)
+        return any(_says_noise(n) for n in given)
 
     def _is_noise(self, names: dict[str, str], content: bool, within: bool) -> bool:
         if self.tag in ("html", "body"):
@@ -136,7 +171,11 @@ class Element:
             return True
         if within:
             return self.tag in CONTAINERS and any(HARD_NAME.fullmatch(n) for n in self._given(names))
-        return any(_says_noise(n) for n in self._given(names))
+        return any(_always_noise(n) for n in self._given(names))
+
+    def _is_box(self, names: dict[str, str], content: bool, within: bool) -> bool:
+        """Whether an element outside articles is a part of the site by the whole of a name."""
+        return not within and not content and self.tag not in ("html", "body") and any(_only_noise(n) for n in self._given(names))
 
 
 def parse(html: str) -> tuple[list[Element], list[tuple[Element, str] | None]]:
@@ -256,6 +295,9 @@ def main_text(html: str | None, branches: set[str], common: set[str] | None = No
     if not html:
         return ""
     elements, runs = parse(html)
+    if not any(r is not BREAK and not r[0].noise and r[1].strip() for r in runs):
+        # nothing but boxes named like parts of a site: the text is in them
+        return _joined([r for r in runs if r is BREAK or not r[0].sure], lambda e: True)
     runs = [r for r in runs if r is BREAK or not r[0].noise]
     texts = [r for r in runs if r is not BREAK]
     sizes, rest = _sizes(texts), _sizes(r for r in texts if not r[0].inside)
@@ -330,7 +372,8 @@ def branches_of(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     found = rows.mapInArrow(run, "host string, page bigint, path string, kind string, feature bigint")
     # a body counts once per path and text; of the child sequences of its copies one is taken
     found = found.groupBy("host", "page", "path", "kind", F.when(F.col("kind") == "t", F.col("feature")).alias("text")).agg(F.min("feature").alias("feature"))
-    counted = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    # written, so that the pages are parsed once for what hangs on the counts
+    counted = written(found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "style-counts")
     shape, text, article, n = F.col("kind") == "s", F.col("kind") == "t", F.col("kind") == "a", F.col("n")
     nodes = counted.groupBy("host", "path").agg(
         F.sum(F.when(shape, n)).alias("m"), F.sum(F.when(shape, n * F.log(n))).alias("n_log_n"), F.count(F.when(shape, 1)).alias("shapes"),
