@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from weekcast.llm import licenses as li
 
@@ -28,16 +29,16 @@ def test_notices_in_texts(spark):
     for n, (name, notice) in enumerate(li.TEMPLATES):
         rows.append((n, f"{noise(rng.randint(0, 60))}\n{notice.upper() if n % 2 else notice}\n{noise(rng.randint(0, 60))}"))
         want.add((n, name))
-    rows += [(100, None), (101, ""), (102, "two words"), (None, "All rights reserved."), (103, noise(5000)), (104, noise(30_000) + " all rights reserved " + noise(9))]
+    rows += [(1100, None), (1101, ""), (1102, "two words"), (None, "All rights reserved."), (1103, noise(5000)), (1104, noise(30_000) + " all rights reserved " + noise(9))]
     rows += [(0, rows[0][1])]
     got = {(r.doc_id, r.license): r for r in li.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), li.templates(spark)).collect()}
-    assert want <= set(got) and (104, "all-rights-reserved") in got
+    assert want <= set(got) and (1104, "all-rights-reserved") in got
     assert all(got[w].containment >= li.CONTAINMENT for w in want)
     texts = dict(rows[:-1])
     for (i, name), r in got.items():
         assert i is not None
         assert max(held(texts[i], notice) for n, notice in li.TEMPLATES if n == name) >= li.CONTAINMENT
-    assert got[104, "all-rights-reserved"].first_word >= 29_990
+    assert got[1104, "all-rights-reserved"].first_word >= 29_990
 
 
 def test_a_misread_notice_gives_way(spark):
@@ -45,6 +46,39 @@ def test_a_misread_notice_gives_way(spark):
     assert [r.license for r in li.scan(df, li.templates(spark)).collect()] == ["GPL-3.0"]
 
 
+def test_identifiers_titles_and_passages(spark):
+    lines = {
+        "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\nimport os",
+        "GPL-2.0-or-later": "/* SPDX-License-Identifier: GPL-2.0-or-later */",
+        "MIT": "some words\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT",
+        "EPL-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/",
+        "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0. (See accompanying file",
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    }
+    rows = list(enumerate(lines.values()))
+    got = {(r.doc_id, r.license) for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string"), li.templates(spark)).collect()}
+    assert {(n, name) for n, name in enumerate(lines)} <= got
+    assert all(max(held(rows[i][1], notice) for n, notice in li.TEMPLATES if n == name) >= li.CONTAINMENT for i, name in got)
+
+
+def test_a_text_of_many_notices_takes_time_in_proportion(spark):
+    """Four times the notices, at most about four times the time (seven, for timers' sake)."""
+    notices = li.templates(spark)
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "all rights reserved by us " * (n // 5))], "doc_id long, text string")
+        start = time.time()
+        found = li.scan(df, notices).collect()
+        assert [(r.license, r.first_word) for r in found] == [("all-rights-reserved", 0)]
+        return time.time() - start
+
+    seconds(500)
+    short, long = seconds(3_000), seconds(12_000)
+    assert long < 7 * short + 5, (short, long)
+
+
 def test_empty_tables_and_odd_notices(spark):
     df = spark.createDataFrame([(1, "All rights reserved.")], "doc_id long, text string")
     notices = spark.createDataFrame([("a", None), ("b", ""), ("c", "two words"), (None, "all rights reserved"), ("d", "All rights reserved"), ("d", "All rights reserved")], "name string, text string")

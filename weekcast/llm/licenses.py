@@ -5,7 +5,7 @@ Texts and templates are split into words (lower case, runs of letters and digits
 from 4n/3 on, that start every W/4 words, so that every passage of n words lies whole in some window
 and fills more than a third of it. Windows without any template shingle can't match and are left out;
 of the others ``BANDS`` MinHash values (bands of one row) are joined with those of the templates of that
-window size. A passage that holds the least containment of a template has a Jaccard similarity of
+window size. A window takes along its own shingles alone, so the work grows with a text's length. A passage that holds the least containment of a template has a Jaccard similarity of
 at least ``0.8 / (8/3 + 0.2)``, 0.28, with it there: the chance that none of the bands is equal is below
 ``0.72**32``, 3 in 100,000. Candidates are verified by the exact share of the template's shingles in the window.
 
@@ -57,9 +57,62 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("all-rights-reserved", "All rights reserved."),
+    # titles and the passages that follow the opening ones
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License Copyright (c)"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    # further families
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("Artistic-2.0", "This program is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation."),
+    ("WTFPL", "Do What The Fuck You Want To Public License"),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence v1.2"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("PSF-2.0", "Python Software Foundation License Version 2"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
+#: Identifiers of licenses by SPDX (fixed values); each is looked for as a line ``SPDX-License-Identifier: ...``.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 "
+    "CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only "
+    "GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 MS-PL NCSA OFL-1.1 PostgreSQL "
+    "PSF-2.0 Unlicense UPL-1.0 WTFPL Zlib"
+).split()
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+
 
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "name string, text string")
@@ -110,14 +163,25 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
     # moving conditions on what follows below this point, where they would compute the shingles again
     rows = rows.select("id", "shingles", places.alias("places"), F.monotonically_increasing_id().alias("row"))
 
+    # a window is one number, 64 times its start plus the logarithm of its size: numbers are made distinct
+    # by hashing, structs by comparing all pairs
     def over(w: int, k: int) -> Column:
         """The windows over the places: they start at the multiples of a quarter window below each."""
         step = w // 4
-        return F.transform("places", lambda i: F.struct(F.lit(w).alias("window"), ((F.floor(i / step) - k) * step).cast("int").alias("start")))
+        return F.transform("places", lambda i: (F.floor(i / step) - k) * step * 64 + (w.bit_length() - 1))
 
     starts = F.array_distinct(F.flatten(F.array(*[over(w, k) for w in windows for k in range(4)])))
-    at = rows.select("id", "row", "shingles", F.explode(F.filter(starts, lambda s: s["start"] >= 0)).alias("at"))
-    seen = at.select("id", "row", "at.window", "at.start", F.array_distinct(F.slice("shingles", F.col("at.start") + 1, F.col("at.window") - SHINGLE + 1)).alias("own_window"))
+
+    def cut(code: Column) -> Column:
+        """A window with its own shingles, taken before the windows become rows: a row holds no whole document."""
+        start, size = F.floor(code / 64).cast("int"), F.pow(F.lit(2), code % 64).cast("int")
+        # element by element: slice() copies the whole array each time
+        last = F.least(start + size - SHINGLE, F.size("shingles") - 1)
+        own = F.array_distinct(F.transform(F.sequence(start, last), lambda i: F.get("shingles", i)))
+        return F.struct(size.alias("window"), start.alias("start"), own.alias("own_window"))
+
+    cuts = F.transform(F.filter(starts, lambda code: code >= 0), cut)
+    seen = rows.select("id", "row", F.explode(cuts).alias("at")).select("id", "row", "at.*")
     bands = seen.select("id", "row", "window", "start", "own_window", F.posexplode(_bands(F.col("own_window"))).alias("band", "value"))
     shared = F.array_intersect("own", "own_window")
     pairs = bands.join(F.broadcast(keys), ["window", "band", "value"]).withColumn("shared", shared)
