@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import re
 import tempfile
 
 import pytest
@@ -101,6 +102,44 @@ def test_unique_append_prunes_months_and_replays(spark):
     assert "PartitionFilters: [isnotnull(_month" in plan
 
 
+def test_unique_append_reads_only_parts_that_may_hold_its_keys(spark):
+    base = tempfile.mkdtemp(prefix="weekcast-bloom-")
+    table, keys = f"{base}/t", ["k", "date"]
+    schema = "k int, date date, v int"
+    day = lambda n: dt.date(2020, 1 + n % 4, 1 + n % 27)
+    batches = {name: [(base_ + n, day(n), n) for n in range(200)] for name, base_ in (("a", 0), ("b", 1000), ("c", 2000))}
+    for name, rows in batches.items():
+        df = spark.createDataFrame(rows, schema)
+        # a first delivery, in the months of the batches before it: nothing of the table is read
+        assert sk.existing_keys(df, table, keys, "date", name) is None
+        sk.append_unique(df, table, keys, "date", f"{base}/r", name)
+    assert sk.scan_unique(spark, table).count() == 600
+    # one key of b comes again among new ones: its month of b is read, and nothing else
+    again = spark.createDataFrame([(1005, day(5), 7), (9001, day(1), 1), (None, day(1), 1)], schema)
+    found = sk.existing_keys(again, table, keys, "date", "d")
+    assert {tuple(r) for r in found.select("_batch", "_month").collect()} == {("b", "m2020-02")}
+    assert re.search(r"PartitionFilters: \[[^\]]*m2020-02", found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    sk.append_unique(again, table, keys, "date", f"{base}/r", "d")
+    assert sk.scan_unique(spark, table).count() == 602
+    assert [tuple(r) for r in sk.scan_unique(spark, f"{base}/r").collect()] == [(1005, day(5), 7)]
+    # a batch that comes again is decided against the others only; a part of the table without a filter is read
+    sk.append_unique(again, table, keys, "date", f"{base}/r", "d")
+    assert sk.scan_unique(spark, table).count() == 602
+    old = spark.createDataFrame([(7777, day(7), 0)], schema)
+    old.withColumn("_month", F.date_format("date", "'m'yyyy-MM")).write.partitionBy("_month").parquet(f"{table}/_batch=old")
+    sk.append_unique(old, table, keys, "date", f"{base}/r", "e")
+    assert sk.scan_unique(spark, table).where("k = 7777").count() == 1
+
+
+def test_key_filters_hold_their_keys_and_few_others(spark):
+    held = spark.range(5000).selectExpr("CAST(id AS INT) AS k", "DATE '2020-01-05' AS date")
+    filters = sk.key_filter(held, ["k"], "date").withColumn("_batch", F.lit("x")).cache()
+    assert sk.held_parts(held.where("k % 500 = 3"), filters, ["k"], "date") == [("x", "m2020-01")]
+    assert sk.held_parts(held.withColumn("date", F.lit(dt.date(2020, 2, 1))), filters, ["k"], "date") == []
+    seeming = sum(bool(sk.held_parts(spark.createDataFrame([(10_000 + n, dt.date(2020, 1, 9))], "k int, date date"), filters, ["k"], "date")) for n in range(8))
+    assert seeming <= 1
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("# Title\n## Sub\ncost $5\r# x",)], "t string")
     r = df.select(tx.sanitize_markdown(F.col("t")).alias("s")).collect()[0].s

@@ -186,7 +186,7 @@ def multi_scope_report(fc: DataFrame, hist: DataFrame, store: int | None = None,
         ]),
     ]
     parts += [_store_rows(f), _anomaly_rows(anomaly.zscore_anomalies(h, threshold))]
-    scope = ", ".join([*([f"Store {store}"] if store else []), *([f"Department {dept}"] if dept else [])])
+    scope = ", ".join([*([f"Store {store}"] if store is not None else []), *([f"Department {dept}"] if dept is not None else [])])
     if scope:
         parts.append(_rows(ds, "scope", [("scope", F.lit(scope))]))
     out = parts[0]

@@ -27,6 +27,7 @@ derives and writes ``raw_sales`` and ``features`` from it.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,8 @@ STORE_TYPES = ["A", "B", "C"]  # by key mod 3
 DROPPED_FEATURE_WEEK = 10  # ISO week dropped from features for store_id % 7 == 0
 MARKDOWN_MIN_DISCOUNT = 0.05
 
+# The tables that the retail tables derive from.
+INPUT_TABLES = ("lineitem", "part", "supplier", "nation")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,6 +193,18 @@ def stores(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame
     return s.select(k.cast("int").alias("store_id"), *_store_rows(k))
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the names, sizes and times of the input files: another one when a table has changed."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(top):
+        if entry.getPath().getName().removesuffix(".parquet") in INPUT_TABLES:
+            below = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+            found += [(entry.getPath().getName(), f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in below]
+    return hashlib.md5(repr(sorted(found)).encode()).hexdigest()
+
+
 _WRITTEN: dict[tuple, str] = {}
 
 
@@ -197,8 +212,8 @@ def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
                   written: bool = True) -> dict[str, DataFrame]:
     """The three retail tables for ``sf_dir``.
 
-    With ``written=True`` (default) they are derived once per application and
-    written as Parquet under the shared checkpoint folder (the role the
+    With ``written=True`` (default) they are derived once per application and state
+    of the input files, and written as Parquet under the shared checkpoint folder (the role the
     database tables play in the original), and every later query scans those
     files, so filters and column pruning reach a real Parquet scan.
     """
@@ -207,7 +222,7 @@ def retail_tables(spark: SparkSession, sf_dir: str, grain: str = "nation",
         return {"raw_sales": _raw_sales_from(c), "features": _features_from(c),
                 "stores": stores(spark, sf_dir, grain)}
     app = app_id(spark)
-    key = (app, os.path.abspath(sf_dir), grain)
+    key = (app, os.path.abspath(sf_dir), grain, input_state(spark, sf_dir))
     with ONCE_LOCK:
         base = _write_once(spark, sf_dir, grain, key)
     return {n: spark.read.parquet(f"{base}/{n}") for n in ("raw_sales", "features", "stores")}
@@ -218,7 +233,7 @@ def _write_once(spark: SparkSession, sf_dir: str, grain: str, key: tuple) -> str
     base = _WRITTEN.get(key)
     if base is None:
         tag = os.path.abspath(sf_dir).strip("/").replace("/", "_")
-        base = scratch_path(spark, f"retail-{app}-{tag}-{grain}")
+        base = scratch_path(spark, f"retail-{app}-{tag}-{grain}-{key[-1][:12]}")
         _cells(spark, sf_dir, grain).write.mode("overwrite").parquet(f"{base}/cells")
         c = spark.read.parquet(f"{base}/cells")
         # sorted by date inside each file so pushed date filters skip row groups
