@@ -1,8 +1,12 @@
 import itertools
 import random
 
+import numpy as np
+
 from tests.llm.test_sketches_and_linking import classes_of
 from weekcast.llm import line_dedup as ld
+from weekcast.llm import linking
+from weekcast.llm.sketches import bands, minhash, one_permutation
 
 SCHEMA = "doc_id long, text string, node string, line int"
 
@@ -56,6 +60,85 @@ def test_against_brute_force_with_edge_rows(spark):
             assert got[i][1] == count(t) and got[i][2] == count(t) - count(want[i]) and got[i][3] == "x"
 
 
+def test_bands_miss_no_more_pairs_at_the_threshold_than_stated():
+    """Pairs of sets of similarity 0.8, of sizes for either sketch: at most (1 - 0.8**5)**24 = 7 in 100,000 share no band."""
+    rng = np.random.default_rng(0)
+    missed = pairs = 0
+    for n in (18, 45, 90, 126, 180, 270, 450):
+        shared, own = n * 8 // 9, n // 9
+        for _ in range(5):
+            all_ = rng.integers(0, 1 << 44, (2000, shared + 2 * own)).astype(np.uint64)
+            a, b = np.sort(all_[:, : shared + own], 1), np.sort(np.delete(all_, np.s_[shared : shared + own], 1), 1)
+            sketch = one_permutation if n >= ld.REGISTERS else minhash
+            sets = np.repeat(np.arange(2000), n)
+            x, y = (bands(sketch(sets, s.ravel(), 2000, ld.REGISTERS), ld.BAND_ROWS) for s in (a, b))
+            missed, pairs = missed + int((x != y).all(axis=1).sum()), pairs + 2000
+    assert missed <= 20, (missed, pairs)  # 5 of 70,000 are expected
+
+
+def test_shared_shingles_are_those_of_the_strings():
+    rng = random.Random(6)
+    keys = list({"".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))).strip() or "a" for _ in range(80)})
+    keys += ["日本語のテキスト" * 3, "日本語のテキスト", "x" * 50, "x" * 200_000, "x" * 200_000 + "y"]
+    lines, shingles = ld.shingle_sets(keys, [ld.fingerprint(k) for k in keys])
+    whole = [{k[i : i + ld.SHINGLE] for i in range(max(1, len(k) - ld.SHINGLE + 1))} for k in keys]
+    assert np.bincount(lines).tolist() == [len(s) for s in whole]
+    pairs = np.array(list(itertools.combinations(range(len(keys)), 2)))
+    shared, either = ld.shared_shingles(lines, shingles, pairs[:, 0], pairs[:, 1], len(keys))
+    for (i, j), n, m in zip(pairs, shared, either):
+        assert (n, m) == (len(whole[i] & whole[j]), len(whole[i] | whole[j])), (keys[i][:60], keys[j][:60])
+
+
+def test_line_keys_are_those_of_single_lines():
+    for text in ["A b\nC", " a  b \n\n", "a\tb\nc", "x\u00a0y\nz", "a\r\nb", "\u3000a", "", "\n", "É è\u2003\n İ"]:
+        assert ld.line_keys(text) == [ld.line_key(x) for x in text.split("\n")]
+
+
+def test_a_hot_group_costs_few_pairs_a_member(spark, monkeypatch):
+    """Three hundred variants of one line: at most 15 pairs a member are verified."""
+    line = "the quick brown fox jumps over the lazy dog and runs through the wide green field at noon"
+    rows = [(n, f"{line[:40]}{n % 50:02d}{line[42:]}{n // 50:02d}") for n in range(300)]
+    checked = []
+    real = linking.linked
+
+    def counting(members, verify, fits=None, elements=None):
+        def counted(pairs):
+            checked.append(pairs.count())
+            return verify(pairs)
+
+        return real(members, counted, fits, elements)
+
+    monkeypatch.setattr(linking, "linked", counting)
+    got = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if r.text] == [0]
+    assert sum(checked) <= 15 * len(rows), checked
+
+
+def test_lines_that_share_a_passage_but_are_not_alike(spark, monkeypatch):
+    """A passage in 150 lines of otherwise own words (similarity about 0.6): few pairs are verified, and the few like lines among them are found."""
+    monkeypatch.setattr(linking, "LIGHT", 8)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(30))
+    lines = [f"{' '.join(word() for _ in range(5))} {passage} {' '.join(word() for _ in range(4))}" for _ in range(150)]
+    lines += [lines[n][:100] + "q" + lines[n][101:] for n in range(0, 60, 5)]
+    rows = list(enumerate(lines))
+    checked = []
+    real = linking.linked
+
+    def counting(members, verify, fits=None, elements=None):
+        def counted(pairs):
+            checked.append(pairs.count())
+            return verify(pairs)
+
+        return real(members, counted, fits, elements)
+
+    monkeypatch.setattr(linking, "linked", counting)
+    got = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip(range(len(rows)), brute(rows)))
+    assert sum(checked) <= 10 * len(rows), checked
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(1, "same line here\nother"), (1, "same line here\nother"), (2, "same line here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

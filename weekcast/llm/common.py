@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 
 #: Text bytes that one vectorised step takes at a time; a longer single text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,27 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+#: What the tasks of one operator keep in their worker for its next task: (owner, key) and the object.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: str, key: object, make: Callable[[], object]) -> object:
+    """The one object that the owner's tasks keep in this worker, made anew for another key."""
+    released(owner)
+    if (owner, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
+def released(owner: str | None = None) -> None:
+    """Drops what others than ``owner`` have kept in this worker: called where a task needs memory of its own."""
+    if any(of != owner for of, _ in _KEPT):
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,7 +96,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**n modulo 2**64; kept for the lengths that slices usually have."""
     out = _POWERS.get(base)
     if out is None or len(out) <= n:
@@ -99,8 +121,8 @@ class Spans:
         n = len(codes)
         self.sums = np.empty(n + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(mix(codes.astype(np.uint64)) * _powers(_BASE, n)[:n], out=self.sums[1:])
-        self.back = _powers(_INVERSE, n)
+        np.cumsum(mix(codes.astype(np.uint64)) * powers(_BASE, n)[:n], out=self.sums[1:])
+        self.back = powers(_INVERSE, n)
 
     def hashes(self, longest: int | None = None) -> np.ndarray:
         """A 64-bit hash of each run, or of the first ``longest`` characters of those that have more."""

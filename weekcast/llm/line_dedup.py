@@ -7,7 +7,10 @@ the document with the least id. Equal lines are one node (a 64-bit fingerprint),
 sketch per task and a count.
 
 The text is read three times and never carried along with the sketches; only candidate lines' texts
-are shuffled, behind a fixed-size filter, and documents once, to meet their decisions.
+are shuffled, behind a fixed-size filter, and documents once, to meet their decisions. Lines whose numbers
+of distinct shingles differ by more than the threshold allows are no candidates. Similarity is counted on the
+shingles' hashes, of which 44 bits tell those of a pair of lines apart: two different shingles of
+one pair are taken for equal with odds of 1 in 2**44.
 
 Defined cases: a line of fewer characters than a shingle is one shingle; blank lines take no part
 and stay; a null text stays null; rows with a null id take no part and stay as they are; rows that
@@ -26,44 +29,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import linking
-from .common import dropped, mix, slices, written
-from .sketches import bands, minhash
+from .common import dropped, mix, powers, released, slices, written
+from .sketches import bands, minhash, one_permutation
 
 SHINGLE = 7
 THRESHOLD = 0.8
-#: Registers of a sketch and registers per band: lines of similarity 0.8 share none of the 12 bands with a
-#: chance of (1 - 0.8**5)**12, 0.8 in a hundred; at 0.85 it is 1 in a thousand. Unlike lines of one language
-#: share some shingles: five rows keep their chance collisions rare.
-REGISTERS, BAND_ROWS = 60, 5
+#: Registers of a sketch and registers per band: lines of similarity 0.8 share none of the 24 bands with a
+#: chance of (1 - 0.8**5)**24, 7 in 100,000. Unlike lines of one language share some shingles: five rows
+#: keep their chance collisions rare.
+REGISTERS, BAND_ROWS = 120, 5
+#: Bytes of lines that are sketched at a time (small enough for a processor's cache), and characters hashed at a time.
+CACHE_BYTES, CHUNK = 1 << 16, 1 << 16
 #: Lines that a task remembers, so that copies are sketched once (saves work only).
 REMEMBERED = 200_000
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRINT_BITS, _OTHER_BITS, _PRINT_MASK = np.uint64(44), np.uint64(20), np.uint64((1 << 44) - 1)
+
+
+#: Characters other than the space and the new line that ``str.split`` takes for white space.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def line_key(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def line_keys(text: str) -> list[str]:
+    """The keys of all lines of a text, blank ones empty."""
+    lines = text.lower().split("\n")
+    if "  " in text or any(c in text for c in _SPACES):
+        return [" ".join(x.split()) for x in lines]
+    return [x.strip(" ") for x in lines]
+
+
 def fingerprint(key: str) -> int:
     return int.from_bytes(blake2b(key.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def sketched(keys: list[str], prints: list[int]) -> np.ndarray:
-    """The bands of the given normalised lines, none of them empty."""
+def shingle_sets(keys: list[str], prints: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of the given normalised lines, none of them empty, as numbers of lines (rising) and 44-bit hashes.
+
+    A shingle's hash is that of its characters; a line of fewer characters has one, made from its fingerprint."""
     sizes = np.array([len(k) for k in keys])
-    codes = np.frombuffer("".join(keys).encode("utf-32-le", errors="surrogatepass"), np.uint32).astype(np.uint64)
-    lines = np.repeat(np.arange(len(keys)), sizes)
-    windows = max(len(codes) - SHINGLE + 1, 0)
-    inside = lines[:windows] == lines[SHINGLE - 1 :] if windows else np.empty(0, bool)
-    hashes = codes[:windows].copy()
-    for j in range(1, SHINGLE):
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", errors="surrogatepass"), np.uint32)
+    windows = len(codes) - SHINGLE + 1
+    keep = np.ones(max(windows, 0), bool)  # windows that don't reach into the next line
+    over = (ends[:, None] - np.arange(1, SHINGLE)).ravel()
+    keep[over[(over >= 0) & (over < windows)]] = False
+    found = []
+    for start in range(0, max(windows, 0), CHUNK):
+        part = codes[start : start + CHUNK + SHINGLE - 1]
+        n = len(part) - SHINGLE + 1
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(part * powers(_BASE, len(part))[: len(part)], out=sums[1:])
+        hashes = sums[SHINGLE:] - sums[:-SHINGLE]
+        hashes *= powers(_INVERSE, len(part))[:n]
+        hashes ^= hashes >> np.uint64(31)
         hashes *= _FACTOR
-        hashes += codes[j : j + windows]
+        hashes >>= _OTHER_BITS
+        first, last = np.searchsorted(ends, [start, start + n - 1], side="right")
+        edges = np.clip(ends[first : last + 1], start, start + n)
+        line = np.arange(first, last + 1, dtype=np.uint64) << _PRINT_BITS
+        hashes |= np.repeat(line, np.diff(edges, prepend=start))
+        found.append(hashes[keep[start : start + n]])
     short = np.flatnonzero(sizes < SHINGLE)
-    sets = np.concatenate((lines[:windows][inside], short))
-    hashes = np.concatenate((mix(hashes[inside]), np.array(prints, np.int64)[short].view(np.uint64)))
-    return bands(minhash(sets, hashes, len(keys), REGISTERS), BAND_ROWS)
+    found.append((short.astype(np.uint64) << _PRINT_BITS) | (mix(np.array(prints, np.int64)[short].view(np.uint64)) >> _OTHER_BITS))
+    both = np.sort(np.concatenate(found))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return (both >> _PRINT_BITS).astype(np.int64), both & _PRINT_MASK
+
+
+def sketched(keys: list[str], prints: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of the given normalised lines, none of them empty, and the lines' numbers of distinct shingles."""
+    lines, shingles = shingle_sets(keys, prints)
+    sizes = np.bincount(lines, minlength=len(keys))
+    registers = np.empty((len(keys), REGISTERS), np.uint64)
+    large = sizes >= REGISTERS
+    for chosen, sketch in ((large, one_permutation), (~large, minhash)):
+        if chosen.any():
+            own = chosen[lines]
+            place = np.cumsum(chosen) - 1
+            registers[chosen] = sketch(place[lines[own]], shingles[own], int(chosen.sum()), REGISTERS)
+    return bands(registers, BAND_ROWS), sizes
 
 
 def jaccard(a: str, b: str) -> float:
@@ -74,18 +126,18 @@ def jaccard(a: str, b: str) -> float:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, ``node`` and ``bands`` of every line that isn't blank. A task gives the bands of a line it
-    remembers only once."""
+    """doc, ``node``, ``bands`` and ``size`` (distinct shingles) of every line that isn't blank. A task gives
+    the bands and size of a line it remembers only once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CACHE_BYTES):
                 docs_, nodes, fresh, keys, prints = [], [], [], [], []
                 for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
-                    for line in text.lower().split("\n"):
-                        key = " ".join(line.split())
+                    for key in line_keys(text):
                         if key:
                             node = fingerprint(key)
                             docs_.append(doc)
@@ -99,12 +151,17 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     seen.clear()
                 if not nodes:
                     continue
-                values = sketched(keys, prints).ravel() if keys else np.empty(0, np.int64)
-                offsets = np.concatenate(([0], np.cumsum(fresh))).astype(np.int32) * (REGISTERS // BAND_ROWS)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([not f for f in fresh]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc", "node", "bands"])
+                values, sizes = sketched(keys, prints) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+                known = np.array(fresh)
+                offsets = np.concatenate(([0], np.cumsum(known))).astype(np.int32) * (REGISTERS // BAND_ROWS)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(~known))
+                size = np.zeros(len(known), np.int32)
+                size[known] = sizes
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs_, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(size, mask=~known)], ["doc", "node", "bands", "size"]
+                )
 
-    return rows.mapInArrow(run, "doc long, node long, bands array<long>")
+    return rows.mapInArrow(run, "doc long, node long, bands array<long>, size int")
 
 
 def _line_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -116,7 +173,7 @@ def _line_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = [k for t in part.column("text").to_pylist() for x in t.lower().split("\n") if (k := " ".join(x.split()))]
+                keys = [k for t in part.column("text").to_pylist() for k in line_keys(t) if k]
                 if not keys:
                     continue
                 prints = np.array([fingerprint(k) for k in keys], np.int64)
@@ -134,18 +191,47 @@ def _line_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "node long, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def shared_shingles(lines: np.ndarray, shingles: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (a, b) of line numbers: the shingles that both have, and those that either has."""
+    starts, sizes = np.searchsorted(lines, np.arange(n)), np.bincount(lines, minlength=n)
+    whole, pairs = np.column_stack((a, b)).ravel(), np.arange(2 * len(a)) // 2
+    count = sizes[whole]
+    first = np.cumsum(count) - count
+    at = np.arange(count.sum()) - np.repeat(first - starts[whole], count)
+    both = np.sort((np.repeat(pairs, count).astype(np.uint64) << _PRINT_BITS) | shingles[at])
+    twice = both[1:][both[1:] == both[:-1]] >> _PRINT_BITS
+    shared = np.bincount(twice.astype(np.int64), minlength=len(a))
+    return shared, sizes[a] + sizes[b] - shared
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "line_a"):
-            kept = [jaccard(a, b) >= THRESHOLD for a, b in zip(part.column("line_a").to_pylist(), part.column("line_b").to_pylist())]
-            yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for part in slices(batch, "line_a", CACHE_BYTES):
+            place: dict[str, int] = {}
+            a, b = (np.array([place.setdefault(x, len(place)) for x in part.column(c).to_pylist()]) for c in ("line_a", "line_b"))
+            keys = list(place)
+            lines, shingles = shingle_sets(keys, [fingerprint(k) if len(k) < SHINGLE else 0 for k in keys])
+            shared, either = shared_shingles(lines, shingles, a, b, len(keys))
+            yield part.select(["a", "b"]).filter(pa.array(shared / either >= THRESHOLD))
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line's distinct shingles, and the share that each has of them."""
+    for batch in batches:
+        for part in slices(batch, "line", CACHE_BYTES):
+            nodes = part.column("node").to_numpy()
+            lines, shingles = shingle_sets(part.column("line").to_pylist(), nodes.tolist())
+            sizes = np.bincount(lines, minlength=len(nodes))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (shingles.view(np.int64), (1 / sizes)[lines])]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), *lists], ["node", "elements", "shares"])
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every line that occurs again, alike or nearly: ``doc``, ``node``, ``component`` and ``keeper``
     (the document in which the component's line stays)."""
     lines = written(line_table(docs, id_col, text_col), "lines")
-    members = linking.shared_buckets(lines)
+    members = linking.shared_buckets(lines.withColumn("peak", 1 / F.col("size")), sizes=("size", "peak"))
     texts = written(_line_texts(docs, members.select("node").distinct(), text_col), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -154,7 +240,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         return both.mapInArrow(_similar, "a long, b long")
 
-    links = linking.linked(members, verify)
+    def elements(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, elements array<long>, shares array<double>")
+
+    links = linking.linked(members, verify, THRESHOLD, elements)
     named = linking.components(links)
     uses = lines.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     uses = uses.join(named, "node", "left").withColumn("component", F.coalesce("class_id", "node"))
@@ -174,8 +263,8 @@ def _without(text: str | None, repeats: dict[int, tuple[int, bool]]) -> tuple[st
     if not repeats:
         return text, sum(not x.isspace() for x in text.split("\n") if x), 0
     kept, told, n, gone = [], set(), 0, 0
-    for line in text.split("\n"):
-        key = line_key(line)
+    lines, keys = text.split("\n"), line_keys(text)
+    for line, key in zip(lines, keys):
         if key:
             n += 1
             decided = repeats.get(fingerprint(key))

@@ -1,14 +1,22 @@
 """From band buckets to verified links and classes, without all pairs of a bucket and without collecting.
 
-``linked`` finds the classes that all similar pairs sharing a bucket would make: members are checked
-against two pivots per bucket (different ones in each of a group's buckets), classes are formed, and
-only buckets that still hold more than one class are looked at again: first with new pivots, then
-every pair of members of different classes is checked once. Pairs within a class need no check, so
-a large group of near copies costs a few checks per member. Nothing depends on a cap: the last step
-is complete for whatever the pivots left.
-
-Hot buckets: sizes and pivots are partial aggregates, kept first and joined to the members by
-broadcast if small or else by a sort-merge join whose hot keys Spark splits.
+``linked`` finds the classes that all similar pairs sharing a bucket would make. First every member is
+checked against the least member of its bucket. Nodes have one order in all buckets, so the buckets of a
+group share their least members and a node has few of them. Classes are formed, and only buckets that
+still hold more than one class are looked at again: every pair of members of different classes is checked once.
+Pairs within a class need no check, so a large group of near copies costs a few checks per member. In buckets
+of many members, which share a passage without being similar, only those pairs are listed that
+share one of their rare elements: in any one order of all elements, similar sets have their first shared one within the
+first of either that make up what they need not share (prefix filtering), and in the order of
+frequency those are the rare ones. So nothing is lost and nothing depends on a cap. Where the sets' elements can't be had, rounds
+of new pivots, in an order that differs from bucket to bucket, come before the listing instead.
+
+Before any pair meets its texts, pairs go whose sizes rule the similarity out (``fits``): the mass that a set
+has in common with another is at most its largest share times the other's distinct elements.
+
+Hot buckets: which buckets are shared is found from blocks of band hashes that every task first makes
+distinct; leads and pivots are partial aggregates, joined to the members by broadcast if small or else by a sort-merge join whose
+hot keys Spark splits. Tables used twice are written below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -20,19 +28,27 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import dropped, written
+from .common import dropped, mix, written
 
-#: For tables used twice within a step; parts lost with an executor are made again from written ones.
+#: For tables used twice within a star step; parts lost with an executor are made again from written ones.
 KEPT = StorageLevel.MEMORY_AND_DISK
+#: Band hashes that a task makes distinct at a time; parts of the bucket space for each shuffle partition.
+CHUNK_BANDS, PARTS_PER_PARTITION = 1 << 20, 4
+#: Slots that elements are counted in, as a power of two.
+SLOT_BITS = 20
+#: Low bits of a bucket entry that tell nodes apart (two nodes of a bucket look alike there once in 16 million).
+TAG_BITS = 24
 
 #: Words of 64 bits in a membership filter: its size is fixed (8 MB); more keys only make it prune less.
 FILTER_WORDS = 1 << 20
-#: Rounds of new pivots for buckets that hold several classes, before their pairs are listed.
+#: Without elements: rounds of new pivots for buckets that hold several classes, before their pairs are listed.
 PIVOT_ROUNDS = 3
+#: A mixed bucket of more members has its pairs found by shared rare elements.
+LIGHT = 32
 #: Edges that a task makes stars of at a time; passes before the star steps, and files a task takes in them.
 CHUNK_EDGES = 1 << 20
 PASSES, FAN_IN = 2, 8
-#: The pairs are listed as soon as there are no more than so many per membership.
+#: Without elements: the pairs are listed as soon as there are no more than so many per membership.
 PAIRS_PER_MEMBER = 16
 
 
@@ -58,27 +74,86 @@ def _stirred(node: str, by: Column) -> Column:
     return F.col(node).bitwiseXOR(by)
 
 
-def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands") -> DataFrame:
-    """The written memberships (bucket, node) of all buckets that hold two nodes or more."""
+def _named(high: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The names of buckets of which the high bits are known, and the part of the bucket space that the low ones chose."""
+    return mix(high | part).view(np.int64)
+
+
+def _reduced(buckets: np.ndarray, parts: int) -> np.ndarray:
+    low = np.uint64((1 << TAG_BITS) - 1)
+    buckets = buckets.view(np.uint64)
+    return _named(buckets & ~low, (buckets & low) % np.uint64(parts))
+
+
+def _several(rows: DataFrame, parts: int) -> DataFrame:
+    """The written names of the buckets that hold two nodes or more (rows of node, bands)."""
+    low, shift = np.uint64((1 << TAG_BITS) - 1), np.uint64(TAG_BITS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of entries (bucket's high bits, node's tag) for each part of the bucket space."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            buckets, tags = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            # 16-bit numbers sort in one pass
+            part = ((buckets & low) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            part, entries = part[order], ((buckets & ~low) | tags)[order]
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            blobs = [np.unique(x).tobytes() for x in np.split(entries, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "entries"])
+
+        for batch in batches:
+            column = batch.column("bands")
+            flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            tags = mix(batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)) & low
+            held.append((flat, np.repeat(tags, sizes)))
+            if sum(len(x) for x, _ in held) >= CHUNK_BANDS:
+                yield block()
+        if held and any(len(x) for x, _ in held):
+            yield block()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
+                found.setdefault(part, []).append(np.frombuffer(entries, np.uint64))
+        for part in list(found):
+            entries = np.unique(np.concatenate(found.pop(part)))
+            high = entries >> shift
+            shared = np.unique(high[1:][high[1:] == high[:-1]]) << shift
+            yield pa.RecordBatch.from_arrays([pa.array(_named(shared, np.uint64(part)))], ["bucket"])
+
+    blocks = rows.mapInArrow(packed, "part int, entries binary").repartition("part")
+    return written(blocks.mapInArrow(compared, "bucket long"), "buckets")
+
+
+def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands", sizes: tuple[str, str] | None = None) -> DataFrame:
+    """The written memberships (bucket, node) of all buckets that hold two nodes or more, with the columns
+    ``size`` and ``peak`` if ``sizes`` names those of the sketches (see :func:`linked`)."""
     spark = sketches.sparkSession
-    rows = sketches.select(F.col(node).alias("node"), F.col(bands).alias("bands")).where("node IS NOT NULL AND bands IS NOT NULL")
-    small = rows.select("node", F.explode("bands").alias("bucket")).select("bucket", F.hash("node", "bucket").alias("x"))
-    several = small.groupBy("bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("bucket")
-    several = several.persist(KEPT)
+    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    extra = [F.col(c).cast("float").alias(name) for c, name in zip(sizes or (), ("size", "peak"))]
+    rows = sketches.select(F.col(node).alias("node"), F.col(bands).alias("bands"), *extra).where("node IS NOT NULL AND bands IS NOT NULL")
+    several = _several(rows.select("node", "bands"), parts)
     bits = spark.sparkContext.broadcast(filter_of(several, "bucket"))
+    names = ["size", "peak"][: len(extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("bands")
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            flat = _reduced(column.flatten().to_numpy(zero_copy_only=False), parts)
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             keep = may_hold(bits.value, flat)
-            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(nodes[keep])], ["bucket", "node"])
+            others = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths)[keep] for c in ("node", *names)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *map(pa.array, others)], ["bucket", "node", *names])
 
-    likely = rows.mapInArrow(run, "bucket long, node long")
+    likely = rows.mapInArrow(run, "bucket long, node long" + "".join(f", {c} float" for c in names))
     members = written(likely.join(several, "bucket", "left_semi").distinct(), "members")
-    several.unpersist()
+    bits.destroy()
+    dropped(several)
     return members
 
 
@@ -117,17 +192,31 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _last_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of all nodes of the edges, which are all there are and no more than a task takes."""
+    parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")] for batch in batches]
+    if parts:
+        leaves, roots = _forest(*(np.concatenate(x) for x in zip(*parts)))
+        own = np.unique(roots)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((leaves, own))), pa.array(np.concatenate((roots, own)))], ["node", "class_id"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """The written ``node`` and ``class_id`` (the least node of its class) of every node of the links ``a``, ``b``.
 
-    Every task first makes stars of its own links, and in ``PASSES`` more passes of ``FAN_IN`` tasks'
-    stars together (a bounded number of edges at a time). Where that is not the end, alternating
+    Every task first makes stars of its own links. Where no more than ``CHUNK_EDGES`` are left, which is what any task
+    takes at a time, one more task ends it. Else ``PASSES`` more passes make stars of ``FAN_IN`` tasks'
+    stars together, a bounded number of edges at a time, and where that is not the end, alternating
     large-star and small-star steps follow, each round with such a pass. Each round's edges are a written table, so a lost executor costs at most one round;
     what a round needs twice is kept by the executors and made again if lost. Ends when every edge
     leads from a node with one edge to one without.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = written(_contracted(pairs), "edges")
+    if edges.count() <= CHUNK_EDGES:
+        found = written(edges.coalesce(1).mapInArrow(_last_classes, "node long, class_id long"), "classes")
+        dropped(edges)
+        return found
     turn = 0
     while True:
         heads = edges.groupBy("u").agg(F.count("*").alias("n"))
@@ -160,55 +249,126 @@ def _paired(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def _rarity(elements: DataFrame) -> np.ndarray:
+    """How often the elements of each of a fixed number of slots occur (4 MB): what orders them by rarity."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(batch.column("elements").flatten().to_numpy(zero_copy_only=False)), minlength=1 << SLOT_BITS)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+
+    found = elements.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.uint32)
+    out[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def _prefix_pairs(nodes: DataFrame, elements: DataFrame, least: float, may_link: Column, renamed: list[Column]) -> DataFrame:
+    """The pairs (a, b) of ``nodes`` (node, class_id and what ``may_link`` compares) of different classes that share an
+    element of both their prefixes, of ``elements`` (node, elements, shares: of the node's mass)."""
+    rarity = nodes.sparkSession.sparkContext.broadcast(_rarity(elements))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("elements")
+            flat, share = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("elements", "shares"))
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            often = rarity.value[_slots(flat)]
+            order = np.lexsort((flat, often, row))
+            flat, share, often = flat[order], share[order], often[order]
+            upto = np.cumsum(share) - share
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            before = upto - np.repeat(upto[starts], sizes[sizes > 0])
+            first = (before <= 1 - least + 1e-6) & (often > 1)  # what occurs once is shared by none
+            at = batch.column("node").to_numpy(zero_copy_only=False)[row[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[first])], ["node", "element"])
+
+    prefix = written(elements.mapInArrow(prefixes, "node long, element long").join(nodes, "node"), "prefixes")
+    other = prefix.select(F.col("element").alias("element2"), F.col("node").alias("node2"), F.col("class_id").alias("class2"), *renamed)
+    unlike = (F.col("element") == F.col("element2")) & (F.col("node") < F.col("node2")) & (F.col("class_id") != F.col("class2")) & may_link
+    return prefix.join(other, unlike).select(*_paired("node", "node2")).distinct()
+
+
+def linked(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: float | None = None, elements: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The links (a, b) that connect all similar pairs sharing a bucket, as a union of written tables.
 
-    ``members`` is a table of distinct (bucket, node); ``verify`` gives the links among pairs (a, b).
+    ``members`` is a table of distinct (bucket, node); ``verify`` gives the links among pairs (a, b). With
+    ``fits``, the least similarity of a link, members also have ``size``, a set's distinct elements, and ``peak``,
+    the largest share that one element has of it: a pair of which ``size * peak`` of either with the other is less goes unverified.
+    ``elements`` gives a row of given nodes each, (node, elements, shares: of the node's mass), where links need ``fits`` of either's mass in common.
     """
-    def union(tables: list[DataFrame]) -> DataFrame:
-        whole = tables[0]
-        for table in tables[1:]:
-            whole = whole.unionByName(table)
-        return whole
-
-    # every member against the first and the last of its bucket, in an order of the bucket's own
-    x = _stirred("node", F.xxhash64("bucket"))
-    ends = members.groupBy("bucket").agg(F.min(x).alias("x"), F.max(x).alias("y")).persist(KEPT)
-    pivot = F.explode(F.array(_stirred("x", F.xxhash64("bucket")), _stirred("y", F.xxhash64("bucket"))))
-    pairs = members.join(ends, "bucket").withColumn("pivot", pivot).where("node <> pivot").select(*_paired("node", "pivot"))
-    tested = [pairs.distinct().persist(KEPT)]
+    sizes = ["size", "peak"] if fits is not None else []
+    least_fit = (fits or 0.0) * (1 - 1e-5)  # the columns are single precision
+
+    def may_link(other: str) -> Column:
+        if not sizes:
+            return F.lit(True)
+        return (F.col("size") * F.col(f"peak{other}") >= least_fit) & (F.col(f"size{other}") * F.col("peak") >= least_fit)
+
+    def renamed(suffix: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}{suffix}") for c in sizes]
+
+    # every member against the least of its bucket
+    least = members.groupBy("bucket").agg(F.min(F.struct("node", *sizes)).alias("p"))
+    leads = written(least.select("bucket", F.col("p.node").alias("lead"), *[F.col(f"p.{c}").alias(f"{c}2") for c in sizes]), "leads")
+    near = members.join(leads, "bucket").where((F.col("node") > F.col("lead")) & may_link("2")).select("lead", "node").distinct()
+    tested = [written(near.select(F.col("lead").alias("a"), F.col("node").alias("b")), "pairs")]
     links = [written(verify(tested[0]), "links")]
-    ends.unpersist()
     for turn in range(1, PIVOT_ROUNDS + 2):
-        classes = components(union(links))
-        owned = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"))
+        classes = components(_union(links))
+        owned = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("class_id"), *sizes)
         parts = owned.groupBy("bucket", "class_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("k")
         )
-        parts = parts.where("k > 1").select("bucket", "n", "n2", F.col("most.class_id").alias("main")).persist(KEPT)
-        left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()
+        # a bucket of two has had its pair checked
+        parts = written(parts.where("k > 1 AND n > 2").select("bucket", "n", "n2", F.col("most.class_id").alias("main")), "mixed-buckets")
+        left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2), F.max("n")).first()
         if not left[0]:
-            parts.unpersist()
-            dropped(classes)
+            for old in (parts, classes):
+                dropped(old)
             break
-        mixed = owned.join(parts.select("bucket", "main"), "bucket").persist(KEPT)
-        last = turn > PIVOT_ROUNDS or left[1] <= PAIRS_PER_MEMBER * left[0]
-        if last:  # every pair of members of different classes: one of the two is outside the bucket's largest class
-            other = mixed.select("bucket", F.col("node").alias("node2"), F.col("class_id").alias("class2"))
-            minor = mixed.where("class_id <> main")
-            new = minor.join(other, "bucket").where("class_id <> class2 AND (class2 = main OR node < node2)").select(*_paired("node", "node2"))
+        mixed = written(owned.join(parts.select("bucket", "main", "n"), "bucket").join(leads.select("bucket", "lead"), "bucket"), "mixed")
+        last = elements is not None or turn > PIVOT_ROUNDS or left[1] <= PAIRS_PER_MEMBER * left[0]
+        if last:  # every pair of members of different classes, the leads' excepted: one of the two is outside the bucket's largest class
+            rest = mixed.where("node > lead").drop("lead")
+            heavy = F.col("n") > LIGHT if elements else F.lit(False)
+            light = rest.where(~heavy)
+            other = light.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("class_id").alias("class2"), *renamed("2"))
+            unlike = (F.col("class_id") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("node") < F.col("node2"))) & may_link("2")
+            new = light.where("class_id <> main").join(other, (F.col("bucket") == F.col("bucket2")) & unlike).select(*_paired("node", "node2"))
+            if elements and left[2] > LIGHT:
+                nodes = written(rest.where(heavy).select("node", "class_id", *sizes).distinct(), "heavy-nodes")
+                new = new.unionByName(_prefix_pairs(nodes, elements(nodes.select("node")), fits, may_link("2"), renamed("2")))
         else:
             by = F.xxhash64("bucket", F.lit(turn))
-            least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), F.col("class_id"))).alias("p"))
-            chosen = least.select("bucket", _stirred("p.x", by).alias("pivot"), F.col("p.class_id").alias("of"))
-            new = mixed.join(chosen, "bucket").where("class_id <> of").select(*_paired("node", "pivot"))
-        tested.append(new.distinct().join(union(tested), ["a", "b"], "left_anti").persist(KEPT))
+            least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), "class_id", *sizes)).alias("p"))
+            chosen = least.select("bucket", _stirred("p.x", by).alias("pivot"), F.col("p.class_id").alias("of"), *[F.col(f"p.{c}").alias(f"{c}2") for c in sizes])
+            new = mixed.join(chosen, "bucket").where((F.col("class_id") != F.col("of")) & may_link("2")).select(*_paired("node", "pivot"))
+        new = new.distinct()
+        if not elements:  # pairs of several rounds
+            new = new.join(_union(tested), ["a", "b"], "left_anti")
+        tested.append(written(new, "pairs"))
         links.append(written(verify(tested[-1]), "links"))
-        parts.unpersist()
-        mixed.unpersist()
-        dropped(classes)
+        for old in (parts, mixed, classes):
+            dropped(old)
         if last:
             break
-    for old in tested:
-        old.unpersist()
-    return union(links)
+    for old in (leads, *tested):
+        dropped(old)
+    return _union(links)

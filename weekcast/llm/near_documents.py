@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import linking
-from .common import dropped, normalised, shingle_hashes, slices, word_hashes, written
+from .common import dropped, normalised, released, shingle_hashes, slices, word_hashes, written
 from .sketches import bands, prob_minhash
 
 SHINGLE = 5
@@ -57,11 +57,13 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``text_key`` (16 bytes that equal texts share; null without words) and ``bands`` of every row
-    with an id. A task gives the bands of a text it remembers only once."""
+    """id, ``text_key`` (16 bytes that equal texts share; null without words), ``bands``, ``size`` (distinct
+    shingles) and ``peak`` (the largest share of one) of every row with an id. A task gives the bands and
+    sizes of a text it remembers only once."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -83,10 +85,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if sets:
                     registers = prob_minhash(np.concatenate(sets), np.concatenate(hashes), np.concatenate(counts), len(sets), REGISTERS)
                     values = bands(registers, BAND_ROWS).ravel()
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([not f for f in fresh]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), lists], ["id", "text_key", "bands"])
+                known = np.array(fresh, bool)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~known))
+                measures = []
+                for measured in ([len(n) for n in counts], [n.max() / n.sum() for n in counts]):
+                    column = np.zeros(len(fresh), np.float32)
+                    column[known] = measured
+                    measures.append(pa.array(column, mask=~known))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), lists, *measures], ["id", "text_key", "bands", "size", "peak"])
 
-    return rows.mapInArrow(run, "id long, text_key binary, bands array<long>")
+    return rows.mapInArrow(run, "id long, text_key binary, bands array<long>, size float, peak float")
 
 
 def _weights(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,8 +132,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``id_col`` and ``class_id`` of every row: the least id of the documents connected by similarity."""
     made = written(sketches(docs, id_col, text_col), "doc-sketches")
     known = made.where("text_key IS NOT NULL")
-    texts = written(known.groupBy("text_key").agg(F.min("id").alias("node"), F.first("bands", ignorenulls=True).alias("bands")), "doc-texts")
-    members = linking.shared_buckets(texts)
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("bands", "size", "peak")]
+    texts = written(known.groupBy("text_key").agg(F.min("id").alias("node"), *firsts), "doc-texts")
+    members = linking.shared_buckets(texts, sizes=("size", "peak"))
     weights = written(_weights(docs, members.select("node").distinct(), id_col, text_col), "doc-weights")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -134,7 +143,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         return both.mapInArrow(_similar, "a long, b long, similarity double").select("a", "b").distinct()
 
-    links = linking.linked(members, verify)
+    def elements(nodes: DataFrame) -> DataFrame:
+        """The shingles of documents; a similarity of s needs s of either's mass in common."""
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+        rows = weights.join(nodes, "node", "left_semi").withColumn("total", total)
+        return rows.select("node", F.col("hashes").alias("elements"), F.transform("counts", lambda n: n / F.col("total")).alias("shares"))
+
+    links = linking.linked(members, verify, THRESHOLD, elements)
     # an id that comes with several texts ties them together
     of_text = known.select("id", "text_key").join(texts.select("text_key", "node"), "text_key")
     tied = of_text.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
@@ -143,9 +158,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_text = written(of_text, "doc-classes")
     for old in (texts, members, weights, links, named):
         dropped(old)
-    found = made.select("id", "text_key").join(of_text, "text_key", "left")
+    # blank texts have no key and go past the join: as nulls they would all meet in one task
+    found = known.select("id", "text_key").join(of_text, "text_key").select("id", "class_id")
+    found = found.unionByName(made.where("text_key IS NULL").select("id", F.col("id").alias("class_id")))
     kind = docs.schema[id_col].dataType
-    found = found.select(F.col("id").cast(kind).alias(id_col), F.coalesce("class_id", "id").cast(kind).alias("class_id"))
+    found = found.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(kind).alias("class_id"))
     return found.unionByName(none)
 

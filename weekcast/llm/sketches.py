@@ -48,32 +48,80 @@ def prob_minhash(sets: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: i
     return who.reshape(n, m)
 
 
+#: Rounds in which elements fall on registers; what is empty after them is filled register by register.
+_ROUNDS = 10
+
+
 def minhash(sets: np.ndarray, hashes: np.ndarray, n: int, m: int) -> np.ndarray:
     """MinHash of ``n`` plain sets, ``m`` registers each; elements may repeat.
 
-    In every round each element falls on a register at random with a random value; a register keeps
+    In every round each element falls on two registers at random with random values; a register keeps
     the least value of the first round that fills it. Sets whose registers are all full take no
-    further part. From round ``m`` on all elements fall on one register after the other.
+    further part. Registers that stay empty (of sets with few elements) get the least of a hash of
+    their own over the set.
     """
     out = np.full(n * m, _FULL)
-    own, state = sets, mix(hashes + _STEP)
-    for turn in range(2 * m):
-        if turn < m:
-            at = own * m + _register(mix(state ^ _SALT), m)
-        else:
-            at = own * m + (turn - m)
-        if turn == 0:
-            np.minimum.at(out, at, state)
-        else:
-            fresh = out[at] == _FULL
-            np.minimum.at(out, at[fresh], state[fresh])
-        open_sets = (out.reshape(n, m) == _FULL).any(axis=1)
-        on = open_sets[own]
+    own, state = sets * m, hashes
+    high, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    for turn in range(_ROUNDS):
+        state = state ^ (state >> high)
+        state *= _STEP
+        state ^= state >> np.uint64(29)
+        for at, factor in ((state >> high, _SALT), (state & low, _STEP)):
+            at *= np.uint64(m)
+            at >>= high
+            at = at.view(np.int64) + own
+            value = state * factor
+            if turn:
+                fresh = empty[at]
+                at, value = at[fresh], value[fresh]
+            np.minimum.at(out, at, value)
+        empty = out == _FULL
+        on = empty.reshape(n, m).any(axis=1)[own // m]
         if not on.any():
-            break
+            return out.reshape(n, m)
         if not on.all():
             own, state = own[on], state[on]
-        state = mix(state + _STEP)
+    rows, registers = np.nonzero(empty.reshape(n, m))
+    sets = own // m
+    order = np.argsort(sets, kind="stable")
+    sets, state = sets[order], state[order]
+    starts, sizes = np.searchsorted(sets, np.arange(n)), np.bincount(sets, minlength=n)
+    some = sizes[rows] > 0
+    rows, registers = rows[some], registers[some]
+    for part in range(0, len(rows), 1 << 16):
+        r, j = rows[part : part + (1 << 16)], registers[part : part + (1 << 16)]
+        first = np.concatenate(([0], np.cumsum(sizes[r])[:-1]))
+        elements = np.arange(sizes[r].sum()) - np.repeat(first - starts[r], sizes[r])
+        values = mix(state[elements] ^ np.repeat(mix(j.astype(np.uint64)), sizes[r]))
+        out[r * m + j] = np.minimum.reduceat(values, first)
+    return out.reshape(n, m)
+
+
+def one_permutation(sets: np.ndarray, hashes: np.ndarray, n: int, m: int) -> np.ndarray:
+    """MinHash of ``n`` large plain sets in one pass, ``m`` registers each. Sets are numbered and rise, their
+    hashes are distinct and rise within each.
+
+    Low bits of an element's hash choose its register, the whole hash decides which of a register's
+    elements is the least. A register without elements copies one that is chosen by a hash of its place, the next
+    choice if that one is empty too (optimal densification); of sets of m elements these are a third.
+    """
+    out = np.full(n * m, _FULL)
+    low = np.uint64(20)
+    at = hashes & np.uint64((1 << 20) - 1)
+    at *= np.uint64(m)
+    at >>= low
+    at = at.view(np.int64) + sets * m
+    out[at[::-1]] = hashes[::-1]  # of the elements of a register the first, the least, is written last
+    open_at = np.flatnonzero(out == _FULL)
+    rows, places = open_at // m, (open_at % m).astype(np.uint64)
+    filled, turn = out.copy(), 0
+    while len(open_at):
+        donor = (mix(places + np.uint64(turn * m)) % np.uint64(m)).view(np.int64)
+        value = filled[rows * m + donor]
+        found = value != _FULL
+        out[open_at[found]] = value[found]
+        open_at, rows, places, turn = open_at[~found], rows[~found], places[~found], turn + 1
     return out.reshape(n, m)
 
 
