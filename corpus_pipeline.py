@@ -3,6 +3,13 @@
 ``STAGES`` names the stages in order. Each takes (spark, docs, sf_dir) and works on all rows that the
 stage before it kept; all but the last return the columns of ``documents``. ``run`` writes each stage's
 rows as Parquet below ``spark.checkpoint.dir`` and reads them again as the next one's documents.
+
+Defined cases: an empty table gives an empty result. A null text has no features for the classifier, no lines, no
+shingles, no passages and no tokens, and comes through as far as the classifier lets it. Rows with a null id
+stay as they are in the line stage and all stay in the near-duplicate stage. Rows that repeat an id are
+decided as one document by those two, and one of them stays. Of like lines or documents the one in the document of the least id
+stays; copies of a text within one document tie, and its first line stays. Texts of any length are taken whole.
+Columns beyond those of ``documents`` come through up to the last stage.
 """
 
 from __future__ import annotations

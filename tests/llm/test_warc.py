@@ -68,3 +68,10 @@ def test_archives_are_warc_and_damage_is_seen(spark, tmp_path):
     (tmp_path / "d" / "part.txt.gz").write_bytes(gzip.compress(raw[:start] + raw[end:]))
     whole = {r.page_id: r.payload for r in warc.read(spark, str(tmp_path / "d")).collect()}
     assert whole == {"1": None, "2": bytearray(b"y")}
+    # without its first one it is still there, named by the origin of the others
+    at = raw.index(b"WARC-Segment-Number: 1")
+    start, end = raw.rindex(b"WARC/1.1", 0, at), raw.index(b"WARC/1.1", at)
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "part.txt.gz").write_bytes(gzip.compress(raw[:start] + raw[end:]))
+    rows = {r.page_id: r for r in warc.read(spark, str(tmp_path / "f")).collect()}
+    assert set(rows) == {None, "2"} and rows[None].payload is None and rows[None].kind == "response" and rows[None].record_id

@@ -31,10 +31,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import kept, slices
 
 #: Pieces that one generation of a worker's cache keeps, and the longest one kept: memory stays bounded.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 CACHE_CHARS = 48
 #: Longer texts are split piece by piece instead of into one list.
 LONG_TEXT = 1 << 20
@@ -136,8 +136,10 @@ class Bpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left``; ``left`` of -1 stands for the start."""
-        if len(self._pairs) > 4 * CACHE_PIECES:
+        if len(self._pairs) > 2 * CACHE_PIECES:
             self._pairs.clear()
+            for edges in self._edges:
+                edges.clear()
         if left < 0:
             known = len(self.merged(self.tokens[right])) == 1
         else:  # of equal merges the left one comes first
@@ -221,27 +223,17 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_READY: dict[tuple[int, str], Bpe] = {}
-
-
-def _ready(broadcast, pattern: str) -> Bpe:
-    key = (id(broadcast.value), pattern)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Bpe(broadcast.value, pattern)
-    return _READY[key]
-
-
 def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``token_ids``: the ids of every whole text as little-endian unsigned 32-bit integers.
 
-    The vocabulary is read on the driver and broadcast (one file of fixed size).
+    The vocabulary is read on the driver and broadcast (one file of fixed size). A worker keeps its encoder for its next task
+    of this operator and drops it when it takes one of another.
     """
     tokens = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _ready(tokens, pattern)
+        bpe = kept("bpe", (id(tokens.value), pattern), lambda: Bpe(tokens.value, pattern))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = pa.array([bpe.encode(t) for t in part.column("text").to_pylist()], pa.binary())

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Spans, code_points, mix, slices, written
+from .common import Spans, code_points, mix, released, slices, written
 
 SAMPLE, FEATURES = 12_000, 6_000_000
 LEXICON = 2_000
@@ -274,6 +274,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in slices(batch, "text"):
                 scores = pa.array([sent.value.score(t) for t in part.column("text").to_pylist()], pa.float64())
@@ -288,6 +289,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in slices(batch, text_col):
                 keep = [sent.value.score(t) >= KEEP for t in part.column(text_col).to_pylist()]

@@ -226,7 +226,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Whole records: kind, record_id, page_id (string), uri, digest, refers_to and payload.
 
     The payload is null for revisits and for records of which a segment is missing or whose total
-    length is not the one stated.
+    length is not the one stated. Of a record whose first segment is missing, kind and record_id are known.
     """
     raw = scan(spark, path)
     whole = raw.where("kind = 'response' AND segment IS NULL").select(
@@ -240,7 +240,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             F.max(F.when(F.col("segment") == 1, first)).alias("first"), F.max("total").alias("total"),
             F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         )
-        .where("first IS NOT NULL")
+        .withColumn("first", F.coalesce("first", F.struct(*[{"kind": F.lit("response"), "record_id": F.col("origin")}.get(c, F.lit(None).cast("string")).alias(c) for c in _KEPT])))
         .select("first.*", F.col("parts.segment").alias("numbers"), F.col("parts.block").alias("blocks"), "total")
     )
     columns = ", ".join(f"{c} string" for c in _KEPT) + ", payload binary"
