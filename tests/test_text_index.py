@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,44 @@ def test_every_match_holds_the_runs(parts, rnd):
     text = "".join(rnd.choice(made.get(p, [p])) for p in parts)
     if re.search(pattern, text):
         assert all(run in text for run in ti.required_runs(pattern))
+
+
+def _brute(rows):
+    """The rows of every trigram, by substrings."""
+    found = {}
+    for n, texts in rows:
+        for t in texts:
+            small = (t or "").translate(ti._TO_SMALL)
+            for i in range(len(small) - 2):
+                found.setdefault(small[i : i + 3], set()).add(n)
+    return found
+
+
+def test_postings_are_those_of_the_substrings(spark, tmp_path, monkeypatch):
+    """Several columns, blocks and slices; characters beyond 16 bits; texts of fewer characters than a trigram."""
+    monkeypatch.setattr(ti, "BLOCK", 16)
+    monkeypatch.setattr(ti, "SLICE_BYTES", 60)
+    rnd = random.Random(5)
+    text = lambda: rnd.choice([None, "", "ab", "é", "".join(rnd.choice("abABé😀\n ") for _ in range(rnd.randint(1, 30)))])
+    df = spark.createDataFrame([(text(), text(), n) for n in range(90)], "a string, b string, n int").repartition(3)
+    ti.build(df, str(tmp_path), ["a", "b", "n"])
+    rows = [(r._row, (r.a, r.b, str(r.n))) for r in spark.read.parquet(f"{tmp_path}/rows").collect()]
+    posts = spark.read.parquet(f"{tmp_path}/postings").collect()
+    pairs = [(p.gram, p.block * 16 + place) for p in posts for place in p.rows]
+    want = _brute(rows)
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(g, n) for g, held in want.items() for n in held}
+    assert {r.gram: r.n for r in spark.read.parquet(f"{tmp_path}/grams").collect()} == {g: len(held) for g, held in want.items()}
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    df = spark.range(5).selectExpr("id AS _row", "'some words' AS words")
+    plan = ti._posted(df, ["words"]).sortWithinPartitions("gram", "block")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "explode" not in plan.lower()
+
+
+def test_postings_of_more_characters_than_fit_beside_the_rows():
+    letters = [chr(c) for c in range(0x100, 0x20000) if not 0xD800 <= c < 0xE000]
+    rows = [(n, ("".join(letters[n * 10 : n * 10 + 10]) + "same", "same")) for n in range(9000)]
+    code, ends, held = ti._postings([t for _, texts in rows for t in texts], np.repeat(np.arange(9000), 2))
+    got = {g: set(part.tolist()) for g, part in zip(ti._strings(code), np.split(held, ends[:-1]))}
+    assert len(held) == sum(map(len, got.values())) and got == _brute(rows)
