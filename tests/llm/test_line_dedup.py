@@ -139,6 +139,47 @@ def test_lines_that_share_a_passage_but_are_not_alike(spark, monkeypatch):
     assert sum(checked) <= 10 * len(rows), checked
 
 
+def _family(rng, n, words=90):
+    """Variants of one line, most pairs of which are a little less alike than the threshold asks for."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    base, lines = [word() for _ in range(words)], []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), rng.choice([2, 4, 7, 9, 11, 13])):
+            own[at] = word()
+        lines.append(" ".join(own))
+    return lines
+
+
+def test_variants_not_quite_alike_cost_few_pairs_a_member(spark, monkeypatch):
+    """A family of twice the lines has about twice the pairs to verify, and the components are those of all pairs."""
+    checked = []
+    real = linking.linked
+
+    def counting(members, verify, fits=None, elements=None):
+        def counted(pairs):
+            checked[-1] += pairs.count()
+            return verify(pairs)
+
+        return real(members, counted, fits, elements)
+
+    monkeypatch.setattr(linking, "linked", counting)
+    for n in (150, 300):
+        rows = list(enumerate(_family(random.Random(17), n)))
+        checked.append(0)
+        got = [r.text for r in sorted(ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+        assert got == brute(rows)
+    assert checked[1] <= 25 * 300 and checked[1] <= 3 * checked[0], checked  # 6,443 and 23,360 by rare elements of the whole lines
+
+
+def test_counts_of_slots_add_up_over_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(-50, 50, rng.integers(0, 40)).tolist(),) for _ in range(60)]
+    got = linking._rarity(spark.createDataFrame(rows, "elements array<long>").repartition(7), "elements")
+    want = np.bincount(linking._slots(np.array([x for r, in rows for x in r])), minlength=1 << linking.SLOT_BITS)
+    assert (got == want).all()
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(1, "same line here\nother"), (1, "same line here\nother"), (2, "same line here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -51,6 +51,22 @@ def test_against_brute_force_with_edge_rows(spark):
     assert {i: c for i, c in got} == want
 
 
+def test_families_of_variants_with_repeated_parts(spark, monkeypatch):
+    """Variants of two texts, in one family with passages that come several times, in buckets that count as large."""
+    from weekcast.llm import linking
+
+    monkeypatch.setattr(linking, "LIGHT", 4)
+    rng = random.Random(23)
+    for copies in (1, 4):
+        base = made(rng, 80)
+        rows = []
+        for n in range(70):
+            text = " ".join(changed(rng, base, rng.choice([0, 1, 2, 3])) for _ in range(rng.choice([1, copies])))
+            rows.append((n, text + " again and again and again and" * rng.choice([0, 0, 3, 12])))
+        got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute(rows)
+
+
 def test_an_id_with_several_texts_ties_them(spark):
     rng = random.Random(3)
     a, b = made(rng, 60), made(rng, 60)

@@ -36,6 +36,10 @@ KEPT = StorageLevel.MEMORY_AND_DISK
 CHUNK_BANDS, PARTS_PER_PARTITION = 1 << 20, 4
 #: Slots that elements are counted in, as a power of two.
 SLOT_BITS = 20
+#: Parts that the counts of the slots are packed in.
+RANGES = 64
+#: A set of that many times its number of elements, by its length, has (nearly) equal shares.
+EVEN = 1.02
 #: Low bits of a bucket entry that tell nodes apart (two nodes of a bucket look alike there once in 16 million).
 TAG_BITS = 24
 
@@ -260,47 +264,135 @@ def _slots(elements: np.ndarray) -> np.ndarray:
     return (mix(elements.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
-def _rarity(elements: DataFrame) -> np.ndarray:
-    """How often the elements of each of a fixed number of slots occur (4 MB): what orders them by rarity."""
+def _rarity(elements: DataFrame, column: str) -> np.ndarray:
+    """How often the elements of each of a fixed number of slots occur (4 MB): what orders them by rarity.
+
+    Tasks give their counts in ``RANGES`` packed parts, which are added up part by part."""
+    width = (1 << SLOT_BITS) // RANGES
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            total += np.bincount(_slots(batch.column("elements").flatten().to_numpy(zero_copy_only=False)), minlength=1 << SLOT_BITS)
+            total += np.bincount(_slots(batch.column(column).flatten().to_numpy(zero_copy_only=False)), minlength=1 << SLOT_BITS)
+        slots = np.flatnonzero(total)
+        ranges, starts = np.unique(slots // width, return_index=True)
+        packed = [[x.tobytes() for x in np.split(v, starts[1:])] if len(slots) else [] for v in (slots, total[slots])]
+        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), *[pa.array(v, pa.binary()) for v in packed]], ["range", "slots", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for slots, counts in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist()):
+                total[np.frombuffer(slots, np.int64)] += np.frombuffer(counts, np.int64)
         slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()]), pa.array([total[slots].tobytes()])], ["slots", "counts"])
 
-    found = elements.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    parts = elements.select(column).mapInArrow(counted, "range long, slots binary, counts binary").repartition("range")
     out = np.zeros(1 << SLOT_BITS, np.uint32)
-    out[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 0xFFFFFFFF)
+    found = parts.mapInArrow(added, "slots binary, counts binary").toArrow()
+    for slots, counts in zip(found.column("slots").to_pylist(), found.column("counts").to_pylist()):
+        out[np.frombuffer(slots, np.int64)] = np.minimum(np.frombuffer(counts, np.int64), 0xFFFFFFFF)
     return out
 
 
-def _prefix_pairs(nodes: DataFrame, elements: DataFrame, least: float, may_link: Column, renamed: list[Column]) -> DataFrame:
-    """The pairs (a, b) of ``nodes`` (node, class_id and what ``may_link`` compares) of different classes that share an
-    element of both their prefixes, of ``elements`` (node, elements, shares: of the node's mass)."""
-    rarity = nodes.sparkSession.sparkContext.broadcast(_rarity(elements))
+def _differences(groups: DataFrame, elements: DataFrame) -> DataFrame:
+    """The written ``groups`` (pivot, node, ...) with ``diff``, the elements that only one of node and pivot has, their number ``d``,
+    the node's number of elements ``n`` and the lengths ``length`` and ``length_p`` of node and pivot (see :func:`_close_pairs`)."""
+    ends = groups.select("node").union(groups.select(F.col("pivot").alias("node"))).distinct()
+    sets = elements(ends).select("node", "elements", (2 / F.array_min("shares") - F.size("elements")).alias("length"))
+    sets = written(sets, "heavy-sets")
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("elements").alias("elements_p"), F.col("length").alias("length_p"))
+    others = [c for c in groups.columns]
+    both = groups.join(sets, "node").join(pivots, "pivot").select(*others, "length", "length_p", "elements", "elements_p")
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    passed = [*others, "length", "length_p"]
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("elements")
-            flat, share = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("elements", "shares"))
-            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            often = rarity.value[_slots(flat)]
-            order = np.lexsort((flat, often, row))
-            flat, share, often = flat[order], share[order], often[order]
-            upto = np.cumsum(share) - share
-            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            before = upto - np.repeat(upto[starts], sizes[sizes > 0])
-            first = (before <= 1 - least + 1e-6) & (often > 1)  # what occurs once is shared by none
-            at = batch.column("node").to_numpy(zero_copy_only=False)[row[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[first])], ["node", "element"])
-
-    prefix = written(elements.mapInArrow(prefixes, "node long, element long").join(nodes, "node"), "prefixes")
-    other = prefix.select(F.col("element").alias("element2"), F.col("node").alias("node2"), F.col("class_id").alias("class2"), *renamed)
-    unlike = (F.col("element") == F.col("element2")) & (F.col("node") < F.col("node2")) & (F.col("class_id") != F.col("class2")) & may_link
-    return prefix.join(other, unlike).select(*_paired("node", "node2")).distinct()
+            own, of = (batch.column(c) for c in ("elements", "elements_p"))
+            diffs, n = [], []
+            for at in range(batch.num_rows):
+                x, y = np.asarray(own[at].values), np.asarray(of[at].values)
+                diffs.append(np.setxor1d(x, y, assume_unique=True))
+                n.append(len(x))
+            d = pa.array([len(x) for x in diffs], pa.int32())
+            columns = [*[batch.column(c) for c in passed], pa.array(n, pa.int32()), d, pa.array(diffs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*passed, "n", "d", "diff"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in passed) + ", n int, d int, diff array<long>"
+    found = written(both.mapInArrow(run, schema), "differences")
+    dropped(sets)
+    return found
+
+
+def _close_pairs(diffs: DataFrame, least: float, sizes: list[str], may_link: Column) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of nodes of one pivot and different classes that may have the similarity ``least`` (some several times),
+    and the written table that they are made from.
+
+    With the length of a set, 2 / its least share less its number of elements (of equal shares: this number), sets x
+    and y of that similarity differ in at most c * (length(x) + length(y)) elements, c = (1 - least) / (1 + least). Their differences
+    from the pivot then have at least ``o`` elements in common, half of what both differences have more than that. Where that is no more
+    than none, pairs are listed. Else the first shared element, in the order of rarity, is no later than ``o`` elements before the end of either
+    difference. Of a pair the smaller difference shares an element of its ``short`` part: as at least one
+    of both is not like the pivot, that is about its rarer half, in which few nodes meet, while what many lack of the pivot comes last.
+    Nodes like the pivot but of another class, and those with repeated elements, are ``odd``: they come first in their pairs, with all elements."""
+    c, slack = (1 - least) / (1 + least), 1e-3
+    near = F.col("d") <= c * (F.col("length") + F.col("length_p")) + slack
+    odd = (F.col("length") > EVEN * F.col("n")) | (near & (F.col("class_id") != F.col("class_p")))
+    largest = EVEN / (1 - (1 - least) * (1 + EVEN) / 2)  # a partner's length at most, by the node's elements
+    common = F.when(near, (F.col("d") + c * (F.col("length_p") - F.col("length"))) / 2).otherwise(F.col("d") - c * (F.col("length") + largest * F.col("n")) / 2)
+    # the larger difference of a pair: of a node like the pivot only if its partner, unlike it, has far fewer elements
+    fewest = 1 - (1 - least) * (1 + EVEN) / 2
+    inner = F.when(near & (F.col("d") <= c * (fewest * F.col("n") + F.col("length_p")) - slack), F.col("d") + 1).when(near, 0.0)
+    inner = inner.otherwise((F.col("d") - c * (F.col("length") + EVEN * F.col("length_p"))) / 2 - slack)
+    rows = diffs.withColumn("odd", odd).withColumn("upto", F.col("d") - F.when(F.col("odd"), 0.0).otherwise(common - slack))
+    mixed = rows.where("odd").select("pivot").distinct().withColumn("with_odd", F.lit(True))
+    rows = rows.join(mixed, "pivot", "left").withColumn("upto_long", F.col("d") - F.when(F.coalesce("with_odd", F.lit(False)), 0.0).otherwise(inner))
+    kept = ["pivot", "node", "class_id", *sizes, "length", "d", "odd"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rarity = diffs.sparkSession.sparkContext.broadcast(_rarity(diffs, "diff"))
+
+    def ordered(few: bool, shorts=None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column("diff")
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                often = rarity.value[_slots(flat)]
+                order = np.lexsort((flat, often, row))
+                flat, often = flat[order], often[order]
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                upto = batch.column("upto" if few else "upto_long").to_numpy(zero_copy_only=False)
+                chosen = (often > 1) & (at <= np.repeat(upto, lengths))  # what occurs once is shared by none
+                if not few:
+                    chosen &= may_hold(shorts.value, flat)
+                which = pa.array(row[chosen])
+                columns = [batch.column(c).take(which) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[chosen]), pa.array(at[chosen].astype(np.int32))], [*kept, "element", "at"])
+
+        return run
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", element long, at int"
+    # spread again: the groups of a pivot have met in a task
+    rows = rows.select(*kept, "upto", "upto_long", "diff").repartition("node")
+    short = written(rows.mapInArrow(ordered(True), schema), "prefixes")
+    bits = diffs.sparkSession.sparkContext.broadcast(filter_of(short, "element"))
+    long = rows.mapInArrow(ordered(False, bits), schema)
+    other = long.select("pivot", "element", *[F.col(x).alias(f"{x}2") for x in (*kept[1:], "at")])
+    o = (F.col("d") + F.col("d2") - c * (F.col("length") + F.col("length2")) - slack) / 2
+    first = F.struct(~F.col("odd"), "d", "node") < F.struct(~F.col("odd2"), "d2", "node2")
+    close = (F.col("class_id") != F.col("class_id2")) & may_link & first & (o > 0) & (F.col("d") - F.col("at") >= o) & (F.col("d2") - F.col("at2") >= o)
+    shared = short.join(other, ["pivot", "element"]).where(close).select(*_paired("node", "node2"))
+    # differences so small that nothing of them need be shared
+    small = diffs.drop("diff").withColumn("room", c * F.col("length") - F.col("d") + slack)
+    foreign = F.col("class_id") != F.col("class_p")
+    bounds = small.groupBy("pivot").agg(F.max("room").alias("most"), F.max(F.when(foreign, F.col("room"))).alias("most_foreign"))
+    small = small.join(bounds, "pivot")
+    foreigners = small.where(foreign & (F.col("room") + F.col("most") >= 0))
+    partners = small.where(F.col("room") + F.col("most_foreign") >= 0).select("pivot", *[F.col(x).alias(f"{x}2") for x in ("node", "class_id", *sizes, "room")])
+    free = foreigners.join(partners, "pivot").where((F.col("class_id") != F.col("class_id2")) & may_link & (F.col("room") + F.col("room2") >= 0))
+    return shared.unionByName(free.select(*_paired("node", "node2"))), short
 
 
 def linked(
@@ -344,6 +436,7 @@ def linked(
                 dropped(old)
             break
         mixed = written(owned.join(parts.select("bucket", "main", "n"), "bucket").join(leads.select("bucket", "lead"), "bucket"), "mixed")
+        spent: list[DataFrame] = []
         last = elements is not None or turn > PIVOT_ROUNDS or left[1] <= PAIRS_PER_MEMBER * left[0]
         if last:  # every pair of members of different classes, the leads' excepted: one of the two is outside the bucket's largest class
             rest = mixed.where("node > lead").drop("lead")
@@ -353,8 +446,20 @@ def linked(
             unlike = (F.col("class_id") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("node") < F.col("node2"))) & may_link("2")
             new = light.where("class_id <> main").join(other, (F.col("bucket") == F.col("bucket2")) & unlike).select(*_paired("node", "node2"))
             if elements and left[2] > LIGHT:
-                nodes = written(rest.where(heavy).select("node", "class_id", *sizes).distinct(), "heavy-nodes")
-                new = new.unionByName(_prefix_pairs(nodes, elements(nodes.select("node")), fits, may_link("2"), renamed("2")))
+                groups = written(rest.where(heavy).select(F.col("main").alias("pivot"), "node", "class_id", *sizes).distinct(), "heavy-nodes")
+                diffs = _differences(groups, elements)
+                c = (1 - fits) / (1 + fits)
+                like = diffs.where((F.col("class_id") != F.col("pivot")) & (F.col("d") <= c * (F.col("length") + F.col("length_p"))))
+                like = like.select(*_paired("node", "pivot")).distinct().join(tested[0], ["a", "b"], "left_anti")
+                tested.append(written(like, "pairs"))
+                links.append(written(verify(tested[-1]), "links"))
+                named = components(_union(links))
+                of_pivot = named.select(F.col("node").alias("pivot"), F.col("class_id").alias("class_p"))
+                labelled = diffs.drop("class_id").join(named, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+                labelled = labelled.join(of_pivot, "pivot", "left").withColumn("class_p", F.coalesce("class_p", "pivot"))
+                labelled = written(labelled, "differences")
+                close, short = _close_pairs(labelled, fits, sizes, may_link("2"))
+                new, spent = new.unionByName(close), [groups, diffs, named, labelled, short]
         else:
             by = F.xxhash64("bucket", F.lit(turn))
             least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), "class_id", *sizes)).alias("p"))
@@ -365,7 +470,7 @@ def linked(
             new = new.join(_union(tested), ["a", "b"], "left_anti")
         tested.append(written(new, "pairs"))
         links.append(written(verify(tested[-1]), "links"))
-        for old in (parts, mixed, classes):
+        for old in (parts, mixed, classes, *spent):
             dropped(old)
         if last:
             break
