@@ -5,10 +5,10 @@ checked against the least member of its bucket. Nodes have one order in all buck
 group share their least members and a node has few of them. Classes are formed, and only buckets that
 still hold more than one class are looked at again: every pair of members of different classes is checked once.
 Pairs within a class need no check, so a large group of near copies costs a few checks per member. In buckets
-of many members, which share a passage without being similar, only those pairs are listed that
-share one of their rare elements: in any one order of all elements, similar sets have their first shared one within the
-first of either that make up what they need not share (prefix filtering), and in the order of
-frequency those are the rare ones. So nothing is lost and nothing depends on a cap. Where the sets' elements can't be had, rounds
+of many members, which are variants of one set or share a passage without being similar, nodes are compared by their differences from
+one node, and only those pairs are listed that share a rare element of both (see ``_close_pairs``): in any one order of all
+elements, similar sets have their first shared one within the first of either that make up what they need not share (prefix
+filtering), and in the order of frequency those are the rare ones. So nothing is lost and nothing depends on a cap. Where the sets' elements can't be had, rounds
 of new pivots, in an order that differs from bucket to bucket, come before the listing instead.
 
 Before any pair meets its texts, pairs go whose sizes rule the similarity out (``fits``): the mass that a set
@@ -403,7 +403,8 @@ def linked(
     ``members`` is a table of distinct (bucket, node); ``verify`` gives the links among pairs (a, b). With
     ``fits``, the least similarity of a link, members also have ``size``, a set's distinct elements, and ``peak``,
     the largest share that one element has of it: a pair of which ``size * peak`` of either with the other is less goes unverified.
-    ``elements`` gives a row of given nodes each, (node, elements, shares: of the node's mass), where links need ``fits`` of either's mass in common.
+    ``elements`` gives a row of given nodes each, (node, elements, shares: of the node's mass), where links need the probability Jaccard
+    similarity ``fits`` of the shares; of equal shares that is the Jaccard similarity.
     """
     sizes = ["size", "peak"] if fits is not None else []
     least_fit = (fits or 0.0) * (1 - 1e-5)  # the columns are single precision
