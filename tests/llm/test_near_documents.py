@@ -67,6 +67,30 @@ def test_families_of_variants_with_repeated_parts(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def test_texts_that_share_only_a_long_repetition(spark, monkeypatch):
+    """Texts of other words each behind the same words many times: similar only where both have few others, and few pairs are verified."""
+    from weekcast.llm import linking
+
+    monkeypatch.setattr(linking, "LIGHT", 4)
+    verified, whole = [], linking.linked
+
+    def counted(members, verify, *more):
+        def told(pairs):
+            verified.append(pairs.count())
+            return verify(pairs)
+
+        return whole(members, told, *more)
+
+    monkeypatch.setattr(linking, "linked", counted)
+    rng = random.Random(31)
+    rows = [(0, made(rng, 125) + " is on" * 300)]
+    rows += [(n, made(rng, rng.choice([20, 60, 90, 100, 110, 125, 145, 170])) + " is on" * rng.choice([300, 300, 30, 250])) for n in range(1, 130)]
+    rows += [(n, "more " * (n % 7) + made(rng, 100) + " is on" * 3) for n in range(130, 150)]
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(verified) < 8 * len(rows)
+
+
 def test_an_id_with_several_texts_ties_them(spark):
     rng = random.Random(3)
     a, b = made(rng, 60), made(rng, 60)

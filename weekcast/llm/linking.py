@@ -8,8 +8,9 @@ Pairs within a class need no check, so a large group of near copies costs a few
 of many members, which are variants of one set or share a passage without being similar, nodes are compared by their differences from
 one node, and only those pairs are listed that share a rare element of both (see ``_close_pairs``): in any one order of all
 elements, similar sets have their first shared one within the first of either that make up what they need not share (prefix
-filtering), and in the order of frequency those are the rare ones. So nothing is lost and nothing depends on a cap. Where the sets' elements can't be had, rounds
-of new pivots, in an order that differs from bucket to bucket, come before the listing instead.
+filtering), and in the order of frequency those are the rare ones. Sets that have much of their mass in few elements differ in any number of
+the others; their pairs are bounded by the mass from the first shared element on (see ``_uneven_pairs``). So nothing is lost and nothing
+depends on a cap. Where the sets' elements can't be had, rounds of new pivots, in an order that differs from bucket to bucket, come before the listing instead.
 
 Before any pair meets its texts, pairs go whose sizes rule the similarity out (``fits``): the mass that a set
 has in common with another is at most its largest share times the other's distinct elements.
@@ -40,6 +41,8 @@ SLOT_BITS = 20
 RANGES = 64
 #: A set of that many times its number of elements, by its length, has (nearly) equal shares.
 EVEN = 1.02
+#: A set of more than that many times is uneven: much of its mass is in few elements, whatever the number that differ.
+UNEVEN = 1.5
 #: Low bits of a bucket entry that tell nodes apart (two nodes of a bucket look alike there once in 16 million).
 TAG_BITS = 24
 
@@ -325,6 +328,63 @@ def _differences(groups: DataFrame, elements: DataFrame) -> DataFrame:
     return found
 
 
+def _by_rarity(flat: np.ndarray, lengths: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists of elements one after the other: the order that sorts each by rarity, how often each element
+    occurs in that order, and the list that each belongs to."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    often = rarity[_slots(flat)]
+    order = np.lexsort((flat, often, row))
+    return order, often[order], row
+
+
+def _uneven_prefixes(groups: DataFrame, elements: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """The written elements of the ``groups`` (pivot, node, ...) that the first shared one of a pair of similarity ``least`` can be, in
+    the order of rarity, and the share ``rest`` of the set's mass from there on (see :func:`_uneven_pairs`)."""
+    sets = written(elements(groups.select("node").distinct()).select("node", "elements", "shares"), "uneven-sets")
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets, "elements"))
+    kept = groups.columns
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, shares = batch.column("elements"), batch.column("shares").flatten().to_numpy(zero_copy_only=False)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            order, often, row = _by_rarity(flat, lengths, rarity.value)
+            flat, mass = flat[order], shares[order]
+            upto = np.cumsum(mass) - mass
+            rest = 1 - (upto - np.repeat(upto[np.cumsum(lengths) - lengths], lengths))
+            chosen = (often > 1) & (rest >= least - 1e-6)
+            which = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(which) for c in kept], pa.array(flat[chosen]), pa.array(rest[chosen])], [*kept, "element", "rest"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", element long, rest double"
+    found = written(groups.join(sets, "node").select(*kept, "elements", "shares").mapInArrow(run, schema), "uneven-prefixes")
+    dropped(sets)
+    return found
+
+
+def _uneven_pairs(prefixes: DataFrame, least: float, sizes: list[str], may_link: Column, hubs: bool) -> DataFrame:
+    """The pairs (a, b) of nodes of one pivot and different classes, of which one is ``uneven``, that may have the similarity ``least``;
+    with ``hubs`` only those of a node and, of the nodes that have one of its elements, the one of the largest rest there.
+
+    Sets that have the shares P and Q of their mass in shared elements have a similarity of 1 / (1 / P + 1 / Q - 1) at most: that is
+    what they have if the shared elements' shares are in proportion, and any others give less (the sum's terms are concave
+    and homogeneous in both shares). From the first shared element on, each has at least that mass left.
+    Who isn't close to the hub of an element is close to none there, so the classes that hubs make leave few pairs."""
+    names = ["node", "class_id", "uneven", "rest", *sizes]
+    other = [F.col(c).alias(f"{c}2") for c in names]
+    close = (F.col("class_id") != F.col("class_id2")) & may_link & (1 / F.col("rest") + 1 / F.col("rest2") <= 1 + 1 / least + 1e-5)
+    if hubs:
+        best = prefixes.groupBy("pivot", "element").agg(F.max(F.struct("rest", *[c for c in names if c != "rest"])).alias("p"))
+        best = best.select("pivot", "element", *[F.col(f"p.{c}").alias(f"{c}2") for c in names])
+        found = prefixes.join(best, ["pivot", "element"]).where(close & (F.col("uneven") | F.col("uneven2")))
+    else:
+        first = F.struct(~F.col("uneven"), "node") < F.struct(~F.col("uneven2"), "node2")
+        found = prefixes.where("uneven").join(prefixes.select("pivot", "element", *other), ["pivot", "element"]).where(close & first)
+    return found.select(*_paired("node", "node2")).distinct()
+
+
 def _close_pairs(diffs: DataFrame, least: float, sizes: list[str], may_link: Column) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) of nodes of one pivot and different classes that may have the similarity ``least`` (some several times),
     and the written table that they are made from.
@@ -358,10 +418,8 @@ def _close_pairs(diffs: DataFrame, least: float, sizes: list[str], may_link: Col
                 column = batch.column("diff")
                 flat = column.flatten().to_numpy(zero_copy_only=False)
                 lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                often = rarity.value[_slots(flat)]
-                order = np.lexsort((flat, often, row))
-                flat, often = flat[order], often[order]
+                order, often, row = _by_rarity(flat, lengths, rarity.value)
+                flat = flat[order]
                 at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 upto = batch.column("upto" if few else "upto_long").to_numpy(zero_copy_only=False)
                 chosen = (often > 1) & (at <= np.repeat(upto, lengths))  # what occurs once is shared by none
@@ -449,9 +507,17 @@ def linked(
             if elements and left[2] > LIGHT:
                 groups = written(rest.where(heavy).select(F.col("main").alias("pivot"), "node", "class_id", *sizes).distinct(), "heavy-nodes")
                 diffs = _differences(groups, elements)
+                uneven = F.col("length") > UNEVEN * F.col("n")
+                marked = diffs.select("pivot", "node", "class_id", *sizes, uneven.alias("uneven"))
+                prefixes = None
+                if marked.where("uneven").limit(1).count():
+                    prefixes = _uneven_prefixes(marked.join(marked.where("uneven").select("pivot").distinct(), "pivot", "left_semi"), elements, least_fit)
                 c = (1 - fits) / (1 + fits)
                 like = diffs.where((F.col("class_id") != F.col("pivot")) & (F.col("d") <= c * (F.col("length") + F.col("length_p"))))
-                like = like.select(*_paired("node", "pivot")).distinct().join(tested[0], ["a", "b"], "left_anti")
+                like = like.select(*_paired("node", "pivot"))
+                if prefixes:
+                    like = like.unionByName(_uneven_pairs(prefixes, least_fit, sizes, may_link("2"), hubs=True))
+                like = like.distinct().join(tested[0], ["a", "b"], "left_anti")
                 tested.append(written(like, "pairs"))
                 links.append(written(verify(tested[-1]), "links"))
                 named = components(_union(links))
@@ -459,8 +525,12 @@ def linked(
                 labelled = diffs.drop("class_id").join(named, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
                 labelled = labelled.join(of_pivot, "pivot", "left").withColumn("class_p", F.coalesce("class_p", "pivot"))
                 labelled = written(labelled, "differences")
-                close, short = _close_pairs(labelled, fits, sizes, may_link("2"))
+                close, short = _close_pairs(labelled.where(~uneven), fits, sizes, may_link("2"))
                 new, spent = new.unionByName(close), [groups, diffs, named, labelled, short]
+                if prefixes:
+                    prefixed = prefixes.drop("class_id").join(named, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+                    apart = _uneven_pairs(prefixed, least_fit, sizes, may_link("2"), hubs=False).join(tested[-1], ["a", "b"], "left_anti")
+                    new, spent = new.unionByName(apart), [*spent, prefixes]
         else:
             by = F.xxhash64("bucket", F.lit(turn))
             least = mixed.groupBy("bucket").agg(F.min(F.struct(_stirred("node", by).alias("x"), "class_id", *sizes)).alias("p"))
