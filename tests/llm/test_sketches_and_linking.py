@@ -87,6 +87,18 @@ def test_linked_loses_no_class_and_checks_few_pairs(spark):
     assert len(checked) == len(set(checked))
 
 
+def test_buckets_of_the_same_nodes_are_kept_once(spark):
+    """Of 24 buckets of the same two nodes one is left, and none of another set of nodes is lost."""
+    rng = random.Random(12)
+    same = [rng.getrandbits(63) for _ in range(24)]
+    some = [rng.getrandbits(63) for _ in range(3)]
+    rows = [(1, [*same, some[0]]), (2, [*same, some[0], some[1]]), (3, [*some, 5]), (4, [some[1], some[2], 6]), (5, [7]), (None, same), (6, None)]
+    found = {}
+    for r in linking.shared_buckets(spark.createDataFrame(rows, "node long, bands array<long>")).collect():
+        found.setdefault(r.bucket, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == [[1, 2], [1, 2, 3], [2, 3, 4], [3, 4]]
+
+
 def test_filter_holds_its_keys(spark):
     keys = spark.createDataFrame([(k,) for k in (-5, 0, 7, 1 << 62, -(1 << 63))], "key long")
     bits = linking.filter_of(keys, "key")

@@ -16,7 +16,7 @@ Before any pair meets its texts, pairs go whose sizes rule the similarity out (`
 has in common with another is at most its largest share times the other's distinct elements.
 
 Hot buckets: which buckets are shared is found from blocks of band hashes that every task first makes
-distinct; leads and pivots are partial aggregates, joined to the members by broadcast if small or else by a sort-merge join whose
+distinct; like nodes meet in many buckets, of which one of each set of nodes is kept; leads and pivots are partial aggregates, joined to the members by broadcast if small or else by a sort-merge join whose
 hot keys Spark splits. Tables used twice are written below ``spark.checkpoint.dir``.
 """
 
@@ -92,8 +92,17 @@ def _reduced(buckets: np.ndarray, parts: int) -> np.ndarray:
     return _named(buckets & ~low, (buckets & low) % np.uint64(parts))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, rising; by a sort, as the table of hashes that ``np.unique`` makes of mostly distinct ones costs far more."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _several(rows: DataFrame, parts: int) -> DataFrame:
-    """The written names of the buckets that hold two nodes or more (rows of node, bands)."""
+    """The written names of the buckets that hold two nodes or more (rows of node, bands); of buckets of the same nodes, one.
+
+    Buckets of the same nodes would give the same pairs. A sum of the nodes' mixed tags tells them: those of two pairs
+    of nodes are equal with odds of 1 in 2**47."""
     low, shift = np.uint64((1 << TAG_BITS) - 1), np.uint64(TAG_BITS)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +117,7 @@ def _several(rows: DataFrame, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             part, entries = part[order], ((buckets & ~low) | tags)[order]
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            blobs = [np.unique(x).tobytes() for x in np.split(entries, starts[1:])]
+            blobs = [_distinct(x).tobytes() for x in np.split(entries, starts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "entries"])
 
         for batch in batches:
@@ -128,17 +137,21 @@ def _several(rows: DataFrame, parts: int) -> DataFrame:
             for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
                 found.setdefault(part, []).append(np.frombuffer(entries, np.uint64))
         for part in list(found):
-            entries = np.unique(np.concatenate(found.pop(part)))
+            entries = _distinct(np.concatenate(found.pop(part)))
             high = entries >> shift
-            shared = np.unique(high[1:][high[1:] == high[:-1]]) << shift
-            yield pa.RecordBatch.from_arrays([pa.array(_named(shared, np.uint64(part)))], ["bucket"])
+            starts = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1])))
+            several = np.diff(starts, append=len(high)) > 1
+            nodes = np.add.reduceat(mix(entries & low), starts)[several].view(np.int64)
+            names = _named(high[starts[several]] << shift, np.uint64(part))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes)], ["bucket", "nodes"])
 
     blocks = rows.mapInArrow(packed, "part int, entries binary").repartition("part")
-    return written(blocks.mapInArrow(compared, "bucket long"), "buckets")
+    found = blocks.mapInArrow(compared, "bucket long, nodes long")
+    return written(found.groupBy("nodes").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
 
 
 def shared_buckets(sketches: DataFrame, node: str = "node", bands: str = "bands", sizes: tuple[str, str] | None = None) -> DataFrame:
-    """The written memberships (bucket, node) of all buckets that hold two nodes or more, with the columns
+    """The written memberships (bucket, node) of all buckets that hold two nodes or more (of buckets of the same nodes, one), with the columns
     ``size`` and ``peak`` if ``sizes`` names those of the sketches (see :func:`linked`)."""
     spark = sketches.sparkSession
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
